@@ -30,7 +30,8 @@ from cairngraph.llm.common import alnum_words, map_arrow, texts
 
 WINDOW = 10
 MAX_PATTERN_WORDS = 4_000_000
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The words of a text whose A-Z are not lower-cased yet.
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 
 
 class Items:
@@ -94,7 +95,7 @@ _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _blocks(items: DataFrame, item_id: str, text: str, window: int, most: int) -> list[Items]:
     """The items in blocks of at most `most` pattern words each (an item alone may be longer)."""
-    words = F.size(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    words = F.size(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     total = items.select((words * window).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     parts = -(-total // most) or 1
