@@ -138,6 +138,14 @@ def contamination(
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def clean(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of df without a hit; columns stay as they are."""
+    mine = df.select(*(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(df.columns)))
+    at = f"c{df.columns.index(text)}"
+    found = contamination(mine, items, doc_id, at, item_id, item_text, mine.columns)
+    return found.where(~F.col("contaminated")).select(*(F.col(f"c{n}").alias(c) for n, c in enumerate(df.columns)))
+
+
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
