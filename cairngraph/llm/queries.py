@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairngraph.llm import decontaminate, language_id, license_scan, packing, pii, quality, secret_scan, simhash, url_filter, warc
+from cairngraph.llm import decontaminate, language_id, license_scan, oracles, packing, pii, quality, secret_scan, simhash, url_filter, warc
 from cairngraph.llm.common import table
 
 
@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality, op2_licenses, op3_simhash, op4_pii, op5_decontamination, op6_secrets, op7_language, op8_packing, op9_urls, op10_warc)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracles.SQL)
