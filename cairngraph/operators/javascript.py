@@ -101,11 +101,15 @@ def _facts(make, path: str, content: str, context: Context, module: str, prof: s
             value = m[3] or m[4]
             kind = "export" if m[1] == "export" else "import"
             target, reason = specifier(path, value, context)
-            yield make(f"js.{kind}", f"js-{kind}:{n}:{value}", n, name=value, target=target, source_key=module, raw_value_summary=redact_url(value), reference_kind="module", resolution_reason=reason, **{f"{kind}_kind": "re-export" if kind == "export" else "static"})
+            facts = {"raw_value_summary": redact_url(value), "reference_kind": "module", "resolution_reason": reason, f"{kind}_kind": "re-export" if kind == "export" else "static"}
+            yield make(f"js.{kind}", f"js-{kind}:{n}:{value}", n, name=value, target=target, source_key=module, **facts)
+            yield make("js.reference", f"js-reference:{n}:{value}", n, name=value, target=target, source_key=module, not_fetched=True, **facts)
         for pattern, what in ((_REQUIRE, "require"), (_DYNAMIC, "dynamic-import")):
             for m in pattern.finditer(line):
                 target, reason = specifier(path, m[2], context) if m[2] else (K.dynamic("js.import", "computed-specifier"), "dynamic")
-                yield make("js.import", f"js-{what}:{n}:{m[2] or 'dynamic'}", n, name=m[2] or what, target=target, source_key=module, import_kind=what, resolution_reason=reason, dynamic=not m[2], reference_kind="module")
+                facts = {"import_kind": what, "resolution_reason": reason, "dynamic": not m[2], "reference_kind": "module"}
+                for kind in ("import", "reference"):
+                    yield make(f"js.{kind}", f"js-{kind}-{what}:{n}:{m[2] or 'dynamic'}", n, name=m[2] or what, target=target, source_key=module, **facts)
                 if what == "require" and prof in ("node", "express"):
                     yield make("node.require", f"node-require:{n}", n, name=m[2])
         if (m := re.match(r"\s*export\s+(default\s+)?(?:async\s+)?(function\*?|class|const|let|var|interface|type|enum)?\s*([\w$]+)?", line)) and not _FROM.match(line):

@@ -77,9 +77,11 @@ def extract(path: str, content: str, context: Context) -> Iterator[dict]:
             inside = inside and (inside if inside.endswith(".rb") else inside + ".rb")
             dynamic = "#{" in m[3]
             target = K.dynamic("ruby.require", "interpolated-require") if dynamic else K.file_key(inside) if inside else K.unknown("file", "repo-escaping-require") if m[1] == "require_relative" else K.external("ruby.gem", m[3])
-            yield make("require", f"ruby-require:{n}:{slug(m[3])}", n, name=m[3], target=target, source_key=file, reference_kind=m[1], raw_value_summary=m[3], resolution_reason="dynamic" if dynamic else "local-file" if inside else "external")
+            for kind in ("require", "reference"):
+                yield make(kind, f"ruby-{kind}:{n}:{slug(m[3])}", n, name=m[3], target=target, source_key=file, reference_kind=m[1], raw_value_summary=m[3], resolution_reason="dynamic" if dynamic else "local-file" if inside else "external")
         elif m := re.match(r"(?:\w+\.)?(gem|add_dependency|add_runtime_dependency|add_development_dependency)\s*\(?\s*[\"']([\w.-]+)[\"'](.*)", line):
-            yield make("gem_dependency", f"ruby-gem:{m[2]}", n, name=m[2], target=K.external("ruby.gem", m[2]), source_key=file, reference_kind=m[1], raw_value_summary=redact_url(m[3].strip(", ") or m[2])[:120])
+            for kind in ("gem_dependency", "reference"):
+                yield make(kind, f"ruby-{kind}:{m[2]}:{n}", n, name=m[2], target=K.external("ruby.gem", m[2]), source_key=file, reference_kind=m[1], raw_value_summary=redact_url(m[3].strip(", ") or m[2])[:120])
         elif prof == "rake" and (m := re.match(r"(task|namespace|desc)\s*\(?\s*[:\"']?([\w:-]+)", line)):
             yield make("dsl", f"ruby-dsl:{m[1]}:{n}", n, name=m[2], dsl_name=m[1])
         elif prof == "vagrant" and (m := re.match(r"(\w+)\.vm\.(\w+)", line)):

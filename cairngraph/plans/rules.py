@@ -645,12 +645,12 @@ RULES: dict[str, Rule] = {
         f"ruby.{k}": defines("ruby", "ruby", given_target(by_path("ruby.file") if k == "file" else _needs_target(f"ruby.{k}")), source=key_or(lambda o, m: K.file_key(o["path"]), "file", "ruby.file", "ruby.module", "ruby.class", "ruby.test_case"))
         for k in ("file", "module", "class", "method", "singleton_method", "constant", "test_case", "test_method", "route")
     },
-    **{f"ruby.{k}": refers("ruby.reference", "ruby.reference", key_or(by_path("ruby.file"), "ruby.file", "ruby.module", "ruby.class", "ruby.method")) for k in ("reference", "require", "gem_dependency")},
+    **{f"ruby.{k}": refers("ruby.reference", "ruby.reference", key_or(by_path("ruby.file"), "ruby.file", "ruby.module", "ruby.class", "ruby.method")) for k in ("reference",)},
     **{
         f"js.{k}": defines("js", "js", given_target(by_path("js.file") if k == "file" else by_path("js.module") if k == "module" else _needs_target(f"js.{k}")), source=key_or(lambda o, m: K.file_key(o["path"]), "file", "js.file", "js.module", "js.class", "js.test_suite"))
         for k in ("file", "module", "function", "class", "method", "variable", "component", "test_suite", "test_case", "route")
     },
-    **{f"js.{k}": refers("js.reference", "js.reference", key_or(by_path("js.module"), "js.file", "js.module", "js.function", "js.class", "js.component")) for k in ("import", "export", "reference")},
+    **{f"js.{k}": refers("js.reference", "js.reference", key_or(by_path("js.module"), "js.file", "js.module", "js.function", "js.class", "js.component")) for k in ("reference",)},
     **{
         f"email.{k}": defines("email", f"email.{k}", given_target(_email_target), source=key_or(lambda o, m: K.file_key(o["path"]), "file", "email.mailbox", "email.message", "email.part"), display=_email_name)
         for k in ("mailbox", "message", "part", "attachment_stub", "thread_hint")
@@ -661,14 +661,17 @@ RULES: dict[str, Rule] = {
         k: evidence_only
         for k in (
             "config.jsonl_record config.parse_error html.parse_error xml.parse_error css.declaration css.parse_error feed.content feed.parse_error warc.header warc.payload"
-            " warc.parse_error document.parse_error email.header email.parse_error ruby.dsl ruby.parse_error ruby.vagrant_config js.parse_error js.hook js.interface js.enum"
-            " js.type_alias js.test_expectation terraform.file terraform.version terraform.provider terraform.required_provider terraform.resource terraform.data_source"
-            " terraform.module terraform.variable terraform.output terraform.local terraform.backend terraform.reference terraform.tfvars terraform.redaction"
-            " terraform.parse_error terraform.block kubernetes.resource argocd.application liquibase.changelog liquibase.changeset docker.image docker.reference"
-            " ecosystem.config_profile ecosystem.framework_hint ecosystem.package ecosystem.reference npm.package npm.dependency npm.script typescript.reference"
-            " angular.project angular.target node.entrypoint node.export node.require express.app express.router express.route express.middleware express.error_handler"
-            " nest.module nest.controller nest.provider nest.route nest.decorator next.page next.route next.api_route next.app_route next.component jest.suite jest.test"
-            " jest.expectation jest.mock jquery.selector jquery.event jquery.ajax jquery.plugin_reference"
+            " warc.parse_error document.parse_error email.header email.parse_error ruby.require ruby.include ruby.extend ruby.dsl ruby.gem_dependency ruby.vagrant_config ruby.parse_error"
+            " js.import js.export js.hook js.test_expectation js.interface js.type_alias js.enum js.parse_error ecosystem.config_profile ecosystem.package ecosystem.script"
+            " ecosystem.dependency ecosystem.tool ecosystem.framework_hint ecosystem.reference ecosystem.redaction ecosystem.parse_error npm.package npm.script npm.dependency"
+            " typescript.config typescript.reference angular.project angular.target jest.config nest.config playwright.config terraform.file terraform.block terraform.provider"
+            " terraform.resource terraform.data_source terraform.module terraform.variable terraform.output terraform.local terraform.backend terraform.required_provider"
+            " terraform.required_version terraform.reference terraform.moved terraform.import terraform.check terraform.removed terraform.parse_error terraform.redaction"
+            " kubernetes.resource argocd.application liquibase.changelog liquibase.changeset docker.reference js.framework_profile js.runtime_profile js.package_context"
+            " js.route_handler js.middleware js.controller js.provider js.module_binding js.test_config js.dom_selector js.dom_event js.ajax_reference js.server_entrypoint"
+            " js.client_entrypoint js.framework_reference node.entrypoint node.export node.require express.app express.router express.route express.middleware"
+            " express.error_handler nest.module nest.controller nest.provider nest.route nest.decorator next.route next.page next.api_route next.app_route next.component jest.suite"
+            " jest.test jest.expectation jest.mock jquery.selector jquery.event jquery.ajax jquery.plugin_reference"
         ).split()
     },
 }

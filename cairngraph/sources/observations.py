@@ -59,7 +59,7 @@ def problem(c: Column) -> Column:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 1) and raw of every non-blank line."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("i", "raw"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("i", "raw"))
     return whole.where(F.trim("raw") != "").select("file", (F.col("i") + 1).alias("line"), "raw")
 
 
