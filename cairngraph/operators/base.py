@@ -51,7 +51,7 @@ def secret_text(text: str) -> bool:
 
 def secret_name(name: str) -> bool:
     squashed = re.sub("[^a-z0-9]", "", name.lower())
-    return any(m.replace("_", "") in squashed for m in SECRET_MARKERS) or squashed.endswith("key") and squashed not in ("key", "publickey", "primarykey", "foreignkey")
+    return any(m.replace("_", "") in squashed for m in SECRET_MARKERS) or bool(re.search(r"(access|private|signing|encryption|ssh|master|license)key$", squashed))
 
 
 def summary(text: str, most: int = 160) -> str | None:
