@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from cairngraph import graph_tables as G
 from cairngraph.functions import columns as C
 from cairngraph.functions import keys as K
+from cairngraph.operators import base, documents, html
 from cairngraph.plans import canonicalize, legacy, provenance, query, store, summary
+from cairngraph.sources import ingest, observations, repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -304,3 +306,138 @@ def canonical_node_evidence(spark: SparkSession, d: str) -> DataFrame:
 @registered("SELECT severity, count(*) AS n FROM (SELECT 'warning' AS severity FROM o) GROUP BY severity", "o")
 def diagnostics_of_unsupported(spark: SparkSession, d: str) -> DataFrame:
     return canonicalize.severity_counts(canonicalize.canonicalize(G.observations(spark, d)).diagnostics)
+
+
+# --- files, bulk plans, hashes, status ------------------------------------------------------------------------
+
+
+def _page_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as files of a repository: the url's path, the html as content."""
+    path = F.concat(F.trim(F.regexp_extract("url", "://[^/]*/([^?#]*)", 1), F.lit("/")), F.lit("."), F.element_at(F.array(*(F.lit(x) for x in ("html", "md", "py", "tf", "unknown"))), (F.col("page_id") % 5 + 1).cast("int")))
+    top = F.element_at(F.array(*(F.lit(x) for x in ("docs/", "src/", "tests/", "reports/", "bin/", ""))), (F.col("page_id") % 6 + 1).cast("int"))
+    return G._t(spark, d, "pages").select(F.concat(top, path).alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"), (F.col("page_id") % 7 == 0).alias("executable"), "page_id")
+
+
+_FILES = (
+    "f AS (SELECT page_id, ['docs/', 'src/', 'tests/', 'reports/', 'bin/', ''][page_id % 6 + 1] || trim(regexp_extract(url, '://[^/]*/([^?#]*)', 1), '/') || '.' || ['html', 'md', 'py', 'tf', 'unknown'][page_id % 5 + 1] AS path,"
+    " coalesce(html, '') AS content, page_id % 7 = 0 AS executable FROM pages)"
+)
+_LANGUAGE = "CASE page_id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'markdown' WHEN 2 THEN 'python' WHEN 3 THEN 'terraform' ELSE 'unknown' END"
+_ROLE = (
+    "CASE WHEN list_has_any(string_split(path, '/'), ['coverage', 'generated', 'reports']) THEN 'generated' WHEN list_has_any(string_split(path, '/'), ['test', 'tests']) THEN 'test'"
+    " WHEN path LIKE 'docs/%' OR path LIKE '%.md' THEN 'documentation' WHEN path LIKE '%.tf' THEN 'config' WHEN executable OR path LIKE 'bin/%' THEN 'entrypoint' WHEN path LIKE 'src/%' THEN 'source' ELSE 'unknown' END"
+)
+
+
+@registered(f"WITH {_FILES} SELECT page_id, path, {_LANGUAGE} AS language, {_ROLE} AS role, path LIKE 'reports/%' AS generated, sha256(content) AS content_hash FROM f")
+def file_classification(spark: SparkSession, d: str) -> DataFrame:
+    return repository.classify(_page_files(spark, d)).select("page_id", "path", "language", "role", "generated", "content_hash")
+
+
+def _file_observations(spark: SparkSession, d: str) -> DataFrame:
+    found = repository.classify(_page_files(spark, d))
+    return repository.file_observations(found).join(found.select("path", F.col("page_id").alias("ordinal")), "path").dropDuplicates(["ordinal"])
+
+
+@registered(f"WITH {_FILES}, l AS (SELECT path, arg_max(page_id, page_id) AS page_id, arg_max(executable, page_id) AS executable FROM f GROUP BY path) SELECT path, {_LANGUAGE} AS language, {_ROLE} AS role FROM l WHERE {_ROLE} = 'test' AND {_LANGUAGE} = 'python'")
+def file_filter_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    return legacy.matching(legacy.files(_file_observations(spark, d)), role="test", language="python").select("path", "language", "role")
+
+
+@registered(
+    "WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path, strlen(coalesce(html, '')) AS bytes FROM pages) SELECT page_id, bytes::BIGINT AS bytes,"
+    " CASE WHEN path LIKE 'm.%' THEN 'excluded_path' WHEN len(string_split(path, '/')) > 3 THEN 'max_depth_exceeded' WHEN NOT regexp_matches(lower(path), '\\.html?$') THEN 'unsupported_extension' WHEN bytes > 4000 THEN 'max_file_bytes_exceeded' END AS reason FROM p"
+)
+def bulk_plan_reasons(spark: SparkSession, d: str) -> DataFrame:
+    pages = G._t(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    s = ingest.Source("corpus", "local.directory", "allowed", max_file_bytes=4000, max_depth=3, extensions=(".html", ".htm"))
+    got = ingest.judged(pages, s).withColumn("reason", F.when(F.col("path").startswith("m."), F.lit("excluded_path")).otherwise(F.col("reason")))
+    return got.select("page_id", "bytes", "reason")
+
+
+@registered(
+    "SELECT ordinal, sha256('{\"confidence\":\"' || confidence || '\",\"extractor\":\"events\",\"extractor_version\":\"1\",\"kind\":\"' || kind || '\",\"metadata\":{\"k\":' || k || '},\"name\":\"' || name || '\",\"path\":\"' || path ||"
+    " '\",\"schema_version\":1,\"source_id\":\"' || source_id || '\",\"target\":\"' || target || '\"}') AS payload_hash FROM o", "o",
+)
+def payload_hashes(spark: SparkSession, d: str) -> DataFrame:
+    o = G.observations(spark, d).withColumn("metadata", F.concat(F.lit('{"k":'), summary.meta("k"), F.lit("}")))
+    return observations.with_payload_hash(o).select("ordinal", "payload_hash")
+
+
+@registered(
+    "SELECT g.graph_id, g.name AS repository_name, r.run_id, r.status, coalesce(c.n, 0)::BIGINT AS raw_observations FROM (VALUES ('a', 'user-8'), ('b', 'user-3'), ('c', 'nobody')) g(graph_id, name)"
+    " LEFT JOIN (SELECT source, max(ordinal) AS run_id, CASE WHEN arg_max(name, ordinal) = 'error' THEN 'failed' ELSE 'complete' END AS status FROM o GROUP BY source) r ON r.source = g.name"
+    " LEFT JOIN (SELECT source, count(*) AS n FROM o GROUP BY source) c ON c.source = g.name", "o",
+)
+def refresh_status(spark: SparkSession, d: str) -> DataFrame:
+    o = provenance.source_observations(G.observations(spark, d)).withColumn("root_path", F.col("source_id_configured"))
+    graphs = spark.createDataFrame([("a", "user-8"), ("b", "user-3"), ("c", "nobody")], "graph_id string, repository_name string")
+    runs = o.select("root_path", F.col("ordinal").alias("run_id"), F.when(F.col("name") == "error", F.lit("failed")).otherwise(F.lit("complete")).alias("status"), F.lit("x").alias("git_commit"), F.current_timestamp().alias("finished_at"))
+    repos = o.select("root_path").distinct().withColumn("name", F.col("root_path"))
+    none = o.limit(0)  # no nodes or edges are stored for these
+    got = provenance.refresh_status(graphs, repos, runs, none, none, o)
+    return got.select("graph_id", "repository_name", "run_id", "status", "raw_observations")
+
+
+@registered(
+    ", w AS (SELECT 'node:' || path || ':' || kind || ':' || source_id AS stable_key, kind, path, target FROM o), c AS (SELECT stable_key FROM w WHERE path = 'user/8')"
+    " SELECT 'edge' AS what, 'edge:' || stable_key || ':' || kind || ':' || target AS key FROM w WHERE stable_key IN (SELECT stable_key FROM c) UNION ALL SELECT 'node', stable_key FROM c", "o",
+)
+def file_neighborhood(spark: SparkSession, d: str) -> DataFrame:
+    g = legacy.normalize(G.observations(spark, d))
+    near, nodes = query.legacy_neighborhood(g.nodes, g.edges, path="user/8")
+    return near.select(F.lit("edge").alias("what"), F.col("stable_key").alias("key")).union(nodes.select(F.lit("node").alias("what"), F.col("stable_key").alias("key")))
+
+
+@registered(
+    "SELECT 'package-management' AS category, name AS tool, count(*) AS n, sum((k > 50)::INT)::BIGINT AS privileged FROM o WHERE name IN ('click', 'view') GROUP BY name", "o",
+)
+def host_mutator_summary(spark: SparkSession, d: str) -> DataFrame:
+    o = G.observations(spark, d).where("name IN ('click', 'view')")
+    metadata = F.to_json(F.struct(F.lit("package-management").alias("category"), F.col("name").alias("tool"), (summary.meta("k").cast("int") > 50).alias("privileged")))
+    return legacy.host_mutator_summary(legacy.host_mutators(o.withColumn("metadata", metadata).withColumn("kind", F.lit("shell.host_mutation"))))
+
+
+@registered(
+    "SELECT target AS dst_key, 'external' AS dst_kind, 'event_type:' || name AS dst_name, count(*) AS n FROM o GROUP BY target, name", "o",
+)
+def relationship_targets(spark: SparkSession, d: str) -> DataFrame:
+    return legacy.relationships(G.observations(spark, d)).groupBy("dst_key", "dst_kind", "dst_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(
+    "SELECT kind, count(*) AS n FROM (SELECT 'events' AS f, CASE WHEN name = 'error' THEN 'flask_routes' WHEN name = 'view' THEN 'pytest_tests' ELSE 'other' END AS kind FROM o) WHERE kind <> 'other' GROUP BY kind", "o",
+)
+def python_summary(spark: SparkSession, d: str) -> DataFrame:
+    o = G.observations(spark, d)
+    as_python = o.withColumn("kind", F.when(F.col("name") == "error", F.lit("python.flask_route")).when(F.col("name") == "view", F.lit("python.pytest_test")).otherwise(F.lit("other")))
+    row = summary.summarize("python", as_python, G.nodes(spark, d, ("region",)), G.edges(spark, d))
+    return row.select(F.explode(F.array(F.struct(F.lit("flask_routes").alias("kind"), F.col("frameworks.flask_routes").alias("n")), F.struct(F.lit("pytest_tests").alias("kind"), F.col("tests.pytest_tests").alias("n")))).alias("x")).select("x.*")
+
+
+# --- extractors (no SQL can express them; compared with plain runs in tests) --------------------------------------
+
+
+def _extracted(files: DataFrame, extract) -> DataFrame:
+    """Observations of files(path, content) by one text extractor."""
+    none = base.Context()
+    return base.extracted(files, lambda path, content: extract(path, content.decode("utf-8", "replace"), none)).drop("seq")
+
+
+@registered()
+def html_observations(spark: SparkSession, d: str) -> DataFrame:
+    pages = G._t(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    return _extracted(pages, html.extract)
+
+
+@registered()
+def document_observations(spark: SparkSession, d: str) -> DataFrame:
+    docs = G._t(spark, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return _extracted(docs, documents.extract)
+
+
+@registered()
+def html_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Pages all the way to canonical edges."""
+    o = html_observations(spark, d).withColumn("ordinal", F.xxhash64("source_id")).withColumn("run_id", F.lit(1).cast("long"))
+    return canonicalize.canonicalize(o).edges.select("edge_key", "source_key", "kind", "target_key", "confidence")
