@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 from cairngraph.functions import keys as K
+from cairngraph.operators import yaml_lite
 from cairngraph.operators.base import Context, observation, redact_url, reference_target, secret_name, summary
 
 NAME = "cairn-config"
@@ -126,8 +127,57 @@ def structured(path: str, content: str, fmt: str) -> Iterator[dict]:
     yield from found
     if path.rpartition("/")[2] == "package.json" and isinstance(value, dict):
         yield from npm(path, value)
-    if isinstance(value, dict) and (value.get("openapi") or value.get("swagger")):
+    yield from profiles(path, value)
+
+
+def yaml(path: str, content: str) -> Iterator[dict]:
+    try:
+        values = list(yaml_lite.documents(content))
+    except yaml_lite.YamlProblem as e:
+        yield _error(path, "yaml", "malformed-yaml", str(e), e.lineno)
+        return
+    found = [o for i, v in enumerate(values) for o in members(path, v, "yaml", "conservative-yaml", True, suffix=f":document-{i}" if len(values) > 1 else "", document_index=i)]
+    yield _document(path, "yaml", "conservative-yaml", values[0] if values else None, found, document_count=len(values), duplicate_key_policy="error")
+    yield from found
+    for i, v in enumerate(values):
+        for o in profiles(path, v):
+            yield o | {"source_id": f"{o['source_id']}:document-{i}"} if len(values) > 1 else o
+
+
+def profiles(path: str, value: object) -> Iterator[dict]:
+    """Facts of well-known kinds of configuration, whatever the format they are written in."""
+    if not isinstance(value, dict):
+        return
+    make = lambda kind, source, /, **kw: observation(kind, path, source, NAME, "extracted", **kw)
+    if value.get("openapi") or value.get("swagger"):
         yield from openapi(path, value)
+    meta = value.get("metadata") if isinstance(value.get("metadata"), dict) else {}
+    if isinstance(value.get("apiVersion"), str) and isinstance(value.get("kind"), str):
+        name = str(meta.get("name") or "unnamed")
+        argo = value["apiVersion"].startswith("argoproj.io/")
+        fields = {"api_version": value["apiVersion"], "resource_kind": value["kind"], "namespace": meta.get("namespace")}
+        if argo and value["kind"] == "Application":
+            source = (value.get("spec") or {}).get("source") if isinstance(value.get("spec"), dict) else None
+            fields |= {"repo_url": redact_url(str(source["repoURL"])) if isinstance(source, dict) and source.get("repoURL") else None, "not_fetched": True}
+        yield make("argocd.application" if argo and value["kind"] == "Application" else "kubernetes.resource", f"kubernetes:{value['kind']}:{name}", name=name, **fields)
+    if isinstance(value.get("databaseChangeLog"), list):
+        yield make("liquibase.changelog", "liquibase-changelog", name=path.rpartition("/")[2], executed=False)
+        for i, c in enumerate(value["databaseChangeLog"]):
+            if isinstance(c, dict) and isinstance(c.get("changeSet"), dict):
+                yield make("liquibase.changeset", f"liquibase-changeset:{i}", name=str(c["changeSet"].get("id")), author=str(c["changeSet"].get("author")))
+    for parts, v, _ in walk(value, [], True):
+        if parts[-1] == "image" and isinstance(v, str) and re.fullmatch(r"[\w./:@-]+", v):
+            yield make("docker.reference", f"docker-image:{pointer(parts)}", name=v, target=K.external("docker.image", v), not_fetched=True)
+    if path.endswith("angular.json") and isinstance(value.get("projects"), dict):
+        for n, p in value["projects"].items():
+            yield make("angular.project", f"angular-project:{n}", name=n)
+            targets = (p.get("architect") or p.get("targets") or {}) if isinstance(p, dict) else {}
+            yield from (make("angular.target", f"angular-target:{n}:{t}", name=t, project=n) for t in targets)
+    if re.match(r"tsconfig.*\.json$", path.rpartition("/")[2]):
+        yield make("typescript.config", "typescript-config", name=path.rpartition("/")[2])
+        base = value.get("extends")
+        if isinstance(base, str):
+            yield make("typescript.reference", "typescript-extends", name=base, target=reference_target(path, base)[0] if base.startswith(".") else K.external("js.package", base), reference_kind="extends")
 
 
 def lines(path: str, content: str) -> Iterator[dict]:
@@ -332,6 +382,8 @@ def extract(path: str, content: str, context: Context) -> Iterator[dict]:
         yield from structured(path, content, suffix)
     elif suffix == "jsonl":
         yield from lines(path, content)
+    elif suffix in ("yaml", "yml"):
+        yield from yaml(path, content)
     elif suffix in ("plist", "xml"):
         yield from xml(path, content)
     elif suffix in ("tf", "tfvars"):

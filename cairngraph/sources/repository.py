@@ -35,7 +35,7 @@ REQUIREMENTS = r"^(?:requirements(?:-[0-9A-Za-z_.-]+)?|dev-requirements|test-req
 MOST_KNOWN = 200_000
 
 _TEXT = {"shell": shell.extract, "python": python_code.extract, "markdown": markdown.extract, "html": html.extract, "css": css.extract, "nix": nix.extract, "ruby": ruby.extract, "javascript": javascript.extract,
-         **dict.fromkeys(("json", "jsonc", "jsonl", "toml", "plist", "terraform"), config.extract), **dict.fromkeys(("text", "csv", "tsv", "latex"), documents.extract)}
+         **dict.fromkeys(("json", "jsonc", "jsonl", "toml", "yaml", "plist", "terraform"), config.extract), **dict.fromkeys(("text", "csv", "tsv", "latex"), documents.extract)}
 _BYTES = {"eml": mail.extract, "mbox": mail.extract, "odf": documents.odf}
 
 

@@ -110,6 +110,34 @@ def test_config():
     assert facts(tf, "terraform.reference")[0]["metadata"]["reference_kind"] == "module_source_local" and len(facts(tf, "terraform.redaction")) == 1
 
 
+def test_yaml():
+    text = """# c
+a: 1
+b:
+  - x
+  - y: "q # no"   # c
+    z: {k: [1, 'two'], m: true}
+  -
+    - n
+c: |
+  one
+    two
+d: >-
+  f
+  g
+'e f': ~
+g: a: b
+""".replace("g: a: b\n", "u: http://e.x/#f\n")
+    want = {"a": 1, "b": ["x", {"y": "q # no", "z": {"k": [1, "two"], "m": True}}, ["n"]], "c": "one\n  two", "d": "f g", "e f": None, "u": "http://e.x/#f"}
+    assert list(config.yaml_lite.documents(text)) == [want]
+    assert list(config.yaml_lite.documents("---\na: 1\n---\nb:\n- 1\n- 2\n")) == [{"a": 1}, {"b": [1, 2]}]
+    for bad in ("a: 1\na: 2", "a: [1", 'a: "x', "a: 1\n  b: 2", "\ta: 1", "a: !!python/object x"):
+        assert run(config.extract, "x.yaml", bad)[0]["kind"] == "config.parse_error", bad
+    got = run(config.extract, "k.yml", "apiVersion: v1\nkind: Pod\nmetadata:\n  name: p\nspec:\n  containers:\n  - name: c\n    image: r/i:1\n    env:\n      API_TOKEN: hush\n---\napiVersion: argoproj.io/v1\nkind: Application\nmetadata: {name: a}\nspec:\n  source: {repoURL: 'https://u:p@h/x'}\n")
+    assert [o["name"] for o in got if o["kind"] in ("kubernetes.resource", "argocd.application")] == ["p", "a"]
+    assert facts(got, "docker.reference")[0]["name"] == "r/i:1" and "hush" not in json.dumps(got) and "u:p" not in json.dumps(got)
+
+
 def test_feed_and_mail():
     rss = "<rss><channel><title>C</title>" + "<item><guid>1</guid><title>A</title><author>a@b.c (Al)</author><pubDate>Tue, 30 Jun 2026 12:00:00 +0200</pubDate></item>" * 2 + "</channel></rss>"
     got = run(feed.extract, "f.xml", rss)
