@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Maps A-Z to a-z and every ASCII byte that is no letter or digit to a space; bytes above 0x7F stay.
 ALNUM = bytes(
@@ -61,7 +62,24 @@ def texts(batch: pa.RecordBatch, column: str | int = "text") -> list[bytes | Non
     return a.cast(pa.binary()).to_pylist()
 
 
+#: Rows that JVM and Python exchange at a time: with whole texts in them, what bounds a task's memory.
+BATCH_ROWS = 1000
+
+
 def map_arrow(
     df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
+    """mapInArrow; batches of the session are made no larger than BATCH_ROWS."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(f, schema)
+
+
+def kept_with_text(df: DataFrame, text: str, keep: Sequence[str]) -> tuple[DataFrame, int, list[int]]:
+    """(frame, place of the text, places of the kept columns); a text that is kept is sent only once."""
+    keep = list(df.columns) if list(keep) == ["*"] else list(keep)
+    cols = [F.col(f"`{c}`") for c in keep]
+    if text in keep and dict(df.dtypes)[text] == "string":
+        return df.select(*cols), keep.index(text), list(range(len(keep)))
+    return df.select(F.col(f"`{text}`").cast("string").alias("__text"), *cols), 0, list(range(1, len(keep) + 1))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngraph.llm.common import alnum_words, map_arrow, texts
+from cairngraph.llm.common import alnum_words, kept_with_text, map_arrow, texts
 
 WINDOW = 10
 MAX_PATTERN_WORDS = 4_000_000
@@ -113,12 +113,12 @@ def contamination(
     and end of each hit run in the text's characters) and contaminated."""
     keep = [doc_id] if keep is None else list(keep)
     blocks = _blocks(items, item_id, item_text, window, max_pattern_words)
-    src = df.select(F.col(text).cast("string").alias("__text"), *keep)
+    src, at, kept = kept_with_text(df, text, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, found, spans = [], [], [], []
-            for t in texts(batch, 0):
+            for t in texts(batch, at):
                 n, runs, met = 0, [], []
                 for block in blocks:  # one, unless the items exceed the automaton's bound
                     n, r, who = block.scan(t)
@@ -131,10 +131,10 @@ def contamination(
                 found.append(sorted(met))
                 spans.append([{"start": a, "end": b} for a, b in original_offsets(t.decode("utf-8", "replace"), runs)] if runs else [])
             cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, _RUNS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], [*batch.schema.names[1:], "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *cols], [*(batch.schema.names[i] for i in kept), "n_words", "n_hit", "items", "spans"])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[1:])
-    out = map_arrow(src, run, f"{kept}n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>")
+    fields = "".join(f"`{src.schema[i].name}` {src.schema[i].dataType.simpleString()}, " for i in kept)
+    out = map_arrow(src, run, f"{fields}n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>")
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairngraph.llm.common import map_arrow, texts
+from cairngraph.llm.common import kept_with_text, map_arrow, texts
 
 LENGTHS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
@@ -173,18 +173,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def predictions(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred and score of every row."""
-    src = df.select(F.col(text).cast("string").alias("__text"), *keep)
+    src, at, kept = kept_with_text(df, text, keep)
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels weights, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.predict(t) for t in texts(batch, 0)]
+            found = [m.predict(t) for t in texts(batch, at)]
             cols = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *cols], [*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[1:])
-    return map_arrow(src, run, f"{kept}lang_pred string, score double")
+    fields = "".join(f"`{src.schema[i].name}` {src.schema[i].dataType.simpleString()}, " for i in kept)
+    return map_arrow(src, run, f"{fields}lang_pred string, score double")
 
 
 def trained(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", most: int = MAX_TRAIN) -> Model:
