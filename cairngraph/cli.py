@@ -15,7 +15,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from cairngraph import api, rpc
-from cairngraph.plans import legacy
+from cairngraph.plans import legacy, ops
 from cairngraph.plans.canonicalize import canonicalize, severity_counts
 from cairngraph.plans.store import LoadRefused, Store
 from cairngraph.sources import ingest, repository
@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     add("bulk-plan", "plan a local corpus", "config", "root")
     add("bulk-import", "import a local corpus", "config", "root", store="store")
     add("import-warc", "import WARC archives", "config", "root", store="store")
+    add("ops", "config-check, graphs, refresh-enabled or refresh-status of a graph registry", "what", "config", store="store")
     ask = add("ask", "ask the store", "operation", store="store")
     ask.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="argument of the operation")
     add("serve", "answer read-only JSON-RPC on standard input", store="store")
@@ -101,6 +102,17 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
             o = ingest.warc_import(spark, a.root, s) if a.command == "import-warc" else ingest.bulk_observations(spark, a.root, s)[1]
             done = Store(spark, a.store).load_canonical(o, s.source_id, a.root)
             show([{"run_id": done.run_id, "status": done.status}], a.json)
+    elif a.command == "ops":
+        with open(a.config, encoding="utf-8") as f:
+            registry = ops.read_registry(f.read())
+        if a.what == "config-check":
+            show([dict(zip(("severity", "field", "message"), d, strict=True)) for d in registry.diagnostics], a.json)
+            return 0 if registry.ok else 1
+        if a.what == "graphs":
+            show(api.records(ops.registry_frame(spark, registry)), a.json)
+        else:
+            store = Store(spark, a.store)
+            show(ops.refresh_enabled(store, registry) if a.what == "refresh-enabled" else api.records(ops.status(store, registry)), a.json)
     elif a.command == "ask":
         given = dict(x.split("=", 1) for x in a.set)
         show(api.records(api.OPERATIONS[a.operation](Store(spark, a.store), given)), a.json)

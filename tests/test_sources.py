@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairngraph import api, cli, rpc
-from cairngraph.plans import provenance
+from cairngraph.plans import ops, provenance
 from cairngraph.plans.canonicalize import canonicalize
 from cairngraph.plans.store import Store
 from cairngraph.sources import ingest, repository
@@ -120,3 +120,17 @@ def test_every_operation_answers(spark, tmp_path):
             a["kind"] = "executes"
         api.table(api.records(op(store, a), 5))
     assert api.records(api.OPERATIONS["explain-canonical-edge"](store, given | {"kind": "executes"}))[0]["evidence"]
+
+
+def test_registry_and_refresh(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.md").write_text("# A\n")
+    one = '[[graphs]]\nid = "{}"\nroot_path = "{}"\nrepository_name = "{}"\nenabled = {}\n'
+    text = "schema_version = 1\n[odd]\n" + one.format("a", tmp_path / "r", "ra", "true") + one.format("b", tmp_path / "none", "rb", "true") + one.format("c", tmp_path, "rc", "false")
+    registry = ops.read_registry(text)
+    assert registry.ok and [d[:2] for d in registry.diagnostics] == [("warning", "odd")]
+    store = Store(spark, str(tmp_path / "store"))
+    assert [(r["graph_id"], r["status"]) for r in ops.refresh_enabled(store, registry)] == [("a", "complete"), ("b", "failed")]
+    assert {r.graph_id: (r.status, r.canonical_nodes > 0) for r in ops.status(store, registry).collect()} == {"a": ("complete", True), "b": (None, False), "c": (None, False)}
+    for bad in ("x =", "schema_version = 2", '[[graphs]]\nid = "a"', one.format("a", "/x", "r", "true") * 2, one.format("a", "/x", "r", "true") + 'token = "t"\n'):
+        assert not ops.read_registry(bad).ok
