@@ -190,20 +190,23 @@ def scanned(spark: SparkSession, path: str) -> DataFrame:
 
 def reachable(chain: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
     """(file, at) of the records that the chain(file, at, next) reaches from at = 0, by pointer jumping:
-    each round adds the successors of all that is known, then doubles the jumps."""
+    each round adds the successors of all that is known, then doubles the jumps.
+
+    The joins are asked to be merge joins: paths compress so well that a file's size says little of what a
+    broadcast of it would take."""
     spark = chain.sparkSession
     records, records_at = written(chain.select("file", "at", "next"), "records")
     jump, jump_at = records, None
     known, known_at = written(records.where("at = 0").select("file", "at"), "known")
     n = known.count()
     for _ in range(max_rounds):
-        landed = known.join(jump, ["file", "at"]).select("file", F.col("next").alias("at")).join(records.select("file", "at"), ["file", "at"], "left_semi")
+        landed = known.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("next").alias("at")).join(records.select("file", "at").hint("merge"), ["file", "at"], "left_semi")
         more, more_at = written(known.union(landed).distinct(), "known")
         m = more.count()
         if m == n:
             drop(spark, records_at, known_at, *filter(None, [jump_at]))
             return more, more_at
-        far = jump.alias("a").join(jump.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.next") == F.col("b.at")))
+        far = jump.alias("a").join(jump.alias("b").hint("merge"), (F.col("a.file") == F.col("b.file")) & (F.col("a.next") == F.col("b.at")))
         jumps, jumps_at = written(far.select("a.file", "a.at", "b.next"), "jumps")
         drop(spark, known_at, *filter(None, [jump_at]))
         known, known_at, n, jump, jump_at = more, more_at, m, jumps, jumps_at
@@ -216,7 +219,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     found, _ = written(scanned(spark, path), "candidates")
     kept, _ = reachable(found)
     intact = (F.col("type") == "revisit") | ((F.col("digest") == F.col("stated_digest")) & (F.col("bytes") == F.coalesce("stated_bytes", "bytes")))
-    return found.join(kept, ["file", "at"]).withColumn("intact", F.coalesce(intact, F.lit(False)))
+    return found.join(kept.hint("merge"), ["file", "at"]).withColumn("intact", F.coalesce(intact, F.lit(False)))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
