@@ -6,8 +6,8 @@ words. Each text is scanned once; matches mark the words they cover, and a word'
 original text is known from its number.
 
 The items must fit the automaton: `MAX_PATTERN_WORDS` words of patterns an automaton is the checked
-bound. Larger item sets are cut into blocks of items, one automaton and one scan a block, and the
-marks of the blocks are merged by text: stated queries in blocks against all rows.
+bound. Larger item sets are dealt into blocks of items: one automaton and one scan of all rows a block, with
+the marks so far written to the shared folder in between, so that no task ever holds more than one block.
 
 Defined cases: a null text has no words and is clean; a null or wordless item gives no pattern; a null item_id counts
 as an item of its own named by the empty string; equal items under several ids all count; repeated
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngraph.llm.common import alnum_words, kept_with_text, map_arrow, texts
+from cairngraph.llm.common import alnum_words, kept_with_text, map_arrow, texts, written
 
 WINDOW = 10
 MAX_PATTERN_WORDS = 4_000_000
@@ -93,48 +93,60 @@ def original_offsets(text: str, runs: Sequence[tuple[int, int]]) -> list[tuple[i
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, window: int, most: int) -> list[Items]:
-    """The items in blocks of at most `most` pattern words each (an item alone may be longer)."""
+def _parted(items: DataFrame, item_id: str, text: str, window: int, most: int) -> tuple[DataFrame, int]:
+    """(i, t, part) of the items, and into how many parts they are dealt so that one has `most` pattern words on average."""
     words = F.size(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     total = items.select((words * window).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     parts = -(-total // most) or 1
-    if parts == 1:
-        return [Items([(r.i, r.t.encode()) for r in rows.collect()], window)]
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
-    return [Items([(r.i, r.t.encode()) for r in rows.where(part == k).collect()], window) for k in range(parts)]
+    return rows.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts))), parts
 
 
-def contamination(
-    df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    keep: Sequence[str] | None = None, window: int = WINDOW, max_pattern_words: int = MAX_PATTERN_WORDS,
-) -> DataFrame:
-    """The kept columns (the id unless named), n_words, n_hit, n_items, items (sorted item ids), spans (start
-    and end of each hit run in the text's characters) and contaminated."""
-    keep = [doc_id] if keep is None else list(keep)
-    blocks = _blocks(items, item_id, item_text, window, max_pattern_words)
-    src, at, kept = kept_with_text(df, text, keep)
+def _scanned(state: DataFrame, block: Items, at: int, kept: Sequence[int], width: int, last: bool) -> DataFrame:
+    """state: width columns c0, c1, ... (the text is c<at>), then n_words, runs and items of earlier blocks, if any.
+    The last block's scan gives the kept columns and the results."""
+    resumed, through = len(state.columns) > width, list(kept) if last else list(range(width))
+    names = [f"c{i}" for i in through]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_hit, found, spans = [], [], [], []
-            for t in texts(batch, at):
-                n, runs, met = 0, [], []
-                for block in blocks:  # one, unless the items exceed the automaton's bound
-                    n, r, who = block.scan(t)
-                    runs += r
-                    met += [block.rows[i][0] for i in who]
-                if len(blocks) > 1:
-                    runs = _merged(runs)
+            old = list(zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True)) if resumed else None
+            n_words, hits, found, spans = [], [], [], []
+            for j, t in enumerate(texts(batch, at)):
+                n, runs, who = block.scan(t)
+                met = [block.rows[i][0] for i in who]
+                if old:
+                    runs, met = _merged(runs + [(r["start"], r["end"]) for r in old[j][0]]), met + old[j][1]
                 n_words.append(n)
-                n_hit.append(sum(b - a for a, b in runs))
+                hits.append(sum(b - a for a, b in runs))
                 found.append(sorted(met))
-                spans.append([{"start": a, "end": b} for a, b in original_offsets(t.decode("utf-8", "replace"), runs)] if runs else [])
-            cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, _RUNS)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *cols], [*(batch.schema.names[i] for i in kept), "n_words", "n_hit", "items", "spans"])
+                shown = original_offsets(t.decode("utf-8", "replace"), runs) if last and runs else runs
+                spans.append([{"start": a, "end": b} for a, b in shown])
+            cols = [pa.array(n_words, pa.int64()), *([pa.array(hits, pa.int64())] if last else []), *([] if last else [pa.array(spans, _RUNS)]), pa.array(found, pa.list_(pa.string())), *([pa.array(spans, _RUNS)] if last else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in through), *cols], [*names, *results])
+
+    results = ["n_words", "n_hit", "items", "spans"] if last else ["n_words", "runs", "items"]
+    kinds = dict(n_words="bigint", n_hit="bigint", items="array<string>", spans="array<struct<start: bigint, end: bigint>>", runs="array<struct<start: bigint, end: bigint>>")
+    fields = [f"c{i} {state.schema[i].dataType.simpleString()}" for i in through] + [f"{r} {kinds[r]}" for r in results]
+    return map_arrow(state, run, ", ".join(fields))
 
-    fields = "".join(f"`{src.schema[i].name}` {src.schema[i].dataType.simpleString()}, " for i in kept)
-    out = map_arrow(src, run, f"{fields}n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>")
+
+def contamination(
+    df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    keep: Sequence[str] | None = None, window: int = WINDOW, max_pattern_words: int = MAX_PATTERN_WORDS,
+) -> DataFrame:
+    """The kept columns (the id unless named), n_words, n_hit, n_items, items (sorted item ids), spans (start
+    and end of each hit run in the text's characters) and contaminated."""
+    src, at, kept = kept_with_text(df, text, [doc_id] if keep is None else keep)
+    names = src.columns
+    state = src.toDF(*(f"c{i}" for i in range(len(names))))
+    parted, parts = _parted(items, item_id, item_text, window, max_pattern_words)
+    for k in range(parts):  # one, unless the items exceed the automaton's bound
+        block = Items([(r.i, r.t.encode()) for r in parted.where(F.col("part") == k).collect()], window)
+        state = _scanned(state, block, at, kept, len(names), k == parts - 1)
+        if k < parts - 1:
+            state, _ = written(state, "contamination")
+    out = state.select(*(F.col(f"c{i}").alias(names[i]) for i in kept), "n_words", "n_hit", "items", "spans")
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
