@@ -1,11 +1,7 @@
 """The pipeline against a plain version of each stage."""
 
-import numpy as np
-import zlib
-from pyspark.sql import functions as F
-
 import corpus_pipeline
-from cairngraph.llm import decontaminate, language_id, packing, queries, secret_scan, simhash
+from cairngraph.llm import decontaminate, language_id, packing, simhash
 from tests.llm.test_operators import naive_components, naive_spans
 
 
@@ -52,4 +48,3 @@ def test_stages_take_effect(spark, tiny):
         found[p.doc_id] = found.get(p.doc_id, 0) + p.length
     assert found == lengths
     assert corpus_pipeline.ORACLE_SQL is None
-    _ = np, zlib, F, queries, secret_scan
