@@ -71,8 +71,17 @@ def touching(edges: DataFrame, centers: DataFrame, src: str, dst: str, key: str,
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, key: str, direction: str = "both", version: int = K.KEY_VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(center, edges, neighbours without the center); no edges if there is no such node."""
+    if direction not in DIRECTIONS:
+        raise ValueError("direction must be in, out or both")
     center = canonical_nodes(nodes, key=key, version=version)
-    near = touching(edges.where(F.col("graph_key_version") == version), center, "source_key", "target_key", "canonical_key", direction)
+    known = F.broadcast(center.select(F.col("canonical_key").alias("__center")).limit(1))  # one row at most
+    mine = edges.where(F.col("graph_key_version") == version)
+    # The key itself is the filter, so it reaches the scan, also through an aggregation by the edge's ends.
+    at = lambda end: mine.where(F.col(end) == key).join(known, F.col(end) == F.col("__center"), "left_semi")
+    if direction == "both":
+        near = at("source_key").unionByName(at("target_key").where(F.col("source_key") != key))
+    else:
+        near = at("target_key" if direction == "in" else "source_key")
     ends = near.select(F.col("source_key").alias("k")).union(near.select("target_key")).where(F.col("k") != key).distinct()
     return center, near, nodes.where(F.col("graph_key_version") == version).join(ends, nodes.canonical_key == ends.k, "left_semi")
 
