@@ -42,7 +42,6 @@ SEPARATOR = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r?\n")
-_LONGEST_HEADER = 64 << 10
 
 
 def _record_id(page: F.Column) -> F.Column:
@@ -91,11 +90,13 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     )
 
 
-def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Writes gzipped archives of about ARCHIVE_BYTES of records each into the folder."""
-    size = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(html).cast("string")) + 600).alias("b")).first()
+def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> int:
+    """Writes gzipped archives of about ARCHIVE_BYTES of records each into the folder; the number of records."""
+    length = lambda c: F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    size = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(length(html) + length(url) + 600).alias("b")).first()
     each = max(1, ARCHIVE_BYTES * size.n // size.b) if size.b else 1000
     records(pages, page_id, url, html).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    return size.n
 
 
 @dataclass(frozen=True)
@@ -122,24 +123,42 @@ def inflated(raw: bytes) -> bytes:
 
 
 def candidates(data: bytes) -> Iterator[Candidate]:
-    """Every place of the magic, with the successor that its header claims."""
+    """Every place of the magic, with the successor that its header claims. A header is as long as it is: the blank
+    line that ends it and the last length stated before that line are looked up once for all magic in front of them."""
+    known: dict[bytes, tuple[int, int, bytes]] = {}
     for m in _MAGIC.finditer(data):
         at, nl = m.start(), b"\r\n" if m[0].endswith(b"\r\n") else b"\n"
-        stop = data.find(nl + nl, m.end() - len(nl), m.end() + _LONGEST_HEADER)
-        if stop < 0:
+        if nl not in known or 0 <= known[nl][0] < m.end() - len(nl):
+            known[nl] = _header_end(data, m.end(), nl)
+        stop, stated_at, stated = known[nl]
+        start = stop + 2 * len(nl)
+        length = stated.decode("utf-8", "replace") if stated_at >= m.end() else ""
+        if stop < 0 or not (length.isascii() and length.isdigit() and len(length) < 16):
             yield Candidate(at, None, {}, (at, at))
             continue
+        end = start + int(length)
+        tail = 4 if data[end : end + 4] == b"\r\n\r\n" else 2 if data[end : end + 2] == b"\n\n" and nl == b"\n" else 0
+        if not tail:
+            yield Candidate(at, None, {}, (start, end))
+            continue
         head = {}
         for line in data[m.end() : stop].split(nl):
             name, colon, value = line.partition(b":")
             if colon:
                 head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-        start = stop + 2 * len(nl)
-        length = head.get("content-length", "")
-        end = start + int(length) if length.isascii() and length.isdigit() and len(length) < 16 else len(data) + 1
-        good = data[end : end + 4] == b"\r\n\r\n" if end <= len(data) else False
-        tail = 4 if good else 2 if data[end : end + 2] == b"\n\n" and nl == b"\n" else 0
-        yield Candidate(at, end + tail if tail and end <= len(data) else None, head, (start, end))
+        yield Candidate(at, end + tail, head, (start, end))
+
+
+def _header_end(data: bytes, begin: int, nl: bytes) -> tuple[int, int, bytes]:
+    """The place of the first blank line from begin on (-1: none), and place and value of the last length before it (-1: none)."""
+    stop = data.find(nl + nl, begin - len(nl))
+    at, found = begin, (-1, b"")
+    for line in data[begin:stop].split(nl) if stop >= 0 else ():
+        name, colon, value = line.partition(b":")
+        if colon and name.strip().lower() == b"content-length":
+            found = at, value.strip()
+        at += len(line) + len(nl)
+    return stop, *found
 
 
 def payload(data: bytes, c: Candidate) -> bytes:
@@ -213,17 +232,25 @@ def reachable(chain: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
     raise RuntimeError("the chain did not end")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records that the boundary chain verifies: the columns of scanned() and intact (a response's payload has
-    the digest and length that its header states)."""
+def _verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """All records that the boundary chain verifies, and their places."""
     found, _ = written(scanned(spark, path), "candidates")
     kept, _ = reachable(found)
     intact = (F.col("type") == "revisit") | ((F.col("digest") == F.col("stated_digest")) & (F.col("bytes") == F.coalesce("stated_bytes", "bytes")))
-    return found.join(kept.hint("merge"), ["file", "at"]).withColumn("intact", F.coalesce(intact, F.lit(False)))
+    return found.join(kept.hint("merge"), ["file", "at"]).withColumn("intact", F.coalesce(intact, F.lit(False))), kept
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The records that the boundary chain verifies: the columns of scanned() and intact (a response's payload has
+    the digest and length that its header states)."""
+    return _verified(spark, path)[0]
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages as archives into the shared folder and reads them back."""
+    """Writes the pages as archives into the shared folder and reads them back; fails unless every record is reached."""
     path = shared_folder(pages.sparkSession, "archives")
-    write(pages, path)
-    return read(pages.sparkSession, path)
+    n = write(pages, path)
+    records, places = _verified(pages.sparkSession, path)
+    if (reached := places.count()) != n:
+        raise RuntimeError(f"{n} records were written, {reached} reached")
+    return records

@@ -404,3 +404,24 @@ def test_broken_archives_stop_at_the_break(spark, tmp_path):
     (tmp_path / "d.warc").write_bytes(b"".join(record(i) for i in range(100, 150)))
     got = sorted(r.page_id for r in warc.read(spark, str(tmp_path)).collect())
     assert got == [1, 2, *range(100, 150)]
+
+
+def test_headers_have_no_longest_length(spark):
+    rows = [(i, f"http://a/{i}", "x") for i in range(20)] + [(20, "http://a/" + "u" * 70_000, "y"), (21, "http://a/" + "v" * 300_000, "z")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = warc.round_trip(df.coalesce(1)).collect()
+    assert sorted((r.page_id, r.uri, r.intact) for r in got) == [(i, u, True) for i, u, _ in rows]
+
+
+def test_a_lost_record_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "http://a/1", "x"), (2, "http://a/2", "y")], "page_id bigint, url string, html string")
+    real = warc.write
+    monkeypatch.setattr(warc, "write", lambda pages, path: real(pages, path) + 1)
+    with pytest.raises(RuntimeError, match="3 records were written, 2 reached"):
+        warc.round_trip(df)
+
+
+def test_magic_without_a_header_costs_no_second_search():
+    data = b"WARC/1.1\r\nContent-Length: 1\r\n" + b"X: WARC/1.1\r\n" * 50_000 + b"\r\nz\r\n\r\n"
+    found = list(warc.candidates(data))
+    assert found[0].next == len(data) and len(found) == 50_001 and all(c.next is None for c in found[1:])
