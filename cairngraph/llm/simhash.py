@@ -27,7 +27,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairngraph.llm.common import blank_words, drop, map_arrow, texts, written
@@ -101,16 +101,21 @@ def posting_links(members: np.ndarray, tail: tuple[int, int]) -> tuple[np.ndarra
     return members[order[:-1][follows]], members[order[1:][follows]]
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and fp (the 64 bits as a signed long) of every row."""
-    src = df.select(F.col(text).cast("string").alias("__text"), F.col(doc_id).cast("long").alias("id"))
+def text_mark(text: str) -> Column:
+    """SHA-256 of the text; empty for a null text."""
+    return F.coalesce(F.sha2(F.col(text).cast("string"), 256), F.lit(""))
+
+
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:
+    """id and fp (the 64 bits as a signed long) of every row, and mark, the text's, if asked for."""
+    src = df.select(F.col(text).cast("string").alias("__text"), F.col(doc_id).cast("long").alias("id"), *([text_mark(text).alias("mark")] if marked else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t) for t in texts(batch, 0)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
-    return map_arrow(src, run, "id bigint, fp bigint")
+    return map_arrow(src, run, "id bigint, fp bigint" + ", mark string" * marked)
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -170,27 +175,41 @@ def components(edges: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, list
     raise RuntimeError("components did not settle")
 
 
+def placed(docs: DataFrame, least: Column) -> tuple[DataFrame, str]:
+    """fp, root (the least fingerprint of its component) and the aggregate `least` of every fingerprint of docs(id, fp),
+    and the folder that holds them."""
+    spark = docs.sparkSession
+    nodes, nodes_at = written(docs.groupBy("fp").agg(least.alias("least")), "nodes")
+    edges, edges_at = written(links(nodes), "edges")
+    roots, roots_at = components(edges)
+    drop(spark, edges_at)
+    out, out_at = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
+    drop(spark, nodes_at, *roots_at)
+    return out, out_at
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable) of every row."""
     spark = df.sparkSession
     docs, _ = written(fingerprints(df, doc_id, text), "fingerprints")
-    nodes, nodes_at = written(docs.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    edges, edges_at = written(links(nodes), "edges")
-    roots, roots_at = components(edges)
-    drop(spark, edges_at)
-    placed, placed_at = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
-    names, names_at = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    named, _ = written(placed.join(names, "root").select("fp", "component_id"), "named")
-    drop(spark, nodes_at, placed_at, names_at, *roots_at)
+    nodes, nodes_at = placed(docs, F.min("id"))
+    names, names_at = written(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    named, _ = written(nodes.join(names, "root").select("fp", "component_id"), "named")
+    drop(spark, nodes_at, names_at)
     return docs.join(named, "fp").select(
         F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df whose doc_id names a component, one row for each; rows with a null id stay, as
-    nothing can name them."""
-    found = near_duplicates(df, doc_id, text)
-    kept, _ = written(found.where(F.col("component_id") == F.col(doc_id)).select(doc_id).distinct(), "kept")
-    named = df.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-    return named.select(df.columns).union(df.where(F.col(doc_id).isNull()).select(df.columns))
+    """One row of df for each component: that of the least doc_id (null comes last), among equal ids that of the
+    least hash of the text. Rows are told apart by id and text, so repeated and null ids take part like any other."""
+    docs, docs_at = written(fingerprints(df, doc_id, text, True), "fingerprints")
+    nodes, nodes_at = placed(docs, F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")))
+    kept, _ = written(nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__kept"), F.col("least.mark").alias("__mark")), "kept")
+    drop(df.sparkSession, docs_at, nodes_at)
+    rows = df.toDF(*(f"c{n}" for n in range(len(df.columns))))
+    at, body = (f"c{df.columns.index(c)}" for c in (doc_id, text))
+    rows = rows.withColumns({"__id": F.col(at).cast("long"), "__text_mark": text_mark(body)})
+    found = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__text_mark") == F.col("__mark")), "left_semi").dropDuplicates(["__id", "__text_mark"])
+    return found.select(*(F.col(f"c{n}").alias(c) for n, c in enumerate(df.columns)))

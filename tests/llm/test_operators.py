@@ -189,6 +189,15 @@ def test_one_of_each_and_empty_tables(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_of_each_group_whatever_its_ids(spark):
+    rnd = random.Random(9)
+    a, b, c = (prose(rnd, 200) for _ in range(3))
+    left = lambda rows: sorted((str(r.doc_id), r.text) for r in simhash.one_of_each(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect())
+    assert left([(7, a), (7, b)]) == sorted([("7", a), ("7", b)])
+    assert left([(7, a), (7, b), (3, b)]) == sorted([("7", a), ("3", b)])
+    assert left([(None, a), (None, a), (None, b), (4, b), (None, c)]) == sorted([("None", a), ("4", b), ("None", c)])
+
+
 # --- 4 ------------------------------------------------------------------------------------------------
 
 
