@@ -47,11 +47,15 @@ def any_case(word: str) -> str:
 #: api_?key keeps its `?`; the class form of a letter works alike in every regex dialect.
 KEYWORDS = "|".join(map(any_case, ("password", "passwd", "secret", "token", "api_?key")))
 
+#: From a key's header to its END line: anything but another run of five dashes (headers such as DEK-Info and the lines of
+#: a diff hold shorter ones; the count of those is bounded, as Java's matcher recurses over groups).
+KEY_BODY = r"[^-]*(?:-{1,4}[^-]+){0,250}-{5,}END[ A-Z]*PRIVATE KEY-----"
+
 RULES = (
     Rule("assign", rf"({KEYWORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("private_key", r"-----BEGIN[ A-Z]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN[ A-Z]*PRIVATE KEY-----(?:{KEY_BODY})?"),
     Rule("hosting_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("payment_key", r"[rs]k_live_[0-9A-Za-z]{16,}"),

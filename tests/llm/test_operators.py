@@ -287,6 +287,21 @@ def test_redaction_merges_spans(spark):
     assert [r.text for r in got.collect()] == ['say [SECRET]" ok', None, "clean", "😀 [SECRET]"]
 
 
+def test_private_keys_go_whole(spark):
+    body = "\n".join("MIIEow" + "aB3/+x" * 9 + "9=" for _ in range(40))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    mail = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n{end}"
+    diff = "\n".join("-" + x for x in f"{begin}\n{body}\n{end}".split("\n"))
+    inline = f"{begin}\\n{body}\\n{end}".replace("\n", "\\n")
+    texts = [f"a\n{begin}\n{body}\n{end}\nb", f"a {mail} b {mail} c", f"a\n{diff}\nb", f'{{"k": "{inline}"}}', f"a {begin} then words", f"{begin} x {begin}\n{body}\n{end} y", begin + " well-known" * 5000 + " " + begin * 50]
+    want = ["a\n[SECRET]\nb", "a [SECRET] b [SECRET] c", "a\n-[SECRET]\nb", '{"k": "[SECRET]"}', "a [SECRET] then words", "[SECRET] x [SECRET] y", "[SECRET]" + " well-known" * 5000 + " " + "[SECRET]" * 50]
+    assert [r.text for r in secret_scan.without_secrets(docs(spark, texts)).orderBy("doc_id").collect()] == want
+    found = secret_scan.secrets(docs(spark, texts), keep=["doc_id", "text"]).collect()
+    assert all([tuple(s) for s in r.spans] == naive_spans(r.text) for r in found)
+    header = secret_scan.trigram_query(r"-----BEGIN[ A-Z]*PRIVATE KEY-----")
+    assert secret_scan.Index().queries[3] == header
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query
     assert q("[0-9a-f]{24,}") is None
