@@ -30,30 +30,65 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-#: Markup of well-known notices, as their owners publish them.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    " <<optional>>(the \"Software\")<<end>>, to deal in the Software without restriction, including without limitation the rights to use,"
+    " copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software"
+    " is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<optional>>(including the"
+    " next paragraph)<<end>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT"
+    " WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE"
+    " AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;max=20>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF"
+    " CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"
+)
+_ISC = (
+    "Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is hereby"
+    " granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND"
+    " <<var;max=20>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO"
+    " EVENT SHALL <<var;max=20>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM"
+    " LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH"
+    " THE USE OR PERFORMANCE OF THIS SOFTWARE"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted <<optional>>(subject to the limitations"
+    " in the disclaimer below)<<end>> provided that the following conditions are met: <<var;max=1>> Redistributions of source code must retain the"
+    " above copyright notice, this list of conditions and the following disclaimer. <<var;max=1>> Redistributions in binary form must reproduce"
+    " the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with"
+    " the distribution. <<optional>><<var;max=1>> All advertising materials mentioning features or use of this software must display the following"
+    " acknowledgement: This product includes software developed by <<var;max=20>><<end>> <<optional>><<var;max=1>> Neither the name of"
+    " <<var;max=20>> nor the names of <<var;max=4>> contributors may be used to endorse or promote products derived from this software without specific"
+    " prior written permission.<<end>> <<optional>>NO EXPRESS OR IMPLIED LICENSES TO ANY PARTY'S PATENT RIGHTS ARE GRANTED BY THIS LICENSE.<<end>>"
+    " THIS SOFTWARE IS PROVIDED BY <<var;max=20>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED"
+    " WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;max=20>> BE LIABLE FOR ANY DIRECT,"
+    " INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;"
+    " LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,"
+    " OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+_GPL = (
+    "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free"
+    " Software Foundation<<optional>>; either<<end>> version VERSION <<optional>>of the License<<end>><<optional>>, or (at your option) any later version<<end>>."
+    " <<var;max=8>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY"
+    " or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General"
+    " Public License along with <<var;max=8>> <<optional>>if not, see <<var;max=8>><<end>> <<optional>>if not, write to the Free Software"
+    " Foundation, Inc., <<var;max=16>><<end>>"
+)
+
+#: Markup of well-known licenses and notices: mit-text, isc-text and bsd-text are whole licenses with all their conditions and
+#: disclaimers, gpl the notice that the FSF asks for; `licensed under` lines are short notices, complete as they stand.
 TEMPLATES = (
-    (
-        "mit-text",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
-        " <<optional>>(the \"Software\")<<end>>, to deal in the Software without restriction, including without limitation the rights to use,"
-        " copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software"
-        " is furnished to do so, subject to the following conditions",
-    ),
-    (
-        "isc-text",
-        "Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is hereby"
-        " granted, provided that the above copyright notice and this permission notice appear in all copies",
-    ),
-    (
-        "bsd-text",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted <<optional>>(subject to the limitations"
-        " in the disclaimer below)<<end>> provided that the following conditions are met",
-    ),
+    ("mit-text", _MIT.replace("NONINFRINGEMENT", "NON-INFRINGEMENT")),
+    ("mit-text", _MIT),
+    ("isc-text", _ISC.replace("DISCLAIMS", "DISCLAIM")),
+    ("isc-text", _ISC),
+    ("bsd-text", _BSD),
     (
         "apache-2.0",
         "Licensed under the Apache License, Version 2.0 <<optional>>(the \"License\"); you may not use <<var;max=4>> except in compliance with"
-        " the License<<end>>",
+        " the License <<optional>>You may obtain a copy of the License at <<var;max=12>> Unless required by applicable law or agreed to in writing,"
+        " software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or"
+        " implied. See the License for the specific language governing permissions and limitations under the License<<end>><<end>>",
     ),
+    ("gpl-3.0", _GPL.replace("VERSION", "3")),
+    ("gpl-2.0", _GPL.replace("VERSION", "2")),
     ("gpl-3.0", "licensed under the <<optional>>terms of the<<end>> GNU General Public License, <<optional>>as published by the Free Software Foundation,<<end>> <<optional>>either<<end>> version 3"),
     ("gpl-2.0", "licensed under the <<optional>>terms of the<<end>> GNU General Public License, <<optional>>as published by the Free Software Foundation,<<end>> <<optional>>either<<end>> version 2"),
     ("cc-by-nc-4.0", "licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY-NC 4.0"),

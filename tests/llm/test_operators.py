@@ -110,6 +110,32 @@ def test_templates_need_their_mandatory_wording():
     assert license_scan.scan(mit.replace("without restriction", "with restriction").encode())["matches"] == []
 
 
+GPL_NOTICE = """x is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_licenses_are_matched_to_their_last_word():
+    labels = lambda s: {m[0] for m in license_scan.scan(s.encode())["matches"]}
+    plain = {x: re.sub(r"<<(optional|end)>>", "", re.sub(r"<<var;max=\d+>>", "the", t)) for x, t in license_scan.TEMPLATES}
+    for label, changes in {
+        "mit-text": [("shall be included", "may be included"), ("IN NO EVENT", "IN ANY EVENT"), ("OTHER DEALINGS IN", "")],
+        "isc-text": [("DISCLAIMS ALL", "GIVES ALL"), ("TORTIOUS", ""), ("OR PERFORMANCE", "")],
+        "bsd-text": [("must retain", "need not retain"), ("ARE DISCLAIMED", "ARE GIVEN"), ("POSSIBILITY OF", ""), ("binary form must", "binary form may")],
+    }.items():
+        assert labels("x " + plain[label] + " y") == {label}
+        assert all(old in plain[label] and labels(plain[label].replace(old, new)) == set() for old, new in changes)
+    two = re.sub(r"<i>.*?</i>", "", plain["bsd-text"].replace("the All advertising", "<i>").replace("NO EXPRESS", "</i>NO EXPRESS"))
+    assert labels(two) == {"bsd-text"}
+    assert labels(GPL_NOTICE) == {"gpl-3.0"} and labels(GPL_NOTICE.replace(", either", "; either").replace("version 3", "version 2")) == {"gpl-2.0"}
+    assert labels(GPL_NOTICE.replace("WITHOUT ANY", "WITH A")) == set() and labels(GPL_NOTICE.replace("received a copy", "bought a copy")) == set()
+    assert labels("licensed under the GNU General Public License, version 3.") == {"gpl-3.0"}
+
+
 # --- 3 ------------------------------------------------------------------------------------------------
 
 
