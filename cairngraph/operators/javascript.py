@@ -11,6 +11,8 @@ from cairngraph.operators.base import Context, observation, redact_url, resolve
 
 NAME = "cairn-javascript"
 MOST_BYTES, MOST_OF_KIND = 512 << 10, 100
+#: Kinds that MOST_OF_KIND holds for: what frameworks add. Imports, exports and definitions have no limit.
+FRAMEWORK = ("express.", "jest.", "jquery.", "js.framework_reference", "nest.", "next.", "node.")
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".json")
 _FROM = re.compile(r"^\s*(import|export)\b(?:\s+type\b)?([^'\"]*?)\bfrom\s*['\"]([^'\"]+)['\"]|^\s*import\s*['\"]([^'\"]+)['\"]")
 _REQUIRE = re.compile(r"\brequire\(\s*(?:(['\"])([^'\"]+)\1|([^)]*))\)")
@@ -79,7 +81,7 @@ def extract(path: str, content: str, context: Context) -> Iterator[dict]:
     limited = False
     for o in _facts(make, path, content, context, module, prof):
         seen[o["kind"]] += 1
-        if seen[o["kind"]] <= MOST_OF_KIND:
+        if not o["kind"].startswith(FRAMEWORK) or seen[o["kind"]] <= MOST_OF_KIND:
             yield o
         elif not limited:
             limited = True

@@ -177,3 +177,16 @@ def test_repository_to_graph(spark, tmp_path):
     g = canonicalize(found)
     assert g.diagnostics.where("severity = 'error'").count() == 0
     assert g.edges.where("kind = 'links_to'").first().target_key == "doc.page:file%3Adocs%2Fx.md"
+
+
+def test_javascript_limits_hold_for_frameworks_only():
+    imports = "".join(f"import a{i} from './m{i}';\n" for i in range(150))
+    other = "".join(f"function f{i}() {{}}\nconst v{i} = {i};\nexport class C{i} {{\n  m{i}() {{\n  }}\n}}\n" for i in range(150))
+    found = run(javascript.extract, "src/a.js", imports + other)
+    for kind in ("import", "reference", "function", "variable", "class", "method", "export"):
+        assert len(facts(found, f"js.{kind}")) == 150
+    assert not facts(found, "js.parse_error")
+    routes = "import express from 'express';\nconst app = express();\n" + "".join(f"app.get('/r{i}', h);\n" for i in range(150))
+    found = run(javascript.extract, "src/b.js", routes)
+    assert len(facts(found, "express.route")) == 100 and len(facts(found, "js.route")) == 150
+    assert [o["metadata"]["error_kind"] for o in facts(found, "js.parse_error")] == ["framework-observation-limit"]
