@@ -101,17 +101,18 @@ _INTS = {"schema_version", "start_line", "end_line"}
 _NAMES = [f.split()[0] for f in OBSERVATIONS.split(",")]
 
 
-def extracted(files: DataFrame, choose: Callable[[str, bytes], Iterator[dict]], extra: str = "") -> DataFrame:
-    """Observations of files(path, content): choose yields those of one file. `seq` numbers them within the file."""
-    del extra
+def extracted(files: DataFrame, choose: Callable[..., Iterator[dict]], extra: str = "") -> DataFrame:
+    """Observations of files(path, content): choose yields those of one file, given also the column `extra` if one is
+    named. `seq` numbers them within the file."""
+    columns = ["path", "content", *([extra] if extra else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for seq, o in enumerate(choose(path, content or b"")):
+            for path, content, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for seq, o in enumerate(choose(path, content or b"", *more)):
                     rows.append(o | {"metadata": K.canonical_json(o["metadata"]), "seq": seq})
             cols = [pa.array([r[n] for r in rows], pa.int32() if n in _INTS else pa.string()) for n in _NAMES]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([r["seq"] for r in rows], pa.int64())], [*_NAMES, "seq"])
 
-    return files.select("path", "content").mapInArrow(run, f"{OBSERVATIONS}, seq bigint")
+    return files.select(*columns).mapInArrow(run, f"{OBSERVATIONS}, seq bigint")

@@ -2,16 +2,16 @@
 
 A repository is read with the binaryFile source; ignored folders are dropped by path before content is
 read. Language, role and hash are Column expressions. What extractors must know of other files (paths,
-modules, anchors) is gathered first from small projections and is checked against a bound before it
-is broadcast; a larger repository is handled by leaving that knowledge out and resolving targets
-with a join afterwards (resolve_missing).
+modules, anchors) comes from one join, whatever the repository's size: a first pass of the extractors notes what each
+file asks for, the join with all that there is tells which of it exists, and the second pass is given that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +31,6 @@ LANGUAGES = {
 RUBY_NAMES = ("Gemfile", "Rakefile", "Vagrantfile")
 CONFIG_NAMES = (".gitignore", "flake.lock", "flake.nix", "pyproject.toml")
 REQUIREMENTS = r"^(?:requirements(?:-[0-9A-Za-z_.-]+)?|dev-requirements|test-requirements)\.txt$"
-#: Paths and anchors that may be sent to every task.
-MOST_KNOWN = 200_000
 
 _TEXT = {"shell": shell.extract, "python": python_code.extract, "markdown": markdown.extract, "html": html.extract, "css": css.extract, "nix": nix.extract, "ruby": ruby.extract, "javascript": javascript.extract,
          **dict.fromkeys(("json", "jsonc", "jsonl", "toml", "yaml", "plist", "terraform"), config.extract), **dict.fromkeys(("text", "csv", "tsv", "latex"), documents.extract)}
@@ -117,22 +115,85 @@ def file_observations(classified: DataFrame) -> DataFrame:
     )
 
 
-def _known(classified: DataFrame) -> Context:
-    """Paths, modules and anchors, or nothing of them where the repository exceeds MOST_KNOWN files."""
-    paths = [r.path for r in classified.select("path").limit(MOST_KNOWN + 1).collect()]
-    if len(paths) > MOST_KNOWN:
-        return Context()
-    pages = classified.where("language = 'markdown'").select("path", "content")
+def _choose(path: str, content: bytes, context: Context) -> Iterator[dict]:
+    """Observations of one file, by the extractor of its kind."""
+    name = path.rpartition("/")[2]
+    suffix = name.rpartition(".")[2].lower() if "." in name else ""
+    kind = "python-requirements" if config.re.match(REQUIREMENTS, name) else "ruby" if name in RUBY_NAMES else LANGUAGES.get(suffix)
+    if kind in _BYTES:
+        yield from _BYTES[kind](path, content, context)
+        return
+    text = content.decode("utf-8", "replace")
+    if kind is None and text.startswith("#!"):
+        first = text.split("\n", 1)[0]
+        kind = "python" if "python" in first else "shell" if "sh" in first else "ruby" if "ruby" in first else None
+    if kind == "xml":
+        yield from (feed.extract if config.re.search(r"<(rss|feed|rdf:RDF)\b", text[:2000]) else config.extract)(path, text, context)
+    elif kind == "json" and "jsonfeed.org" in text[:2000]:
+        yield from feed.extract(path, text, context)
+    elif kind == "python-requirements":
+        yield from config.extract(path, text, context)
+    elif kind in _TEXT:
+        yield from _TEXT[kind](path, text, context)
 
-    def marks(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
+class _Asked:
+    """Stands in for a set of names, or a map from paths to sets of anchors: holds nothing and notes what is asked for."""
+
+    def __init__(self, what: str, names: set[tuple[str, str]], of: str = "") -> None:
+        self.what, self.names, self.of = what, names, of
+
+    def __contains__(self, name: str) -> bool:
+        self.names.add((self.what, self.of + name))
+        return False
+
+    def get(self, path: str, default: object = None) -> _Asked:
+        return _Asked(self.what, self.names, path + "#")
+
+
+def _names(files: DataFrame, find: Callable[[str, bytes], Iterable[tuple[str, str]]]) -> DataFrame:
+    """(path, what, name) of all that find yields of files(path, content)."""
+
+    def run(batches: Iterator) -> Iterator:
         for b in batches:
-            found = [(p, [h["anchor"] for h in markdown.headings((c or b"").decode("utf-8", "replace"))]) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string()))], ["path", "anchors"])
+            rows = [(p, *n) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n in find(p, c or b"")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["path", "what", "name"])
+
+    return files.mapInArrow(run, "path string, what string, name string")
+
 
-    anchors = {r.path: frozenset(r.anchors) for r in pages.mapInArrow(marks, "path string, anchors array<string>").collect()}
-    return Context(frozenset(paths), frozenset(python_code.module_of(p)[0] for p in paths if p.endswith(".py")), anchors)
+def _there_is(path: str, page: bytes) -> Iterator[tuple[str, str]]:
+    """A file's path, its module, and the anchors of a Markdown page."""
+    yield "path", path
+    if path.endswith(".py"):
+        yield "module", python_code.module_of(path)[0]
+    yield from (("anchor", f"{path}#{h['anchor']}") for h in markdown.headings(page.decode("utf-8", "replace")))
+
+
+def _asks(path: str, content: bytes) -> set[tuple[str, str]]:
+    names: set[tuple[str, str]] = set()
+    for _ in _choose(path, content, Context(_Asked("path", names), _Asked("module", names), _Asked("anchor", names))):
+        pass
+    return names
+
+
+def _with_known(classified: DataFrame) -> DataFrame:
+    """path, content, and known: what exists of all that a file asks for, as array<struct<what, name>>."""
+    page = F.when(F.col("language") == "markdown", F.col("content")).alias("content")
+    there = _names(classified.select("path", page), _there_is).select("what", "name").distinct()
+    found = _names(classified.select("path", "content"), _asks).join(there, ["what", "name"])
+    known = found.groupBy("path").agg(F.collect_set(F.struct("what", "name")).alias("known"))
+    return classified.select("path", "content").join(known, "path", "left")
+
+
+def _context(known: list[dict[str, str]] | None) -> Context:
+    of: dict[str, list[str]] = {"path": [], "module": [], "anchor": []}
+    for k in known or ():
+        of[k["what"]].append(k["name"])
+    anchors: dict[str, set[str]] = {}
+    for path, _, anchor in (n.rpartition("#") for n in of["anchor"]):
+        anchors.setdefault(path, set()).add(anchor)
+    return Context(frozenset(of["path"]), frozenset(of["module"]), {p: frozenset(a) for p, a in anchors.items()})
 
 
 def discover(spark: SparkSession, root: str, profile: Profile | None = None, run_id: int = 1) -> DataFrame:
@@ -143,30 +204,10 @@ def discover(spark: SparkSession, root: str, profile: Profile | None = None, run
 def observe(classified: DataFrame, run_id: int = 1, context: Context | None = None) -> DataFrame:
     """Observations of classified files, with ordinals by path and place in the file. Ordinals come from one
     window over the numbers of rows by file, not over the rows."""
-    context = context or _known(classified)
-    mixed = classified.select("path", "content", "language")
-
-    def choose(path: str, content: bytes) -> Iterator[dict]:
-        name = path.rpartition("/")[2]
-        suffix = name.rpartition(".")[2].lower() if "." in name else ""
-        kind = "python-requirements" if config.re.match(REQUIREMENTS, name) else "ruby" if name in RUBY_NAMES else LANGUAGES.get(suffix)
-        if kind in _BYTES:
-            yield from _BYTES[kind](path, content, context)
-            return
-        text = content.decode("utf-8", "replace")
-        if kind is None and text.startswith("#!"):
-            first = text.split("\n", 1)[0]
-            kind = "python" if "python" in first else "shell" if "sh" in first else "ruby" if "ruby" in first else None
-        if kind == "xml":
-            yield from (feed.extract if config.re.search(r"<(rss|feed|rdf:RDF)\b", text[:2000]) else config.extract)(path, text, context)
-        elif kind == "json" and "jsonfeed.org" in text[:2000]:
-            yield from feed.extract(path, text, context)
-        elif kind == "python-requirements":
-            yield from config.extract(path, text, context)
-        elif kind in _TEXT:
-            yield from _TEXT[kind](path, text, context)
-
-    facts = extracted(mixed, choose)
+    if context is None:
+        facts = extracted(_with_known(classified), lambda path, content, known: _choose(path, content, _context(known)), "known")
+    else:
+        facts = extracted(classified, lambda path, content: _choose(path, content, context))
     rows = file_observations(classified).unionByName(facts)
     names = [f.split()[0] for f in OBSERVATIONS.split(",")]
     return _numbered(rows, "seq").select(F.lit(run_id).cast("long").alias("run_id"), "ordinal", *names)
@@ -187,12 +228,3 @@ def with_selector_matches(observations: DataFrame) -> DataFrame:
     last = observations.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last"), F.coalesce(F.max("run_id"), F.lit(1)).alias("run_id"))
     numbered = _numbered(found, "source_id").crossJoin(F.broadcast(last)).withColumn("ordinal", F.col("last") + 1 + F.col("ordinal"))  # one row of `last`
     return observations.unionByName(numbered.drop("last"))
-
-
-def resolve_missing(observations: DataFrame, paths: DataFrame) -> DataFrame:
-    """Targets left as missing although their resolved path is in paths(path): a join instead of broadcast knowledge."""
-    known = paths.select(F.col("path").alias("__known"))
-    where = F.get_json_object("metadata", "$.resolved_path")
-    lost = F.col("target").startswith("unknown:file:missing")
-    got = observations.join(known, lost & (where == F.col("__known")), "left")
-    return got.withColumn("target", F.when(F.col("__known").isNotNull(), K.file_key_col(F.col("__known"))).otherwise(F.col("target"))).drop("__known")

@@ -190,3 +190,22 @@ def test_javascript_limits_hold_for_frameworks_only():
     found = run(javascript.extract, "src/b.js", routes)
     assert len(facts(found, "express.route")) == 100 and len(facts(found, "js.route")) == 150
     assert [o["metadata"]["error_kind"] for o in facts(found, "js.parse_error")] == ["framework-observation-limit"]
+
+
+def test_targets_resolve_alike_at_every_size(spark, monkeypatch):
+    files = {
+        "README.md": "# Top\n[d](docs/x.md#part-b)\n[e](docs/x.md#none)\n[f](#top)\n[g](src/b.ts)\n[h](no.md)\n", "docs/x.md": "# X\n## Part B\n[up](../README.md#top)\n",
+        "src/p/a.py": "from p.b import c\nfrom . import b\nfrom .gone import z\nimport json\n", "src/p/b.py": "c = 1\n", "src/p/__init__.py": "",
+        "src/a.ts": "import x from './b';\nimport y from './c';\nimport z from './gone';\n", "src/b.ts": "export const x = 1;\n", "src/c/index.js": "module.exports = 1;\n", "t/m.tex": "\\input{part}\n\\includegraphics{i.png}\n", "t/part.tex": "x", "t/i.png": "x",
+    }
+    rows = spark.createDataFrame([(p, c.encode(), False) for p, c in files.items()], "path string, content binary, executable boolean")
+    classified = repository.classify(rows)
+    modules = frozenset(python_code.module_of(p)[0] for p in files if p.endswith(".py"))
+    anchors = {p: frozenset(h["anchor"] for h in markdown.headings(c)) for p, c in files.items() if p.endswith(".md")}
+    want = sorted(map(str, repository.observe(classified, context=Context(frozenset(files), modules, anchors)).collect()))
+    monkeypatch.setattr(repository, "MOST_KNOWN", 1, raising=False)
+    got = repository.observe(classified)
+    assert sorted(map(str, got.collect())) == want
+    targets = {(r.path, r.kind, r.target) for r in got.collect()}
+    assert any("b.ts" in t[2] for t in targets if t[:2] == ("src/a.ts", "js.import"))
+    assert want != sorted(map(str, repository.observe(classified, context=Context()).collect()))
