@@ -88,9 +88,10 @@ def extract(path: str, content: str, context: Context) -> Iterator[dict]:
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             target = K.key("python.function", module, node.name)
             yield make("function", f"function:{node.lineno}:{node.name}", node, name=node.name, target=target, **{"async": isinstance(node, ast.AsyncFunctionDef)}, decorators=_decorators(node))
-    extra = [*(_tests(make, tree, path) if _looks_like_test(path) else ()), *_web(make, tree, framework)]
-    yield from extra[:MOST]
-    if len(extra) > MOST:
+    extra = [list(_tests(make, tree, path)) if _looks_like_test(path) else [], list(_web(make, tree, framework))]
+    for found in extra:
+        yield from found[:MOST]
+    if any(len(found) > MOST for found in extra):
         yield observation("python.parse_error", path, "parse-error:observation-limit", NAME, "unknown", module=module, error_kind="python-observation-limit", recovered=True)
 
 

@@ -192,6 +192,14 @@ def test_javascript_limits_hold_for_frameworks_only():
     assert [o["metadata"]["error_kind"] for o in facts(found, "js.parse_error")] == ["framework-observation-limit"]
 
 
+def test_python_limits_of_tests_and_web_are_apart():
+    tests = "".join(f"def test_{i}():\n    pass\n" for i in range(600))
+    routes = "".join(f"@app.get('/r{i}')\ndef r{i}():\n    pass\n" for i in range(20))
+    found = run(python_code.extract, "tests/test_a.py", f"from fastapi import FastAPI\napp = FastAPI()\n{tests}{routes}")
+    assert len(facts(found, "python.pytest_test")) == 511 and len(facts(found, "python.test_file")) == 1
+    assert len(facts(found, "python.fastapi_route")) == 20 and len(facts(found, "python.parse_error")) == 1
+
+
 def test_targets_resolve_alike_at_every_size(spark, monkeypatch):
     files = {
         "README.md": "# Top\n[d](docs/x.md#part-b)\n[e](docs/x.md#none)\n[f](#top)\n[g](src/b.ts)\n[h](no.md)\n", "docs/x.md": "# X\n## Part B\n[up](../README.md#top)\n",
