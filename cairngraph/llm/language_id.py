@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features: code-point n-grams of length 1 to 4 of the lower-cased text with every run of other than
-letters made one space, hashed into BUCKETS; TF is 1 + log(count), IDF from the training sample,
+letters made one space, hashed into BUCKETS; TF is 1 + log(count), IDF from all rows that may be trained on,
 vectors have length one. Training: follow-the-regularised-leader (per-coordinate step sizes, L1 and L2
 penalties, so rare buckets keep weight zero) over a bounded sample of labelled rows; then one
 temperature is fitted on a part of the sample left out of training, so that scores are calibrated.
@@ -89,13 +89,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> Model:
-    """rows: (label, buckets, counts), in a fixed order."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], frequencies: tuple[int, np.ndarray], epochs: int = EPOCHS) -> Model:
+    """rows: (label, buckets, counts), in a fixed order; frequencies: those of the corpus that rows are drawn from."""
     labels = sorted({r[0] for r in rows})
-    seen = np.zeros(BUCKETS, np.int64)
-    for _, at, _ in rows:
-        seen[at] += 1
-    idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
+    total, seen = frequencies
+    idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
     k = len(labels)
     model = Model(labels, idf, np.zeros((BUCKETS, k), np.float32), np.zeros(k, np.float32))
     if k < 2:
@@ -166,6 +164,26 @@ def sample(df: DataFrame, label: str = "lang", text: str = "text", salt: str = "
     return out
 
 
+def document_frequencies(df: DataFrame, label: str = "lang", text: str = "text") -> tuple[int, np.ndarray]:
+    """The number of labelled rows with features, and of those with each bucket. A task hands on one row a bucket."""
+    rows = df.where(F.col(label).isNotNull()).select(F.col(text).cast("string").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS + 1, np.int64)  # the last: rows
+        for batch in batches:
+            for t in texts(batch, 0):
+                if (c := counts(t)) is not None:
+                    seen[c[0]] += 1
+                    seen[BUCKETS] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["bucket", "n"])
+
+    got = map_arrow(rows, run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(BUCKETS + 1, np.int64)
+    seen[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return int(seen[BUCKETS]), seen[:BUCKETS]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text leaves 2 when divided by 4; a null id is held out too, as nothing tells otherwise."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(True))
@@ -189,7 +207,8 @@ def predictions(df: DataFrame, model: Model, text: str = "text", keep: tuple[str
 
 def trained(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", most: int = MAX_TRAIN) -> Model:
     """A model of the rows that are not held out."""
-    return fit(sample(df.where(~held_out(doc_id)), label, text, doc_id, most))
+    rows = df.where(~held_out(doc_id))
+    return fit(sample(rows, label, text, doc_id, most), document_frequencies(rows, label, text))
 
 
 #: A document is rejected when its language is undetermined or its calibrated score is lower than this.

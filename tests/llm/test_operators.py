@@ -362,6 +362,18 @@ def test_language_of_hard_rows(spark):
     assert kept.columns == clashing(df).columns and kept.count() == 12
 
 
+def test_document_frequencies_come_from_all_rows(spark):
+    words = {"en": "hello world the and of", "fr": "bonjour le monde et de"}
+    rows = [(i, f"{words[y]} w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", y, "s", 0) for i in range(400) for y in [["en", "fr"][i % 2]]] + [(900, "unlabelled text", None, "s", 0), (901, None, "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = [language_id.counts(t.encode())[0] for i, t, y, *_ in rows if y and t and zlib.crc32(str(i).encode()) % 4 != 2]
+    seen = np.zeros(language_id.BUCKETS, np.int64)
+    for at in known:
+        seen[at] += 1
+    model = language_id.trained(df.repartition(3), most=40)
+    assert np.allclose(model.idf, np.log((1 + len(known)) / (1 + seen)) + 1, atol=1e-5)
+
+
 # --- 8 ------------------------------------------------------------------------------------------------
 
 
