@@ -1,13 +1,15 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most two bits share at
-least six of them, so six is the guaranteed minimum of matches. One posting list a single positional
-byte would hold 1/256 of all fingerprints and the tally would run over all pairs of a list; the
-postings here are keyed by six positional bytes at once (28 ways to choose them), the longest prefix
-that count filtering allows. Two fingerprints meet in a list only if their tally reaches six, and the
-last two bytes bound a list to 65,536 distinct members, whatever the corpus. In a list each member
-looks up the at most 136 values within two bits of its last two bytes; the bytes shared are tallied
-once more over the whole fingerprint, and the differing bits verified.
+least six of them: six is the guaranteed minimum of matches. Of the first seven positions such a pair
+shares at least five, so the postings are keyed by five of these seven at once (21 ways to choose them)
+and every such pair meets in a list. A list only says that five bytes are shared: the positional bytes
+that a pair of its members shares are tallied over the whole fingerprint, pairs below six are dropped,
+and the differing bits of the others are verified.
+
+Three bytes stay open in a list, which bounds it to 2^24 distinct members whatever the corpus. A list
+of more than SMALL members is indexed once more by each open byte (a pair needs one of the three to
+reach six), and a member looks up the at most 136 values within two bits of the two bytes left.
 
 Equal fingerprints collapse before the index, so groups of copies cost one entry. A list hands on a
 path through each set of linked members, never all pairs. Components come from label hooking and
@@ -21,7 +23,7 @@ separate rows; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations, repeat
 
 import numpy as np
@@ -38,10 +40,15 @@ MAX_BITS = 2
 POSITIONS = 8
 #: Positional bytes that two fingerprints within MAX_BITS are sure to share.
 LEAST_SHARED = POSITIONS - MAX_BITS
+#: Positions that a list's key holds, and the ways to choose them among the first (held + MAX_BITS).
+HELD = LEAST_SHARED - 1
+WAYS = tuple(combinations(range(HELD + MAX_BITS), HELD))
+_OPEN = tuple(tuple(p for p in range(POSITIONS) if p not in held) for held in WAYS)
+#: Members up to which all pairs of a list are tallied at once.
+SMALL = 256
 #: Shingles whose bits are summed at once.
 BLOCK = 1 << 18
 
-_ONE = np.uint64(1)
 #: All 16-bit values with one or two bits.
 _NEAR = np.array(sorted({(1 << a) | (1 << b) for a in range(16) for b in range(16)}), np.int64)
 
@@ -68,26 +75,58 @@ def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(((x >> np.uint64(8 * p)) & np.uint64(255)) == 0 for p in range(POSITIONS))
 
 
-def posting_links(members: np.ndarray, tail: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one posting list: fingerprints (uint64, distinct) that agree but for the two byte
-    positions `tail`. Returns a path through each linked set."""
+def tallied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs reach the least number of shared bytes and then differ in at most MAX_BITS bits."""
+    kept = shared_bytes(a, b) >= LEAST_SHARED
+    kept[kept] = np.bitwise_count(a[kept] ^ b[kept]) <= MAX_BITS
+    return kept
+
+
+def _byte(members: np.ndarray, p: int) -> np.ndarray:
+    return ((members >> np.uint64(8 * p)) & np.uint64(255)).astype(np.int64)
+
+
+def _small_pairs(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    i, j = np.triu_indices(len(members), 1)
+    good = tallied(members[i], members[j])
+    return i[good], j[good]
+
+
+def _pairs_sharing(members: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of members that differ at the positions p and q only: at most 65,536 members."""
+    if len(members) <= SMALL:
+        return _small_pairs(members)
+    rest = _byte(members, p) | (_byte(members, q) << 8)
+    place = np.full(65536, -1, np.int64)
+    place[rest] = np.arange(len(members))
+    found = place[rest[:, None] ^ _NEAR[None, :]]
+    i, m = np.nonzero(found > np.arange(len(members))[:, None])
+    j = found[i, m]
+    good = tallied(members[i], members[j])
+    return i[good], j[good]
+
+
+def posting_pairs(members: np.ndarray, open_: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs, as places, of one posting list: distinct fingerprints that agree but for the open positions."""
+    if len(members) <= SMALL:
+        return _small_pairs(members)
+    out = []
+    for p in open_:
+        value = _byte(members, p)
+        order = np.argsort(value, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+            if len(part) > 1:
+                i, j = _pairs_sharing(members[part], *(q for q in open_ if q != p))
+                out.append((part[i], part[j]))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def posting_links(members: np.ndarray, open_: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A path through each linked set of a posting list."""
     members = np.sort(members)
-    lo, hi = (np.uint64(8 * p) for p in tail)
-    rest = (((members >> lo) & np.uint64(255)) | (((members >> hi) & np.uint64(255)) << np.uint64(8))).astype(np.int64)
-    k = len(members)
-    if k <= 300:
-        x = rest[:, None] ^ rest[None, :]
-        i, j = np.nonzero(np.triu(np.bitwise_count(x) <= MAX_BITS, 1))
-    else:
-        place = np.full(65536, -1, np.int64)
-        place[rest] = np.arange(k)
-        found = place[rest[:, None] ^ _NEAR[None, :]]
-        i, m = np.nonzero(found > np.arange(k)[:, None])
-        j = found[i, m]
-    good = (shared_bytes(members[i], members[j]) >= LEAST_SHARED) & (np.bitwise_count(members[i] ^ members[j]) <= MAX_BITS)
-    i, j = i[good], j[good]
-    root = np.arange(k)
-    while True:
+    i, j = posting_pairs(members, open_)
+    root = np.arange(len(members))
+    while len(i):
         low = root.copy()
         np.minimum.at(low, root[i], root[j])
         np.minimum.at(low, root[j], root[i])
@@ -101,14 +140,15 @@ def posting_links(members: np.ndarray, tail: tuple[int, int]) -> tuple[np.ndarra
     return members[order[:-1][follows]], members[order[1:][follows]]
 
 
-def text_mark(text: str) -> Column:
-    """SHA-256 of the text; empty for a null text."""
-    return F.coalesce(F.sha2(F.col(text).cast("string"), 256), F.lit(""))
+def row_mark(doc_id: Column, text: Column) -> Column:
+    """SHA-256 of the id and the text: equal for equal rows, nulls told apart from empty texts."""
+    return F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("="), text), F.lit(""))), 256)
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:
-    """id and fp (the 64 bits as a signed long) of every row, and mark, the text's, if asked for."""
-    src = df.select(F.col(text).cast("string").alias("__text"), F.col(doc_id).cast("long").alias("id"), *([text_mark(text).alias("mark")] if marked else []))
+    """id and fp (the 64 bits as a signed long) of every row, and mark, the row's, if asked for."""
+    body, at = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`").cast("long")
+    src = df.select(body.alias("__text"), at.alias("id"), *([row_mark(at, body).alias("mark")] if marked else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,28 +159,36 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mark
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): paths through the linked fingerprints of every posting list; nodes: distinct fp."""
+    """(a, b): paths through the linked fingerprints of every posting list; nodes: distinct fp.
+
+    The nodes are dealt anew first: read from few files, they would be exploded by few tasks."""
+    spark = nodes.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     entries = []
-    for n, (p, q) in enumerate(combinations(range(POSITIONS), 2)):
-        gone = (0xFF << (8 * p)) | (0xFF << (8 * q))
-        keep = ~gone & 0xFFFFFFFFFFFFFFFF
-        signed = keep - (1 << 64) if keep >> 63 else keep
-        entries.append(F.struct(F.lit(n).cast("byte").alias("way"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("six")))
+    for n, held in enumerate(WAYS):
+        mask = sum(0xFF << (8 * p) for p in held)
+        entries.append(F.struct(F.lit(n).cast("byte").alias("way"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("bytes")))
     lists = (
-        nodes.select("fp", F.explode(F.array(*entries)).alias("e"))
-        .groupBy("e.way", "e.six")
+        nodes.select("fp").repartition(tasks, "fp")
+        .select("fp", F.explode(F.array(*entries)).alias("e"))
+        .groupBy("e.way", "e.bytes")
         .agg(F.collect_list("fp").alias("members"))
         .where(F.size("members") > 1)
         .select("way", "members")
     )
-    tails = list(combinations(range(POSITIONS), 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ways, lists = batch.column(0).to_pylist(), batch.column(1)
-            out = [posting_links(lists[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), tails[w]) for i, w in enumerate(ways)]
-            a = np.concatenate([x[0] for x in out] or [np.zeros(0, np.uint64)]).view(np.int64)
-            b = np.concatenate([x[1] for x in out] or [np.zeros(0, np.uint64)]).view(np.int64)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            ends = np.cumsum(sizes)
+            two = (ends - 2)[sizes == 2]  # most lists: tallied all at once
+            good = tallied(values[two], values[two + 1])
+            out = [(values[two][good], values[two + 1][good])]
+            for k in np.flatnonzero(sizes > 2):
+                out.append(posting_links(values[ends[k] - sizes[k] : ends[k]], _OPEN[ways[k]]))
+            a, b = (np.concatenate([x[n] for x in out]).view(np.int64) for n in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return map_arrow(lists, run, "a bigint, b bigint").distinct()
@@ -203,13 +251,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of df for each component: that of the least doc_id (null comes last), among equal ids that of the
-    least hash of the text. Rows are told apart by id and text, so repeated and null ids take part like any other."""
+    least mark. Rows are told apart by id and text, so repeated and null ids take part like any other.
+
+    The join back and the removal of repeated rows share the key, and with it one shuffle of the rows."""
     docs, docs_at = written(fingerprints(df, doc_id, text, True), "fingerprints")
     nodes, nodes_at = placed(docs, F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")))
-    kept, _ = written(nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__kept"), F.col("least.mark").alias("__mark")), "kept")
+    kept, _ = written(nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.mark").alias("__mark")), "kept")
     drop(df.sparkSession, docs_at, nodes_at)
     rows = df.toDF(*(f"c{n}" for n in range(len(df.columns))))
-    at, body = (f"c{df.columns.index(c)}" for c in (doc_id, text))
-    rows = rows.withColumns({"__id": F.col(at).cast("long"), "__text_mark": text_mark(body)})
-    found = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__text_mark") == F.col("__mark")), "left_semi").dropDuplicates(["__id", "__text_mark"])
+    at, body = (F.col(f"c{df.columns.index(c)}") for c in (doc_id, text))
+    rows = rows.withColumn("__mark", row_mark(at.cast("long"), body.cast("string")))
+    found = rows.join(kept, "__mark", "left_semi").dropDuplicates(["__mark"])
     return found.select(*(F.col(f"c{n}").alias(c) for n, c in enumerate(df.columns)))

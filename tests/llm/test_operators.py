@@ -179,7 +179,7 @@ def test_components_equal_brute_force(spark):
     texts = [*HARD, base, base, base + " z", base + " q r", *(prose(rnd, rnd.randrange(0, 6), "ab") for _ in range(120))]
     ids = [None if i % 17 == 5 else 1000 - i for i in range(len(texts))]
     ids[20] = ids[21]
-    got = simhash.near_duplicates(clashing(docs(spark, texts, ids)).drop("id", "fp")).collect()
+    got = simhash.near_duplicates(clashing(docs(spark, texts, ids))).collect()
     want = naive_components(ids, prints := [simhash.fingerprint(None if t is None else t.encode()) for t in texts])
     row = lambda d, f, c: (str(d), f, str(c))
     assert sorted(row(r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted(row(d, f"{f:016x}", c) for d, f, c in zip(ids, prints, want, strict=True))
@@ -194,8 +194,8 @@ def test_chains_of_fingerprints_join_up(spark):
     roots, _ = simhash.components(simhash.links(nodes))
     assert {r.root for r in roots.collect()} == {0} and roots.count() == len(chain)
     rnd = random.Random(5)
-    members = np.array(sorted({rnd.randrange(1 << 16) for _ in range(900)}), np.uint64)
-    a, b = simhash.posting_links(members, (0, 1))
+    members = np.array(sorted({rnd.randrange(1 << 8) | rnd.randrange(1 << 6) << 8 | rnd.randrange(3) << 56 for _ in range(900)}), np.uint64)
+    a, b = simhash.posting_links(members, (0, 1, 7))
     want = naive_components(members.tolist(), members.tolist())
     got = {int(m): int(m) for m in members}
     for _ in range(len(members)):
@@ -209,6 +209,24 @@ def test_chains_of_fingerprints_join_up(spark):
     assert [got[int(m)] for m in members] == want and len(a) < len(members)
 
 
+def test_posting_lists_keep_all_linked_pairs_and_the_tally_rejects_others():
+    rnd = random.Random(6)
+    for size in (2, 40, 700):  # tallied at once, and by the open bytes
+        drawn = {rnd.getrandbits(3) | rnd.getrandbits(5) << 16 | rnd.getrandbits(3) << 56 for _ in range(size)}
+        members = np.array(sorted(drawn | {x ^ (1 << 16) for x in drawn}), np.uint64)
+        i, j = simhash.posting_pairs(members, (0, 2, 7))
+        m = members.tolist()
+        met = [(a, b) for a in range(len(m)) for b in range(a) if (m[a] ^ m[b]).bit_count() <= 2]
+        assert sorted({(max(a, b), min(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}) == sorted(met)
+    # They share the five bytes of a list, and no more: the tally drops the pair before its bits are read.
+    a, b = np.array([0], np.uint64), np.array([1 | 1 << 16 | 1 << 56], np.uint64)
+    assert simhash.shared_bytes(a, b)[0] == simhash.HELD < simhash.LEAST_SHARED and not simhash.tallied(a, b)[0]
+    assert not any(len(x) for x in simhash.posting_pairs(np.concatenate([a, b]), (0, 2, 7)))
+    # Every pair within two bits agrees on the key of some list.
+    for p, q in ((0, 1), (0, 7), (5, 6), (3, 3)):
+        assert any(p in gone and q in gone for gone in simhash._OPEN)
+
+
 def test_one_of_each_and_empty_tables(spark):
     df = docs(spark, ["a b c d"] * 3 + ["e f g h", None], [5, 3, 3, 9, None])
     assert sorted(str(r.doc_id) for r in simhash.one_of_each(df).collect()) == ["3", "9", "None"]
