@@ -21,7 +21,7 @@ pass through `keep`; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -194,27 +194,58 @@ class Index:
         return met.groupBy("key").agg(F.collect_set(F.get(rule, F.col("conjunction"))).alias("rules"))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value being computed once: what a lambda names from outside is computed at each call of it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _blocks(values: Column) -> Column:
+    """The array (bound) in blocks of about the square root of its size (one block at least)."""
+
+    def cut(each: Column) -> Column:
+        last = F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / each).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * each + 1, each))
+
+    return _bound(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values))).cast("int")), cut)
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What the fold of the values with `step`, from 0, has reached before each of them (all int).
+
+    A fold that appends copies its array each time, which is quadratic; so each block of the square root of the size is folded
+    by itself, from what the blocks before it reach."""
+
+    def within(block: Column, begin: Column) -> Column:
+        kept = F.aggregate(
+            block, F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+        )
+        return kept["out"]
+
+    def folded(blocks: Column) -> Column:
+        reach = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), step))
+        return F.flatten(F.zip_with(blocks, within(reach, F.lit(0)), within))
+
+    return _bound(values, lambda v: _bound(_blocks(v), folded))
+
+
 def _spans(text: Column, rule: Rule) -> Column:
     """All counted matches as array<struct<start, end>> in code points, in order."""
-    p = F.lit(rule.pattern)
-    sized = F.zip_with(
-        F.transform(F.split(text, rule.pattern, -1), F.length),
-        F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(rule.group)).alias("g")),
-        lambda gap, m: F.struct(gap.alias("gap"), F.length(m["m"]).alias("m"), F.length(m["g"]).alias("g")),
+    p, span = F.lit(rule.pattern), "array<struct<start: int, end: int>>"
+    matches = F.arrays_zip(
+        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
+        F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.length).alias("m"),
+        F.transform(F.regexp_extract_all(text, p, F.lit(rule.group)), F.length).alias("g"),
     )
-    span = "array<struct<start: int, end: int>>"
-    walked = F.aggregate(
-        F.filter(sized, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["m"]).alias("at"),
-            F.when(x["g"] >= rule.least, F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["m"]).alias("end")))))
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.regexp_like(text, p), walked).otherwise(F.array().cast(span))
+    # What follows the last match has no match of its own.
+    matches = F.filter(matches, lambda x: x["m"].isNotNull())
+
+    def placed(found: Column) -> Column:
+        before = running(F.transform(found, lambda x: x["gap"] + x["m"]), lambda a, x: a + x)
+        return F.zip_with(found, before, lambda x, at: F.struct(x["g"].alias("g"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["m"]).alias("end")))
+
+    counted = F.transform(F.filter(_bound(matches, placed), lambda x: x["g"] >= rule.least), lambda x: F.struct(x["start"], x["end"]))
+    return F.when(F.regexp_like(text, p), counted.cast(span)).otherwise(F.array().cast(span))
 
 
 def secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -245,19 +276,22 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every span (overlaps merged) replaced by mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        spans,
-        start,
-        lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
-            )
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    """text with every span (overlaps merged) replaced by mark; spans: by start.
+
+    What stays are the pieces from the furthest end so far to a start beyond it. As finding a place in a text reads it
+    from its start, the text is first cut into runs of pieces, and these into the pieces."""
+    furthest = running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    gaps = F.zip_with(furthest, spans, lambda m, s: F.struct(m.alias("from"), s["start"].alias("to")))
+    gaps = F.filter(gaps, lambda g: g["to"] >= g["from"])
+    cut = lambda t, begin, g: F.substring(t, g["from"] - begin + 1, g["to"] - g["from"])
+
+    def run(block: Column) -> Column:
+        begin, end = F.element_at(block, 1)["from"], F.element_at(block, -1)["to"]
+        whole = F.substring(text, begin + 1, end - begin)
+        return _bound(begin, lambda b: _bound(whole, lambda t: F.array_join(F.transform(block, lambda g: F.concat(cut(t, b, g), F.lit(mark))), "")))
+
+    rest = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+    done = F.concat(F.array_join(_bound(gaps, lambda g: F.transform(_blocks(g), run)), ""), F.substring(text, rest + 1, F.length(text)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
