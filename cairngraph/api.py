@@ -1,6 +1,7 @@
 """Named read-only operations over a store: what the command line and the RPC server offer.
 
-Each operation is a function of (store, arguments) that returns a DataFrame; adapters only render rows.
+Each operation is a function of (store, arguments) that returns a DataFrame; adapters only render rows. All take a
+root_path, which holds them to one repository; without it the repositories stand side by side, never joined.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ from pyspark.sql import functions as F
 
 from cairngraph.functions.keys import canonical_json
 from cairngraph.operators.base import redact_url, secret_name
-from cairngraph.plans import legacy, provenance, query, summary
+from cairngraph.plans import legacy, ops, provenance, query, summary
 from cairngraph.plans.store import Store
 
 Operation = Callable[[Store, Mapping], DataFrame]
 
 
 def _links(store: Store, edges: bool = False) -> DataFrame:
-    """(ordinal, canonical_key or edge_key) of evidence."""
+    """(root_path, run_id, ordinal, canonical_key or edge_key) of evidence."""
     table, key = ("canonical_edge_evidence", "edge_key") if edges else ("canonical_node_evidence", "canonical_key")
-    return store.rows(table).join(store.rows("canonical_evidence").select("run_id", "evidence_key", "ordinal"), ["run_id", "evidence_key"]).select("ordinal", key).distinct()
+    on = ["root_path", "run_id", "evidence_key"]
+    return store.rows(table).join(store.rows("canonical_evidence").select(*on, "ordinal"), on).select("root_path", "run_id", "ordinal", key).distinct()
 
 
 def _observed(store: Store) -> DataFrame:
@@ -32,15 +34,15 @@ def _observed(store: Store) -> DataFrame:
 
 def _neighborhood(store: Store, a: Mapping) -> DataFrame:
     center, near, others = query.neighborhood(store.current("canonical_nodes"), store.current("canonical_edges"), a["node"], a.get("direction", "both"))
-    node = lambda df, what: df.select(F.lit(what).alias("what"), F.col("canonical_key").alias("key"), "kind", F.col("display_name").alias("name"), F.lit(None).cast("string").alias("source_key"), F.lit(None).cast("string").alias("target_key"), "confidence")
-    edge = near.select(F.lit("edge").alias("what"), F.col("edge_key").alias("key"), "kind", F.lit(None).cast("string").alias("name"), "source_key", "target_key", "confidence")
+    node = lambda df, what: df.select("root_path", F.lit(what).alias("what"), F.col("canonical_key").alias("key"), "kind", F.col("display_name").alias("name"), F.lit(None).cast("string").alias("source_key"), F.lit(None).cast("string").alias("target_key"), "confidence")
+    edge = near.select("root_path", F.lit("edge").alias("what"), F.col("edge_key").alias("key"), "kind", F.lit(None).cast("string").alias("name"), "source_key", "target_key", "confidence")
     return node(center, "center").unionByName(edge).unionByName(node(others, "node"))
 
 
 def _legacy_neighborhood(store: Store, a: Mapping) -> DataFrame:
     near, nodes = query.legacy_neighborhood(store.current("nodes"), store.current("edges"), a.get("node"), a.get("path"), a.get("direction", "both"))
-    e = near.select(F.lit("edge").alias("what"), F.col("stable_key").alias("key"), "kind", F.col("src_key").alias("source_key"), F.col("dst_key").alias("target_key"))
-    return e.unionByName(nodes.select(F.lit("node").alias("what"), F.col("stable_key").alias("key"), "kind", F.lit(None).cast("string").alias("source_key"), F.lit(None).cast("string").alias("target_key")))
+    e = near.select("root_path", F.lit("edge").alias("what"), F.col("stable_key").alias("key"), "kind", F.col("src_key").alias("source_key"), F.col("dst_key").alias("target_key"))
+    return e.unionByName(nodes.select("root_path", F.lit("node").alias("what"), F.col("stable_key").alias("key"), "kind", F.lit(None).cast("string").alias("source_key"), F.lit(None).cast("string").alias("target_key")))
 
 
 def _search(target: str, table: str) -> Operation:
@@ -59,7 +61,11 @@ def _host_mutators(store: Store, a: Mapping) -> DataFrame:
     return legacy.host_mutators(store.rows("raw_observations"), a.get("category"), a.get("tool")).distinct()
 
 
-OPERATIONS: dict[str, Operation] = {
+def _scoped(operation: Operation) -> Operation:
+    return lambda store, a: operation(store.at(a.get("root_path")), a)
+
+
+_OPERATIONS: dict[str, Operation] = {
     "files": lambda s, a: legacy.matching(s.current("files"), a.get("role"), a.get("language"), a.get("generated", "include")).orderBy("path"),
     "entrypoints": lambda s, a: legacy.entrypoints(s.current("files")).orderBy("path"),
     "file-nodes": lambda s, a: query.file_nodes(s.current("files"), s.current("nodes"), s.current("evidence"), a.get("path")),
@@ -81,13 +87,50 @@ OPERATIONS: dict[str, Operation] = {
     "source-summary": lambda s, a: provenance.source_summary(_observed(s), _links(s), a["source_id"]),
     "source-runs": lambda s, a: provenance.source_runs(_observed(s), a["source_id"], int(a.get("limit", 25))),
     "source-feed-items": lambda s, a: provenance.feed_items(s.current("canonical_nodes"), s.current("canonical_edges"), _observed(s), _links(s), a.get("source_id"), a.get("source_run_id"), int(a.get("limit", 50))),
+    "explain-source-feed-item": lambda s, a: provenance.explain_item(s.current("canonical_nodes"), s.current("canonical_edges"), _observed(s), _links(s), a["item"]),
     "source-references": lambda s, a: provenance.references(s.current("canonical_edges"), _links(s, True), _observed(s), a.get("source_id"), a.get("target_kind"), int(a.get("limit", 50))),
     "search-nodes": _search("nodes", "canonical_nodes"),
     "search-observations": _search("observations", "raw_observations"),
     "search-files": _search("files", "files"),
+    "projects": lambda s, a: s.projects().orderBy("root_path"),
+    "status": lambda s, a: summary.by_root(s).orderBy("root_path"),
+    "project-summary": lambda s, a: summary.by_root(s).orderBy("root_path"),
     "runs": lambda s, a: s.latest_runs(),
     "diagnostics": lambda s, a: query.equal(s.rows("diagnostics"), severity=a.get("severity")).orderBy("run_id", "ordinal"),
 }
+OPERATIONS: dict[str, Operation] = {n: _scoped(f) for n, f in _OPERATIONS.items()}
+
+#: Operations over the configured graphs beside the store.
+REGISTRY_OPERATIONS: dict[str, Callable[[Store, ops.Registry, Mapping], DataFrame]] = {
+    "list-graphs": lambda s, r, a: ops.registry_frame(s.spark, r).orderBy("graph_id"),
+    "graph-status": lambda s, r, a: query.equal(ops.status(s, r), graph_id=a["graph_id"]),
+    "refresh-status": lambda s, r, a: query.equal(ops.status(s, r), graph_id=a.get("graph_id")).orderBy("graph_id"),
+}
+
+_TEXT, _NUMBER = {"type": "string"}, {"type": "integer", "minimum": 1}
+_PAGE = {"query": _TEXT, "kind": _TEXT, "path": _TEXT, "limit": _NUMBER | {"maximum": 100}, "offset": {"type": "integer", "minimum": 0}}
+_NEAR = {"direction": {"type": "string", "enum": list(query.DIRECTIONS)}}
+_EDGE = {"kind": _TEXT, "source": _TEXT, "target": _TEXT}
+_SOURCE = {"source_id": _TEXT, "limit": _NUMBER}
+#: What operations may be told besides root_path, and what they must be.
+ARGUMENTS: dict[str, dict[str, dict]] = {
+    "files": {"role": _TEXT, "language": _TEXT, "generated": {"type": "string", "enum": ["include", "exclude", "only"]}}, "file-nodes": {"path": _TEXT}, "nodes": {"kind": _TEXT, "path": _TEXT, "key": _TEXT},
+    "edges": _EDGE, "neighborhood": {"node": _TEXT} | _NEAR, "file-neighborhood": {"path": _TEXT} | _NEAR, "canonical-nodes": {"kind": _TEXT, "key": _TEXT, "path_prefix": _TEXT}, "canonical-edges": _EDGE,
+    "canonical-neighborhood": {"node": _TEXT} | _NEAR, "explain-canonical-edge": _EDGE, "host-mutators": {"category": _TEXT, "tool": _TEXT}, "host-mutators-summary": {"category": _TEXT, "tool": _TEXT},
+    "canonical-host-mutators": {"category": _TEXT, "tool": _TEXT}, "ingested-sources": {"source_type": _TEXT, "policy_status": _TEXT, "limit": _NUMBER}, "source-summary": {"source_id": _TEXT},
+    "source-runs": _SOURCE, "source-feed-items": _SOURCE | {"source_run_id": _TEXT}, "explain-source-feed-item": {"item": _TEXT}, "source-references": _SOURCE | {"target_kind": _TEXT},
+    "search-nodes": _PAGE, "search-observations": _PAGE, "search-files": _PAGE, "diagnostics": {"severity": _TEXT}, "graph-status": {"graph_id": _TEXT}, "refresh-status": {"graph_id": _TEXT},
+}
+REQUIRED: dict[str, tuple[str, ...]] = {
+    "neighborhood": ("node",), "file-neighborhood": ("path",), "canonical-neighborhood": ("node",), "explain-canonical-edge": ("source", "kind", "target"), "source-summary": ("source_id",),
+    "source-runs": ("source_id",), "explain-source-feed-item": ("item",), "search-nodes": ("query",), "search-observations": ("query",), "search-files": ("query",), "graph-status": ("graph_id",),
+}
+
+
+def schema(operation: str) -> dict:
+    """The JSON schema of an operation's arguments."""
+    root = {} if operation in REGISTRY_OPERATIONS else {"root_path": _TEXT}
+    return {"type": "object", "properties": root | ARGUMENTS.get(operation, {}), "required": list(REQUIRED.get(operation, ())), "additionalProperties": False}
 
 
 def truncated(text: str, most: int = 500, keep: int = 485) -> str:
@@ -107,9 +150,13 @@ def sanitized(value: object, name: str | None = None) -> object:
     return value if value is None or isinstance(value, (bool, int, float)) else str(value)
 
 
-def records(df: DataFrame, most: int | None = None) -> list[dict]:
-    """Rows as objects (metadata parsed), for people and programs outside of Spark."""
-    rows = df.limit(most).collect() if most else df.collect()
+#: Rows that are shown at most unless more are asked for.
+MOST_SHOWN = 10_000
+
+
+def records(df: DataFrame, most: int = MOST_SHOWN) -> list[dict]:
+    """At most so many rows as objects (metadata parsed), for people and programs outside of Spark."""
+    rows = df.limit(most).collect()
     out = []
     for r in rows:
         d = r.asDict(recursive=True)

@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
     add("ops", "config-check, graphs, refresh-enabled or refresh-status of a graph registry", "what", "config", store="store")
     ask = add("ask", "ask the store", "operation", store="store")
     ask.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="argument of the operation")
-    add("serve", "answer read-only JSON-RPC on standard input", store="store")
+    add("serve", "answer read-only JSON-RPC on standard input", store="store", registry="graph registry, for the tools over configured graphs")
     return p
 
 
@@ -117,7 +117,11 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
         given = dict(x.split("=", 1) for x in a.set)
         show(api.records(api.OPERATIONS[a.operation](Store(spark, a.store), given)), a.json)
     else:
-        rpc.serve(Store(spark, a.store), sys.stdin, sys.stdout)
+        registry = None
+        if a.registry:
+            with open(a.registry, encoding="utf-8") as f:
+                registry = ops.read_registry(f.read())
+        rpc.serve(Store(spark, a.store), sys.stdin, sys.stdout, registry)
     return 0
 
 

@@ -14,7 +14,7 @@ scalars that alternate between three values or more.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -133,9 +133,11 @@ def _raw(name: str) -> Column:
     return F.regexp_extract("metadata", rf'[{{,]"{name}":("(?:[^"\\]|\\.)*"|[^,}}\[{{]+)', 1)
 
 
-def canonicalize(observations: DataFrame) -> Graph:
-    """observations: the envelope with unique ordinals, of one run."""
+def canonicalize(observations: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> Graph:
+    """observations: the envelope with unique ordinals, of one run. All tables of the graph derive from the interpreted
+    rows; keep (which writes and rereads them) is for those who want more than one, as each would interpret anew."""
     rows = _interpreted(observations)
+    rows = rows if keep is None else keep(rows)
     ev = rows.where("evidence IS NOT NULL").withColumn("evidence_key", evidence_key(*(F.col(c) for c in ("ordinal", "path", "start_line", "end_line", "extractor", "source_id"))))
     evidence = ev.select(
         F.lit(KEY_VERSION).alias("graph_key_version"), "evidence_key", "ordinal", F.col("schema_version").alias("raw_schema_version"), F.col("kind").alias("raw_kind"),

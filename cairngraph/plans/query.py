@@ -1,9 +1,9 @@
 """Read-back queries over node, edge, evidence and observation frames.
 
 Frames are passed in, so the same plans run over the store, over a fresh graph or over any table with
-these columns. Filters are plain conjunctions that reach the scan. A neighbourhood in both directions
-is the union of two equi-joins, not a join on an OR. Ordering is left to the caller or done by the
-`ordered` argument, as a global sort costs a shuffle.
+these columns. Where frames name a root_path, every join is held to it: equal keys of two repositories are two things.
+Filters are plain conditions that reach the scan. A neighbourhood of a key filters the edges once, for both
+directions. Ordering is left to the caller, as a global sort costs a shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +17,11 @@ from cairngraph.schemas import EDGE_KINDS
 DIRECTIONS = ("in", "out", "both")
 
 
+def roots(*frames: DataFrame) -> list[str]:
+    """The root_path as a join column, if all frames have it."""
+    return ["root_path"] if all("root_path" in f.columns for f in frames) else []
+
+
 def equal(df: DataFrame, **values: object) -> DataFrame:
     for name, v in values.items():
         if v is not None:
@@ -62,11 +67,12 @@ def touching(edges: DataFrame, centers: DataFrame, src: str, dst: str, key: str,
     """Edges with an end in centers(key); a loop counts once."""
     if direction not in DIRECTIONS:
         raise ValueError("direction must be in, out or both")
-    c = centers.select(F.col(key).alias("__center")).distinct()
-    at = lambda end: edges.join(c, edges[end] == F.col("__center"), "left_semi")
+    root = roots(edges, centers)
+    c = centers.select(*root, F.col(key).alias("__center")).distinct()
+    at = lambda df, end, how: df.join(c.withColumnRenamed("__center", end), [*root, end], how).select(*edges.columns)
     if direction != "both":
-        return at(dst if direction == "in" else src)
-    return at(src).unionByName(at(dst).join(c, edges[src] == F.col("__center"), "left_anti"))
+        return at(edges, dst if direction == "in" else src, "left_semi")
+    return at(edges, src, "left_semi").unionByName(at(at(edges, dst, "left_semi"), src, "left_anti"))
 
 
 def neighborhood(nodes: DataFrame, edges: DataFrame, key: str, direction: str = "both", version: int = K.KEY_VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -74,52 +80,57 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, key: str, direction: str =
     if direction not in DIRECTIONS:
         raise ValueError("direction must be in, out or both")
     center = canonical_nodes(nodes, key=key, version=version)
-    known = F.broadcast(center.select(F.col("canonical_key").alias("__center")).limit(1))  # one row at most
-    mine = edges.where(F.col("graph_key_version") == version)
+    out, into = F.col("source_key") == key, F.col("target_key") == key
     # The key itself is the filter, so it reaches the scan, also through an aggregation by the edge's ends.
-    at = lambda end: mine.where(F.col(end) == key).join(known, F.col(end) == F.col("__center"), "left_semi")
-    if direction == "both":
-        near = at("source_key").unionByName(at("target_key").where(F.col("source_key") != key))
-    else:
-        near = at("target_key" if direction == "in" else "source_key")
-    ends = near.select(F.col("source_key").alias("k")).union(near.select("target_key")).where(F.col("k") != key).distinct()
-    return center, near, nodes.where(F.col("graph_key_version") == version).join(ends, nodes.canonical_key == ends.k, "left_semi")
+    mine = edges.where((F.col("graph_key_version") == version) & {"out": out, "in": into, "both": out | into}[direction])
+    root = roots(nodes, edges)
+    known = center.select(*root, F.col("canonical_key").alias("__center")).distinct()
+    near = mine.withColumn("__center", F.when(out, F.col("source_key")).otherwise(F.col("target_key"))).join(known, [*root, "__center"], "left_semi").select(*edges.columns)
+    ends = near.select(*root, F.explode(F.array("source_key", "target_key")).alias("canonical_key")).where(F.col("canonical_key") != key).distinct()
+    return center, near, nodes.where(F.col("graph_key_version") == version).join(ends, [*root, "canonical_key"], "left_semi").select(*nodes.columns)
 
 
 def legacy_neighborhood(nodes: DataFrame, edges: DataFrame, key: str | None = None, path: str | None = None, direction: str = "both") -> tuple[DataFrame, DataFrame]:
     """(edges, nodes with the centers): of one node, or of all nodes of a file."""
     center = nodes.where(F.col("stable_key") == key) if path is None else nodes.where(F.col("path") == path)
     near = touching(edges, center, "src_key", "dst_key", "stable_key", direction).distinct()
-    ends = near.select(F.col("src_key").alias("k")).union(near.select("dst_key")).union(center.select("stable_key")).distinct()
-    return near, nodes.join(ends, nodes.stable_key == ends.k, "left_semi")
+    root = roots(nodes, edges)
+    ends = near.select(*root, F.explode(F.array("src_key", "dst_key")).alias("stable_key")).union(center.select(*root, "stable_key")).distinct()
+    return near, nodes.join(ends, [*root, "stable_key"], "left_semi").select(*nodes.columns)
 
 
 def explain_edge(edges: DataFrame, links: DataFrame, evidence: DataFrame, raw: DataFrame, source: str, kind: str, target: str, identity_hash: str = K.EMPTY_JSON_SHA256, version: int = K.KEY_VERSION) -> DataFrame:
-    """One row: the edge with its evidence and what was observed, in order of run, ordinal and key."""
-    edge = canonical_edges(edges, kind, source, target, version).where(F.col("identity_metadata_hash") == identity_hash).limit(1)
-    seen = edge.select("edge_key").join(links, "edge_key").join(evidence.withColumnRenamed("metadata", "evidence_metadata"), ["evidence_key", *(["run_id"] if "run_id" in links.columns and "run_id" in evidence.columns else [])])
-    on = ["ordinal", *(["run_id"] if "run_id" in seen.columns and "run_id" in raw.columns else [])]
-    seen = seen.join(raw.select(*on, F.col("kind").alias("observed_kind"), F.col("target").alias("observed_target"), "payload_hash" if "payload_hash" in raw.columns else F.lit(None).cast("string").alias("payload_hash")), on, "left")
+    """One row a root: the edge with its evidence and what was observed, in order of run, ordinal and key."""
+    both = lambda *frames: [c for c in ("root_path", "run_id") if all(c in f.columns for f in frames)]
+    edge = canonical_edges(edges, kind, source, target, version).where(F.col("identity_metadata_hash") == identity_hash)
+    root = roots(edges, links)
+    said = evidence.withColumnRenamed("metadata", "evidence_metadata")
+    seen = edge.select(*root, "edge_key").join(links, [*root, "edge_key"]).join(said, ["evidence_key", *both(links, evidence)])
+    on = ["ordinal", *both(seen, raw)]
+    hashed = F.col("payload_hash") if "payload_hash" in raw.columns else F.lit(None).cast("string").alias("payload_hash")
+    seen = seen.join(raw.select(*on, F.col("kind").alias("observed_kind"), F.col("target").alias("observed_target"), hashed), on, "left")
     run = F.col("run_id") if "run_id" in seen.columns else F.lit(1)
     item = F.struct(run.alias("run_id"), "ordinal", "evidence_key", "link_kind", "path", "start_line", "end_line", "extractor", "confidence", "evidence_metadata", "observed_kind", "observed_target", "payload_hash")
-    lists = seen.groupBy("edge_key").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
-    return edge.join(lists, "edge_key", "left")
+    lists = seen.groupBy(*root, "edge_key").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+    return edge.join(lists, [*root, "edge_key"], "left")
 
 
 def file_nodes(files: DataFrame, nodes: DataFrame, evidence: DataFrame, path: str | None = None) -> DataFrame:
     """Files with their node and every evidence row of the file."""
+    root = roots(files, nodes, evidence)
     f = equal(files, path=path)
-    n = nodes.where("kind = 'file'").select("path", "stable_key", F.col("name").alias("node_name"))
-    e = evidence.select("path", F.col("stable_key").alias("evidence_key"), F.col("extractor").alias("evidence_extractor"), F.col("start_line").alias("evidence_start_line"))
-    return f.join(n, "path").join(e, "path")
+    n = nodes.where("kind = 'file'").select(*root, "path", "stable_key", F.col("name").alias("node_name"))
+    e = evidence.select(*root, "path", F.col("stable_key").alias("evidence_key"), F.col("extractor").alias("evidence_extractor"), F.col("start_line").alias("evidence_start_line"))
+    return f.join(n, [*root, "path"]).join(e, [*root, "path"])
 
 
 def legacy_edges(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, kind: str | None = None, source: str | None = None, target: str | None = None) -> DataFrame:
-    e = equal(edges, kind=kind, src_key=source, dst_key=target).alias("e")
-    src = nodes.select(F.col("stable_key").alias("src_key"), F.col("kind").alias("src_kind"), F.col("path").alias("src_path"))
-    dst = nodes.select(F.col("stable_key").alias("dst_key"), F.col("kind").alias("dst_kind"), F.col("name").alias("dst_name"))
-    ev = evidence.select(F.col("stable_key").alias("evidence_key"), F.col("start_line").alias("evidence_start_line"), F.col("end_line").alias("evidence_end_line"))
-    return e.join(src, "src_key").join(dst, "dst_key").join(ev, "evidence_key")
+    root = roots(nodes, edges, evidence)
+    e = equal(edges, kind=kind, src_key=source, dst_key=target)
+    src = nodes.select(*root, F.col("stable_key").alias("src_key"), F.col("kind").alias("src_kind"), F.col("path").alias("src_path"))
+    dst = nodes.select(*root, F.col("stable_key").alias("dst_key"), F.col("kind").alias("dst_kind"), F.col("name").alias("dst_name"))
+    ev = evidence.select(*root, F.col("stable_key").alias("evidence_key"), F.col("start_line").alias("evidence_start_line"), F.col("end_line").alias("evidence_end_line"))
+    return e.join(src, [*root, "src_key"]).join(dst, [*root, "dst_key"]).join(ev, [*root, "evidence_key"])
 
 
 def canonical_host_mutators(edges: DataFrame, category: str | None = None, tool: str | None = None) -> DataFrame:

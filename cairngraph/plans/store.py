@@ -1,13 +1,19 @@
-"""Append-only storage: every load is a run, every table a folder of Parquet partitioned by run.
+"""Append-only storage: every load is a run, every table a folder of Parquet partitioned by root and run.
 
-A run's rows are written first, its row in `runs` last: readers join with the runs that are there, so a
-load that dies half-way is never seen, and its run id is not given again. What an upsert would have
-kept is read back by aggregation: the first and the last run that saw a key, and the values of the
-last. Nothing is ever deleted or rewritten.
+A load claims its run id by making a file that nobody else can make, so loads at the same time get different ones. A
+run's rows are written first, its row in `runs` last: readers join with the runs that are there, so a load that dies
+half-way is never seen, and its run id is not given again; it may be resumed under the same id, which writes its
+partitions anew and refuses observations that changed. What an upsert would have kept is read back by aggregation:
+the first and the last run that saw a key, and the values of the last. A run that has ended is never rewritten.
+
+Observations are interpreted once a load: the interpreted rows are written to a folder of the run, which all tables of
+the graph derive from, and dropped at its end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,29 +46,40 @@ class Load:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, base: str) -> None:
-        self.spark, self.base = spark, base.rstrip("/")
+    """root_path: what is read is held to this root; loads name their own."""
+
+    def __init__(self, spark: SparkSession, base: str, root_path: str | None = None) -> None:
+        self.spark, self.base, self.root_path = spark, base.rstrip("/"), root_path
+
+    def at(self, root_path: str | None) -> Store:
+        """The store as one root sees it; the whole of it for None."""
+        return self if root_path is None else Store(self.spark, self.base, root_path)
 
     # --- tables -------------------------------------------------------------------------------------
 
-    def _exists(self, path: str) -> bool:
+    def _path(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _exists(self, path: str) -> bool:
+        fs, p = self._path(path)
+        return fs.exists(p)
 
     def tables_present(self) -> dict[str, bool]:
         return {t: self._exists(f"{self.base}/{t}") for t in TABLES}
 
     def all_rows(self, table: str) -> DataFrame:
-        """Everything ever written, of whatever run."""
+        """Everything ever written, of whatever run; a root is a partition, so no other root's files are read."""
         schema = TABLES[table]
         if not self._exists(f"{self.base}/{table}"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.base}/{table}").select(*schema.names)
+        rows = self.spark.read.schema(schema).parquet(f"{self.base}/{table}").select(*schema.names)
+        return rows if self.root_path is None else rows.where(F.col("root_path") == self.root_path)
 
     def rows(self, table: str) -> DataFrame:
         """Rows of runs that have ended (complete or failed)."""
         rows = self.all_rows(table)
-        return rows if table == "runs" else rows.join(self.all_rows("runs").select("run_id").distinct(), "run_id", "left_semi")
+        return rows if table == "runs" else rows.join(self.all_rows("runs").select("run_id").distinct(), "run_id", "left_semi").select(*rows.columns)
 
     def current(self, table: str) -> DataFrame:
         """One row a natural key: values of the last run, first_seen_run_id and last_seen_run_id."""
@@ -77,26 +94,43 @@ class Store:
         r = self.rows("repositories")
         return r.groupBy("root_path").agg(F.max_by("name", "run_id").alias("name"), F.max_by("remote_url", "run_id").alias("remote_url"), F.min("created_at").alias("created_at"))
 
+    def projects(self) -> DataFrame:
+        """A row a root: its names and its latest run."""
+        last = self.latest_runs().select("root_path", "run_id", "status", "git_commit", "finished_at")
+        return self.repositories().join(last, "root_path", "left")
+
     def latest_runs(self) -> DataFrame:
         r = self.rows("runs")
         return r.groupBy("root_path").agg(F.max_by(F.struct(*(c for c in r.columns if c != "root_path")), "run_id").alias("r")).select("root_path", "r.*")
 
-    def _append(self, table: str, df: DataFrame) -> None:
+    def _put(self, table: str, df: DataFrame) -> None:
+        """Writes the partitions (root and run) of df, in place of what a load that died left in them."""
         names = TABLES[table].names
-        df.select(*(F.col(n).cast(TABLES[table][n].dataType).alias(n) for n in names)).write.mode("append").partitionBy("run_id").parquet(f"{self.base}/{table}")
+        rows = df.select(*(F.col(n).cast(TABLES[table][n].dataType).alias(n) for n in names))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root_path", "run_id").parquet(f"{self.base}/{table}")
 
     # --- loading ------------------------------------------------------------------------------------
 
-    def next_run_id(self) -> int:
-        """Above every run id that any table has seen, ended or not."""
-        return 1 + max((self.all_rows(t).agg(F.max("run_id")).first()[0] or 0) for t in ("runs", "raw_observations", "repositories"))
-
-    def _begin(self, name: str, root_path: str, observations: DataFrame) -> tuple[int, DataFrame]:
-        run = self.next_run_id()
+    def claim_run_id(self) -> int:
+        """A run id above all claimed so far; the file that claims it is made by one caller only."""
+        fs, folder = self._path(f"{self.base}/_claims")
+        fs.mkdirs(folder)
+        run = 1 + max((int(s.getPath().getName()) for s in fs.listStatus(folder)), default=0)
+        while not fs.createNewFile(self._path(f"{self.base}/_claims/{run}")[1]):
+            run += 1
+        return run
+
+    def _begin(self, name: str, root_path: str, observations: DataFrame, resumed: int | None) -> tuple[int, DataFrame]:
+        run = self.claim_run_id() if resumed is None else resumed
+        if resumed is not None:
+            if self.all_rows("runs").where(F.col("run_id") == run).limit(1).count():
+                raise LoadRefused(f"run {run} has ended")
+            if self.changed_payloads(observations, run).limit(1).count():
+                raise LoadRefused(f"observations of run {run} have changed")
         one = self.spark.range(1).select(F.lit(name).alias("name"), F.lit(root_path).alias("root_path"), F.lit(None).cast("string").alias("remote_url"), F.current_timestamp().alias("created_at"), F.lit(run).alias("run_id"))
-        self._append("repositories", one)
-        self._append("raw_observations", with_payload_hash(observations.withColumn("run_id", F.lit(run))).withColumn("root_path", F.lit(root_path)))
-        return run, self.all_rows("raw_observations").where(F.col("run_id") == run)
+        self._put("repositories", one)
+        self._put("raw_observations", with_payload_hash(observations.withColumn("run_id", F.lit(run))).withColumn("root_path", F.lit(root_path)))
+        return run, self.all_rows("raw_observations").where((F.col("run_id") == run) & (F.col("root_path") == root_path))
 
     def _end(self, run: int, root_path: str, status: str, git_commit: str | None) -> Load:
         now = F.current_timestamp()
@@ -104,19 +138,34 @@ class Store:
             F.lit(run).alias("run_id"), F.lit(root_path).alias("root_path"), F.lit(git_commit).cast("string").alias("git_commit"), now.alias("started_at"), now.alias("finished_at"),
             F.lit(status).alias("status"), F.lit("{}").alias("tool_versions"),
         )
-        self._append("runs", row.coalesce(1))
+        self._put("runs", row.coalesce(1))
         return Load(run, status)
 
     def _tagged(self, df: DataFrame, run: int, root_path: str) -> DataFrame:
         return df.withColumns({"run_id": F.lit(run), "root_path": F.lit(root_path)})
 
+    @contextmanager
+    def _graph(self, raw: DataFrame, run: int) -> Iterator[Graph]:
+        """The run's graph, over rows that are interpreted once and dropped at the end."""
+        path = f"{self.base}/_interpreted/{run}"
+
+        def keep(rows: DataFrame) -> DataFrame:
+            rows.write.mode("overwrite").parquet(path)
+            return self.spark.read.schema(rows.schema).parquet(path)
+
+        try:
+            yield canonicalize(raw, keep)
+        finally:
+            fs, p = self._path(path)
+            fs.delete(p, True)
+
     def _write_graph(self, graph: Graph, run: int, root_path: str) -> None:
         for table, df in graph.tables().items():
-            self._append(table, self._tagged(df, run, root_path))
+            self._put(table, self._tagged(df, run, root_path))
 
     def _write_legacy(self, raw: DataFrame, run: int, root_path: str) -> None:
         files = legacy.files(raw)
-        put = lambda t, df: self._append(t, self._tagged(df, run, root_path))
+        put = lambda t, df: self._put(t, self._tagged(df, run, root_path))
         put("files", files.withColumn("seq", F.lit(0)))
         n = legacy.relationships(raw)
         source = n.select(F.col("src_key").alias("stable_key"), F.col("src_kind").alias("kind"), F.col("src_name").alias("name"), "path", "start_line", "end_line", F.col("src_metadata").alias("metadata"), (F.col("ordinal") * 2).alias("seq"))
@@ -134,30 +183,31 @@ class Store:
         put("evidence", last(seen))
         put("edges", last(n.select(F.col("edge_key").alias("stable_key"), F.col("edge_kind").alias("kind"), "src_key", "dst_key", "confidence", "evidence_key", F.lit("{}").alias("metadata"), F.col("ordinal").alias("seq"))))
 
-    def load(self, observations: DataFrame, name: str, root_path: str, git_commit: str | None = None) -> Load:
-        """Legacy, raw and canonical rows in one run; refused if canonicalization has an error."""
-        graph = canonicalize(observations)
-        if not is_loadable(graph):
-            raise LoadRefused("canonicalization has errors")
-        run, raw = self._begin(name, root_path, observations)
-        self._write_legacy(raw, run, root_path)
-        self._write_graph(canonicalize(raw), run, root_path)
+    def load(self, observations: DataFrame, name: str, root_path: str, git_commit: str | None = None, resumed: int | None = None) -> Load:
+        """Legacy, raw and canonical rows in one run; refused, without a run, if canonicalization has an error.
+        resumed: the id of a run that did not end."""
+        run, raw = self._begin(name, root_path, observations, resumed)
+        with self._graph(raw, run) as graph:
+            if not is_loadable(graph):
+                raise LoadRefused("canonicalization has errors")
+            self._write_legacy(raw, run, root_path)
+            self._write_graph(graph, run, root_path)
         return self._end(run, root_path, "complete", git_commit)
 
-    def load_canonical(self, observations: DataFrame, name: str, root_path: str, git_commit: str | None = None) -> Load:
+    def load_canonical(self, observations: DataFrame, name: str, root_path: str, git_commit: str | None = None, resumed: int | None = None) -> Load:
         """Raw and canonical rows; on an error the raw rows stay, in a run that failed, and LoadRefused is raised."""
-        run, raw = self._begin(name, root_path, observations)
-        graph = canonicalize(raw)
-        if not is_loadable(graph):
-            self._append("diagnostics", self._tagged(graph.diagnostics, run, root_path))
-            self._end(run, root_path, "failed", git_commit)
-            raise LoadRefused("canonicalization has errors")
-        self._write_graph(graph, run, root_path)
+        run, raw = self._begin(name, root_path, observations, resumed)
+        with self._graph(raw, run) as graph:
+            if not is_loadable(graph):
+                self._put("diagnostics", self._tagged(graph.diagnostics, run, root_path))
+                self._end(run, root_path, "failed", git_commit)
+                raise LoadRefused("canonicalization has errors")
+            self._write_graph(graph, run, root_path)
         return self._end(run, root_path, "complete", git_commit)
 
-    def load_files(self, observations: DataFrame, name: str, root_path: str, git_commit: str | None = None) -> Load:
+    def load_files(self, observations: DataFrame, name: str, root_path: str, git_commit: str | None = None, resumed: int | None = None) -> Load:
         """Legacy and raw rows only."""
-        run, raw = self._begin(name, root_path, observations)
+        run, raw = self._begin(name, root_path, observations, resumed)
         self._write_legacy(raw, run, root_path)
         return self._end(run, root_path, "complete", git_commit)
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairngraph.functions.keys import KEY_VERSION
+
 
 def meta(name: str) -> Column:
     return F.get_json_object("metadata", f"$.{name}")
@@ -296,3 +298,12 @@ def canonical_storage(store) -> DataFrame:
 def storage(store) -> DataFrame:
     row = counts(runs=store.rows("runs"), files=store.current("files"), nodes=store.current("nodes"), edges=store.current("edges"), evidence=store.current("evidence"))
     return row.crossJoin(store.rows("runs").agg(F.max("run_id").alias("latest_run_id")))
+
+
+def by_root(store) -> DataFrame:
+    """A row a root: its name, its latest run and the counts of its tables."""
+    out = store.projects().select("root_path", F.col("name").alias("repository_name"), F.col("run_id").alias("latest_run_id"), F.lit(KEY_VERSION).alias("graph_key_version"))
+    frames = {"runs": store.rows("runs"), **{t: store.current(t) for t in ("files", "nodes", "edges", "evidence")}}
+    for name, df in frames.items():
+        out = out.join(df.groupBy("root_path").agg(F.count(F.lit(1)).alias(name)), "root_path", "left")
+    return out.na.fill(0, list(frames))

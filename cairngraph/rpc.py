@@ -6,18 +6,20 @@ import json
 from typing import TextIO
 
 from cairngraph import api
+from cairngraph.plans import ops
 from cairngraph.plans.store import Store
 
 PROTOCOL = "2024-11-05"
 MOST_ROWS = 100
 
 
-def tools() -> list[dict]:
-    return [{"name": n.replace("-", "_"), "description": f"{n.replace('-', ' ')} of the stored graph", "inputSchema": {"type": "object"}} for n in api.OPERATIONS]
+def tools(registry: ops.Registry | None = None) -> list[dict]:
+    names = [*api.OPERATIONS, *(api.REGISTRY_OPERATIONS if registry else ())]
+    return [{"name": n.replace("-", "_"), "description": f"{n.replace('-', ' ')} of the stored graph", "inputSchema": api.schema(n)} for n in names]
 
 
-def answer(store: Store, request: dict) -> dict | None:
-    """The response to a request; None for a notification."""
+def answer(store: Store, request: dict, registry: ops.Registry | None = None) -> dict | None:
+    """The response to a request; None for a notification. With a registry, the tools over configured graphs answer too."""
     if request.get("jsonrpc") != "2.0" or not isinstance(request.get("method"), str):
         return _error(request.get("id"), -32600, "invalid request")
     method, params, id_ = request["method"], request.get("params") or {}, request.get("id")
@@ -28,15 +30,22 @@ def answer(store: Store, request: dict) -> dict | None:
     if method == "ping":
         return _result(id_, {})
     if method == "tools/list":
-        return _result(id_, {"tools": tools()})
+        return _result(id_, {"tools": tools(registry)})
     if method != "tools/call":
         return _error(id_, -32601, "unknown method")
     name, given = str(params.get("name", "")).replace("_", "-"), params.get("arguments") or {}
-    if name not in api.OPERATIONS:
+    if name in api.OPERATIONS:
+        run = lambda: api.OPERATIONS[name](store, given)
+    elif registry is not None and name in api.REGISTRY_OPERATIONS:
+        run = lambda: api.REGISTRY_OPERATIONS[name](store, registry, given)
+    else:
         return _error(id_, -32602, "unknown tool")
+    known = api.schema(name)
+    if (odd := sorted(set(given) - set(known["properties"]))) or (odd := sorted(set(known["required"]) - set(given))):
+        return _error(id_, -32602, f"unknown or missing arguments: {', '.join(odd)}")
     try:
         limit = min(MOST_ROWS, int(given.get("limit", MOST_ROWS)))
-        rows = api.records(api.OPERATIONS[name](store, given), limit + 1)
+        rows = api.records(run(), limit + 1)
         body = {"rows": api.sanitized(rows[:limit]), "has_more": len(rows) > limit}
     except (ValueError, KeyError) as e:
         return _result(id_, {"isError": True, "content": [{"type": "text", "text": api.truncated(str(e))}]})
@@ -51,7 +60,7 @@ def _error(id_: object, code: int, message: str) -> dict:
     return {"jsonrpc": "2.0", "id": id_, "error": {"code": code, "message": message}}
 
 
-def serve(store: Store, lines: TextIO, out: TextIO) -> None:
+def serve(store: Store, lines: TextIO, out: TextIO, registry: ops.Registry | None = None) -> None:
     for line in lines:
         if not line.strip():
             continue
@@ -60,7 +69,7 @@ def serve(store: Store, lines: TextIO, out: TextIO) -> None:
         except ValueError:
             done = _error(None, -32700, "parse error")
         else:
-            done = answer(store, request) if isinstance(request, dict) else _error(None, -32600, "invalid request")
+            done = answer(store, request, registry) if isinstance(request, dict) else _error(None, -32600, "invalid request")
         if done is not None:
             out.write(json.dumps(done, sort_keys=True) + "\n")
             out.flush()

@@ -91,7 +91,7 @@ def test_store_appends_runs_and_keeps_first_and_last_seen(spark, tmp_path):
         store.load(from_rows(spark, [obs("file", "/abs")]), "r", "/r")
     with pytest.raises(LoadRefused):
         store.load_canonical(from_rows(spark, [obs("file", "/abs")]), "r", "/r")
-    assert {r.run_id: r.status for r in store.rows("runs").collect()} == {1: "complete", 2: "complete", 3: "failed"}
+    assert {r.run_id: r.status for r in store.rows("runs").collect()} == {1: "complete", 2: "complete", 4: "failed"}
     assert [r.path for r in legacy.entrypoints(store.current("files")).collect()] == ["a.sh"]
     m = legacy.host_mutator_summary(legacy.host_mutators(store.rows("raw_observations"))).collect()
     assert [(r.category, r.tool, r.n, r.privileged) for r in m] == [("package-management", "brew", 1, 1)]

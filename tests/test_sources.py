@@ -111,7 +111,7 @@ def test_every_operation_answers(spark, tmp_path):
     (tmp_path / "r" / "a.sh").write_text("source ./b.sh\nnix build\n")
     store = Store(spark, str(tmp_path / "store"))
     store.load(repository.discover(spark, str(tmp_path / "r")), "r", "/r")
-    given = {"node": "file:a.sh", "source": "file:a.sh", "kind": None, "target": "tool:nix", "query": "a", "source_id": "x", "direction": "both"}
+    given = {"node": "file:a.sh", "source": "file:a.sh", "kind": None, "target": "tool:nix", "query": "a", "source_id": "x", "direction": "both", "item": "feed.item:file%3Aa:x"}
     for name, op in api.OPERATIONS.items():
         a = dict(given)
         if name in ("edges", "canonical-edges"):
