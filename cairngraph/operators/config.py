@@ -127,6 +127,10 @@ def structured(path: str, content: str, fmt: str) -> Iterator[dict]:
     yield from found
     if path.rpartition("/")[2] == "package.json" and isinstance(value, dict):
         yield from npm(path, value)
+    if path.rpartition("/")[2] == "pyproject.toml":
+        yield from pyproject(path, value)
+    if path.endswith(".tf.json") and isinstance(value, dict):
+        yield from terraform_json(path, value)
     yield from profiles(path, value)
 
 
@@ -144,11 +148,47 @@ def yaml(path: str, content: str) -> Iterator[dict]:
             yield o | {"source_id": f"{o['source_id']}:document-{i}"} if len(values) > 1 else o
 
 
+# Configurations known by their file names.
+TOOL_CONFIGS = {"jest.config.json": "jest.config", "nest-cli.json": "nest.config", "playwright.config.json": "playwright.config"}
+PROFILES = {
+    "package.json": "package_json", "pyproject.toml": "python", "angular.json": "angular", "jest.config.json": "jest_config", "nest-cli.json": "nest_config",
+    "playwright.config.json": "playwright_config",
+}
+#: Packages that tell of a framework.
+FRAMEWORKS = {
+    "@angular/core": "angular", "@nestjs/core": "nestjs", "@playwright/test": "playwright", "express": "express", "jest": "jest", "jquery": "jquery", "next": "next", "react": "react",
+    "typescript": "typescript", "vue": "vue",
+}
+
+
+def profile_of(path: str, value: dict) -> str | None:
+    """The kind of configuration that a document is, by its name or by what it declares."""
+    name = path.rpartition("/")[2]
+    if name in PROFILES:
+        return PROFILES[name]
+    if re.match(r"tsconfig.*\.json$", name):
+        return "typescript_config"
+    if name.endswith(".tf.json"):
+        return "terraform_json"
+    if value.get("openapi") or value.get("swagger"):
+        return "openapi"
+    if isinstance(value.get("databaseChangeLog"), list):
+        return "liquibase"
+    if isinstance(value.get("apiVersion"), str) and isinstance(value.get("kind"), str):
+        return "argocd" if value["apiVersion"].startswith("argoproj.io/") else "kubernetes_json"
+    return None
+
+
 def profiles(path: str, value: object) -> Iterator[dict]:
     """Facts of well-known kinds of configuration, whatever the format they are written in."""
     if not isinstance(value, dict):
         return
     make = lambda kind, source, /, **kw: observation(kind, path, source, NAME, "extracted", **kw)
+    known = profile_of(path, value)
+    if known:
+        yield make("ecosystem.config_profile", f"config-profile:{known}", name=known, profile=known, raw_profile_only=True)
+    if tool := TOOL_CONFIGS.get(path.rpartition("/")[2]):
+        yield make(tool, tool.replace(".", "-"), name=path.rpartition("/")[2], declared_sections=sorted(map(str, value)), raw_profile_only=True)
     if value.get("openapi") or value.get("swagger"):
         yield from openapi(path, value)
     meta = value.get("metadata") if isinstance(value.get("metadata"), dict) else {}
@@ -285,16 +325,105 @@ def requirements(path: str, content: str) -> Iterator[dict]:
             yield make("parse_error", f"parse-error:{n}", n, error_kind="malformed-requirement", recovered=True)
 
 
+def pyproject(path: str, value: dict) -> Iterator[dict]:
+    """What a pyproject.toml declares: project, dependencies and their groups, entry points, build system, tools."""
+    make = lambda kind, source, /, **kw: observation(f"python.{kind}", path, source, NAME, "extracted", source_format="pyproject.toml", raw_profile_only=True, **kw)
+    table = lambda of, name: of[name] if isinstance(of.get(name), dict) else {}
+    plain = lambda v: value_summary(v) if isinstance(v, str) else None
+    project, build = table(value, "project"), table(value, "build-system")
+
+    def needed(items: object, group: str) -> Iterator[dict]:
+        for i, item in enumerate(items if isinstance(items, list) else []):
+            m = _REQUIREMENT.match(item.strip()) if isinstance(item, str) else None
+            if m is None:
+                yield make("parse_error", f"python-parse-error:{group}:{i}", error_kind="malformed-pyproject-dependency" if isinstance(item, str) else "unsupported-pyproject-dependency", recovered=True)
+                continue
+            direct = re.search(r"@\s*(\S+)", item)
+            extras = [x.strip() for x in (m[2] or "").split(",") if x.strip()]
+            yield make("requirement", f"requirement:{group}:{i}:{m[1].lower()}", name=m[1], dependency_group=group, extras=extras, version_constraint=m[3].strip() or None, marker=(m[4] or "").strip() or None, direct_url=bool(direct) or None)
+            if direct:
+                url = redact_url(direct[1])
+                yield make("reference", f"reference:{group}:{i}", name=url, target=K.key("external.url", url), reference_kind="vcs_url" if url.startswith("git+") else "direct_url", not_fetched=True)
+
+    if project:
+        optional = table(project, "optional-dependencies")
+        yield make(
+            "pyproject", "python-pyproject", name=plain(project.get("name")) or "pyproject.toml", project_name=plain(project.get("name")), project_version=plain(project.get("version")),
+            dependency_count=len(project["dependencies"]) if isinstance(project.get("dependencies"), list) else 0, dynamic_metadata=[x for x in project.get("dynamic") or [] if isinstance(x, str)] or None,
+            optional_dependency_groups=sorted(optional) or None,
+        )
+        yield from needed(project.get("dependencies"), "project.dependencies")
+        for group in sorted(optional):
+            where = f"project.optional-dependencies.{group}"
+            yield make("dependency_group", f"python-dependency-group:{group}", name=group, dependency_group=where, optional_group=group, dependency_count=len(optional[group]) if isinstance(optional[group], list) else 0)
+            yield from needed(optional[group], where)
+        named = {f"project.{n}": table(project, n) for n in ("scripts", "gui-scripts")} | {f"project.entry-points.{n}": table(table(project, "entry-points"), n) for n in sorted(table(project, "entry-points"))}
+        for group, points in named.items():
+            for n in sorted(points):
+                yield make("entry_point", f"python-entry-point:{group}:{n}", name=n, entry_point_group=group, entry_point_name=n, entry_point_target=plain(points[n]))
+    if build:
+        yield make("build_system", "python-build-system", name=plain(build.get("build-backend")) or "build-system", build_backend=plain(build.get("build-backend")), requires_count=len(build["requires"]) if isinstance(build.get("requires"), list) else 0)
+        yield from needed(build.get("requires"), "build-system.requires")
+    for n in sorted(table(value, "tool")):
+        yield make("tool_config", f"python-tool-config:{n}", name=n, tool_name=n, tool_section=f"tool.{n}")
+    for group in sorted(table(value, "dependency-groups")):
+        yield from needed(value["dependency-groups"][group], f"dependency-groups.{group}")
+
+
+_TF_JSON = {"provider": "provider", "variable": "variable", "output": "output", "module": "module", "resource": "resource", "data": "data_source", "check": "check"}
+
+
+def terraform_json(path: str, value: dict) -> Iterator[dict]:
+    """Terraform written as JSON: the same facts as of its own language."""
+    make = lambda kind, source, /, **kw: observation(f"terraform.{kind}", path, source, NAME, "extracted", profile="terraform_json", **kw)
+    table = lambda of, name: of[name] if isinstance(of.get(name), dict) else {}
+    yield make("file", "terraform-file", file_family="tf", variant="tf.json", declared_sections=sorted(map(str, value)))
+    own = table(value, "terraform")
+    if isinstance(own.get("required_version"), str):
+        yield make("required_version", "terraform-required-version", version_constraint=own["required_version"])
+    for n, p in sorted(table(own, "required_providers").items()):
+        yield from provider(make, path, n, p if isinstance(p, dict) else {"version": p}, None)
+    for n in sorted(table(own, "backend")):
+        yield make("backend", f"terraform-backend:{n}", name=n, backend_type=n)
+    for n in sorted(table(value, "locals")):
+        yield make("local", f"terraform-local:{n}", name=n, redacted=secret_name(n) or None)
+    for block, kind in _TF_JSON.items():
+        for a, body in sorted(table(value, block).items()):
+            labels = [[a, b] for b in sorted(body)] if block in ("resource", "data") and isinstance(body, dict) else [[a]]
+            for label in labels:
+                yield make(kind, f"terraform-{block}:{'.'.join(label)}", name=".".join(label), block_type=block, labels=label)
+            if block == "module" and isinstance(body, dict) and isinstance(body.get("source"), str):
+                yield module_source(make, path, body["source"], f"terraform-reference:{a}", None)
+
+
+def provider(make, path: str, name: str, fields: dict, line: int | None) -> Iterator[dict]:
+    """A required provider, and the registry address that it names."""
+    text = lambda n: fields[n] if isinstance(fields.get(n), str) else None
+    yield make("required_provider", f"terraform-required-provider:{name}", line=line, name=name, provider_source=text("source"), version_constraint=text("version"))
+    if text("source"):
+        yield make("reference", f"terraform-provider-source:{name}", line=line, name=fields["source"], target=K.external("terraform.provider", fields["source"]), reference_kind="provider_source", not_fetched=True)
+
+
+def module_source(make, path: str, value: str, source: str, line: int | None) -> dict:
+    local = value.startswith(".")
+    target = reference_target(path, value)[0] if local else K.external("terraform.module", redact_url(value))
+    return make("reference", source, line=line, name=redact_url(value), target=target, reference_kind="module_source_local" if local else "module_source", not_fetched=not local)
+
+
 def npm(path: str, value: dict) -> Iterator[dict]:
     make = lambda kind, source, /, **kw: observation(f"npm.{kind}", path, source, NAME, "extracted", format="json", **kw)
     yield make("package", "npm-package", name=value.get("name"), package_version=value.get("version"), private=value.get("private"), module_type=value.get("type"))
     for group in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"):
         for n, v in (value.get(group) or {}).items() if isinstance(value.get(group), dict) else ():
             yield make("dependency", f"npm-dependency:{group}:{n}", name=n, dependency_group=group, version_constraint=redact_url(str(v)))
+            if n in FRAMEWORKS:
+                yield observation("ecosystem.framework_hint", path, f"framework-hint:{group}:{n}", NAME, "extracted", name=FRAMEWORKS[n], framework=FRAMEWORKS[n], package_name=n, dependency_group=group)
     for n, v in (value.get("scripts") or {}).items() if isinstance(value.get("scripts"), dict) else ():
         yield make("script", f"npm-script:{n}", name=n, command_summary=value_summary(str(v)), executed=False)
 
 
+#: Paths of a document that are described one by one; a diagnostic tells of more.
+MOST_PATHS = 128
 _VERBS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 
 
@@ -306,7 +435,9 @@ def openapi(path: str, value: dict) -> Iterator[dict]:
     for i, s in enumerate(value.get("servers") or []):
         if isinstance(s, dict) and isinstance(s.get("url"), str):
             yield make("server", f"openapi-server:{i}", name=redact_url(s["url"]), not_fetched=True)
-    for where, item in list((value.get("paths") or {}).items())[:128]:
+    if isinstance(value.get("paths"), dict) and len(value["paths"]) > MOST_PATHS:
+        yield make("parse_error", "openapi-parse-error:path-limit", error_kind="openapi-path-limit", path_count=len(value["paths"]), kept=MOST_PATHS, recovered=True)
+    for where, item in list((value.get("paths") or {}).items())[:MOST_PATHS]:
         yield make("path", f"openapi-path:{where}", name=where, path_template=where)
         for verb in _VERBS if isinstance(item, dict) else ():
             op = item.get(verb)
@@ -330,6 +461,9 @@ def openapi(path: str, value: dict) -> Iterator[dict]:
         if isinstance(t, dict) and t.get("name"):
             yield make("tag", f"openapi-tag:{t['name']}", name=t["name"])
     for parts_, v, _ in walk(value, [], False):
+        if parts_[-1] in ("example", "examples", "default"):
+            yield make("example", f"openapi-example:{pointer(parts_)}", name=pointer(parts_), value_type=value_type(v), example_kind=parts_[-1], redacted=True)
+            yield make("redaction", f"openapi-redaction:{pointer(parts_)}", name=pointer(parts_), redaction_reason="openapi-example-summary-only")
         if parts_[-1] == "$ref" and isinstance(v, str):
             scope = "internal" if v.startswith("#") else "remote" if re.match(r"(?i)https?:", v) else "local_file"
             yield make("reference", f"openapi-reference:{pointer(parts_)}", name=redact_url(v), reference_scope=scope, not_fetched=scope != "internal")
@@ -364,13 +498,30 @@ def hcl(path: str, content: str) -> Iterator[dict]:
         kind = _HCL_KINDS.get(m[1])
         yield make(kind or "block", f"terraform-{m[1]}:{'.'.join(labels) or n}", line=line(m.start(1)), name=".".join(labels) or m[1], block_type=m[1], labels=labels)
         end = next((i for i in range(m.end(), len(plain)) if depth_at[i] and depth_at[i + 1] == 0), len(plain))
+        if m[1] == "terraform":
+            yield from _settings(make, path, plain[m.end() : end], lambda at, start=m.end(): line(start + at))
+        if m[1] == "locals":
+            for a in re.finditer(r"(?m)^\s*([A-Za-z_][\w-]*)\s*=", plain[m.end() : end]):
+                if depth_at[m.end() + a.start(1)] == 1:
+                    yield make("local", f"terraform-local:{a[1]}", line=line(m.end() + a.start(1)), name=a[1], redacted=secret_name(a[1]) or None)
         for a in re.finditer(r'(?m)^\s*([\w-]+)\s*=\s*"([^"\n]*)"', plain[m.end() : end]):
             at = line(m.end() + a.start(1))
             if secret_name(a[1]):
                 yield make("redaction", f"terraform-redaction:{at}:{a[1]}", line=at, field_name=a[1], redaction_reason="secret-prone-terraform-attribute")
             elif m[1] == "module" and a[1] == "source":
-                local = a[2].startswith(".")
-                yield make("reference", f"terraform-reference:{at}", line=at, name=redact_url(a[2]), target=reference_target(path, a[2])[0] if local else K.external("terraform.module", redact_url(a[2])), reference_kind="module_source_local" if local else "module_source", not_fetched=not local)
+                yield module_source(make, path, a[2], f"terraform-reference:{at}", at)
+
+
+def _settings(make, path: str, body: str, line) -> Iterator[dict]:
+    """The inside of a `terraform` block: the version asked for, providers and the backend."""
+    for a in re.finditer(r'(?m)^\s*required_version\s*=\s*"([^"\n]*)"', body):
+        yield make("required_version", "terraform-required-version", line=line(a.start(1)), version_constraint=a[1])
+    for a in re.finditer(r'(?m)^\s*backend\s+"([^"\n]*)"\s*\{', body):
+        yield make("backend", f"terraform-backend:{a[1]}", line=line(a.start(1)), name=a[1], backend_type=a[1])
+    for a in re.finditer(r"required_providers\s*\{((?:[^{}]|\{[^{}]*\})*)\}", body):
+        for p in re.finditer(r'([\w-]+)\s*=\s*(?:\{([^{}]*)\}|"([^"\n]*)")', a[1]):
+            fields = dict(re.findall(r'(\w+)\s*=\s*"([^"\n]*)"', p[2])) if p[2] is not None else {"version": p[3]}
+            yield from provider(make, path, p[1], fields, line(a.start(1) + p.start(1)))
 
 
 def extract(path: str, content: str, context: Context) -> Iterator[dict]:

@@ -88,6 +88,36 @@ def extract(path: str, content: str, context: Context) -> Iterator[dict]:
             yield make("js.parse_error", "js-parse-error:limit", None, confidence="unknown", error_kind="framework-observation-limit", recovered=True)
 
 
+# jQuery's own methods, which are no plugins.
+_JQUERY_EVENTS = "on one click dblclick change submit ready keyup keydown keypress mouseenter mouseleave focus blur scroll resize hover"
+_JQUERY_OWN = frozenset((
+    _JQUERY_EVENTS + " addClass after ajax animate append appendTo attr before children closest contents css data delay detach each empty end eq fadeIn fadeOut filter find first get getJSON has height"
+    " hide html index insertAfter insertBefore is last length load map next not off offset outerHeight outerWidth parent parents position prepend prev prop remove removeAttr removeClass replaceWith"
+    " scrollTop serialize show siblings slice slideDown slideToggle slideUp stop text toggle toggleClass trigger unbind val width wrap"
+).split())
+
+
+def _jquery(make, path: str, line: str, n: int, context: Context) -> Iterator[dict]:
+    """Selectors, events, requests and plugins of a line; each also as a fact of the document that it touches."""
+
+    def both(kind: str, generic: str, at: object, /, **kw: object) -> Iterator[dict]:
+        yield make(f"jquery.{kind}", f"jquery-{kind}:{n}:{at}", n, **kw)
+        yield make(f"js.{generic}", f"js-{generic}:{n}:{at}", n, framework="jquery", **kw)
+
+    for m in re.finditer(r"(?:\$|jQuery)\(\s*(['\"])([^'\"]+)\1", line):
+        yield from both("selector", "dom_selector", m.start(), name=m[2][:120])
+    for m in re.finditer(rf"\.({_JQUERY_EVENTS.replace(' ', '|')})\(\s*(?:(['\"])([^'\"]+)\2)?", line):
+        event = m[3] if m[1] in ("on", "one") and m[3] else m[1]
+        yield from both("event", "dom_event", m.start(), name=event, event_name=event, event_method=m[1])
+    for m in re.finditer(r"(?:\$|jQuery)\.(ajax|get|post|getJSON)\(\s*(?:(['\"])([^'\"]+)\2|\{.*?\burl\s*:\s*(['\"])([^'\"]+)\4)?", line):
+        url = m[3] or m[5]
+        target, reason = specifier(path, url, context) if url else (K.dynamic("js.reference", "computed-url"), "dynamic")
+        yield from both("ajax", "ajax_reference", m.start(), name=m[1], target=target, ajax_method=m[1], url_summary=redact_url(url)[:160] if url else None, resolution_reason=reason, not_fetched=True)
+    for m in re.finditer(r"(?:\$|jQuery)\([^)]*\)\.(\w+)\(|(?:\$|jQuery)\.fn\.(\w+)\s*=", line):
+        if (m[1] or m[2]) not in _JQUERY_OWN:
+            yield make("jquery.plugin_reference", f"jquery-plugin:{n}:{m.start()}", n, name=m[1] or m[2], plugin_name=m[1] or m[2], not_executed=True)
+
+
 def _facts(make, path: str, content: str, context: Context, module: str, prof: str) -> Iterator[dict]:
     suite: str | None = None
     class_name: str | None = None
@@ -143,24 +173,27 @@ def _facts(make, path: str, content: str, context: Context, module: str, prof: s
                 yield make("jest.test", f"jest-test:{n}", n, name=m[3])
         if k := len(re.findall(r"\bexpect\(", line)):
             yield make("js.test_expectation", f"js-expect:{n}", n, expectation_count=k)
+            matchers = re.findall(r"\)\s*(?:\.not)?\.(to\w+)\(", line)
+            yield make("jest.expectation", f"jest-expect:{n}", n, name="expect", expectation_count=k, matchers=matchers, test_framework="jest", source_key=suite or module)
+        for i, m in enumerate(re.finditer(r"\b(?:jest|vi)\.(mock|fn|spyOn)\(", line)):
+            yield make("jest.mock", f"jest-mock:{n}:{i}", n, name=m[1], mock_kind=m[1], test_framework="jest")
         if prof == "express":
             for m in _EXPRESS.finditer(line):
                 yield make("express.route", f"express-route:{n}:{m[2]}", n, name=f"{m[2].upper()} {m[4]}", route_method=m[2].upper(), route_pattern=m[4], receiver=m[1])
                 yield make("js.route", f"js-route:{n}:{m[2]}", n, name=f"{m[2].upper()} {m[4]}", target=K.key("js.route", module, f"{m[2].upper()} {m[4]}"), source_key=module, route_method=m[2].upper(), route_pattern=m[4])
             if m := re.search(r"(\w+)\s*=\s*express(\.Router)?\(\)", line):
                 yield make("express.router" if m[2] else "express.app", f"express-app:{n}", n, name=m[1])
-            if re.search(r"\b\w+\.use\(", line):
+            if m := re.search(r"\b(\w+)\.use\((.*)$", line):
                 yield make("express.middleware", f"express-middleware:{n}", n)
+                if re.search(r"(?:function\s*\w*\s*)?\(?\s*(?:err|error)\s*,\s*\w+\s*,\s*\w+\s*,\s*\w+\s*\)", m[2]) or re.search(r"\b\w*[eE]rror\w*[hH]andler\b", m[2]):
+                    yield make("express.error_handler", f"express-error-handler:{n}", n, name="use", receiver=m[1])
+        for i, m in enumerate(re.finditer(r"@(\w+)\(([^)]*)\)", line) if prof == "nestjs" else ()):
+            yield make("nest.decorator", f"nest-decorator:{n}:{i}", n, name=m[1], decorator_name=m[1], decorator_args_summary=m[2].strip()[:160] or None)
         if prof == "nestjs" and (m := _NEST.match(line)):
             kind = {"Controller": "controller", "Module": "module", "Injectable": "provider"}.get(m[1], "route")
             yield make(f"nest.{kind}", f"nest-{kind}:{n}", n, name=m[2] or m[1], route_pattern=m[2], route_method=m[1].upper() if kind == "route" else None)
         if prof == "jquery":
-            for m in re.finditer(r"(?:\$|jQuery)\(\s*(['\"])([^'\"]+)\1", line):
-                yield make("jquery.selector", f"jquery-selector:{n}:{m.start()}", n, name=m[2][:120])
-            if re.search(r"\$\.(ajax|get|post|getJSON)\(", line):
-                yield make("jquery.ajax", f"jquery-ajax:{n}", n, not_fetched=True)
-            if m := re.search(r"\.(on|click|change|submit|ready)\(", line):
-                yield make("jquery.event", f"jquery-event:{n}", n, name=m[1])
+            yield from _jquery(make, path, line, n, context)
         if prof == "react" and (m := re.search(r"\b(use[A-Z]\w*)\(", line)):
             yield make("js.hook", f"js-hook:{n}:{m[1]}", n, name=m[1])
         if "process.env" in line and (m := re.search(r"process\.env\.(\w+)", line)):

@@ -7,7 +7,7 @@ import ast
 from collections.abc import Iterator
 
 from cairngraph.functions import keys as K
-from cairngraph.operators.base import Context, observation
+from cairngraph.operators.base import Context, observation, secret_name
 
 NAME = "cairn-python"
 ROOTS = ("src/main/python", "src/test/python", "src/test/unit/python", "src/test/int/python", "src")
@@ -88,7 +88,7 @@ def extract(path: str, content: str, context: Context) -> Iterator[dict]:
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             target = K.key("python.function", module, node.name)
             yield make("function", f"function:{node.lineno}:{node.name}", node, name=node.name, target=target, **{"async": isinstance(node, ast.AsyncFunctionDef)}, decorators=_decorators(node))
-    extra = [list(_tests(make, tree, path)) if _looks_like_test(path) else [], list(_web(make, tree, framework))]
+    extra = [list(_tests(make, tree, path)) if _looks_like_test(path) else [], list(_web(make, tree, framework, path.rpartition("/")[2] == "settings.py"))]
     for found in extra:
         yield from found[:MOST]
     if any(len(found) > MOST for found in extra):
@@ -121,7 +121,35 @@ def _tests(make, tree: ast.Module, path: str) -> Iterator[dict]:
 _APPS = {"Flask": "flask_app", "Blueprint": "flask_blueprint", "FastAPI": "fastapi_app", "APIRouter": "fastapi_router"}
 
 
-def _web(make, tree: ast.Module, framework: set[str]) -> Iterator[dict]:
+def _django_urls(make, patterns: list[ast.expr]) -> Iterator[dict]:
+    """URL patterns, the views that they name, and the modules that they include."""
+    for i, call in enumerate(patterns):
+        if not isinstance(call, ast.Call) or not call.args:
+            continue
+        where = call.args[0].value if isinstance(call.args[0], ast.Constant) else None
+        view = call.args[1] if len(call.args) > 1 else None
+        included = isinstance(view, ast.Call) and ast.unparse(view.func).rpartition(".")[2] == "include"
+        kind = "include" if included else ast.unparse(call.func).rpartition(".")[2]
+        shown = None if view is None or included else ast.unparse(view.func if isinstance(view, ast.Call) else view)[:160]
+        yield make("django_urlpattern", f"django-urlpattern:{i}", call, name=where, route_pattern=where, dynamic=where is None, urlpattern_kind=kind, view_name=shown, framework="django")
+        if shown:
+            yield make("django_view", f"django-view:{i}", call, name=shown, target=K.external("python.view", shown), view_name=shown, urlpattern_kind=kind, framework="django")
+            yield make("reference", f"django-view-reference:{i}", call, name=shown, target=K.external("python.view", shown), reference_kind="django_urlpattern_view", framework="django")
+        if included and view.args and isinstance(view.args[0], ast.Constant) and isinstance(view.args[0].value, str):
+            yield make("reference", f"django-include:{i}", call, name=view.args[0].value, target=K.external("python.module", view.args[0].value), reference_kind="django_include", framework="django")
+
+
+def _dependencies(node: ast.FunctionDef | ast.AsyncFunctionDef) -> Iterator[tuple[ast.Call, str, str | None]]:
+    """Depends(x) and Security(x) among a function's defaults and decorators: the call, its kind and x."""
+    a = node.args
+    given = [*a.defaults, *(d for d in a.kw_defaults if d), *(k.value for d in node.decorator_list if isinstance(d, ast.Call) for k in d.keywords if k.arg == "dependencies")]
+    for call in (c for g in given for c in ast.walk(g) if isinstance(c, ast.Call)):
+        kind = ast.unparse(call.func).rpartition(".")[2]
+        if kind in ("Depends", "Security"):
+            yield call, kind, ast.unparse(call.args[0])[:160] if call.args else None
+
+
+def _web(make, tree: ast.Module, framework: set[str], settings: bool = False) -> Iterator[dict]:
     kinds: dict[str, str] = {}
     for node in tree.body:
         if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
@@ -129,16 +157,28 @@ def _web(make, tree: ast.Module, framework: set[str]) -> Iterator[dict]:
             if called in _APPS:
                 kinds[node.targets[0].id] = _APPS[called]
                 yield make(_APPS[called], f"{_APPS[called]}:{node.targets[0].id}", node, name=node.targets[0].id, framework=_APPS[called].split("_")[0])
-        if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "urlpatterns" for t in node.targets) and isinstance(node.value, (ast.List, ast.Tuple)):
-            for i, call in enumerate(node.value.elts):
-                if isinstance(call, ast.Call) and call.args:
-                    where = call.args[0].value if isinstance(call.args[0], ast.Constant) else None
-                    yield make("django_urlpattern", f"django-urlpattern:{i}", call, name=where, route_pattern=where, dynamic=where is None, framework="django")
+        if isinstance(node, (ast.Assign, ast.AnnAssign)):
+            names = [t.id for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) if isinstance(t, ast.Name)]
+            if "urlpatterns" in names and isinstance(node.value, (ast.List, ast.Tuple)):
+                yield from _django_urls(make, node.value.elts)
+            for n in names if settings else ():
+                if n.isupper():
+                    hidden = secret_name(n)
+                    yield make("django_setting_reference", f"django-setting:{n}", node, name=n, setting_name=n, redacted=hidden, framework="django")
+                    if hidden:
+                        yield make("redaction", f"django-redaction:{n}", node, name=n, field_name=n, redaction_reason="secret-like-django-setting", framework="django")
     for node in ast.walk(tree):
         for receiver, verb, where, _ in _routes(node):
             app = kinds.get(receiver) or ("fastapi_app" if "fastapi" in framework else "flask_app" if "flask" in framework else None)
             if app:
                 kind = "flask_route" if app.startswith("flask") else "fastapi_route"
                 yield make(kind, f"{kind}:{getattr(node, 'name', '')}:{node.lineno}:{verb}", node, name=getattr(node, "name", None), route_method=verb.upper(), route_pattern=where, dynamic=where is None, framework=app.split("_")[0])
+        if "fastapi" in framework and isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            for i, (call, kind, what) in enumerate(_dependencies(node)):
+                yield make("fastapi_dependency", f"fastapi-dependency:{node.name}:{node.lineno}:{i}", call, name=what or kind, handler_name=node.name, dependency_name=what, dependency_kind=kind, framework="fastapi")
+                if what:
+                    yield make("reference", f"fastapi-dependency-reference:{node.name}:{node.lineno}:{i}", call, name=what, target=K.external("python.dependency", what), reference_kind="fastapi_dependency", framework="fastapi")
+        if isinstance(node, ast.ClassDef) and any(ast.unparse(b).endswith("AppConfig") for b in node.bases):
+            yield make("django_app", f"django-app:{node.name}", node, name=node.name, class_name=node.name, framework="django")
         if isinstance(node, ast.ClassDef) and "django" in framework and any(ast.unparse(b).endswith("models.Model") for b in node.bases):
             yield make("django_model", f"django-model:{node.name}", node, name=node.name, framework="django")

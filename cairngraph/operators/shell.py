@@ -118,4 +118,4 @@ def extract(path: str, content: str, context: Context) -> Iterator[dict]:
         if found := host_mutation(argv):
             own = found["effective_argv"]
             name = found["tool"] if found["category"] == "filesystem-mutation" else found["reason"] if found["tool"] == "nix" else shown(own)
-            yield make("shell.host_mutation", f"host-mutation:{n}:{slug(found['category'] + '-' + name)}", name, f"host.category:{found['category']}", argv=argv, **found)
+            yield make("shell.host_mutation", f"host-mutation:{n}:{slug(found['category'] + '-' + name)}", name, f"host:{found['category']}", argv=argv, **found)
