@@ -71,7 +71,9 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
-    size, digest = F.coalesce("stated_bytes", "bytes"), F.coalesce("stated_digest", "digest")
+    # A revisit holds no payload: what it states counts; a response's is computed from what was read.
+    told = lambda stated, read: F.when(F.col("type") == "revisit", F.col(stated)).otherwise(F.col(read))
+    size, digest = told("stated_bytes", "bytes"), told("stated_digest", "digest")
     return found.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "intact")
 
 

@@ -3,13 +3,16 @@
 Writing: a page's record is a response, or, where a page with an equal payload (of LEAST_SHARED_BYTES
 or more) and a larger id exists, a revisit that names it. Records are written by Spark's text sink
 with the record separator as line end, so any store that Spark writes can hold them and lost tasks
-are simply run again; files are gzipped and bounded to about ARCHIVE_BYTES each.
+are simply run again. Files are gzipped, one member each, without a warcinfo record, and hold about ARCHIVE_BYTES
+of records: pages far above the mean size go into files of their own, counted by the largest of them.
 
-Reading: a task takes one archive and emits, for every place where the magic stands, the offset and
-the offset of its successor as the header claims it. Magic also stands inside payloads, so these are
-only candidates. Pointer jumping from the file's start doubles the known part of the chain each round
-and keeps what it reaches; everything else is rejected. Payload digests are computed along
-the first well-formed candidates that do not overlap, which holds all that the chain can reach.
+Reading: a task takes one archive, inflates it in pieces of PIECE bytes and emits, for every place where the magic
+stands, the offset and the offset of its successor as the header claims it. Magic also stands inside payloads, so
+these are only candidates. Pointer jumping from the file's start doubles the known part of the chain each round
+and keeps what it reaches; everything else is rejected. Payload digests are computed in a second run over
+the pieces, along the first well-formed candidates that do not overlap, which holds all that the chain can reach.
+A task holds the compressed archive, its candidates' heads and what lies between a magic and the next blank line;
+payloads of any length pass through in pieces.
 
 Defined cases: a null html is an empty payload; a null url is written as about:blank; a null page_id
 takes part under the empty id (null when read) and is never referred to while another id has the payload; equal rows
@@ -21,9 +24,10 @@ follows a malformed record is not reached.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -34,8 +38,10 @@ from cairngraph.llm.common import drop, map_arrow, shared_folder, written
 
 LEAST_SHARED_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
-#: An inflated archive may have this many bytes at most: what one task holds.
-MOST_BYTES = 1 << 30
+#: Pages of so many times the mean size go into files of their own.
+FAR_ABOVE_MEAN = 16
+#: Bytes of an archive that are inflated at a time.
+PIECE = 1 << 20
 DATE = "2020-01-01T00:00:00Z"
 SEPARATOR = "\r\n\r\n"
 #: The HTTP header that stands before each payload.
@@ -93,9 +99,17 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> int:
     """Writes gzipped archives of about ARCHIVE_BYTES of records each into the folder; the number of records."""
     length = lambda c: F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
-    size = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(length(html) + length(url) + 600).alias("b")).first()
-    each = max(1, ARCHIVE_BYTES * size.n // size.b) if size.b else 1000
-    records(pages, page_id, url, html).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    whole = (length(html) + length(url) + 600).cast("long")
+    size = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(whole).alias("b"), F.max(whole).alias("most")).first()
+    far = FAR_ABOVE_MEAN * (size.b // size.n) if size.n else 0
+    # The value column's own length decides, so that revisits of long pages stay with the short records.
+    rows = records(pages, page_id, url, html)
+    short = F.octet_length("value") < far
+    parts = [(rows.where(short), max(1, ARCHIVE_BYTES * size.n // size.b))] if size.n else [(rows, 1000)]
+    if size.n and size.most >= far:
+        parts.append((rows.where(~short), max(1, ARCHIVE_BYTES // size.most)))
+    for part, each in parts:
+        part.write.mode("append").option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
     return size.n
 
 
@@ -107,66 +121,139 @@ class Candidate:
     block: tuple[int, int]
 
 
-def inflated(raw: bytes) -> bytes:
-    """The archive's bytes: gzip members, one or many, or plain."""
+def inflated(raw: bytes, piece: int = PIECE) -> Iterator[bytes]:
+    """The archive's bytes in pieces: gzip members, one or many, or plain."""
     if raw[:2] != b"\x1f\x8b":
-        return raw
-    out, size = [], 0
-    while raw[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(raw, MOST_BYTES + 1 - size))
-        size += len(out[-1])
-        if size > MOST_BYTES:
-            raise ValueError("an archive inflates beyond MOST_BYTES")
-        raw = d.unused_data
-    return b"".join(out)
-
-
-def candidates(data: bytes) -> Iterator[Candidate]:
-    """Every place of the magic, with the successor that its header claims. A header is as long as it is: the blank
-    line that ends it and the last length stated before that line are looked up once for all magic in front of them."""
-    known: dict[bytes, tuple[int, int, bytes]] = {}
-    for m in _MAGIC.finditer(data):
-        at, nl = m.start(), b"\r\n" if m[0].endswith(b"\r\n") else b"\n"
-        if nl not in known or 0 <= known[nl][0] < m.end() - len(nl):
-            known[nl] = _header_end(data, m.end(), nl)
-        stop, stated_at, stated = known[nl]
-        start = stop + 2 * len(nl)
-        length = stated.decode("utf-8", "replace") if stated_at >= m.end() else ""
-        if stop < 0 or not (length.isascii() and length.isdigit() and len(length) < 16):
-            yield Candidate(at, None, {}, (at, at))
-            continue
-        end = start + int(length)
-        tail = 4 if data[end : end + 4] == b"\r\n\r\n" else 2 if data[end : end + 2] == b"\n\n" and nl == b"\n" else 0
-        if not tail:
-            yield Candidate(at, None, {}, (start, end))
-            continue
-        head = {}
-        for line in data[m.end() : stop].split(nl):
-            name, colon, value = line.partition(b":")
-            if colon:
-                head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-        yield Candidate(at, end + tail, head, (start, end))
-
-
-def _header_end(data: bytes, begin: int, nl: bytes) -> tuple[int, int, bytes]:
-    """The place of the first blank line from begin on (-1: none), and place and value of the last length before it (-1: none)."""
-    stop = data.find(nl + nl, begin - len(nl))
-    at, found = begin, (-1, b"")
-    for line in data[begin:stop].split(nl) if stop >= 0 else ():
-        name, colon, value = line.partition(b":")
-        if colon and name.strip().lower() == b"content-length":
-            found = at, value.strip()
-        at += len(line) + len(nl)
-    return stop, *found
-
-
-def payload(data: bytes, c: Candidate) -> bytes:
-    block = data[c.block[0] : c.block[1]]
-    if c.head.get("content-type", "").lower().startswith("application/http"):
-        _, gap, rest = block.partition(b"\r\n\r\n")
-        return rest if gap else b""
-    return block
+        yield from (raw[i : i + piece] for i in range(0, len(raw), piece))
+        return
+    at = 0
+    while raw[at : at + 2] == b"\x1f\x8b":
+        member, fed = zlib.decompressobj(31), b""
+        while not member.eof:
+            if not fed:
+                fed = raw[at : at + piece]
+                at += len(fed)
+            out = member.decompress(fed, piece)
+            if out:
+                yield out
+            elif not fed:
+                return  # the member is cut off
+            fed = member.unconsumed_tail
+        at -= len(member.unused_data)
+
+
+#: The header lines that are kept.
+_HEADS = frozenset((
+    "warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "content-type", "content-length",
+    "x-page-id", "x-refers-to-page", "x-payload-length",
+))
+
+
+class _Candidates:
+    """The candidates of an archive that comes in pieces.
+
+    For each line end, the magic whose header has not ended yet waits (`waiting`); a header is as long as it is. Where it
+    has ended, the end of the record is awaited (`awaited`), while the bytes between are let go."""
+
+    def __init__(self) -> None:
+        self.held, self.base = b"", 0  # the bytes that may still be asked for, and where they begin
+        self.searched = 0  # no magic begins before it but those found
+        self.waiting: dict[bytes, list[tuple[int, int]]] = {b"\r\n": [], b"\n": []}  # (at, where the header's lines begin)
+        self.blank: dict[bytes, int] = {b"\r\n": 0, b"\n": 0}  # the blank line is searched from here
+        self.awaited: list[tuple[int, int, int, bytes, dict[str, str]]] = []  # heap of (end, at, start, line end, head)
+        self.found: list[Candidate] = []
+
+    def feed(self, piece: bytes, last: bool = False) -> None:
+        self.held += piece
+        stop = self.base + len(self.held)
+        for m in _MAGIC.finditer(self.held, self.searched - self.base):
+            nl = b"\r\n" if m[0].endswith(b"\r\n") else b"\n"
+            if not self.waiting[nl]:
+                self.blank[nl] = self.base + m.end() - len(nl)
+            self.waiting[nl].append((self.base + m.start(), self.base + m.end()))
+            self.searched = self.base + m.end()
+        self.searched = max(self.searched, stop - 9, self.base)
+        for nl in self.waiting:
+            self._headers(nl, stop, last)
+        while self.awaited and (self.awaited[0][0] + 4 <= stop or last):
+            self._settle(*heapq.heappop(self.awaited))
+        keep = min([self.searched, max(self.base, stop - 4), *(w[0][1] - len(nl) for nl, w in self.waiting.items() if w)])
+        self.held, self.base = self.held[keep - self.base :], keep
+
+    def _headers(self, nl: bytes, stop: int, last: bool) -> None:
+        """Ends the headers for which a blank line has come: all magic in front of one shares it and the lines before."""
+        waiting = self.waiting[nl]
+        done = 0
+        while done < len(waiting):
+            blank = self.held.find(nl + nl, self.blank[nl] - self.base)
+            if blank < 0:
+                self.blank[nl] = max(self.blank[nl], stop - 2 * len(nl) + 1)
+                break
+            blank += self.base
+            upto = done
+            while upto < len(waiting) and waiting[upto][1] - len(nl) <= blank:
+                upto += 1
+            start, head, before = blank + 2 * len(nl), {}, blank
+            begins = waiting[done][1]
+            lines = self.held[begins - self.base : max(begins, blank) - self.base].split(nl)
+            for at, first in reversed(waiting[done:upto]):  # the last line of a name counts, so the lines are read from the end
+                while lines and before > first:
+                    line = lines.pop()
+                    before -= len(line) + len(nl)
+                    name, colon, value = line.partition(b":")
+                    if colon and len(name) < 64 and (key := name.strip().lower().decode("latin-1")) in _HEADS and key not in head:
+                        head[key] = value.strip().decode("utf-8", "replace")
+                length = head.get("content-length", "")
+                if length.isascii() and length.isdigit() and len(length) < 16:
+                    heapq.heappush(self.awaited, (start + int(length), at, start, nl, dict(head)))
+                else:
+                    self.found.append(Candidate(at, None, {}, (at, at)))
+            done = upto
+            if done < len(waiting):
+                self.blank[nl] = waiting[done][1] - len(nl)
+        if last:
+            self.found += [Candidate(at, None, {}, (at, at)) for at, _ in waiting[done:]]
+            done = len(waiting)
+        del waiting[:done]
+
+    def _settle(self, end: int, at: int, start: int, nl: bytes, head: dict[str, str]) -> None:
+        i = end - self.base
+        tail = 4 if self.held[i : i + 4] == b"\r\n\r\n" else 2 if self.held[i : i + 2] == b"\n\n" and nl == b"\n" else 0
+        self.found.append(Candidate(at, end + tail, head, (start, end)) if tail else Candidate(at, None, {}, (start, end)))
+
+
+def candidates(pieces: Iterable[bytes]) -> list[Candidate]:
+    """Every place of the magic, with the successor that its header claims, in order."""
+    by = _Candidates()
+    for piece in pieces:
+        by.feed(piece)
+    by.feed(b"", True)
+    return sorted(by.found, key=lambda c: c.at)
+
+
+def digests(pieces: Iterable[bytes], chosen: Sequence[Candidate]) -> Iterator[tuple[str, int]]:
+    """SHA-1 and length of the payload of each chosen candidate; they are in order and do not overlap."""
+    pieces, piece, base = iter(pieces), b"", 0
+    for c in chosen:
+        at, end = c.block
+        in_http = c.head.get("content-type", "").lower().startswith("application/http")
+        digest, size, gap = hashlib.sha1(), 0, b""  # gap: the end of what may be the HTTP header
+        while at < end:
+            while base + len(piece) <= at:
+                base += len(piece)
+                piece = next(pieces)
+            part = piece[at - base : end - base]
+            at += len(part)
+            if in_http:
+                joined = gap + part
+                cut = joined.find(b"\r\n\r\n")
+                if cut < 0:
+                    gap = joined[-3:]
+                    continue
+                part, in_http = joined[cut + 4 :], False
+            digest.update(part)
+            size += len(part)
+        yield digest.hexdigest(), size
 
 
 _FIELDS = ("file string, at bigint, next bigint, type string, record_id string, uri string, page_id bigint, refers_to bigint,"
@@ -185,19 +272,20 @@ def scanned(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                name, data = batch.column(0)[i].as_py(), inflated(batch.column(1)[i].as_py())
-                rows, free = [], 0
-                for c in candidates(data):
-                    if c.next is None:
-                        continue
-                    digest = size = None
+                name, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                found = [c for c in candidates(inflated(raw)) if c.next is not None]
+                chosen, free = [], 0
+                for c in found:
                     if c.at >= free:
-                        body = payload(data, c)
-                        digest, size, free = hashlib.sha1(body).hexdigest(), len(body), c.next
+                        chosen.append(c)
+                        free = c.next
+                known = {c.at: d for c, d in zip(chosen, digests(inflated(raw), chosen), strict=True)}
+                rows = []
+                for c in found:
                     h = c.head
                     stated = h.get("warc-payload-digest", "")
                     rows.append((name, c.at, c.next, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), _number(h.get("x-page-id")),
-                                 _number(h.get("x-refers-to-page")), stated.removeprefix("sha1:") or None, _number(h.get("x-payload-length")), digest, size))
+                                 _number(h.get("x-refers-to-page")), stated.removeprefix("sha1:") or None, _number(h.get("x-payload-length")), *known.get(c.at, (None, None))))
                 cols = list(zip(*rows, strict=True)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
@@ -207,35 +295,33 @@ def scanned(spark: SparkSession, path: str) -> DataFrame:
     return map_arrow(files, run, _FIELDS)
 
 
-def reachable(chain: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, str]:
-    """(file, at) of the records that the chain(file, at, next) reaches from at = 0, by pointer jumping:
-    each round adds the successors of all that is known, then doubles the jumps.
+def reachable(chain: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(file, at) of the records that the chain(file, at, next) reaches from at = 0, by pointer jumping: each round lets
+    all that is known jump, and doubles the jumps. As a record has one successor, behind it, what is landed on was not known.
 
-    The joins are asked to be merge joins: paths compress so well that a file's size says little of what a
-    broadcast of it would take."""
+    Known places are jumps from nowhere (orig -1), so one join does both. The joins are asked to be merge joins: paths
+    compress so well that a file's size says little of what a broadcast of it would take."""
     spark = chain.sparkSession
-    records, records_at = written(chain.select("file", "at", "next"), "records")
-    jump, jump_at = records, None
-    known, known_at = written(records.where("at = 0").select("file", "at"), "known")
-    n = known.count()
+    places = chain.select("file", F.col("at").alias("next"))
+    steps = chain.select("file", F.col("at").alias("orig"), "next").join(places.hint("merge"), ["file", "next"], "left_semi")
+    jumps, *first = written(steps.select("file", "orig", F.col("next").alias("at")), "jumps")
+    known = chain.where("at = 0").select("file", F.lit(-1).cast("long").alias("orig"), "at")
     for _ in range(max_rounds):
-        landed = known.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("next").alias("at")).join(records.select("file", "at").hint("merge"), ["file", "at"], "left_semi")
-        more, more_at = written(known.union(landed).distinct(), "known")
-        m = more.count()
-        if m == n:
-            drop(spark, records_at, known_at, *filter(None, [jump_at]))
-            return more, more_at
-        far = jump.alias("a").join(jump.alias("b").hint("merge"), (F.col("a.file") == F.col("b.file")) & (F.col("a.next") == F.col("b.at")))
-        jumps, jumps_at = written(far.select("a.file", "a.at", "b.next"), "jumps")
-        drop(spark, known_at, *filter(None, [jump_at]))
-        known, known_at, n, jump, jump_at = more, more_at, m, jumps, jumps_at
+        further = jumps.select("file", F.col("orig").alias("at"), F.col("at").alias("to")).hint("merge")
+        new, new_at = written(known.unionByName(jumps).join(further, ["file", "at"]).select("file", "orig", F.col("to").alias("at")), "jumps")
+        landed = new.where("orig = -1")
+        if landed.limit(1).count() == 0:
+            drop(spark, new_at, *first)
+            return known.select("file", "at")
+        drop(spark, *first)
+        known, jumps, first = known.unionByName(landed), new.where("orig >= 0"), []  # the places landed on stay
     raise RuntimeError("the chain did not end")
 
 
 def _verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """All records that the boundary chain verifies, and their places."""
     found, _ = written(scanned(spark, path), "candidates")
-    kept, _ = reachable(found)
+    kept = reachable(found)
     intact = (F.col("type") == "revisit") | ((F.col("digest") == F.col("stated_digest")) & (F.col("bytes") == F.coalesce("stated_bytes", "bytes")))
     return found.join(kept.hint("merge"), ["file", "at"]).withColumn("intact", F.coalesce(intact, F.lit(False))), kept
 
