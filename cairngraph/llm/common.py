@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -30,10 +31,13 @@ def blank_words(text: bytes) -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor and the driver can reach.
-
-    Only where that setting is missing (tests, one machine) a folder of our own is taken."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder below spark.checkpoint.dir or, where that is unset, the context's checkpoint folder: every executor
+    and the driver reach it. On one machine only (master local) a folder of this machine may stand in for them."""
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not top and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    top = top or f"{tempfile.gettempdir()}/checkpoints"
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -7,10 +7,11 @@ penalties, so rare buckets keep weight zero) over a bounded sample of labelled r
 temperature is fitted on a part of the sample left out of training, so that scores are calibrated.
 
 Bounds: at most MAX_TRAIN rows in expectation, shared evenly by languages, are featurised on the
-executors and sent to the driver as sparse counts (at most BUCKETS of them each). Prediction reads
-every whole text.
+executors and sent to the driver as sparse counts: of a row the MOST_FEATURES most frequent buckets, with
+counts up to 65,535, so 8 KB at most however long its text. Prediction reads every whole text with all its features.
 
-Defined cases: a null text or one without letters is `und` with score 0; a null label takes no part
+Defined cases: a letter is what Unicode calls one (categories L): digits and other numbers (`½`, `Ⅷ`) are none. A null
+text or one without letters is `und` with score 0; a null label takes no part
 in training; without any labelled row every text is `und` with score 0; one label only: that label
 with score 1; rows are predicted alone, so null and repeated ids need no care; other columns are ignored.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ LENGTHS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 #: Labelled rows to train on, all languages together (the documented bound).
 MAX_TRAIN = 6000
+#: Buckets of a training row that are sent to the driver.
+MOST_FEATURES = 2048
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.001
 #: Every so many rows of the sample one is kept for the temperature.
@@ -41,14 +45,32 @@ UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+@cache
+def _numbers() -> np.ndarray:
+    """Which code points are numbers that neither `\\W` nor `\\d` takes, yet no letters."""
+    return np.fromiter((c.isalnum() and not c.isalpha() for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
+def _points(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, with a space for every run of other than letters."""
+    points = np.frombuffer(_OTHER.sub(" ", text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    number = _numbers()[points]
+    if number.any():
+        points = np.where(number, np.uint32(32), points)
+        points = points[np.append(True, (points[1:] != 32) | (points[:-1] != 32))]
+    if len(points) and points[0] == 32:
+        points = points[1:]
+    return points[:-1] if len(points) and points[-1] == 32 else points
+
+
 def counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Buckets and their counts; None without a letter."""
     if not text:
         return None
-    plain = _OTHER.sub(" ", text.decode("utf-8", "replace").lower()).strip(" ")
-    if not plain:
+    points = _points(text.decode("utf-8", "replace"))
+    if not len(points):
         return None
-    points = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.concatenate([[32], points, [32]]).astype(np.uint32)
     h = np.zeros(len(points), np.uint32)
     hashed = []
     for n in range(1, max(LENGTHS) + 1):
@@ -104,13 +126,13 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], frequencies: tuple[int,
     if not train:
         train, held = rows, rows
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
-    prepared = [(place[y], np.append(at, BUCKETS), np.append(model.vector(at, c), 1.0)) for y, at, c in train]
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in order.permutation(len(prepared)):
-            y, at, x = prepared[i]
+        for i in order.permutation(len(train)):
+            y, at, c = train[i]  # vectors are made anew each time: kept, they would take several times the counts' space
+            at, x = np.append(at.astype(np.int64), BUCKETS), np.append(model.vector(at, c), 1.0)
             w = _ftrl(z[at], n[at])
-            g = np.outer(x, _softmax(x @ w) - np.eye(k)[y])
+            g = np.outer(x, _softmax(x @ w) - np.eye(k)[place[y]])
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
     w = _ftrl(z, n)
@@ -152,18 +174,26 @@ def sample(df: DataFrame, label: str = "lang", text: str = "text", salt: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [counts(t) for t in texts(batch, 1)]
-            raw = [None if f is None else f[0].astype("<u2").tobytes() + f[1].astype("<u4").tobytes() for f in found]
+            found = [_most_frequent(counts(t)) for t in texts(batch, 1)]
+            raw = [None if f is None else f[0].astype("<u2").tobytes() + np.minimum(f[1], 65535).astype("<u2").tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.binary())], ["y", "h", "f"])
 
     got = map_arrow(drawn, run, "y string, h bigint, f binary").where("f IS NOT NULL").toArrow().sort_by([("h", "ascending"), ("f", "ascending")])
     out = []
     for y, f in zip(got.column("y").to_pylist(), got.column("f").to_pylist(), strict=True):
-        m = len(f) // 6
-        out.append((y, np.frombuffer(f[: 2 * m], "<u2").astype(np.int64), np.frombuffer(f[2 * m :], "<u4")))
+        both = np.frombuffer(f, "<u2").reshape(2, -1)
+        out.append((y, both[0], both[1]))
     return out
 
 
+def _most_frequent(f: tuple[np.ndarray, np.ndarray] | None, most: int = MOST_FEATURES) -> tuple[np.ndarray, np.ndarray] | None:
+    """The `most` buckets of the largest counts, the lowest first among equal ones; in order of the buckets."""
+    if f is None or len(f[0]) <= most:
+        return f
+    kept = np.sort(np.lexsort((f[0], -f[1]))[:most])
+    return f[0][kept], f[1][kept]
+
+
 def document_frequencies(df: DataFrame, label: str = "lang", text: str = "text") -> tuple[int, np.ndarray]:
     """The number of labelled rows with features, and of those with each bucket. A task hands on one row a bucket."""
     rows = df.where(F.col(label).isNotNull()).select(F.col(text).cast("string").alias("t"))
