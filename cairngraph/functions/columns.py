@@ -112,5 +112,7 @@ def pointer(*segments: Column) -> Column:
 
 def parsed_date(c: Column) -> Column:
     """RFC 822 and ISO dates as UTC ISO text, null for others."""
-    formats = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd")
-    return F.date_format(F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    plain = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")  # Spark parses no names of days
+    zoned = F.regexp_replace(plain, r"\s(?:GMT|UTC|UT|Z)$", " +0000")
+    formats = ("d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd")
+    return F.date_format(F.coalesce(*(F.try_to_timestamp(zoned, F.lit(f)) for f in formats)), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.plans import legacy
 from cairngraph.plans.canonicalize import Graph, canonicalize, is_loadable
+from cairngraph.plans.query import roots
 from cairngraph.schemas import TABLES
 from cairngraph.sources.observations import with_payload_hash
 
@@ -218,10 +219,15 @@ class Store:
 
     def orphans(self) -> DataFrame:
         """Canonical edges an end of which is no node: none, if loads were whole."""
-        nodes = self.current("canonical_nodes").select("root_path", F.col("canonical_key").alias("k"))
-        edges = self.current("canonical_edges")
-        lost = lambda end: edges.join(nodes, (edges.root_path == nodes.root_path) & (edges[end] == nodes.k), "left_anti").withColumn("end", F.lit(end))
-        return lost("source_key").unionByName(lost("target_key"))
+        return orphans(self.current("canonical_nodes"), self.current("canonical_edges"))
+
+
+def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges an end of which is no node (of their root, where both name one), with the `end` that is lost."""
+    root = roots(nodes, edges)
+    known = nodes.select(*root, F.col("canonical_key").alias("k"))
+    lost = lambda end: edges.withColumn("k", F.col(end)).join(known, [*root, "k"], "left_anti").select(*edges.columns, F.lit(end).alias("end"))
+    return lost("source_key").unionByName(lost("target_key"))
 
 
 def seen_view(rows: DataFrame, keys: list[str], values: list[str], order: Column | str = "run_id") -> DataFrame:

@@ -81,8 +81,7 @@ for _d, _where in (("in", f"target_key = '{NATION}'"), ("out", f"source_key = '{
 
 @registered("SELECT source_key, target_key FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE canonical_key = target_key) OR NOT EXISTS (SELECT 1 FROM n WHERE canonical_key = source_key)", "n", "er", "e")
 def fk_orphans_anti(spark: SparkSession, d: str) -> DataFrame:
-    n, e = G.nodes(spark, d).select(F.col("canonical_key").alias("k")), G.edges(spark, d).select("source_key", "target_key")
-    return e.join(n, e.source_key == n.k, "left_anti").union(e.join(n, e.target_key == n.k, "left_anti")).distinct()
+    return store.orphans(G.nodes(spark, d), G.edges(spark, d)).select("source_key", "target_key").distinct()
 
 
 @registered(
@@ -150,17 +149,20 @@ def normalized_graph(spark: SparkSession, d: str) -> DataFrame:
     return g.nodes.select("stable_key", "name").join(e, "stable_key")
 
 
-@registered(
-    "SELECT path, arg_min(name, ordinal) AS first_name, arg_max(name, ordinal) AS last_name, arg_max(k, ordinal) AS last_k, count(*) AS n FROM o GROUP BY path", "o",
-)
+@registered("SELECT path, arg_max(name, ordinal) AS name, arg_max(k, ordinal) AS k, min(ordinal) AS position FROM o GROUP BY path", "o")
 def node_merge_first_and_last(spark: SparkSession, d: str) -> DataFrame:
-    o = G.observations(spark, d).withColumn("k", summary.meta("k").cast("int"))
-    return o.groupBy("path").agg(F.min_by("name", "ordinal").alias("first_name"), F.max_by("name", "ordinal").alias("last_name"), F.max_by("k", "ordinal").alias("last_k"), F.count(F.lit(1)).alias("n"))
+    o = G.observations(spark, d).select("path", "name", summary.meta("k").cast("int").alias("k"), "ordinal")
+    return legacy.last_wins(o, ["path"], F.col("ordinal")).select("path", "name", "k", "position")
 
 
-@registered("SELECT path, count(DISTINCT name) AS kinds, count(DISTINCT name) > 1 AS conflict FROM o GROUP BY path", "o")
+@registered(
+    "SELECT 'file:' || path AS canonical_key, count(DISTINCT name) > 1 AS conflict, CASE WHEN count(DISTINCT name) > 1 THEN '{\"language\":[\"' || string_agg(name, '\",\"' ORDER BY first) || '\"]}'"
+    " ELSE '{\"language\":\"' || min(name) || '\"}' END AS metadata FROM (SELECT path, name, min(ordinal) AS first FROM o GROUP BY path, name) GROUP BY path", "o",
+)
 def conflict_detection(spark: SparkSession, d: str) -> DataFrame:
-    return G.observations(spark, d).groupBy("path").agg(F.count_distinct("name").alias("kinds")).withColumn("conflict", F.col("kinds") > 1)
+    """Events as file observations of one path a user: values of a field in the order of first sight."""
+    o = G.observations(spark, d).withColumns({"kind": F.lit("file"), "metadata": F.to_json(F.struct(F.col("name").alias("language")))})
+    return canonicalize.canonicalize(o).nodes.select("canonical_key", "conflict", "metadata")
 
 
 @registered(
@@ -205,9 +207,9 @@ def search_observations_paged(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT source_type AS profile, count(*) AS n FROM o GROUP BY source_type", "o")
 def profile_count_map(spark: SparkSession, d: str) -> DataFrame:
-    o = G.observations(spark, d).groupBy(summary.meta("source_type").alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    packed = o.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", "n")))).alias("m"))  # a row a profile
-    return packed.select(F.explode("m").alias("profile", "n"))
+    nodes = G.observations(spark, d).select(F.lit("event").alias("kind"), F.to_json(F.struct(summary.meta("source_type").alias("profile"))).alias("metadata"))
+    row = summary.run(summary.Summary(nodes={"events": summary.kind("event")}, profile_of="event"), nodes, nodes, nodes)
+    return row.select(F.explode("profile_counts").alias("profile", "n"))
 
 
 # --- scalar functions on documents and pages ----------------------------------------------------------------
@@ -215,7 +217,9 @@ def profile_count_map(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
 def sha256_content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return G._t(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = G._t(spark, d, "documents").select("doc_id", path.alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), F.lit(False).alias("executable"))
+    return repository.classify(files).select("doc_id", "content_hash")
 
 
 @registered(
@@ -226,10 +230,36 @@ def slugify_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(
-    "SELECT page_id, CASE WHEN length(trim(regexp_replace(html, '\\s+', ' ', 'g'))) > 160 THEN left(trim(regexp_replace(html, '\\s+', ' ', 'g')), 160) ELSE trim(regexp_replace(html, '\\s+', ' ', 'g')) END AS summary FROM pages"
+    "SELECT page_id, CASE WHEN s <> '' AND NOT regexp_matches(lower(html), 'password|passwd|secret|token|api_key|apikey|private_key|credential|authorization|bearer') THEN s END AS summary"
+    " FROM (SELECT page_id, html, left(trim(regexp_replace(html, '\\s+', ' ', 'g')), 160) AS s FROM pages)"
 )
 def text_summaries(spark: SparkSession, d: str) -> DataFrame:
-    return G._t(spark, d, "pages").select("page_id", F.substring(C.collapse(F.col("html")), 1, 160).alias("summary"))
+    return G._t(spark, d, "pages").select("page_id", C.safe_summary(F.col("html")).alias("summary"))
+
+
+@registered(
+    "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain,"
+    " CASE WHEN length(html) > 500 THEN left(html, 485) || '...[truncated]' ELSE html END AS short FROM pages"
+)
+def plain_and_short_pages(spark: SparkSession, d: str) -> DataFrame:
+    return G._t(spark, d, "pages").select("page_id", C.strip_html(F.col("html")).alias("plain"), C.truncated(F.col("html")).alias("short"))
+
+
+@registered(
+    "SELECT doc_id, regexp_matches(lower(source), 'password|passwd|secret|token|api_key|apikey|private_key|credential|authorization|bearer') AS secret, '/a~1b~0' || doc_id AS pointer,"
+    " 'x' || doc_id || '@h.example' AS address, 'A_' || doc_id || ',B' AS reads, CASE WHEN doc_id % 2 = 0 THEN '2024-01-01T10:00:00Z' END AS stamp, CASE WHEN doc_id % 3 = 0 THEN '<string:' || (length('é' || doc_id)) || '>' ELSE 'v' || doc_id END AS value,"
+    " doc_id % 2 = 0 AS secret_name, 'head-' || doc_id || '-x' AS anchor FROM documents"
+)
+def column_functions(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    even = F.col("doc_id") % 2 == 0
+    return G._t(spark, d, "documents").select(
+        "doc_id", C.holds_secret(F.col("source")).alias("secret"), C.pointer(F.concat(F.lit("a/b~"), i)).alias("pointer"), C.normal_address(F.concat(F.lit("Name <X"), i, F.lit("@H.example>"))).alias("address"),
+        F.array_join(C.variable_reads(F.concat(F.lit("run $A_"), i, F.lit(" ${B} $A_"), i)), ",").alias("reads"),
+        C.parsed_date(F.when(even, F.lit("Mon, 1 Jan 2024 11:00:00 +0100")).otherwise(F.lit("no date"))).alias("stamp"),
+        C.value_summary(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("é"), i)).otherwise(F.concat(F.lit("v"), i))).alias("value"), C.secret_key(F.when(even, F.lit("Api-Key")).otherwise(F.lit("colour"))).alias("secret_name"),
+        C.anchor(F.concat(F.lit(" Head! "), i, F.lit(" (x)"))).alias("anchor"),
+    )
 
 
 @registered(
@@ -264,9 +294,11 @@ def file_keys(spark: SparkSession, d: str) -> DataFrame:
     return G._t(spark, d, "pages").where(F.trim(path, F.lit("/")) != "").select("page_id", K.file_key_col(path).alias("file_key"))
 
 
-@registered("SELECT page_id, regexp_replace(url, '([?&](?:utm_source|token|ref)=)[^&#]*', '\\1<redacted>', 'g') AS url FROM pages")
+@registered("SELECT page_id, 'https://<redacted>@h.example/' || page_id || '?api_token=<redacted>&page=' || page_id || '&x_signature=<redacted>#end' AS url, regexp_replace(url, '([?&]token=)[^&#]*', '\\1<redacted>', 'g') AS own FROM pages")
 def secret_redaction(spark: SparkSession, d: str) -> DataFrame:
-    return G._t(spark, d, "pages").select("page_id", F.regexp_replace("url", "([?&](?:utm_source|token|ref)=)[^&#]*", "$1<redacted>").alias("url"))
+    i = F.col("page_id").cast("string")
+    full = F.concat(F.lit("https://user:pw@h.example/"), i, F.lit("?api_token="), i, F.lit("&page="), i, F.lit("&x_signature=s"), i, F.lit("#end"))
+    return G._t(spark, d, "pages").select("page_id", C.redact_url(full).alias("url"), C.redact_url(F.col("url")).alias("own"))
 
 
 # --- canonicalization of derived observations --------------------------------------------------------------
@@ -365,18 +397,18 @@ def payload_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(
-    "SELECT g.graph_id, g.name AS repository_name, r.run_id, r.status, coalesce(c.n, 0)::BIGINT AS raw_observations FROM (VALUES ('a', 'user-8'), ('b', 'user-3'), ('c', 'nobody')) g(graph_id, name)"
+    "SELECT g.graph_id, g.name AS repository_name, r.run_id, r.status, coalesce(c.n, 0)::BIGINT AS raw_observations, coalesce(c.t, 0)::BIGINT AS canonical_nodes, coalesce(c.p, 0)::BIGINT AS canonical_edges FROM (VALUES ('a', 'user-8'), ('b', 'user-3'), ('c', 'nobody')) g(graph_id, name)"
     " LEFT JOIN (SELECT source, max(ordinal) AS run_id, CASE WHEN arg_max(name, ordinal) = 'error' THEN 'failed' ELSE 'complete' END AS status FROM o GROUP BY source) r ON r.source = g.name"
-    " LEFT JOIN (SELECT source, count(*) AS n FROM o GROUP BY source) c ON c.source = g.name", "o",
+    " LEFT JOIN (SELECT source, count(*) AS n, count(DISTINCT target) AS t, count(DISTINCT source_run_id || target) AS p FROM o GROUP BY source) c ON c.source = g.name", "o",
 )
 def refresh_status(spark: SparkSession, d: str) -> DataFrame:
     o = provenance.source_observations(G.observations(spark, d)).withColumn("root_path", F.col("source_id_configured"))
     graphs = spark.createDataFrame([("a", "user-8"), ("b", "user-3"), ("c", "nobody")], "graph_id string, repository_name string")
     runs = o.select("root_path", F.col("ordinal").alias("run_id"), F.when(F.col("name") == "error", F.lit("failed")).otherwise(F.lit("complete")).alias("status"), F.lit("x").alias("git_commit"), F.current_timestamp().alias("finished_at"))
     repos = o.select("root_path").distinct().withColumn("name", F.col("root_path"))
-    none = o.limit(0)  # no nodes or edges are stored for these
-    got = provenance.refresh_status(graphs, repos, runs, none, none, o)
-    return got.select("graph_id", "repository_name", "run_id", "status", "raw_observations")
+    nodes, edges = o.select("root_path", "target").distinct(), o.select("root_path", "source_run_id", "target").distinct()
+    got = provenance.refresh_status(graphs, repos, runs, nodes, edges, o)
+    return got.select("graph_id", "repository_name", "run_id", "status", "raw_observations", "canonical_nodes", "canonical_edges")
 
 
 @registered(
@@ -390,10 +422,10 @@ def file_neighborhood(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(
-    "SELECT 'package-management' AS category, name AS tool, count(*) AS n, sum((k > 50)::INT)::BIGINT AS privileged FROM o WHERE name IN ('click', 'view') GROUP BY name", "o",
+    "SELECT 'package-management' AS category, name AS tool, count(*) AS n, sum((k > 50)::INT)::BIGINT AS privileged FROM o GROUP BY name", "o",
 )
 def host_mutator_summary(spark: SparkSession, d: str) -> DataFrame:
-    o = G.observations(spark, d).where("name IN ('click', 'view')")
+    o = G.observations(spark, d)
     metadata = F.to_json(F.struct(F.lit("package-management").alias("category"), F.col("name").alias("tool"), (summary.meta("k").cast("int") > 50).alias("privileged")))
     return legacy.host_mutator_summary(legacy.host_mutators(o.withColumn("metadata", metadata).withColumn("kind", F.lit("shell.host_mutation"))))
 
@@ -411,33 +443,44 @@ def relationship_targets(spark: SparkSession, d: str) -> DataFrame:
 def python_summary(spark: SparkSession, d: str) -> DataFrame:
     o = G.observations(spark, d)
     as_python = o.withColumn("kind", F.when(F.col("name") == "error", F.lit("python.flask_route")).when(F.col("name") == "view", F.lit("python.pytest_test")).otherwise(F.lit("other")))
-    row = summary.summarize("python", as_python, G.nodes(spark, d, ("region",)), G.edges(spark, d))
+    row = summary.summarize("python", as_python, G.nodes(spark, d), G.edges(spark, d))
     return row.select(F.explode(F.array(F.struct(F.lit("flask_routes").alias("kind"), F.col("frameworks.flask_routes").alias("n")), F.struct(F.lit("pytest_tests").alias("kind"), F.col("tests.pytest_tests").alias("n")))).alias("x")).select("x.*")
 
 
 # --- extractors (no SQL can express them; compared with plain runs in tests) --------------------------------------
 
 
+def _spread(files: DataFrame) -> DataFrame:
+    """Files over all tasks, where they come from fewer inputs than there are tasks."""
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(tasks) if len(files.inputFiles()) < tasks else files
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))
+    return _spread(G._t(spark, d, "pages")).select(path.alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+
+
 def _extracted(files: DataFrame, extract) -> DataFrame:
-    """Observations of files(path, content) by one text extractor."""
+    """Observations of files(path, content) by one text extractor, numbered within their file by `seq`."""
     none = base.Context()
-    return base.extracted(files, lambda path, content: extract(path, content.decode("utf-8", "replace"), none)).drop("seq")
+    return base.extracted(files, lambda path, content: extract(path, content.decode("utf-8", "replace"), none))
 
 
 @registered()
 def html_observations(spark: SparkSession, d: str) -> DataFrame:
-    pages = G._t(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
-    return _extracted(pages, html.extract)
+    return _extracted(_pages(spark, d), html.extract).drop("seq")
 
 
 @registered()
 def document_observations(spark: SparkSession, d: str) -> DataFrame:
-    docs = G._t(spark, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
-    return _extracted(docs, documents.extract)
+    docs = _spread(G._t(spark, d, "documents")).select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return _extracted(docs, documents.extract).drop("seq")
 
 
 @registered()
 def html_graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Pages all the way to canonical edges."""
-    o = html_observations(spark, d).withColumn("ordinal", F.xxhash64("source_id")).withColumn("run_id", F.lit(1).cast("long"))
+    """Pages all the way to canonical edges; ordinals follow the pages' numbers, then the places in them."""
+    page = F.regexp_extract("path", r"(\d+)\.html$", 1).cast("long")
+    o = _extracted(_pages(spark, d), html.extract).withColumns({"ordinal": page * 10_000_000 + F.col("seq"), "run_id": F.lit(1).cast("long")})
     return canonicalize.canonicalize(o).edges.select("edge_key", "source_key", "kind", "target_key", "confidence")
