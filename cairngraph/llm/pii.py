@@ -2,24 +2,29 @@
 
 Every detected entity gets a replacement of its own type and format, keyed so that nobody without the
 key can tell which. Numbers (cards, phones, national ids, IBANs, addresses of machines) go through a
-keyed Feistel permutation of their own digits, so different numbers never meet, and then get the check
-digits that their format asks for; separators, country codes and first digits stay. Names and mail
-addresses are spelled from a keyed hash in syllables of the name's script, given names with an ending
-of the name's gender; the same name or address gives the same surrogate in every text and in every
-combination (Mrs Ada Kahn, Ms Kahn), which keeps coreference.
+keyed Feistel permutation of their own digits, so different numbers never meet, and get the check
+digits that their format asks for; separators, country codes and first digits stay, and a national id is
+permuted again until it is one that may be given out. Names and mail addresses are spelled from a keyed hash in
+syllables of the name's script. A word of a name has one stem wherever it stands, which keeps coreference over
+titles, combinations and texts (Mrs Ada Kahn, Dr Kahn); a given name's ending shows the gender, which one text tells
+for all its mentions, by a title or a known given name. A name's words are replaced wherever they stand in the same
+text, with or without a title.
 
 Hashed surrogates could meet. The distinct entities of the whole corpus are therefore gathered (in a
 table, by key), their surrogates compared with each other and with the real entities, and the
 spelling made one syllable longer until none meet. What the texts need afterwards is only that one number, so
-nothing is broadcast or joined.
+nothing is broadcast or joined. A permuted number may equal another real one, but that is replaced too, and by
+another, so the texts that come out keep all distinct.
 
 Defined cases: a null text stays null and an empty one empty, without entities; entities that overlap: the
 first kind in KINDS wins; null and repeated ids stay separate rows; other columns pass through `keep`;
-long digit runs that are no valid card (Luhn) stay as they are.
+long digit runs that are no valid card (Luhn) stay as they are; an empty table gives an empty result; a kept column of
+an output's name stands beside it.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
@@ -65,10 +70,13 @@ _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b
 _NAME_WORD = r"[^\W\d_a-zà-öø-ÿα-ωа-я]\w*(?:[-'’]\w+)*"
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _GIVEN_GENDER = {n: g for g, ns in GIVEN.items() for n in ns}
+#: A title and up to three words, or a known given name and one or two words.
 _NAME = re.compile(
-    rf"\b(?:(?P<title>{'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})\.?[ \xa0](?P<a>{_NAME_WORD})(?:[ \xa0](?P<b>{_NAME_WORD}))?"
-    rf"|(?P<known>{'|'.join(sorted(_GIVEN_GENDER, key=len, reverse=True))})[ \xa0](?P<c>{_NAME_WORD}))"
+    rf"\b(?:(?P<title>{'|'.join(sorted(_TITLE_GENDER, key=len, reverse=True))})\.?[ \xa0](?P<a>{_NAME_WORD}(?:[ \xa0]{_NAME_WORD}){{0,2}})"
+    rf"|(?:{'|'.join(sorted(_GIVEN_GENDER, key=len, reverse=True))})(?:[ \xa0]{_NAME_WORD}){{1,2}})"
 )
+_WORD = re.compile(rf"\b{_NAME_WORD}")
+_GAP = re.compile(r"[ \xa0]")
 
 
 def luhn(digits: str) -> bool:
@@ -83,8 +91,42 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
-def detect(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities, in order, without overlaps."""
+class Names:
+    """What the names of one text tell: which words are surnames or given names, and of what gender."""
+
+    def __init__(self, text: str) -> None:
+        self.found: list[tuple[int, int]] = []
+        self.roles: dict[str, str] = {}
+        self.genders: dict[str, str] = {}
+        for m in _NAME.finditer(text):
+            start = m.start("a") if m["title"] else m.start()
+            self.found.append((start, m.end()))
+            *given, last = _GAP.split(text[start : m.end()])
+            self.roles.setdefault(last, "surname")
+            for word in given:
+                self.roles.setdefault(word, "given")
+            if given:
+                told = _TITLE_GENDER[m["title"]] if m["title"] else "n"
+                for word, sort in [*((w, _GIVEN_GENDER.get(w, "n")) for w in given), (given[0], told)]:
+                    if self.genders.get(word.lower(), "n") == "n":
+                        self.genders[word.lower()] = sort
+        if self.roles:  # and the same words wherever else they stand
+            ends = {e for s, e in self.found}
+            at = [s for s, _ in self.found]
+            for m in _WORD.finditer(text):
+                k = bisect.bisect_right(at, m.start()) - 1
+                if m[0] in self.roles and len(m[0]) > 2 and m.end() not in ends and not (k >= 0 and m.start() < self.found[k][1]):
+                    self.found.append(m.span())
+
+    def parts(self, words: Sequence[str]) -> list[tuple[str, str]]:
+        *given, last = words
+        kind = lambda w: f"given_{self.genders.get(w.lower(), 'n')}"
+        alone = not given and self.roles.get(last) == "given"
+        return [*((kind(w), w.lower()) for w in given), (kind(last) if alone else "surname", last.lower())]
+
+
+def detect(text: str, names: Names | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the entities, in order, without overlaps; names: those of the text, if known."""
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
@@ -98,22 +140,14 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text, max(0, a - 1), min(len(text), b + 2)):
                 if (kind != "card" or luhn(re.sub(r"\D", "", m[0]))) and (kind != "phone" or 7 <= sum(map(str.isdigit, m[0])) <= 15):
                     found.append((*m.span(), kind))
-    for m in _NAME.finditer(text):
-        found.append((m.start("a") if m["title"] else m.start(), m.end(), "name"))
+    found += [(s, e, "name") for s, e in (Names(text) if names is None else names).found]
     rank = {k: n for n, k in enumerate(KINDS)}
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order, without overlaps
     for s in sorted(set(found), key=lambda x: (rank[x[2]], x[0] - x[1], x)):
-        if not any(s[0] < e and b < s[1] for b, e, _ in taken):
-            taken.append(s)
-    return sorted(taken)
-
-
-def gender(text: str, start: int, name: str) -> str:
-    """Of the name at start: by its title, else by a known given name."""
-    before = re.search(r"(\w+)\.?[ \xa0]$", text[max(0, start - 16) : start])
-    if before and _TITLE_GENDER.get(before[1], "n") != "n":
-        return _TITLE_GENDER[before[1]]
-    return _GIVEN_GENDER.get(re.split(r"[ \xa0]", name)[0], "n")
+        k = bisect.bisect_left(taken, s)
+        if (k == 0 or taken[k - 1][1] <= s[0]) and (k == len(taken) or s[1] <= taken[k][0]):
+            taken.insert(k, s)
+    return taken
 
 
 class Surrogates:
@@ -172,7 +206,10 @@ class Surrogates:
             body = value[0] + self.permuted("card", value[1:-1])
             return body + str(-_luhn_sum(body + "0") % 10)
         if kind == "ssn":
-            return self.permuted("ssn", value)
+            while True:  # the walk along the permutation's cycle is a permutation of the ids that may be given out
+                value = self.permuted("ssn", value)
+                if value[:3] not in ("000", "666") and value[0] != "9" and value[3:5] != "00" and value[5:] != "0000":
+                    return value
         if kind == "phone":
             code = (1 if value[1:2] in "17" else 2) if value[:1] == "+" else 0
             digits = value.lstrip("+")
@@ -196,13 +233,11 @@ class Surrogates:
         return self.syllables(script, "given", value)[:-1] + endings[self._number("ending", value) % len(endings)]
 
 
-def normal_forms(text: str, start: int, end: int, kind: str) -> list[tuple[str, str]]:
+def normal_forms(text: str, start: int, end: int, kind: str, names: Names) -> list[tuple[str, str]]:
     """The parts of an entity that have surrogates of their own: (kind, normal form)."""
     raw = text[start:end]
     if kind == "name":
-        words = re.split(r"[ \xa0]", raw)
-        sort = f"given_{gender(text, start, raw)}"
-        return [(sort, words[0].lower()), ("surname", words[1].lower())] if len(words) > 1 else [("surname", raw.lower())]
+        return names.parts(_GAP.split(raw))
     if kind in ("card", "ssn"):
         return [(kind, re.sub(r"\D", "", raw))]
     if kind == "phone":
@@ -214,12 +249,12 @@ def _cased(like: str, word: str) -> str:
     return word.upper() if len(like) > 1 and like.isupper() else word[:1].upper() + word[1:]
 
 
-def replacement(text: str, start: int, end: int, kind: str, by: Surrogates) -> str:
+def replacement(text: str, start: int, end: int, kind: str, by: Surrogates, names: Names) -> str:
     raw = text[start:end]
-    new = [by.part(k, v) for k, v in normal_forms(text, start, end, kind)]
+    new = [by.part(k, v) for k, v in normal_forms(text, start, end, kind, names)]
     if kind == "name":
-        gaps = re.findall(r"[ \xa0]", raw)
-        words = [_cased(old, w) for old, w in zip(re.split(r"[ \xa0]", raw), new, strict=True)]
+        gaps = _GAP.findall(raw)
+        words = [_cased(old, w) for old, w in zip(_GAP.split(raw), new, strict=True)]
         return words[0] + "".join(g + w for g, w in zip(gaps, words[1:], strict=True))
     if kind in ("card", "ssn", "phone", "iban"):
         fresh = iter(new[0].lstrip("+"))
@@ -230,8 +265,9 @@ def replacement(text: str, start: int, end: int, kind: str, by: Surrogates) -> s
 def rewritten(text: str, by: Surrogates) -> tuple[str, list[tuple[int, int, str, str]]]:
     """The text with surrogates, and (start, end, kind, surrogate) of what was replaced, in the old text."""
     out, at, spans = [], 0, []
-    for s, e, kind in detect(text):
-        new = replacement(text, s, e, kind, by)
+    names = Names(text)
+    for s, e, kind in detect(text, names):
+        new = replacement(text, s, e, kind, by, names)
         out += [text[at:s], new]
         spans.append((s, e, kind, new))
         at = e
@@ -244,7 +280,7 @@ def entities(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {x for t in texts(batch, 0) if t for u in [t.decode("utf-8", "replace")] for s in detect(u) for x in normal_forms(u, *s)}
+            found = {x for t in texts(batch, 0) if t for u in [t.decode("utf-8", "replace")] for n in [Names(u)] for s in detect(u, n) for x in normal_forms(u, *s, n)}
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["kind", "value"])
 
     return map_arrow(src, run, "kind string, value string").distinct()
@@ -256,9 +292,10 @@ def safe_width(df: DataFrame, text: str = "text", key: bytes = KEY) -> int:
     found, at = written(entities(df, text), "entities")
     for width in range(LEAST_SYLLABLES, MOST_SYLLABLES + 1):
         made, made_at = written(_with_surrogates(found, key, width), "surrogates")
-        shared = made.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
-        hashed = made.where(F.col("kind").isin("email", "surname", "given_m", "given_f", "given_n")).select("kind", F.lower("surrogate").alias("value"))
-        real = hashed.join(found, ["kind", "value"], "left_semi").limit(1)
+        sort = F.substring_index("kind", "_", 1)  # given names of any gender must differ
+        shared = made.groupBy(sort.alias("sort"), "surrogate").agg(F.min("value").alias("least"), F.max("value").alias("most")).where("least <> most").limit(1)
+        hashed = made.where(sort.isin("email", "surname", "given")).select(sort.alias("sort"), F.lower("surrogate").alias("value"))
+        real = hashed.join(found.select(sort.alias("sort"), "value"), ["sort", "value"], "left_semi").limit(1)
         clash = shared.count() + real.count()
         drop(df.sparkSession, made_at)
         if not clash:
@@ -280,11 +317,12 @@ def _with_surrogates(found: DataFrame, key: bytes, width: int) -> DataFrame:
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("surrogate", pa.string())]))
 
 
-def pseudonymised(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), key: bytes = KEY) -> DataFrame:
+def pseudonymised(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), key: bytes = KEY, width: int | None = None) -> DataFrame:
     """The kept columns, new_text and entities: what was replaced, as array<struct<start, end, kind, surrogate>> in
-    characters of the old text."""
-    width = safe_width(df, text, key)
-    src = df.select(F.col(text).cast("string").alias("__text"), *keep)
+    characters of the old text. Runs that share a key agree on the surrogates if they share a width; unless given, it is
+    the least that is safe for df."""
+    width = safe_width(df, text, key) if width is None else width
+    src = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *(F.col(f"`{c}`") for c in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Surrogates(key, width)
