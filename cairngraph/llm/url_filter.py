@@ -37,8 +37,32 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: Suffixes of more than one label below which names are registered.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.nz", "co.in", "co.za", "com.mx", "com.cn", "com.tr", "co.kr")
+# Public suffixes of more than one label, below which names are registered; a deployment passes the whole list.
+SUFFIXES = (
+    "ac.at", "co.at", "or.at",
+    "com.au", "edu.au", "gov.au", "net.au", "org.au",
+    "com.br", "edu.br", "gov.br", "net.br", "org.br",
+    "ac.cn", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
+    "com.co", "edu.co", "gov.co", "org.co", "com.cy", "com.ec", "com.eg", "com.gh",
+    "com.hk", "edu.hk", "gov.hk", "org.hk", "com.hr",
+    "ac.id", "co.id", "go.id", "or.id", "web.id",
+    "ac.il", "co.il", "gov.il", "net.il", "org.il",
+    "ac.in", "co.in", "edu.in", "gov.in", "net.in", "nic.in", "org.in",
+    "co.ir",
+    "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp",
+    "co.ke", "or.ke", "ac.kr", "co.kr", "go.kr", "or.kr",
+    "co.ma", "com.mt", "com.mx", "edu.mx", "gob.mx", "net.mx", "org.mx",
+    "com.my", "edu.my", "gov.my", "net.my", "org.my", "com.ng", "edu.ng", "gov.ng", "org.ng", "com.np",
+    "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz",
+    "com.pe", "edu.pe", "gob.pe", "com.ph", "edu.ph", "gov.ph", "com.pk", "edu.pk", "gov.pk",
+    "com.pl", "edu.pl", "gov.pl", "net.pl", "org.pl", "com.pt", "co.rs", "com.ru",
+    "com.sa", "edu.sa", "gov.sa", "com.sg", "edu.sg", "gov.sg", "net.sg", "org.sg",
+    "ac.th", "co.th", "go.th", "or.th", "com.tr", "edu.tr", "gov.tr", "net.tr", "org.tr",
+    "com.tw", "edu.tw", "gov.tw", "org.tw", "co.tz", "com.ua", "net.ua", "org.ua", "co.ug",
+    "ac.uk", "co.uk", "gov.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "sch.uk",
+    "com.uy", "com.vn", "edu.vn", "gov.vn", "ac.za", "co.za", "gov.za", "org.za", "co.zm", "co.zw",
+    "blogspot.com", "github.io", "gitlab.io", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com",
+)
 
 MOST_BAD, CERTAIN = 0.5, 0.95
 #: Strengths of a prior lie between these, in pages.
