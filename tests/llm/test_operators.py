@@ -2,6 +2,7 @@
 rows, empty tables, and other columns whose names clash with the operators' own."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -277,6 +278,96 @@ def test_width_grows_until_surrogates_differ(spark):
     assert len({(k, by.part(k, v)) for k, v in found}) == len(found)
 
 
+def _luhn_digit(body):
+    return str((10 - sum(int(d) * 2 // 10 + int(d) * 2 % 10 if i % 2 == 0 else int(d) for i, d in enumerate(body[::-1])) % 10) % 10)
+
+
+def _planted(rnd):
+    """An entity of a kind as (kind, how it is written here, what it is)."""
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    kind = rnd.choice(["email", "iban", "card", "ssn", "ip", "phone", "name"])
+    if kind == "email":
+        x = f"u{rnd.randrange(30)}@mail{rnd.randrange(3)}.example.com"
+        return kind, rnd.choice([x, x.upper()]), x
+    if kind == "iban":
+        body = f"3704004405320130{rnd.randrange(30):02d}"
+        x = f"DE{98 - int(body + '131400') % 97:02d}{body}"
+        return kind, rnd.choice([x, " ".join(x[i : i + 4] for i in range(0, len(x), 4))]), x
+    if kind == "card":
+        body = f"48451681144{rnd.randrange(30):04d}"
+        x = body + _luhn_digit(body)
+        return kind, rnd.choice([x, " ".join(x[i : i + 4] for i in range(0, 16, 4))]), x
+    if kind == "ssn":
+        x = f"{rnd.randrange(1, 665):03d}-{rnd.randrange(1, 99):02d}-{rnd.randrange(1, 9999):04d}"
+        return kind, x, x
+    if kind == "ip":
+        x = f"{rnd.choice([10, 93])}.{rnd.randrange(256)}.7.{rnd.randrange(256)}"
+        return kind, x, x
+    if kind == "phone":
+        x = f"555{rnd.randrange(200, 230)}{digits(1)}000"
+        return kind, rnd.choice([f"({x[:3]}) {x[3:6]}-{x[6:]}", f"+1 {x[:3]} {x[3:6]} {x[6:]}", f"{x[:3]}-{x[3:6]}-{x[6:]}"]), x
+    x = rnd.choice(["Kahn", "Weiß", "O'Neil", "Zobel", "Quist"])
+    return kind, x, x
+
+
+def test_planted_entities_are_found_whole_and_replaced_alike(spark):
+    rnd = random.Random(13)
+    texts, truth = [], []
+    for _ in range(200):
+        text, spans = "", []
+        for kind, shown, what in (_planted(rnd) for _ in range(rnd.randrange(6))):
+            text += rnd.choice(["and then ", "so it was; ", "é中 "]) + (rnd.choice(["Mr ", "Dr. ", "Frau "]) if kind == "name" else "")
+            spans.append((len(text), len(text) + len(shown), kind, what))
+            text += shown + ", "
+        texts.append(text + "no more.")
+        truth.append(spans)
+    got = sorted(pii.pseudonymised(clashing(docs(spark, texts))).collect(), key=lambda r: r.doc_id)
+    one: dict = {}
+    for r, text, spans in zip(got, texts, truth, strict=True):
+        assert [(e.start, e.end, e.kind) for e in r.entities] == [s[:3] for s in spans], text
+        out, at = "", 0
+        for e in r.entities:
+            out, at = out + text[at : e.start] + e.surrogate, e.end
+        assert r.new_text == out + text[at:]
+        for e, (a, b, kind, what) in zip(r.entities, spans, strict=True):
+            plain = re.sub(r"\D", "", e.surrogate)[-10:] if kind == "phone" else e.surrogate.replace(" ", "") if kind in ("iban", "card") else e.surrogate.lower()
+            assert one.setdefault((kind, what), plain) == plain
+            # The same places hold separators and digits, and check digits are right.
+            if kind not in ("email", "name", "ip"):
+                assert re.sub(r"\d", "0", e.surrogate) == re.sub(r"\d", "0", text[a:b])
+            if kind == "card":
+                assert plain[0] == what[0] and _luhn_digit(plain[:-1]) == plain[-1]
+            if kind == "iban":
+                assert int(plain[4:] + "1314" + plain[2:4]) % 97 == 1
+            if kind == "ssn":
+                area, group, serial = map(int, plain.split("-"))
+                assert 0 < area < 900 and area != 666 and group and serial
+            if kind == "ip":
+                assert (plain.startswith("10.") or plain.startswith(("127.", "192.168.", "172."))) == what.startswith("10.")
+    assert len(set((k[0], v) for k, v in one.items())) == len(one) and not set(one.values()) & {k[1].lower() for k in one if k[0] in ("email", "name")}
+
+
+def test_a_person_stays_one_in_a_text():
+    by = pii.Surrogates()
+    new, spans = pii.rewritten("Mrs Ada Kahn met Dr Ada Kahn. Later Kahn wrote, and Ada too. Mr John Robert Smith left with Smith; Kahnson stayed.", by)
+    words = new.replace(".", "").replace(",", "").replace(";", "").split()
+    given, sur, smith = words[1], words[2], words[-3]
+    assert words[5:7] == [given, sur] and words[8] == sur and words[11] == given
+    assert smith == spans[-1][3] == spans[-2][3].split(" ")[2] and "Kahnson" in new
+    assert not {"Ada", "Kahn", "John", "Robert", "Smith"} & set(words)
+    assert any(given.lower().endswith(e) for e in pii.SCRIPTS["latin"][2]["f"])
+
+
+def test_given_widths_make_runs_agree(spark):
+    a, b = docs(spark, ["Mr Zed", "x"]), docs(spark, [f"Mr Zed{i}x and Mr Zed" for i in range(300)])
+    texts = [pii.pseudonymised(df, width=6).where("doc_id = 0").first().new_text.split(" ")[-1] for df in (a, b)]
+    assert texts[0] == texts[1]
+    assert pii.pseudonymised(docs(spark, [])).count() == 0
+    long = " ".join(f"Mr Name{i} said name and Name{i} 10.0.{i % 256}.{i // 256}" for i in range(5000))
+    r = pii.pseudonymised(docs(spark, [long, long], [None, None]), keep=["doc_id", "source"]).collect()
+    assert len(r) == 2 and r[0] == r[1] and len(r[0].entities) == 15_000
+
+
 # --- 5 ------------------------------------------------------------------------------------------------
 
 
@@ -392,6 +483,64 @@ def test_document_frequencies_come_from_all_rows(spark):
     assert np.allclose(model.idf, np.log((1 + len(known)) / (1 + seen)) + 1, atol=1e-5)
 
 
+def test_numbers_are_no_letters():
+    for t in ("½", "²", "Ⅷ", "〇 ½ ¾", "12 ½ _!", " ", "१२"):
+        assert language_id.counts(t.encode()) is None, t
+    same = lambda a, b: all((x == y).all() for x, y in zip(language_id.counts(a.encode()), language_id.counts(b.encode()), strict=True))
+    assert same("ab½cd ² Ⅷ e", "ab cd e") and same("½a½½", "a") and same("一二", " 一二1")
+
+
+def naive_fit(rows, idf, k, epochs, seed=7):
+    """Follow-the-regularised-leader over dicts, one coordinate at a time."""
+    z, n = {}, {}
+    weight = lambda key: 0.0 if abs(z.get(key, 0.0)) <= language_id.L1 else -(z[key] - np.sign(z[key]) * language_id.L1) / ((language_id.BETA + np.sqrt(n[key])) / language_id.ALPHA + language_id.L2)
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            y, at, c = rows[i]
+            x = (1 + np.log(c)) * idf[at]
+            x = [*(x / np.sqrt((x * x).sum())), 1.0]
+            at = [*at.tolist(), language_id.BUCKETS]
+            w = {(j, q): weight((j, q)) for j in at for q in range(k)}
+            raw = np.exp([sum(v * w[j, q] for j, v in zip(at, x, strict=True)) for q in range(k)])
+            p = raw / raw.sum()
+            for j, v in zip(at, x, strict=True):
+                for q in range(k):
+                    g = v * (p[q] - (q == y))
+                    before = n.get((j, q), 0.0)
+                    z[j, q] = z.get((j, q), 0.0) + g - (np.sqrt(before + g * g) - np.sqrt(before)) / language_id.ALPHA * w[j, q]
+                    n[j, q] = before + g * g
+    return {key: weight(key) for key in z}
+
+
+def test_training_equals_a_plain_regularised_leader():
+    rnd = random.Random(10)
+    texts = [(rnd.choice("ab"), prose(rnd, 12, "abcdeé" if i % 2 else "defgh")) for i in range(40)]
+    rows = [(y, *language_id.counts(t.encode())) for y, t in texts]
+    seen = np.zeros(language_id.BUCKETS, np.int64)
+    for _, at, _ in rows:
+        seen[at] += 1
+    model = language_id.fit(rows, (len(rows), seen), epochs=2)
+    train = [("ab".index(y), at, c) for i, (y, at, c) in enumerate(rows) if i % language_id.HELD_FOR_TEMPERATURE]
+    want = naive_fit(train, model.idf, 2, 2)
+    for (j, q), w in want.items():
+        assert abs((model.bias[q] if j == language_id.BUCKETS else model.weights[j, q]) - w) < 1e-4
+    assert np.count_nonzero(model.weights) == sum(w != 0 for (j, _), w in want.items() if j < language_id.BUCKETS)
+    # The temperature is the best of a grid.
+    held = [r for i, r in enumerate(rows) if i % language_id.HELD_FOR_TEMPERATURE == 0]
+    loss = lambda t: np.mean([-np.log(language_id._softmax(model.logits(at, c) / t)["ab".index(y)]) for y, at, c in held])
+    assert loss(model.temperature) <= min(loss(t) for t in np.geomspace(0.06, 4.9, 60)) + 1e-4
+
+
+def test_one_label_and_rows_of_many_features(spark):
+    df = docs(spark, ["hello", "world", None, "½"], [0, 1, 4, 5])
+    got = language_id.predictions(df, language_id.trained(df)).collect()
+    assert [(r.lang_pred, r.score) for r in sorted(got, key=lambda r: r.doc_id)] == [("en", 1.0)] * 2 + [("und", 0.0)] * 2
+    f = (np.arange(5000), np.arange(5000) % 7)
+    at, n = language_id._most_frequent(f, 1000)
+    assert len(at) == 1000 and n.min() == 5 and (np.diff(at) > 0).all() and language_id._most_frequent(f, 5000) is f
+
+
 # --- 8 ------------------------------------------------------------------------------------------------
 
 
@@ -450,6 +599,58 @@ def test_reputation_shrinks_and_blocks(spark):
     assert 0.2 < got[201].rate < 0.8 < got[200].rate
 
 
+def test_posterior_equals_the_closed_form(spark):
+    """Moments, strengths and means of three levels by plain arithmetic; the tail of the posterior by counting coin throws:
+    for whole a and b, P(rate > x) is the chance of fewer than a heads in a + b - 1 throws."""
+    rnd = random.Random(11)
+    hosts = ["a.x.org", "b.x.org", "y.org", "www.z.co.il", "q.z.co.il", "w.co.il", "me.github.io", "you.github.io", "1.2.3.4", "new.net"]
+    pages = [(i, f"http://{rnd.choice(hosts[:-1])}/{i}") for i in range(300)] + [(900, "http://new.net/")]
+    marks = {i: rnd.random() < (0.8 if "co.il" in u or "you" in u else 0.2) for i, u in pages[:200]}
+    got = {r.host: r for r in url_filter.reputation(
+        spark.createDataFrame(pages, "id long, url string").select("id", url_filter.host_of(F.col("url")).alias("host")),
+        spark.createDataFrame(list(marks.items()), "id long, bad boolean")).collect()}
+    domains = dict(zip(hosts, ["x.org", "x.org", "y.org", "z.co.il", "z.co.il", "w.co.il", "me.github.io", "you.github.io", "1.2.3.4", "new.net"], strict=True))
+    suffixes = dict(zip(hosts, ["org", "org", "org", "co.il", "co.il", "co.il", "github.io", "github.io", "", "net"], strict=True))
+    assert {h: (r.domain, r.suffix) for h, r in got.items()} == {h: (domains[h], suffixes[h]) for h in got}
+
+    def sums(of):
+        out = {}
+        for i, u in pages:
+            n, k = out.get(of(u.split("/")[2]), (0, 0))
+            out[of(u.split("/")[2])] = (n + (i in marks), k + marks.get(i, False))
+        return out
+
+    def weight(groups):
+        seen = [(n, k) for n, k in groups.values() if n]
+        n, k = sum(x[0] for x in seen), sum(x[1] for x in seen)
+        p = k / n
+        spread = sum((j - m * p) ** 2 / m for m, j in seen) / (p * (1 - p))  # chi-square of the groups against one rate
+        rho = (spread - (len(seen) - 1)) / (n - sum(m * m for m, _ in seen) / n - (len(seen) - 1))
+        return 10_000.0 if rho <= 1 / 10_001 else min(10_000.0, max(1.0, 1 / rho - 1))
+
+    by_host, by_domain, by_suffix = sums(lambda h: h), sums(domains.get), sums(suffixes.get)
+    n, k = sum(x[0] for x in by_host.values()), sum(x[1] for x in by_host.values())
+    shrunk = lambda m, prior, nk: (m * prior + nk[1]) / (m + nk[0])
+    for h, r in got.items():
+        prior = shrunk(weight(by_suffix), (k + 0.5) / (n + 1), by_suffix[suffixes[h]])
+        prior = shrunk(weight(by_domain), prior, by_domain[domains[h]])
+        m, (hn, hk) = weight(by_host), by_host[h]
+        assert (r.n, r.k) == (hn, hk)
+        assert abs(r.a - (m * prior + hk)) < 1e-6 and abs(r.b - (m * (1 - prior) + hn - hk)) < 1e-6
+        assert abs(r.rate - shrunk(m, prior, (hn, hk))) < 1e-9
+    for a, b, x in ((3, 5, 0.4), (1, 1, 0.5), (30, 12, 0.7), (2, 90, 0.05)):
+        want = sum(math.comb(a + b - 1, j) * x**j * (1 - x) ** (a + b - 1 - j) for j in range(a))
+        assert abs(float(url_filter.beta_above(np.array([a]), np.array([b]), x)[0]) - want) < 1e-9
+
+
+def test_reputation_without_pages_or_with_repeated_ones(spark):
+    none = spark.createDataFrame([], "id bigint, bad boolean")
+    rows = spark.createDataFrame([(1, "http://a.org/" + "x" * 100_000), (1, "http://a.org/"), (None, None)], "page_id bigint, url string").withColumns({n: F.lit("clash") for n in ("host", "id", "rate", "verdict")})
+    assert url_filter.judged(rows.where("false"), none).count() == 0
+    got = url_filter.judged(rows, spark.createDataFrame([(1, True), (1, False), (None, True)], "id bigint, bad boolean")).collect()
+    assert sorted((str(r.page_id), r.host) for r in got) == [("1", "a.org"), ("1", "a.org"), ("None", "")]
+
+
 def test_beta_tail():
     n = 400_000
     rng = np.random.default_rng(0)
@@ -503,5 +704,60 @@ def test_a_lost_record_is_an_error(spark, monkeypatch):
 
 def test_magic_without_a_header_costs_no_second_search():
     data = b"WARC/1.1\r\nContent-Length: 1\r\n" + b"X: WARC/1.1\r\n" * 50_000 + b"\r\nz\r\n\r\n"
-    found = list(warc.candidates(data))
+    found = warc.candidates([data])
     assert found[0].next == len(data) and len(found) == 50_001 and all(c.next is None for c in found[1:])
+
+
+def naive_candidates(data):
+    out = []
+    for m in re.finditer(rb"WARC/1\.[01]\r?\n", data):
+        nl = b"\r\n" if m[0].endswith(b"\r\n") else b"\n"
+        stop = data.find(nl + nl, m.end() - len(nl))
+        lengths = [x.partition(b":")[2].strip() for x in data[m.end() : max(stop, m.end())].split(nl) if x.lower().startswith(b"content-length:")] if stop >= 0 else []
+        after = None
+        if lengths and lengths[-1].isdigit():
+            end = stop + 2 * len(nl) + int(lengths[-1])
+            if data[end : end + 4] == b"\r\n\r\n":
+                after = end + 4
+            elif nl == b"\n" and data[end : end + 2] == b"\n\n":
+                after = end + 2
+        out.append((m.start(), after))
+    return out
+
+
+def test_archives_in_pieces_equal_whole_ones():
+    rnd = random.Random(12)
+    bits = [b"WARC/1.1\r\n", b"WARC/1.0\n", b"Content-Length: 3\r\n", b"Content-Length: 4\n", b"content-length: 40\r\n", b"\r\n", b"\n", b"abc", b"abcd", b"WARC/1.", b"\r\n\r\n", b"X-Page-ID: 7\r\n"]
+    for _ in range(300):
+        data = b"".join(rnd.choice(bits) for _ in range(rnd.randrange(60)))
+        want = naive_candidates(data)
+        for size in (1, 3, 7, 1000):
+            got = warc.candidates(data[i : i + size] for i in range(0, len(data), size))
+            assert [(c.at, c.next) for c in got] == want, (data, size)
+
+
+def test_payloads_may_span_pieces(spark, tmp_path):
+    """Archives of several members and of payloads far beyond a piece; what is held stays small."""
+    import gzip
+
+    body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + bytes(range(256)) * 20_000
+    record = lambda n, b: b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: %d\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, len(b), b)
+    raw = gzip.compress(record(1, body)) + gzip.compress(record(2, body[:30])) + gzip.compress(record(3, b"no header"))
+    by = warc._Candidates()
+    for piece in warc.inflated(raw, 4096):
+        by.feed(piece)
+        assert len(piece) <= 4096 and len(by.held) < 5000
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    got = {r.page_id: (r.digest, r.bytes) for r in warc.read(spark, str(tmp_path)).collect()}
+    payload = body.partition(b"\r\n\r\n")[2]
+    assert got == {n: (hashlib.sha1(p).hexdigest(), len(p)) for n, p in ((1, payload), (2, payload[:5]), (3, b""))}
+
+
+def test_long_pages_get_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    rows = [(i, f"http://a/{i}", "x" * 50) for i in range(60)] + [(100 + i, "u", f"{i}" * 30_000) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    assert warc.write(df, str(tmp_path / "w")) == 63
+    got = warc.read(spark, str(tmp_path / "w"))
+    per_file = [(r.n, r.most) for r in got.groupBy("file").agg(F.count("*").alias("n"), F.max("bytes").alias("most")).collect()]
+    assert got.count() == 63 and all(n == 1 for n, most in per_file if most == 30_000)
