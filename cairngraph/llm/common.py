@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Maps A-Z to a-z and every ASCII byte that is no letter or digit to a space; bytes above 0x7F stay.
 ALNUM = bytes(
@@ -73,11 +74,37 @@ BATCH_ROWS = 1000
 def map_arrow(
     df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """mapInArrow; batches of the session are made no larger than BATCH_ROWS."""
+    """mapInArrow for columns of any name, dots included (Spark's own looks its input up by name); f sees and gives the
+    names as they are. Batches of the session are made no larger than BATCH_ROWS."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(f, schema)
+    names, out = df.columns, T.StructType.fromDDL(schema)
+    plain = [f"c{n}" for n in range(len(out))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in f(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(plain)
+
+    given = df.toDF(*(f"c{n}" for n in range(len(names))))
+    made = given.mapInArrow(run, T.StructType([T.StructField(p, x.dataType) for p, x in zip(plain, out.fields, strict=True)]))
+    return made.toDF(*out.names)
+
+
+def beside(keep: Sequence[str], outputs: Iterable[str]) -> list[str]:
+    """Names of kept columns beside an operator's own: one that an output is called by is returned as `<name>_kept`."""
+    taken, names = {*outputs}, []
+    for c in keep:
+        while c in taken:
+            c += "_kept"
+        taken.add(c)
+        names.append(c)
+    return names
+
+
+def renamed(keep: Sequence[str], outputs: Iterable[str]) -> list[Column]:
+    """The kept columns under the names of beside()."""
+    return [F.col(f"`{c}`").alias(n) for c, n in zip(keep, beside(keep, outputs), strict=True)]
 
 
 def kept_with_text(df: DataFrame, text: str, keep: Sequence[str]) -> tuple[DataFrame, int, list[int]]:

@@ -11,11 +11,12 @@ Positions count code points: the pieces between matches (split) and the matches
 (regexp_extract_all) alternate, so their lengths add up to the starts.
 
 Postings are keyed by id (by the text's hash where it is null). Verification is exact, so keys that
-clash only add candidates. Neither side of the join back is broadcast by force, and the join's own
-exchanges let adaptive execution split a hot key.
+clash only add candidates. Rows are parted by a bitmap of the candidates' hashes, which has a fixed size: those it rules out
+are scanned in place for the rules without a query, and only the others' texts are moved to meet their candidates.
+Neither side of that join is broadcast by force, and its own exchanges let adaptive execution split a hot key.
 
 Defined cases: a null text is an empty one, without spans; null and repeated ids stay separate rows; other columns
-pass through `keep`; an empty table gives an empty result.
+pass through `keep`, one called `spans` as `spans_kept`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairngraph.llm.common import beside, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -248,22 +251,49 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, p), counted.cast(span)).otherwise(F.array().cast(span))
 
 
+#: Words of 64 bits that tell which keys may be candidates: what is broadcast, whatever the corpus.
+MARK_WORDS = 1 << 16
+
+
+def _mark(key: Column) -> tuple[Column, Column]:
+    """Word and bit of a key."""
+    h = F.xxhash64(key)
+    return F.pmod(h, F.lit(MARK_WORDS)).cast("int"), F.pmod(F.shiftright(h, 16), F.lit(64)).cast("int")
+
+
+def _apart(rows: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be a candidate's, all others). A bit for each candidate's hash, in at most MARK_WORDS words, is
+    broadcast; so only texts that may need the join are shuffled, and of others as many as share a bit by chance."""
+    word, bit = _mark(F.col("key"))
+    marks = candidates.withColumns({"word": word, "bit": bit}).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("marks"))
+    told = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(marks), "word", "left")
+    may = F.coalesce(F.expr("shiftright(marks, bit)").bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return told.where(may).select(*rows.columns), told.where(~may).select(*rows.columns)
+
+
 def secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The kept columns (the id unless named) and `spans`: all matches as array<struct<start, order, end, kind>>,
     by start, then in the order of the rules."""
     keep = [doc_id] if keep is None else list(keep)
     index = Index(rules)
-    rows = df.select(*(F.col(c).alias(f"k{n}") for n, c in enumerate(keep)), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"), F.col(doc_id).cast("long").alias("id"))
+    rows = df.select(*(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"), F.col(f"`{doc_id}`").cast("long").alias("id"))
     rows = rows.withColumn("key", F.coalesce("id", F.xxhash64("body")))
-    found = rows.join(index.candidates(index.postings(rows, "key", "body")), "key", "left")
+    candidates, _ = written(index.candidates(index.postings(rows, "key", "body")), "candidates")
+    maybe, others = _apart(rows, candidates)
     none = F.array().cast("array<struct<start: int, end: int>>")
-    each = []
-    for n, (r, q) in enumerate(zip(index.rules, index.queries, strict=True)):
-        s = _spans(F.col("body"), r)
-        each.append((s if q is None else F.when(F.array_contains("rules", F.lit(n)), s).otherwise(none)).alias(f"s{n}"))
-    found = found.select(*(f"k{n}" for n in range(len(keep))), *each)
-    named = [_named(F.col(f"s{n}"), n, r.kind) for n, r in enumerate(index.rules)]
-    return found.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(keep)), F.array_sort(F.concat(*named)).alias("spans"))
+
+    def scanned(found: DataFrame, wanted: Callable[[int], Column] | None) -> DataFrame:
+        """wanted: whether a rule's query is met; without it only rules without a query are tried."""
+        each = []
+        for n, (r, q) in enumerate(zip(index.rules, index.queries, strict=True)):
+            s = _spans(F.col("body"), r)
+            each.append((s if q is None else none if wanted is None else F.when(wanted(n), s).otherwise(none)).alias(f"s{n}"))
+        found = found.select(*(f"k{n}" for n in range(len(keep))), *each)
+        named = [_named(F.col(f"s{n}"), n, r.kind) for n, r in enumerate(index.rules)]
+        return found.select(*(F.col(f"k{n}").alias(c) for n, c in enumerate(beside(keep, ["spans"]))), F.array_sort(F.concat(*named)).alias("spans"))
+
+    met = scanned(maybe.join(candidates, "key", "left"), lambda n: F.array_contains("rules", F.lit(n)))
+    return met.union(scanned(others, None))
 
 
 def _named(spans: Column, order: int, kind: str) -> Column:
@@ -299,6 +329,6 @@ def without_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     """df with each secret in its text replaced; all rows and columns stay."""
     found = secrets(df, doc_id, text, df.columns, rules.__class__(rules))
     spans = "__spans"
-    found = found.withColumnRenamed("spans", spans) if "spans" not in df.columns else found.toDF(*df.columns, spans)
-    out = found.withColumn(text, redacted(F.col(text), F.col(spans)))
+    found = found.toDF(*df.columns, spans)
+    out = found.withColumn(text, redacted(F.col(f"`{text}`"), F.col(spans)))
     return out.select(*(f"`{c}`" for c in df.columns))
