@@ -11,7 +11,8 @@ the marks so far written to the shared folder in between, so that no task ever h
 
 Defined cases: a null text has no words and is clean; a null or wordless item gives no pattern; a null item_id counts
 as an item of its own named by the empty string; equal items under several ids all count; repeated
-doc_ids stay separate rows; other columns are ignored; no items: every text is clean.
+doc_ids stay separate rows; other columns are ignored; no items: every text is clean; a kept column that is called like
+an output comes back as `<name>_kept`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngraph.llm.common import alnum_words, kept_with_text, map_arrow, texts, written
+from cairngraph.llm.common import alnum_words, beside, kept_with_text, map_arrow, texts, written
 
 WINDOW = 10
 MAX_PATTERN_WORDS = 4_000_000
@@ -146,7 +147,9 @@ def contamination(
         state = _scanned(state, block, at, kept, len(names), k == parts - 1)
         if k < parts - 1:
             state, _ = written(state, "contamination")
-    out = state.select(*(F.col(f"c{i}").alias(names[i]) for i in kept), "n_words", "n_hit", "items", "spans")
+    own = ("n_words", "n_hit", "items", "spans", "n_items", "contaminated")
+    shown = beside([names[i] for i in kept], own)
+    out = state.select(*(F.col(f"c{i}").alias(n) for i, n in zip(kept, shown, strict=True)), *own[:4])
     return out.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 

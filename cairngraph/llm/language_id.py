@@ -13,7 +13,8 @@ counts up to 65,535, so 8 KB at most however long its text. Prediction reads eve
 Defined cases: a letter is what Unicode calls one (categories L): digits and other numbers (`½`, `Ⅷ`) are none. A null
 text or one without letters is `und` with score 0; a null label takes no part
 in training; without any labelled row every text is `und` with score 0; one label only: that label
-with score 1; rows are predicted alone, so null and repeated ids need no care; other columns are ignored.
+with score 1; rows are predicted alone, so null and repeated ids need no care; other columns are ignored; a kept column that is called like an output comes back
+as `<name>_kept`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairngraph.llm.common import kept_with_text, map_arrow, texts
+from cairngraph.llm.common import beside, kept_with_text, map_arrow, texts
 
 LENGTHS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
@@ -223,15 +224,16 @@ def predictions(df: DataFrame, model: Model, text: str = "text", keep: tuple[str
     """The kept columns, lang_pred and score of every row."""
     src, at, kept = kept_with_text(df, text, keep)
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels weights, whatever the corpus
+    names = beside([src.columns[i] for i in kept], ("lang_pred", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             found = [m.predict(t) for t in texts(batch, at)]
             cols = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *cols], [*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *cols], [*names, "lang_pred", "score"])
 
-    fields = "".join(f"`{src.schema[i].name}` {src.schema[i].dataType.simpleString()}, " for i in kept)
+    fields = "".join(f"`{n}` {src.schema[i].dataType.simpleString()}, " for n, i in zip(names, kept, strict=True))
     return map_arrow(src, run, f"{fields}lang_pred string, score double")
 
 

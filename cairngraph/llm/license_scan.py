@@ -6,7 +6,8 @@ holds the license where the automaton reaches its end, which needs every mandato
 The words that every match begins with are its anchor: only places where they stand are tried.
 
 Defined cases: a null text is an empty one; a text without a match has no labels and score 0; rows
-are judged alone, so null or repeated ids and equal texts need no care; other columns are ignored.
+are judged alone, so null or repeated ids and equal texts need no care; other columns are ignored; a kept column that is called like an
+output comes back as `<name>_kept`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngraph.llm.common import alnum_words, map_arrow, texts
+from cairngraph.llm.common import alnum_words, map_arrow, renamed, texts
 
 # Phrases of the base rule and their labels.
 PHRASES = (
@@ -222,7 +223,7 @@ def licenses(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",
     """The kept columns, n_words, base and matches (arrays of label, first, end in words) and score: the
     share of the words that lie in a match."""
     phrases, templates = tuple(phrases), tuple(templates)
-    src = df.select(F.col(text).cast("string").alias("__text"), *keep)
+    src = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *renamed(keep, ("n_words", "base", "matches", "score")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,8 +18,8 @@ another, so the texts that come out keep all distinct.
 
 Defined cases: a null text stays null and an empty one empty, without entities; entities that overlap: the
 first kind in KINDS wins; null and repeated ids stay separate rows; other columns pass through `keep`;
-long digit runs that are no valid card (Luhn) stay as they are; an empty table gives an empty result; a kept column of
-an output's name stands beside it.
+long digit runs that are no valid card (Luhn) stay as they are; an empty table gives an empty result; a kept
+column that is called like an output comes back as `<name>_kept`.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngraph.llm.common import drop, map_arrow, texts, written
+from cairngraph.llm.common import drop, map_arrow, renamed, texts, written
 
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "name")
 #: A deployment passes its own.
@@ -322,7 +322,7 @@ def pseudonymised(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc
     characters of the old text. Runs that share a key agree on the surrogates if they share a width; unless given, it is
     the least that is safe for df."""
     width = safe_width(df, text, key) if width is None else width
-    src = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *(F.col(f"`{c}`") for c in keep))
+    src = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *renamed(keep, ("new_text", "entities")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Surrogates(key, width)

@@ -6,7 +6,8 @@ length. Windows with equal hashes inside one text are checked word by word, then
 characters under the marks are summed. Repeated lines are measured the same way by their characters.
 
 Defined cases: a null or empty text has no words and fails; a row keeps its doc_id whatever it is
-(null and repeated ids included), as no step compares rows; other columns are ignored.
+(null and repeated ids included), as no step compares rows; other columns are ignored; a kept column that is called like an output comes back as
+`<name>_kept`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairngraph.llm.common import blank_words, map_arrow, texts
+from cairngraph.llm.common import blank_words, map_arrow, renamed, texts
 
 #: n-gram length: percent of a text's word characters that may lie inside repeated n-grams.
 COVERAGE_LIMITS = {5: 20, 6: 18, 7: 16, 8: 14, 9: 12, 10: 10}
@@ -157,7 +158,7 @@ def repetition(
     limits = dict(COVERAGE_LIMITS if limits is None else limits)
     lengths = tuple(sorted(limits))
     names = ["words", "word_chars", "symbols", "dup_lines", "repeat_words", "dup_line_chars", "line_chars", *(f"chars_{k}" for k in lengths)]
-    src = df.select(F.col(text).cast("string").alias("__text"), *keep)
+    src = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *renamed(keep, (*names, "base_failed", "kept")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

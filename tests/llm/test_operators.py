@@ -381,7 +381,7 @@ def test_contamination_equals_brute_force(spark):
     for t in texts:
         want.append(decontaminate.naive_hits(decontaminate.alnum_words((t or "").encode()), named))
     for most in (decontaminate.MAX_PATTERN_WORDS, 200):
-        got = decontaminate.contamination(clashing(docs(spark, texts)).drop("contaminated"), frame, max_pattern_words=most).orderBy("doc_id").collect()
+        got = decontaminate.contamination(clashing(docs(spark, texts)), frame, max_pattern_words=most).orderBy("doc_id").collect()
         assert [(r.n_hit, sorted(set(r["items"]))) for r in got] == want
     span = got[7].spans[0]
     assert texts[7][span.start : span.end] == "Q, w! E"
@@ -411,7 +411,7 @@ SECRETS = ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "PassWd:abc", "
 def test_secrets_equal_brute_force(spark):
     rnd = random.Random(7)
     texts = HARD + SECRETS + [" ".join(rnd.choice(SECRETS + ["plain", "token", "\n"]) for _ in range(rnd.randrange(1, 9))) for _ in range(80)]
-    got = secret_scan.secrets(clashing(docs(spark, texts, [None, None, *range(2, len(texts))])).drop("spans"), keep=["doc_id", "text"]).collect()
+    got = secret_scan.secrets(clashing(docs(spark, texts, [None, None, *range(2, len(texts))])), keep=["doc_id", "text"]).collect()
     assert sorted((str(r.doc_id), r.text or "", [tuple(s) for s in r.spans]) for r in got) == sorted((str(None if i < 2 else i), t or "", naive_spans(t)) for i, t in enumerate(texts))
 
 
@@ -761,3 +761,52 @@ def test_long_pages_get_files_of_their_own(spark, tmp_path, monkeypatch):
     got = warc.read(spark, str(tmp_path / "w"))
     per_file = [(r.n, r.most) for r in got.groupBy("file").agg(F.count("*").alias("n"), F.max("bytes").alias("most")).collect()]
     assert got.count() == 63 and all(n == 1 for n, most in per_file if most == 30_000)
+
+
+# --- edges that the operators share ---------------------------------------------------------------------
+
+
+def _operators(spark):
+    """Operators of single rows: a call with kept columns, and the columns that it adds."""
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id bigint, text string")
+    return {
+        "quality": (lambda df, keep: quality.repetition(df, keep=keep), ("words", "kept")),
+        "licenses": (lambda df, keep: license_scan.licenses(df, keep=keep), ("base", "score")),
+        "pii": (lambda df, keep: pii.pseudonymised(df, keep=keep, width=4), ("entities", "new_text")),
+        "decontamination": (lambda df, keep: decontaminate.contamination(df, items, keep=keep), ("n_words", "contaminated")),
+        "secrets": (lambda df, keep: secret_scan.secrets(df, keep=keep), ("spans",)),
+        "language": (lambda df, keep: language_id.predictions(df, language_id.Model(["en"], np.ones(language_id.BUCKETS, np.float32), np.zeros((language_id.BUCKETS, 1), np.float32), np.zeros(1, np.float32)), keep=tuple(keep)), ("lang_pred", "score")),
+    }
+
+
+@pytest.mark.parametrize("name", ["quality", "licenses", "pii", "decontamination", "secrets", "language"])
+def test_rows_of_any_kind_come_back_once(spark, name):
+    run, own = _operators(spark)[name]
+    texts = [*HARD, *HARD[:4], "token=abcdef123 Mr Kahn mit license a b c d e f g h i j k"]
+    ids = [None, None, *range(len(texts) - 4), 3, 3]
+    rows = [(i, t, "en", str(texts.index(t)), 0) for i, t in zip(ids, texts, strict=True)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("mine") for c in own} | {"a.b": F.lit(7)})
+    keep = ["doc_id", "a.b", "source", *own]
+    got = run(df, keep)
+    assert got.columns[: len(keep)] == ["doc_id", "a.b", "source", *(f"{c}_kept" for c in own)]
+    assert len(set(got.columns)) == len(got.columns) and set(own) <= set(got.columns)
+    rows = got.collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, ids))
+    assert all(r["a.b"] == 7 and r[f"{own[0]}_kept"] == "mine" for r in rows)
+    alike: dict = {}
+    for r in rows:
+        alike.setdefault(r.source, set()).add(repr([r[c] for c in own]))
+    assert all(len(v) == 1 for v in alike.values())
+    assert run(df.where("false"), keep).count() == 0 and run(df.where("false"), keep).columns == got.columns
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=abcd{i:05d} é password={'x' * (i % 9)}" for i in range(6000))
+    df = docs(spark, [text])
+    assert [tuple(s) for s in secret_scan.secrets(df).first().spans] == naive_spans(text)
+    out, at = [], 0
+    for s, _, e, _ in naive_spans(text):
+        if e > at:
+            out += [text[at:s], "[SECRET]"] if s >= at else []
+            at = e
+    assert secret_scan.without_secrets(df).first().text == "".join(out) + text[at:]
