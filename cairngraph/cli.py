@@ -11,14 +11,18 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
 from cairngraph import api, rpc
+from cairngraph.functions.keys import KEY_VERSION
+from cairngraph.operators.base import VERSION
 from cairngraph.plans import legacy, ops
 from cairngraph.plans.canonicalize import canonicalize, severity_counts
 from cairngraph.plans.store import LoadRefused, Store
-from cairngraph.sources import ingest, repository
+from cairngraph.schemas import SCHEMA_VERSION
+from cairngraph.sources import ingest, remote, repository
 from cairngraph.sources.observations import read_jsonl, write_jsonl
 
 
@@ -47,7 +51,13 @@ def parser() -> argparse.ArgumentParser:
     add("bulk-plan", "plan a local corpus", "config", "root")
     add("bulk-import", "import a local corpus", "config", "root", store="store")
     add("import-warc", "import WARC archives", "config", "root", store="store")
-    add("ops", "config-check, graphs, refresh-enabled or refresh-status of a graph registry", "what", "config", store="store")
+    add("import-archive", "import a saved page or report", "config", "root", store="store", kind="saved-page, report or export")
+    add("ingest-feed", "fetch a feed, keep it and load it", "config", "folder", store="store", acquired_at="time of acquisition (ISO; now unless given)")
+    for n in ("api", "github"):
+        add(f"{n}-plan", f"the requests that a {n} source would make", "config")
+        add(f"{n}-acquire", f"load saved responses of a {n} source", "config", "folder", store="store", manifest="file to write the manifest to")
+    add("identity", "the version of keys, schemas and extractors")
+    add("ops", "config-check, graphs, refresh-graph, refresh-enabled or refresh-status of a graph registry", "what", "config", store="store", graph="id of the graph to refresh")
     ask = add("ask", "ask the store", "operation", store="store")
     ask.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="argument of the operation")
     add("serve", "answer read-only JSON-RPC on standard input", store="store", registry="graph registry, for the tools over configured graphs")
@@ -93,13 +103,40 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
         load = {"all": store.load, "canonical": store.load_canonical, "files": store.load_files}[a.mode or "all"]
         done = load(o, a.name or "repository", a.root_path or a.root, a.commit)
         show([{"run_id": done.run_id, "status": done.status}], a.json)
-    elif a.command in ("bulk-plan", "bulk-import", "import-warc"):
+    elif a.command == "identity":
+        show([{"package": "cairngraph", "graph_key_version": KEY_VERSION, "schema_version": SCHEMA_VERSION, "extractor_version": VERSION}], a.json)
+    elif a.command in ("api-plan", "api-acquire", "github-plan", "github-acquire"):
+        with open(a.config, encoding="utf-8") as f:
+            r = remote.read_remote(f.read())
+        if a.command.startswith("github") != bool(r.owner):
+            raise ValueError("the source is of another kind")
+        if a.command.endswith("-plan"):
+            show(remote.plan(r)["requests"], a.json)
+        else:
+            made, o = remote.acquire(spark, r, remote.saved_answers(a.folder))
+            if a.manifest:
+                with open(a.manifest, "w", encoding="utf-8") as f:
+                    json.dump(made, f, sort_keys=True)
+            done = Store(spark, a.store).load_canonical(o, r.source_id, a.folder)
+            show([{"run_id": done.run_id, "status": done.status, "api_run_id": made["api_run_id"], "responses": len(made["responses"])}], a.json)
+    elif a.command == "ingest-feed":
+        with open(a.config, encoding="utf-8") as f:
+            s = ingest.read_source(f.read())
+        at = a.acquired_at or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        done = Store(spark, a.store).load_canonical(ingest.ingest_feed(spark, s, a.folder, at), s.source_id, a.folder)
+        show([{"run_id": done.run_id, "status": done.status}], a.json)
+    elif a.command in ("bulk-plan", "bulk-import", "import-warc", "import-archive"):
         with open(a.config, encoding="utf-8") as f:
             s = ingest.read_source(f.read())
         if a.command == "bulk-plan":
             show([ingest.manifest(s, ingest.plan(repository.scan(spark, a.root).select("path", "content"), s))], a.json)
         else:
-            o = ingest.warc_import(spark, a.root, s) if a.command == "import-warc" else ingest.bulk_observations(spark, a.root, s)[1]
+            if a.command == "import-warc":
+                o = ingest.warc_import(spark, a.root, s)
+            elif a.command == "import-archive":
+                o = ingest.archive_observations(spark, a.root, s, a.kind or "saved-page")[1]
+            else:
+                o = ingest.bulk_observations(spark, a.root, s)[1]
             done = Store(spark, a.store).load_canonical(o, s.source_id, a.root)
             show([{"run_id": done.run_id, "status": done.status}], a.json)
     elif a.command == "ops":
@@ -112,7 +149,10 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
             show(api.records(ops.registry_frame(spark, registry)), a.json)
         else:
             store = Store(spark, a.store)
-            show(ops.refresh_enabled(store, registry) if a.what == "refresh-enabled" else api.records(ops.status(store, registry)), a.json)
+            if a.what == "refresh-graph":
+                show([ops.refresh(store, next(g for g in registry.graphs if g.id == a.graph))] if any(g.id == a.graph for g in registry.graphs) else [], a.json)
+            else:
+                show(ops.refresh_enabled(store, registry) if a.what == "refresh-enabled" else api.records(ops.status(store, registry)), a.json)
     elif a.command == "ask":
         given = dict(x.split("=", 1) for x in a.set)
         show(api.records(api.OPERATIONS[a.operation](Store(spark, a.store), given)), a.json)

@@ -9,13 +9,17 @@ opens a connection: fetchers are callables that the caller passes in.
 from __future__ import annotations
 
 import hashlib
+import re
 import tomllib
+import urllib.request
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph.functions import keys as K
@@ -118,6 +122,10 @@ def judged(files: DataFrame, s: Source) -> DataFrame:
     return files.withColumns({"route": r, "bytes": F.length("content").cast("long"), "reason": reason})
 
 
+#: Files that a plan looks at together.
+PLAN_PAGE = 10_000
+
+
 @dataclass(frozen=True)
 class Plan:
     run_id: str
@@ -131,26 +139,38 @@ class Plan:
 
 def plan(files: DataFrame, s: Source) -> Plan:
     """Accepts files in the order of their paths while the budget lasts: one that is too large for what is left is
-    passed over and a later one may fit. This fold is sequential by nature; it runs on the driver over paths and sizes
-    of the fitting files only, of which at most max_files are kept."""
+    passed over and a later one may fit.
+
+    This fold is sequential by nature. It runs on the driver over pages of PLAN_PAGE paths and sizes, of such files only as
+    may still fit what is left, and ends with the budget: the driver holds a page and at most max_files rows. Why files
+    are left out is told by their size and place, as a set."""
     seen = judged(files, s).withColumn("sha256", F.sha2("content", 256))
-    taken, passed, total = [], {}, 0
-    for r in seen.where("reason IS NULL").select("path", "bytes", "route", "sha256").orderBy("path").toLocalIterator():
-        if total + r.bytes > s.max_total_bytes:
-            passed[r.path] = "max_total_bytes_exceeded"
-        elif len(taken) >= s.max_files:
-            passed[r.path] = "max_files_exceeded"
-        else:
-            taken.append(r)
-            total += r.bytes
-    body = {"source": {k: v for k, v in s.__dict__.items() if k != "extra"}, "inventory": [[r.path, r.route, r.bytes, r.sha256] for r in taken]}
+    fitting = seen.where("reason IS NULL").select("path", "bytes", "route")
+    taken: list[Row] = []
+    total, after = 0, ""
+    while len(taken) < s.max_files:
+        left = s.max_total_bytes - total
+        # The next files that may fit: a page of rows, so that what is folded is bounded, whatever follows.
+        page = fitting.where((F.col("path") > after) & (F.col("bytes") <= left)).orderBy("path").limit(PLAN_PAGE).collect()
+        for r in page:
+            if total + r.bytes <= s.max_total_bytes and len(taken) < s.max_files:
+                taken.append(r)
+                total += r.bytes
+        if len(page) < PLAN_PAGE:
+            break
+        after = page[-1].path
+    chosen = files.sparkSession.createDataFrame([(r.path,) for r in taken], "path string")
+    included = seen.where("reason IS NULL").join(chosen, "path", "left_semi")
+    hashes = {r.path: r.sha256 for r in included.select("path", "sha256").collect()}  # max_files rows at most
+    body = {"source": {k: v for k, v in s.__dict__.items() if k != "extra"}, "inventory": [[r.path, r.route, r.bytes, hashes[r.path]] for r in taken]}
     run = "bulk-" + hashlib.sha256(K.canonical_json(body).encode()).hexdigest()[:24]
-    spark = files.sparkSession
-    chosen = spark.createDataFrame([(r.path,) for r in taken], "path string")
-    over = spark.createDataFrame(list(passed.items()), "path string, late string")
-    skipped = seen.join(over, "path", "left").withColumn("reason", F.coalesce("reason", "late")).where("reason IS NOT NULL").select("path", "route", "bytes", "reason")
-    reasons = {r.reason: r.n for r in skipped.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Plan(run, hashlib.sha256(f"{s.source_id}:{run}".encode()).hexdigest()[:24], seen.where("reason IS NULL").join(chosen, "path", "left_semi"), skipped, dict(Counter(r.route for r in taken)), reasons, total)
+    # A file is passed over for the number of files if it came after the last one that was taken and would have fitted.
+    last = taken[-1].path if taken else ""
+    full = (F.lit(len(taken) >= s.max_files) & (F.col("path") > last) & (F.col("bytes") <= s.max_total_bytes - total))
+    late = F.when(full, F.lit("max_files_exceeded")).otherwise(F.lit("max_total_bytes_exceeded"))
+    left_out = seen.join(chosen, "path", "left_anti").withColumn("reason", F.coalesce("reason", late)).select("path", "route", "bytes", "reason")
+    reasons = {r.reason: r.n for r in left_out.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return Plan(run, hashlib.sha256(f"{s.source_id}:{run}".encode()).hexdigest()[:24], included, left_out, dict(Counter(r.route for r in taken)), reasons, total)
 
 
 def annotated(observations: DataFrame, **fields: Column) -> DataFrame:
@@ -205,8 +225,41 @@ def manifest_summary(manifests: DataFrame) -> DataFrame:
 # --- WARC -------------------------------------------------------------------------------------------------
 
 
+# Payload types that are handed to an extractor, by the suffix that chooses it.
+PAYLOADS = {
+    "text/html": "html", "application/xhtml+xml": "html", "text/css": "css", "application/javascript": "js", "text/javascript": "js", "application/json": "json", "text/plain": "txt",
+    "text/csv": "csv", "text/markdown": "md", "application/xml": "xml", "text/xml": "xml", "application/rss+xml": "xml", "application/atom+xml": "xml",
+}
+
+
+def payload_route(content_type: str, block: bytes) -> tuple[str | None, bytes]:
+    """(suffix, payload) of a record's block: an HTTP response tells the type of what follows its header."""
+    kind = content_type.partition(";")[0].strip().lower()
+    if kind == "application/http":
+        head, gap, block = block.partition(b"\r\n\r\n")
+        m = re.search(rb"(?im)^content-type:\s*([^;\r\n]+)", head)
+        kind = m[1].decode("latin-1").strip().lower() if gap and m else ""
+    return PAYLOADS.get(kind), block
+
+
+def gunzipped(data: bytes) -> bytes:
+    """All gzip members of an archive; what follows a broken one is left out."""
+    out, rest = [], memoryview(data)
+    while len(rest) and bytes(rest[:2]) == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        try:
+            out.append(d.decompress(rest))
+        except zlib.error:
+            break
+        rest = rest[len(rest) - len(d.unused_data) :] if d.unused_data else rest[:0]
+    return b"".join(out)
+
+
 def warc_observations(path: str, data: bytes) -> Iterator[dict]:
-    """Records of a plain archive, read until the first malformed one; payloads are only named and measured."""
+    """Records of an archive, gzipped or plain, read until the first malformed one. Payloads are named and measured, and those
+    whose type an extractor knows are given to it, as files below the archive's path."""
+    if data[:2] == b"\x1f\x8b":
+        data = gunzipped(data)
     doc, at, n, seen, bad = K.within("warc.document", path), 0, 0, Counter(), None
     records: list[dict] = []
     version = None
@@ -240,7 +293,12 @@ def warc_observations(path: str, data: bytes) -> Iterator[dict]:
         if uri:
             target = K.key("external.url", redact_url(uri)) if uri.lower().startswith(("http://", "https://")) else K.unknown("external.url", "unsupported-scheme")
             records.append(make("reference", f"warc-reference:{n}", target=target, source_key=key, reference_kind="target-uri", not_fetched=True, target_kind=target.partition(":")[0], **common))
-        records.append(make("payload", f"warc-payload:{n}", record_key=key, payload_byte_length=int(length), payload_sha256=hashlib.sha256(data[start : start + int(length)]).hexdigest()))
+        block = data[start : start + int(length)]
+        suffix, payload = payload_route(heads.get("content-type", ""), block)
+        routed = f"{path}.records/{n}.{suffix}" if suffix else None
+        records.append(make("payload", f"warc-payload:{n}", record_key=key, payload_byte_length=int(length), payload_sha256=hashlib.sha256(block).hexdigest(), extractor_route=suffix, routed_path=routed))
+        if routed:
+            records += repository.extracted_from(routed, payload)
         at = start + int(length)
         while data[at : at + 2] == b"\r\n" or data[at : at + 1] == b"\n":
             at += 2 if data[at : at + 2] == b"\r\n" else 1
@@ -250,11 +308,79 @@ def warc_observations(path: str, data: bytes) -> Iterator[dict]:
         yield observation("warc.parse_error", path, "warc-parse-error", "cairn-warc", "unknown", error_kind=bad, recovered=False, byte_offset=at)
 
 
+# --- saved pages and reports ------------------------------------------------------------------------------
+
+# What a saved folder may be.
+ARCHIVE_KINDS = ("saved-page", "report", "export")
+
+
+def archive_manifest(spark: SparkSession, root: str, s: Source, kind: str = "saved-page") -> tuple[dict, Plan]:
+    """A folder that was saved whole (a page with its assets, a report): its manifest and plan. The entry is the index page, or
+    the first page there is."""
+    if kind not in ARCHIVE_KINDS:
+        raise PolicyRefused(f"archive kind must be one of {', '.join(ARCHIVE_KINDS)}")
+    p = plan(repository.scan(spark, root).select("path", "content"), s)
+    pages = p.included.where("route = 'html'").select("path")
+    first = pages.orderBy(~F.col("path").rlike(r"(^|/)index\.html?$"), F.length("path"), "path").limit(1).collect()
+    return manifest(s, p) | {"archive_kind": kind, "entry_path": first[0].path if first else None}, p
+
+
+def archive_observations(spark: SparkSession, root: str, s: Source, kind: str = "saved-page", run_id: int = 1) -> tuple[dict, DataFrame]:
+    """The manifest of a saved folder and its observations with their provenance."""
+    m, p = archive_manifest(spark, root, s, kind)
+    files = repository.classify(p.included.select("path", "content", F.lit(False).alias("executable")))
+    found = repository.observe(files, run_id)
+    facts = p.included.select("path", F.col("sha256").alias("sha"), "bytes")
+    lit = F.lit
+    out = annotated(
+        found.join(facts, "path"), source_id_configured=lit(s.source_id), source_type=lit(s.source_type), source_display_name=lit(s.display_name), source_policy_status=lit(s.policy_status), source_run_id=lit(p.run_id),
+        source_artifact_id=lit(p.manifest_id), source_artifact_path=F.col("path"), source_artifact_sha256=F.col("sha"), source_artifact_bytes=F.col("bytes"), archive_kind=lit(kind), archive_entry_path=lit(m["entry_path"]),
+        acquisition_method=lit("local-import"), artifact_retention_policy=lit(s.retention),
+    )
+    return m, out.select(*found.columns)
+
+
 # --- feeds ------------------------------------------------------------------------------------------------
 
 Fetch = Callable[[str], tuple[bytes, int, str]]
 
 
+def https_fetch(timeout: float = 20.0, most: int = 10 << 20) -> Fetch:
+    """A transport for feeds: one GET over https, at most so many bytes, redirects refused unless they stay on https and host."""
+
+    class Careful(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, req, fp, code, msg, headers, newurl):  # type: ignore[no-untyped-def]
+            old, new = urlsplit(req.full_url), urlsplit(newurl)
+            if new.scheme != "https" or new.hostname != old.hostname:
+                raise PolicyRefused("the feed redirects to another place")
+            return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+    def fetch(url: str) -> tuple[bytes, int, str]:
+        with urllib.request.build_opener(Careful).open(urllib.request.Request(url, headers={"User-Agent": "cairngraph"}), timeout=timeout) as answer:
+            return answer.read(most + 1), answer.status, answer.headers.get_content_type()
+
+    return fetch
+
+
+def retained(spark: SparkSession, body: bytes, folder: str, s: Source) -> str:
+    """Keeps an artifact under its digest, in any store that Spark writes; the path. Kept once, it is not written again."""
+    path = f"{folder.rstrip('/')}/{s.source_id}/{hashlib.sha256(body).hexdigest()}.xml"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        out = fs.create(p, True)
+        out.write(bytearray(body))
+        out.close()
+    return path
+
+
+def ingest_feed(spark: SparkSession, s: Source, folder: str, acquired_at: str, fetch: Fetch | None = None, run_id: int = 1) -> DataFrame:
+    """Fetches a feed, keeps what came under the folder, and gives its observations."""
+    body, status, kind = (fetch or https_fetch())(s.url or "")
+    path = retained(spark, body, folder, s)
+    return feed_observations(spark, s, lambda url: (body, status, kind), acquired_at, f"feeds/{s.source_id}/{path.rpartition('/')[2]}", run_id)
+
+
 def feed_observations(spark: SparkSession, s: Source, fetch: Fetch, acquired_at: str, artifact_path: str, run_id: int = 1, most: int = 10 << 20) -> DataFrame:
     """Fetches the source's one feed through the given callable (body, status, content type), and extracts it with provenance."""
     if not s.url or not s.url.startswith("https://"):
@@ -298,8 +424,8 @@ def api_observations(spark: SparkSession, s: Source, responses: Mapping[str, obj
 
 
 def warc_import(spark: SparkSession, root: str, s: Source, run_id: int = 1) -> DataFrame:
-    """Observations of all plain archives below root, one task a file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc").load(root).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "content")
+    """Observations of all archives below root, plain or gzipped, one task a file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{warc,warc.gz}").load(root).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in OBSERVATIONS.split(",")]
@@ -308,5 +434,5 @@ def warc_import(spark: SparkSession, root: str, s: Source, run_id: int = 1) -> D
             rows = [o | {"metadata": K.canonical_json(o["metadata"]), "seq": i} for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, o in enumerate(warc_observations(p, c or b""))]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[n] for r in rows], pa.int32() if n in ints else pa.string()) for n in names), pa.array([r["seq"] for r in rows], pa.int64())], [*names, "seq"])
 
-    found = repository._numbered(files.mapInArrow(run, f"{OBSERVATIONS}, seq bigint"), "seq").withColumn("run_id", F.lit(run_id).cast("long")).drop("seq")
+    found = repository.numbered_by(files.mapInArrow(run, f"{OBSERVATIONS}, seq bigint").withColumn("file", F.regexp_extract("path", r"^(.*?\.warc(?:\.gz)?)", 1)), "file", "seq", groups=files.select(F.col("path").alias("file"))).withColumn("run_id", F.lit(run_id).cast("long")).drop("seq", "file")
     return annotated(found, source_id=F.lit(s.source_id), source_type=F.lit(s.source_type), source_policy_status=F.lit(s.policy_status))

@@ -6,13 +6,14 @@ A batch that is tried again after a failure is recognised by its id and not load
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cairngraph.plans.store import Store
 from cairngraph.schemas import OBSERVATION, SCHEMA_VERSION
 from cairngraph.sources.observations import REQUIRED, canonical_metadata, problem
+from cairngraph.sources.repository import numbered_by
 
 _ENVELOPE = "kind string, source_id string, path string, confidence string, extractor string, extractor_version string, schema_version int, start_line int, end_line int, name string, target string"
 
@@ -41,12 +42,9 @@ def load_stream(stream: DataFrame, store: Store, name: str, root_path: str, chec
         done = store.rows("runs").where((F.col("root_path") == root_path) & (F.col("git_commit") == mark)).limit(1).count()
         if done or batch.limit(1).count() == 0:
             return
-        # Ordinals follow file and content, so that a repeated batch numbers its rows alike; numbered by file with one prefix sum.
-        rows = batch.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("source_id", "metadata")))
-        sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-        first = sizes.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "first")
-        full = rows.join(first, "file").select(
-            F.lit(0).cast("long").alias("run_id"), (F.col("first") + F.col("k") - 1).cast("long").alias("ordinal"), *REQUIRED, F.coalesce("schema_version", F.lit(SCHEMA_VERSION)).alias("schema_version"), "start_line", "end_line", "name", "target", "metadata"
+        # Ordinals follow file and content, so that a repeated batch numbers its rows alike.
+        full = numbered_by(batch, "file", "source_id", "metadata").select(
+            F.lit(0).cast("long").alias("run_id"), "ordinal", *REQUIRED, F.coalesce("schema_version", F.lit(SCHEMA_VERSION)).alias("schema_version"), "start_line", "end_line", "name", "target", "metadata"
         )
         store.load_canonical(full.select(*OBSERVATION.names), name, root_path, mark)
 

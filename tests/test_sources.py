@@ -1,5 +1,6 @@
 """Sources with policies, provenance, streaming, the command line and the RPC server."""
 
+import gzip
 import io
 import json
 
@@ -10,7 +11,7 @@ from cairngraph import api, cli, rpc
 from cairngraph.plans import ops, provenance
 from cairngraph.plans.canonicalize import canonicalize
 from cairngraph.plans.store import Store
-from cairngraph.sources import ingest, repository
+from cairngraph.sources import ingest, remote, repository
 from cairngraph.streaming.ingest import load_stream, observation_stream
 
 TOML = '[source]\nsource_id = "s"\nsource_type = "local.directory"\npolicy_status = "allowed_with_limits"\ncorpus_kind = "mixed_corpus"\n[limits]\nmax_files = 3\nmax_total_bytes = 60\nmax_file_bytes = 40\nmax_depth = 3\n[exclude]\npaths = ["no"]\n'
@@ -134,3 +135,131 @@ def test_registry_and_refresh(spark, tmp_path):
     assert {r.graph_id: (r.status, r.canonical_nodes > 0) for r in ops.status(store, registry).collect()} == {"a": ("complete", True), "b": (None, False), "c": (None, False)}
     for bad in ("x =", "schema_version = 2", '[[graphs]]\nid = "a"', one.format("a", "/x", "r", "true") * 2, one.format("a", "/x", "r", "true") + 'token = "t"\n'):
         assert not ops.read_registry(bad).ok
+
+
+REMOTE = """
+[source]
+source_id = "gh"
+policy_status = "allowed"
+read_only = true
+credentials_ref = "env_ref:TOKEN_NAME"
+[github]
+owner = "some-one"
+repository = "thing"
+[limits]
+max_items_per_run = 3
+[[endpoints]]
+name = "issues"
+path = "/repos/{owner}/{repo}/issues"
+saved_response = "issues.json"
+"""
+
+
+def test_github_source_is_planned_redacted_and_loaded(spark, tmp_path):
+    r = remote.read_remote(REMOTE)
+    p = remote.plan(r)
+    assert p == remote.plan(remote.read_remote(REMOTE)) and p["requests"][0]["path"] == "/repos/some-one/thing/issues" and p["requests"][0]["data_class"] == "issues"
+    issues = [{"id": 1, "title": "t", "body": "private words", "clone_url": "https://h/x.git", "url": "https://h/x?access_token=abc"}]
+    (tmp_path / "issues.json").write_text(json.dumps(issues))
+    made, o = remote.acquire(spark, r, remote.saved_answers(str(tmp_path)))
+    assert made["total_items"] == 1 and made["responses"][0]["redacted"] and made["api_run_id"] == p["api_run_id"]
+    text = "".join(x.metadata for x in o.collect())
+    assert "private words" not in text and "abc" not in text and '"github_owner":"some-one"' in text and '"redacted":true' in text
+    assert canonicalize(o).diagnostics.where("severity = 'error'").count() == 0
+    shown = remote.redact_github(issues)[0]
+    assert shown["title"] == "t" and shown["body"]["body_length"] == 13 and shown["clone_url"]["redacted"] and shown["url"]["redaction_reason"] == "sensitive_url"
+    many = lambda request: remote.Answer(200, json.dumps([1, 2, 3, 4]).encode())
+    for transport in (many, lambda request: remote.Answer(500, b"{}"), lambda request: remote.Answer(200, b"no")):
+        with pytest.raises(ingest.PolicyRefused):
+            remote.acquire(spark, r, transport)
+    for old, new in (("read_only = true", "read_only = false"), ('"allowed"', '"blocked"'), ("/issues", "/keys"), ("env_ref:TOKEN_NAME", "ghp_x"), ('saved_response', 'method = "POST"\nsaved_response'), ('[limits]', '[limits]\napi_token = "x"')):
+        with pytest.raises(ingest.PolicyRefused):
+            remote.read_remote(REMOTE.replace(old, new))
+    with pytest.raises(ingest.PolicyRefused):
+        remote.saved_answers(str(tmp_path))(p["requests"][0] | {"saved_response": "../x"})
+    (tmp_path / "m.json").write_text(json.dumps(made))
+    total = remote.manifest_summary(remote.manifests(spark, str(tmp_path / "m.json"))).first()
+    assert (total.sources, total.runs, total.requests, total.responses, total.redacted_responses, total.total_items) == (1, 1, 1, 1, 1, 1)
+
+
+def test_saved_pages_and_gzipped_archives(spark, tmp_path):
+    page = tmp_path / "page"
+    (page / "assets").mkdir(parents=True)
+    (page / "other.html").write_text("<html><body>o</body></html>")
+    (page / "index.html").write_text("<html><head><link rel=stylesheet href=assets/a.css></head></html>")
+    (page / "assets" / "a.css").write_text(".a { color: red }")
+    s = ingest.Source("saved", "local.archive", "allowed")
+    m, o = ingest.archive_observations(spark, str(page), s)
+    assert m["entry_path"] == "index.html" and m["archive_kind"] == "saved-page" and sum(m["extractor_counts"].values()) == 3
+    kinds = {r.kind for r in o.collect()}
+    assert {"html.asset", "css.rule", "file"} <= kinds and all('"archive_kind":"saved-page"' in r.metadata for r in o.collect())
+    with pytest.raises(ingest.PolicyRefused):
+        ingest.archive_manifest(spark, str(page), s, "odd")
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<html><body><a href=\'http://h/x\'>x</a></body></html>"
+    record = lambda kind, body: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, len(body), body)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(gzip.compress(record(b"application/http; msgtype=response", http)) + gzip.compress(record(b"application/json", b'{"k": 1}') + record(b"image/png", b"xx")))
+    o = ingest.warc_import(spark, str(tmp_path / "w"), s).collect()
+    routed = {r.path for r in o if ".records/" in r.path}
+    assert routed == {"a.warc.gz.records/1.html", "a.warc.gz.records/2.json"} and {"html.link", "config.path", "warc.record"} <= {r.kind for r in o}
+    assert sorted(r.ordinal for r in o) == list(range(len(o))) and sum(r.kind == "warc.record" for r in o) == 3
+
+
+def test_feeds_are_kept_and_plans_come_in_pages(spark, tmp_path, monkeypatch):
+    body = b'<rss version="2.0"><channel><title>C</title><item><title>I</title><guid>g</guid></item></channel></rss>'
+    s = ingest.Source("f", "feed", "allowed", url="https://h/feed")
+    fetch = lambda url: (body, 200, "application/rss+xml")
+    for _ in range(2):
+        o = ingest.ingest_feed(spark, s, str(tmp_path / "kept"), "2024-01-01T00:00:00Z", fetch)
+    kept = [p for p in (tmp_path / "kept" / "f").iterdir() if p.suffix == ".xml"]
+    assert len(kept) == 1 and kept[0].read_bytes() == body and "feed.item" in {r.kind for r in o.collect()}
+    files = spark.createDataFrame([(f"{i:02d}.txt", bytearray(b"x" * (i % 5 + 1))) for i in range(40)], "path string, content binary")
+    source = ingest.Source("c", "local.directory", "allowed", max_total_bytes=50, max_files=100)
+    whole = ingest.plan(files, source)
+    left, taken = 50, []
+    for i in range(40):
+        if i % 5 + 1 <= left:
+            taken.append(f"{i:02d}.txt")
+            left -= i % 5 + 1
+    assert sorted(r.path for r in whole.included.collect()) == taken and whole.reasons == {"max_total_bytes_exceeded": 40 - len(taken)}
+    monkeypatch.setattr(ingest, "PLAN_PAGE", 3)
+    paged = ingest.plan(files, source)
+    assert paged.run_id == whole.run_id and paged.reasons == whole.reasons
+    few = ingest.plan(files, ingest.Source("c", "local.directory", "allowed", max_total_bytes=1000, max_files=7))
+    assert len(few.included.collect()) == 7 and few.reasons == {"max_files_exceeded": 33}
+
+
+def test_numbers_follow_groups_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(repository, "RANGES", 8)
+    monkeypatch.setattr(repository, "DRAWN", 16)
+    rows = [(f"p{i * 7 % 50:03d}", j) for i in range(50) for j in range(i % 4 + 1)]
+    df = spark.createDataFrame(rows, "path string, seq int").repartition(5)
+    got = sorted((r.ordinal, r.path, r.seq) for r in repository.numbered_by(df, "path", "seq").collect())
+    assert got == [(n, *x) for n, x in enumerate(sorted(rows))]
+    assert repository.numbered_by(df.where("false"), "path", "seq").count() == 0
+
+
+def test_new_commands(spark, tmp_path, capsys):
+    (tmp_path / "gh.toml").write_text(REMOTE)
+    (tmp_path / "issues.json").write_text('[{"id": 1}]')
+    store = str(tmp_path / "store")
+    run = lambda *a: cli.main(list(a), spark)
+    assert run("identity") == 0 and "graph_key_version" in capsys.readouterr().out
+    assert run("github-plan", str(tmp_path / "gh.toml"), "--json") == 0 and "request_id" in capsys.readouterr().out
+    assert run("api-plan", str(tmp_path / "gh.toml")) == 2
+    assert run("github-acquire", str(tmp_path / "gh.toml"), str(tmp_path), "--store", store, "--manifest", str(tmp_path / "m.json")) == 0
+    assert json.loads((tmp_path / "m.json").read_text())["total_items"] == 1
+    (tmp_path / "page").mkdir()
+    (tmp_path / "page" / "index.html").write_text("<html></html>")
+    (tmp_path / "s.toml").write_text('[source]\nsource_id = "s"\nsource_type = "local.archive"\npolicy_status = "allowed"\n')
+    assert run("import-archive", str(tmp_path / "s.toml"), str(tmp_path / "page"), "--store", store) == 0
+    (tmp_path / "g.toml").write_text(f'[[graphs]]\nid = "a"\nroot_path = "{tmp_path / "page"}"\nrepository_name = "ra"\nenabled = true\n')
+    assert run("ops", "refresh-graph", str(tmp_path / "g.toml"), "--store", store, "--graph", "a", "--json") == 0
+    assert '"complete"' in capsys.readouterr().out
+    registry = ops.read_registry((tmp_path / "g.toml").read_text())
+    call = lambda name, **a: rpc.answer(Store(spark, store), {"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": a}}, registry)
+    for name, arguments in (("list_graphs", {}), ("graph_status", {"graph_id": "a"}), ("refresh_status", {}), ("projects", {}), ("project_summary", {"root_path": str(tmp_path / "page")})):
+        assert len(json.loads(call(name, **arguments)["result"]["content"][0]["text"])["rows"]) >= 1, name
+    assert call("graph_status")["error"]["code"] == -32602 and call("files", odd=1)["error"]["code"] == -32602
+    assert all(t["inputSchema"]["properties"] is not None for t in rpc.tools(registry))
