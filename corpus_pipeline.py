@@ -5,6 +5,11 @@ SimHash component (the least doc_id); decontamination drops documents that hold
 secret_scan replaces every secret by a mark (n_chars follows); packing cuts what remains into sequences.
 Each stage works on all rows that its predecessor kept. ORACLE_SQL is None: SQL cannot express the
 language model, the fingerprints' hash or the tokeniser, so tests compare with a brute-force version.
+
+Defined cases: a null text or one without letters has no language and goes with the first stage; rows are told apart by id
+and text, so repeated and null ids stay unless their text does not; of equal rows one stays; texts of any length are
+read whole; other columns pass through all stages but the last, whatever they are called; without documents, or
+without labelled ones, nothing is left.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph.llm import decontaminate, language_id, packing, secret_scan, simhash
-from cairngraph.llm.common import table, written
+from cairngraph.llm.common import drop, table, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        docs, at = written(stage(spark, docs, sf_dir), name)
+        if before:
+            drop(spark, before)  # the stage that read it is written
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
