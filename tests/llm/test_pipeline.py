@@ -1,7 +1,10 @@
 """The pipeline against a plain version of each stage."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cairngraph.llm import decontaminate, language_id, packing, simhash
+from cairngraph.llm.common import written
 from tests.llm.test_operators import naive_components, naive_spans
 
 
@@ -48,3 +51,28 @@ def test_stages_take_effect(spark, tiny):
         found[p.doc_id] = found.get(p.doc_id, 0) + p.length
     assert found == lengths
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_take_rows_of_any_kind(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    some = docs.where("text IS NOT NULL").orderBy("doc_id").limit(3).collect()
+    long = " ".join(r.text for r in some) * 60
+    odd = [(None, some[0].text), (None, some[0].text), (900_001, None), (900_002, ""), (900_003, "12 ½ !"), (900_004, long), (900_004, long + " und noch ein Satz mit Worten"), (900_005, long)]
+    extra = spark.createDataFrame([(i, t, "en", "odd", 0) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("spans", "c0", "__mark", "contaminated", "lang_pred", "a.b", "key")
+    rows = docs.unionByName(extra.select(*docs.columns)).withColumns({n: F.lit("mine") for n in names})
+    done = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done, _ = written(stage(spark, done, tiny), name)
+        assert done.columns == rows.columns, name
+        assert done.where(" AND ".join(f"`{n}` = 'mine'" for n in names)).count() == done.count()
+    left = done.where("source = 'odd'").collect()
+    assert all(r.text for r in left) and not {900_001, 900_002, 900_003, 900_005} & {r.doc_id for r in left}
+    assert sum(r.doc_id == 900_004 for r in left) <= 2 and len({(r.doc_id, r.text) for r in left}) == len(left)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, done, tiny)
+    assert pieces.select("doc_id").distinct().count() == done.select("doc_id").distinct().count()
+
+    none = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, tiny)
+        assert none.count() == 0
