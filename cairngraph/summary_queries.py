@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph.plans import summary
+from cairngraph.sources import ingest, remote
 
 #: family: (counter: kind of observation, counter: kind of node). What each counter counts is told here once more, in plain kinds.
 COUNTED: dict[str, tuple[dict[str, str], dict[str, str]]] = {
@@ -146,3 +147,31 @@ def _sql(family: str) -> str:
 
 QUERIES = {f"summary_{family}": _query(family) for family in COUNTED}
 SQL = {f"summary_{family}": _sql(family) for family in COUNTED}
+
+
+# --- manifests ----------------------------------------------------------------------------------------------
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as manifests of plans and acquisitions: a source a customer, a run an order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = F.col("o_orderkey")
+    counts = F.create_map(F.lit("html"), key % 5, F.lit("json"), key % 3)
+    row = F.struct(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_id"), F.concat(F.lit("b"), key.cast("string")).alias("bulk_run_id"), F.concat(F.lit("a"), key.cast("string")).alias("api_run_id"),
+        counts.alias("extractor_counts"), F.create_map(F.lit("max_files_exceeded"), key % 2).alias("diagnostic_counts"), (key * 10).alias("total_bytes_included"), (key % 2 == 1).alias("limit_hit"),
+        F.array(F.struct(key.cast("string").alias("request_id"))).alias("requests"), F.array(F.struct(F.lit(200).alias("status"), (key % 4 == 0).alias("redacted"))).alias("responses"), (key * 10).alias("total_bytes"), (key % 7).alias("total_items"),
+    )
+    return o.select(F.to_json(row).alias("value"))
+
+
+QUERIES |= {
+    "manifests_bulk": lambda spark, sf_dir: ingest.manifest_summary(_manifests(spark, sf_dir)),
+    "manifests_api": lambda spark, sf_dir: remote.manifest_summary(_manifests(spark, sf_dir)),
+}
+SQL |= {
+    "manifests_bulk": "SELECT count(DISTINCT o_custkey) AS sources, count(*) AS runs, sum(o_orderkey % 5 + o_orderkey % 3)::BIGINT AS included_files, sum(o_orderkey % 2)::BIGINT AS skipped_files, sum(o_orderkey * 10)::BIGINT AS total_bytes_included,"
+    " count(*) FILTER (o_orderkey % 2 = 1) AS limit_hits FROM orders",
+    "manifests_api": "SELECT count(DISTINCT o_custkey) AS sources, count(*) AS runs, count(*) AS requests, count(*) AS responses, count(*) FILTER (o_orderkey % 4 = 0) AS redacted_responses, sum(o_orderkey % 7)::BIGINT AS total_items,"
+    " sum(o_orderkey * 10)::BIGINT AS total_bytes FROM orders",
+}
