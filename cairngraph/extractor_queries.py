@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph.sources import repository
+from cairngraph.store_queries import folder
 
 #: family: (content by path, expected (path, kind, first line, name, target))
 FAMILIES: dict[str, tuple[dict[str, str], list[tuple[str, str, int | None, str | None, str | None]]]] = {
@@ -570,11 +571,14 @@ def _sql(value: str | int | None) -> str:
     return " || n || ".join("'" + part.replace("'", "''") + "'" for part in value.split("@n"))
 
 
+def _files(suppliers: DataFrame, files: dict[str, str]) -> DataFrame:
+    each = F.array(*(F.struct(_column(p).alias("path"), _column(c).alias("content")) for p, c in files.items()))
+    return suppliers.select(F.col("s_suppkey").cast("string").alias("n")).select(F.explode(each).alias("f")).select("f.path", F.encode("f.content", "UTF-8").alias("content"), F.lit(False).alias("executable"))
+
+
 def observed(suppliers: DataFrame, files: dict[str, str]) -> DataFrame:
     """What the extractors tell of the files, beside the fact that they are there."""
-    each = F.array(*(F.struct(_column(p).alias("path"), _column(c).alias("content")) for p, c in files.items()))
-    rows = suppliers.select(F.col("s_suppkey").cast("string").alias("n")).select(F.explode(each).alias("f")).select("f.path", F.encode("f.content", "UTF-8").alias("content"), F.lit(False).alias("executable"))
-    found = repository.observe(repository.classify(rows)).where("kind <> 'file'")
+    found = repository.observe(repository.classify(_files(suppliers, files))).where("kind <> 'file'")
     return found.select("path", "kind", "start_line", "name", F.regexp_replace("target", "[0-9a-f]{64}", "#").alias("target"))
 
 
@@ -589,3 +593,28 @@ def _expected(rows: list[tuple]) -> str:
 
 QUERIES = {f"extract_{name}": _query(files) for name, (files, _) in FAMILIES.items()}
 SQL = {f"extract_{name}": _expected(rows) for name, (_, rows) in FAMILIES.items()}
+
+
+# --- selectors matched with pages -----------------------------------------------------------------------------
+
+_PAGES = {
+    "h/@n.html": '<html><head><link rel="stylesheet" href="../y/@n.css"></head><body><p class="k@n" id="i@n">x</p><div><a class="m">y</a></div></body></html>',
+    "y/@n.css": ".k@n { color: red }\n#i@n { color: red }\ndiv a.m { color: blue }\n#none { x: y }\np:hover { a: b }\n",
+}
+_MATCHES = [
+    ("y/@n.css", ".k@n", "html.element:file%3Ah%2F@n.html:%2Fhtml%2Fbody%2Fp"),
+    ("y/@n.css", "#i@n", "html.element:file%3Ah%2F@n.html:%2Fhtml%2Fbody%2Fp"),
+    ("y/@n.css", "div a.m", "html.element:file%3Ah%2F@n.html:%2Fhtml%2Fbody%2Fdiv%2Fa"),
+]
+
+
+def selector_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repository.observe(repository.classify(_files(spark.read.parquet(f"{sf_dir}/supplier.parquet"), _PAGES)))
+    path = folder(spark, "observations")
+    rows.write.parquet(path)  # matching looks at them several times
+    found = repository.with_selector_matches(spark.read.schema(rows.schema).parquet(path))
+    return found.where("kind = 'css.selector_match'").select("path", "name", "target")
+
+
+QUERIES["extract_selector_matches"] = selector_matches
+SQL["extract_selector_matches"] = "WITH t AS (SELECT s_suppkey::VARCHAR AS n FROM supplier) " + " UNION ALL ".join(f"SELECT {_sql(p)} AS path, {_sql(n)} AS name, {_sql(t)} AS target FROM t" for p, n, t in _MATCHES)

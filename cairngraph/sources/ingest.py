@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.functions import keys as K
 from cairngraph.operators.base import OBSERVATIONS, observation, redact_url, secret_name
-from cairngraph.sources import repository
+from cairngraph.sources import numbering, repository
 
 # Policies, corpora, folders and routes.
 ALLOWED = ("allowed", "allowed_with_limits")
@@ -434,5 +434,5 @@ def warc_import(spark: SparkSession, root: str, s: Source, run_id: int = 1) -> D
             rows = [o | {"metadata": K.canonical_json(o["metadata"]), "seq": i} for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, o in enumerate(warc_observations(p, c or b""))]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[n] for r in rows], pa.int32() if n in ints else pa.string()) for n in names), pa.array([r["seq"] for r in rows], pa.int64())], [*names, "seq"])
 
-    found = repository.numbered_by(files.mapInArrow(run, f"{OBSERVATIONS}, seq bigint").withColumn("file", F.regexp_extract("path", r"^(.*?\.warc(?:\.gz)?)", 1)), "file", "seq", groups=files.select(F.col("path").alias("file"))).withColumn("run_id", F.lit(run_id).cast("long")).drop("seq", "file")
+    found = numbering.numbered_by(files.mapInArrow(run, f"{OBSERVATIONS}, seq bigint").withColumn("file", F.regexp_extract("path", r"^(.*?\.warc(?:\.gz)?)", 1)), "file", "seq", groups=files.select(F.col("path").alias("file"))).withColumn("run_id", F.lit(run_id).cast("long")).drop("seq", "file")
     return annotated(found, source_id=F.lit(s.source_id), source_type=F.lit(s.source_type), source_policy_status=F.lit(s.policy_status))

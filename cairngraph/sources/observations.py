@@ -11,12 +11,13 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairngraph.functions.keys import canonical_json
 from cairngraph.schemas import CONFIDENCE, OBSERVATION, SCHEMA_VERSION
+from cairngraph.sources.numbering import numbered_by
 
 _ENVELOPE = (
     "kind string, source_id string, path string, confidence string, extractor string, extractor_version string, schema_version int,"
@@ -77,12 +78,9 @@ def problems(spark: SparkSession, path: str) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, run_id: int = 1) -> DataFrame:
     """Observations with ordinals from 0, in the order of the files' paths and lines."""
     rows = parsed(lines(spark, path)).withColumn("ok", F.assert_true(F.col("problem").isNull(), F.concat(F.lit("line "), F.col("line"), F.lit(": "), F.col("problem"))))
-    sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("first", F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)))  # a row a file
-    placed = rows.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).join(before.select("file", "first"), "file")
-    return placed.where(F.col("ok").isNull()).select(
-        F.lit(run_id).cast("long").alias("run_id"), (F.coalesce("first", F.lit(0)) + F.col("k")).cast("long").alias("ordinal"),
-        *(F.col(n) for n in REQUIRED), F.coalesce("schema_version", F.lit(SCHEMA_VERSION)).alias("schema_version"), "start_line", "end_line", "name", "target", "metadata",
+    placed = numbered_by(rows.where(F.col("ok").isNull()), "file", "line", groups=lines(spark, path))
+    return placed.select(
+        F.lit(run_id).cast("long").alias("run_id"), "ordinal", *(F.col(n) for n in REQUIRED), F.coalesce("schema_version", F.lit(SCHEMA_VERSION)).alias("schema_version"), "start_line", "end_line", "name", "target", "metadata",
     ).select(*OBSERVATION.names)
 
 

@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph.functions import keys as K
 from cairngraph.operators import config, css, documents, feed, html, javascript, mail, markdown, nix, python_code, ruby, shell
 from cairngraph.operators.base import OBSERVATIONS, VERSION, Context, extracted
+from cairngraph.sources import numbering
 
 # Folders, extensions and names that decide how a file is classified.
 IGNORED = (".git", ".hg", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", "__pycache__", "build", "dist", "htmlcov", "node_modules")
@@ -214,40 +215,12 @@ def observe(classified: DataFrame, run_id: int = 1, context: Context | None = No
         facts = extracted(classified, lambda path, content: _choose(path, content, context))
     rows = file_observations(classified).unionByName(facts)
     names = [f.split()[0] for f in OBSERVATIONS.split(",")]
-    return numbered_by(rows, "path", "seq", groups=classified).select(F.lit(run_id).cast("long").alias("run_id"), "ordinal", *names)
-
-
-#: Ranges that groups are dealt into, and groups drawn to find their bounds: what the driver holds.
-RANGES, DRAWN = 256, 4096
-
-
-def _range_of(groups: DataFrame, group: str) -> Column:
-    """The range of a group's name. Its bounds come from the DRAWN groups of the least hash, so they are the same whenever
-    they are asked for, lost tasks included."""
-    few = groups.select(group, F.xxhash64(group).alias("h")).distinct().orderBy("h", group).limit(DRAWN).collect()
-    names = sorted(r[group] for r in few)
-    bounds = F.array(*(F.lit(x) for x in names[DRAWN // RANGES :: DRAWN // RANGES])).cast("array<string>")
-    return F.size(F.filter(bounds, lambda x: x <= F.col(group)))
-
-
-def numbered_by(rows: DataFrame, group: str, *order: str, groups: DataFrame | None = None) -> DataFrame:
-    """rows with `ordinal` (long, from 0): by group (a text), then by order; groups: where the groups' names are told more cheaply.
-
-    Numbers within a group come from its rows; where a group begins is told by the groups' sizes (a row a group), which are
-    dealt by ranges of names and summed in two steps: before a range, over a row a range, and within it. So no task holds
-    all rows or all groups."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("range", _range_of(rows if groups is None else groups, group))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    ranges = sizes.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("range").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.withColumn("begin", F.coalesce(F.sum("n").over(within), F.lit(0))).join(ranges, "range").select(group, (F.col("base") + F.col("begin")).alias("first"))
-    own = rows.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
-    return own.join(first, group).withColumn("ordinal", (F.col("first") + F.col("k")).cast("long")).select(*rows.columns, "ordinal")
+    return numbering.numbered_by(rows, "path", "seq", groups=classified).select(F.lit(run_id).cast("long").alias("run_id"), "ordinal", *names)
 
 
 def with_selector_matches(observations: DataFrame) -> DataFrame:
     """The observations and those of css.selector_matches, numbered after them."""
     found = css.selector_matches(observations)
     last = observations.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last"), F.coalesce(F.max("run_id"), F.lit(1)).alias("run_id"))
-    numbered = numbered_by(found, "path", "source_id", groups=observations.where("kind LIKE 'css.%'")).crossJoin(F.broadcast(last)).withColumn("ordinal", F.col("last") + 1 + F.col("ordinal"))  # one row of `last`
+    numbered = numbering.numbered_by(found, "path", "source_id", groups=observations.where("kind LIKE 'css.%'")).crossJoin(F.broadcast(last)).withColumn("ordinal", F.col("last") + 1 + F.col("ordinal"))  # one row of `last`
     return observations.unionByName(numbered.drop("last"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cairngraph import api
 from cairngraph.plans.store import Store
+from cairngraph.sources import observations as jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,12 +58,24 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def folder(spark: SparkSession, what: str) -> str:
+    """A new folder that all executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations written as JSON lines and read again, with the ordinals that reading gives them."""
+    path = folder(spark, "observations")
+    jsonl.write_jsonl(observations(spark, sf_dir).drop("part"), path)
+    return jsonl.read_jsonl(spark, path).select("ordinal", "kind", "source_id", "path", "confidence", "start_line", "name", "target")
+
+
 def stored(spark: SparkSession, sf_dir: str) -> Store:
     """The store of these events, made once a session."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _stores:
-        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-        store, rows = Store(spark, f"{top.rstrip('/')}/store-{uuid.uuid4().hex}"), observations(spark, sf_dir)
+        store, rows = Store(spark, folder(spark, "store")), observations(spark, sf_dir)
         for part, (name, root) in enumerate((("first", "/a"), ("first again", "/a"), ("second", "/b"))):
             store.load(rows.where(F.col("part") == part).drop("part"), name, root)
         _stores[at] = store
@@ -200,3 +213,5 @@ def _add() -> None:
 
 
 _add()
+QUERIES["observations_round_trip"] = round_trip
+SQL["observations_round_trip"] = f"WITH {_X} SELECT row_number() OVER (ORDER BY n) - 1 AS ordinal, kind, source_id, path, confidence, 3 AS start_line, what AS name, target FROM x"

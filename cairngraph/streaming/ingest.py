@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cairngraph.plans.store import Store
 from cairngraph.schemas import OBSERVATION, SCHEMA_VERSION
+from cairngraph.sources.numbering import numbered_by
 from cairngraph.sources.observations import REQUIRED, canonical_metadata, problem
-from cairngraph.sources.repository import numbered_by
 
 _ENVELOPE = "kind string, source_id string, path string, confidence string, extractor string, extractor_version string, schema_version int, start_line int, end_line int, name string, target string"
 

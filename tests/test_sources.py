@@ -11,7 +11,7 @@ from cairngraph import api, cli, rpc
 from cairngraph.plans import ops, provenance
 from cairngraph.plans.canonicalize import canonicalize
 from cairngraph.plans.store import Store
-from cairngraph.sources import ingest, remote, repository
+from cairngraph.sources import ingest, numbering, remote, repository
 from cairngraph.streaming.ingest import load_stream, observation_stream
 
 TOML = '[source]\nsource_id = "s"\nsource_type = "local.directory"\npolicy_status = "allowed_with_limits"\ncorpus_kind = "mixed_corpus"\n[limits]\nmax_files = 3\nmax_total_bytes = 60\nmax_file_bytes = 40\nmax_depth = 3\n[exclude]\npaths = ["no"]\n'
@@ -231,13 +231,13 @@ def test_feeds_are_kept_and_plans_come_in_pages(spark, tmp_path, monkeypatch):
 
 
 def test_numbers_follow_groups_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(repository, "RANGES", 8)
-    monkeypatch.setattr(repository, "DRAWN", 16)
+    monkeypatch.setattr(numbering, "RANGES", 8)
+    monkeypatch.setattr(numbering, "DRAWN", 16)
     rows = [(f"p{i * 7 % 50:03d}", j) for i in range(50) for j in range(i % 4 + 1)]
     df = spark.createDataFrame(rows, "path string, seq int").repartition(5)
-    got = sorted((r.ordinal, r.path, r.seq) for r in repository.numbered_by(df, "path", "seq").collect())
+    got = sorted((r.ordinal, r.path, r.seq) for r in numbering.numbered_by(df, "path", "seq").collect())
     assert got == [(n, *x) for n, x in enumerate(sorted(rows))]
-    assert repository.numbered_by(df.where("false"), "path", "seq").count() == 0
+    assert numbering.numbered_by(df.where("false"), "path", "seq").count() == 0
 
 
 def test_new_commands(spark, tmp_path, capsys):
