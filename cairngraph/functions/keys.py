@@ -35,6 +35,25 @@ _HEX = frozenset("0123456789ABCDEF")
 EMPTY_JSON_SHA256 = hashlib.sha256(b"{}").hexdigest()
 
 
+# What is wrong with a key, as diagnostics say it.
+PROBLEMS = {
+    "no_segment": "canonical key segment is required",
+    "bad_escape": "malformed percent escape",
+    "lower_escape": "percent escapes must use uppercase hex digits",
+    "bad_text": "percent-encoded segment is not valid UTF-8",
+    "no_path": "file path is required",
+    "absolute_path": "file path must not be absolute",
+    "escaping_path": "file path must not escape the repository",
+    "no_string": "canonical key must be a string",
+    "no_key": "canonical key is required",
+    "no_separator": "canonical key must include a namespace separator",
+    "no_key_path": "file key requires a path",
+    "empty_component": "file key path must not contain empty components",
+    "not_normal": "file key path must be normalized",
+    "escaping_key": "file key path must not escape the repository",
+}
+
+
 class KeyProblem(ValueError):
     """A key that cannot be built or read; category is that of its diagnostic."""
 
@@ -45,24 +64,24 @@ class KeyProblem(ValueError):
 
 def encode(segment: str) -> str:
     if not isinstance(segment, str) or not segment:
-        raise KeyProblem("canonical key segment is required")
+        raise KeyProblem(PROBLEMS["no_segment"])
     return quote(segment, safe="-._~")
 
 
 def decode(segment: str) -> str:
     if not segment:
-        raise KeyProblem("canonical key segment is required")
+        raise KeyProblem(PROBLEMS["no_segment"])
     out, i = bytearray(), 0
     while i < len(segment):
         c = segment[i]
         if c == "%":
             pair = segment[i + 1 : i + 3]
             if len(pair) < 2:
-                raise KeyProblem("malformed percent escape", "malformed_percent_escape")
+                raise KeyProblem(PROBLEMS["bad_escape"], "malformed_percent_escape")
             if pair != pair.upper():
-                raise KeyProblem("percent escapes must use uppercase hex digits", "malformed_percent_escape")
+                raise KeyProblem(PROBLEMS["lower_escape"], "malformed_percent_escape")
             if not set(pair) <= _HEX:
-                raise KeyProblem("malformed percent escape", "malformed_percent_escape")
+                raise KeyProblem(PROBLEMS["bad_escape"], "malformed_percent_escape")
             out.append(int(pair, 16))
             i += 3
         elif c in _PLAIN:
@@ -73,21 +92,21 @@ def decode(segment: str) -> str:
     try:
         return out.decode()
     except UnicodeDecodeError as e:
-        raise KeyProblem("percent-encoded segment is not valid UTF-8", "malformed_percent_escape") from e
+        raise KeyProblem(PROBLEMS["bad_text"], "malformed_percent_escape") from e
 
 
 def normal_path(path: str) -> list[str]:
     """The parts of a path inside the repository; [`.`] for its top."""
     if not isinstance(path, str) or not path:
-        raise KeyProblem("file path is required")
+        raise KeyProblem(PROBLEMS["no_path"])
     path = path.replace("\\", "/")
     if path.startswith("/"):
-        raise KeyProblem("file path must not be absolute")
+        raise KeyProblem(PROBLEMS["absolute_path"])
     parts: list[str] = []
     for p in path.split("/"):
         if p == "..":
             if not parts:
-                raise KeyProblem("file path must not escape the repository", "repo_escaping_path")
+                raise KeyProblem(PROBLEMS["escaping_path"], "repo_escaping_path")
             parts.pop()
         elif p not in ("", "."):
             parts.append(p)
@@ -129,23 +148,23 @@ def unknown(domain: str, reason: str) -> str:
 def parse(text: str) -> tuple[str, tuple[str, ...]]:
     """(namespace, decoded segments), or KeyProblem."""
     if not isinstance(text, str):
-        raise KeyProblem("canonical key must be a string")
+        raise KeyProblem(PROBLEMS["no_string"])
     if not text:
-        raise KeyProblem("canonical key is required")
+        raise KeyProblem(PROBLEMS["no_key"])
     namespace, colon, rest = text.partition(":")
     if not colon:
-        raise KeyProblem("canonical key must include a namespace separator")
+        raise KeyProblem(PROBLEMS["no_separator"])
     if namespace == "file":
         if not rest:
-            raise KeyProblem("file key requires a path")
+            raise KeyProblem(PROBLEMS["no_key_path"])
         raw = rest.split("/")
         if "" in raw:
-            raise KeyProblem("file key path must not contain empty components")
+            raise KeyProblem(PROBLEMS["empty_component"])
         parts = tuple(map(decode, raw))
         if parts != (".",) and "." in parts:
-            raise KeyProblem("file key path must be normalized")
+            raise KeyProblem(PROBLEMS["not_normal"])
         if ".." in parts:
-            raise KeyProblem("file key path must not escape the repository", "repo_escaping_path")
+            raise KeyProblem(PROBLEMS["escaping_key"], "repo_escaping_path")
         return namespace, parts
     if namespace not in ARITY:
         raise KeyProblem(f"unknown canonical key namespace: {namespace}")

@@ -131,6 +131,28 @@ EDGE_FLAGS = {
 }
 
 
+# Texts of diagnostics, as stored graphs hold them.
+SAYS = {
+    "bad_target": "raw target is not a valid canonical key: {}",
+    "no_target": "{} observation requires target",
+    "dynamic_command": "dynamic shell command represented by placeholder",
+    "no_command": "shell.command is missing metadata.command or metadata.argv[0]",
+    "dynamic_source": "dynamic shell source represented by placeholder",
+    "lost_source": "shell source target could not be resolved",
+    "no_operation": "shell.env observation requires operation metadata",
+    "dynamic_variable": "dynamic shell environment variable represented by placeholder",
+    "no_variable": "shell.env observation requires variable metadata",
+    "hidden_value": "secret-prone shell environment value was redacted",
+    "no_category": "shell.host_mutation observation requires category metadata",
+    "odd_category": "unregistered shell host mutation category: {}",
+    "no_module": "python.import observation requires module metadata",
+    "dynamic_import": "dynamic nix import represented by placeholder",
+    "lost_import": "nix import target could not be resolved",
+    "no_output": "{} observation requires system and name",
+    "odd_kind": "raw observation kind is not supported: {}",
+}
+
+
 # --- Results of an interpretation ---------------------------------------------------------------
 
 
@@ -182,7 +204,7 @@ def check_target(o: Mapping, out: Meaning, placeholder: str | None = None) -> bo
     try:
         K.parse(o["target"])
     except KeyProblem as e:
-        out.say("warning", e.category, f"raw target is not a valid canonical key: {e}", "target", o["target"], placeholder)
+        out.say("warning", e.category, SAYS["bad_target"].format(e), "target", o["target"], placeholder)
         return True
     return False
 
@@ -217,7 +239,7 @@ def refers(family: str, domain: str, source: Callable[[Mapping, Mapping], str],
         src = source(o, m)
         if o["target"] is None:
             dst = K.unknown(domain, missing)
-            out.say("warning", "missing_required_metadata", f"{o['kind']} observation requires target", "target", None, dst)
+            out.say("warning", "missing_required_metadata", SAYS["no_target"].format(o["kind"]), "target", None, dst)
         else:
             placeholder = K.unknown(domain, malformed)
             dst = placeholder if check_target(o, out, placeholder) else o["target"]
@@ -318,10 +340,10 @@ def _command(o: Mapping, m: Mapping, out: Meaning) -> None:
                 reason, where, value = parts[1], "target", o["target"]
         if reason:
             dst, display, metadata = K.dynamic("tool", reason), reason, {"dynamic_reasons": [reason]} | extra
-            out.say("info", "dynamic_target", "dynamic shell command represented by placeholder", where, value, dst)
+            out.say("info", "dynamic_target", SAYS["dynamic_command"], where, value, dst)
         else:
             dst, display, metadata = K.unknown("tool", "missing-command"), "missing-command", {}
-            out.say("warning", "missing_required_metadata", "shell.command is missing metadata.command or metadata.argv[0]", "metadata.command", None, dst)
+            out.say("warning", "missing_required_metadata", SAYS["no_command"], "metadata.command", None, dst)
     check_target(o, out, None if dst.startswith("tool:") else dst)
     _edge(out, o, m, "executes", dst, metadata, display)
     out.evidence = m
@@ -338,11 +360,11 @@ def _source(o: Mapping, m: Mapping, out: Meaning) -> None:
             out.say("warning", e.category, str(e), "metadata.resolved_path", resolved, dst)
     elif reason:
         dst = K.dynamic("file", reason)
-        out.say("info", "dynamic_target", "dynamic shell source represented by placeholder", "metadata.dynamic_reason", reason, dst)
+        out.say("info", "dynamic_target", SAYS["dynamic_source"], "metadata.dynamic_reason", reason, dst)
     else:
         dst = K.unknown("file", "unresolved-shell-source")
         if not check_target(o, out, dst):
-            out.say("warning", "unknown_target", "shell source target could not be resolved", "target", o["target"], dst)
+            out.say("warning", "unknown_target", SAYS["lost_source"], "target", o["target"], dst)
     _edge(out, o, m, "sources", dst, summary(m, "shell.source"))
     out.evidence = m
 
@@ -355,17 +377,17 @@ def _env(o: Mapping, m: Mapping, out: Meaning) -> None:
     K.file_key(o["path"])
     operation = m.get("operation")
     if operation not in ("read", "write"):
-        out.say("warning", "missing_required_metadata", "shell.env observation requires operation metadata", "metadata.operation", operation)
+        out.say("warning", "missing_required_metadata", SAYS["no_operation"], "metadata.operation", operation)
         return
     variable, reason = text(m, "variable"), text(m, "dynamic_reason")
     if variable:
         dst = K.key("env", variable)
     elif reason:
         dst = K.dynamic("env", reason)
-        out.say("info", "dynamic_target", "dynamic shell environment variable represented by placeholder", "metadata.dynamic_reason", reason, dst)
+        out.say("info", "dynamic_target", SAYS["dynamic_variable"], "metadata.dynamic_reason", reason, dst)
     else:
         dst = K.unknown("env", "missing-variable")
-        out.say("warning", "missing_required_metadata", "shell.env observation requires variable metadata", "metadata.variable", m.get("variable"), dst)
+        out.say("warning", "missing_required_metadata", SAYS["no_variable"], "metadata.variable", m.get("variable"), dst)
     hidden = operation == "write" and variable is not None and "value" in m and secret_variable(variable)
     metadata: dict = {"operations": [operation]}
     if operation == "write":
@@ -376,7 +398,7 @@ def _env(o: Mapping, m: Mapping, out: Meaning) -> None:
         elif "value" in m:
             metadata["values"] = [m["value"]]
     if hidden:
-        out.say("info", "redacted_value", "secret-prone shell environment value was redacted", "metadata.value", None)
+        out.say("info", "redacted_value", SAYS["hidden_value"], "metadata.value", None)
     _edge(out, o, m, f"{operation}s_env", dst, metadata)
     out.evidence = {k: v for k, v in m.items() if k != "value"} | {"value_present": True, "value_redacted": True} if hidden else m
 
@@ -386,10 +408,10 @@ def _mutation(o: Mapping, m: Mapping, out: Meaning) -> None:
     category = text(m, "category")
     if category is None:
         dst = K.unknown("host.category", "missing-host-category")
-        out.say("warning", "missing_required_metadata", "shell.host_mutation observation requires category metadata", "metadata.category", m.get("category"), dst)
+        out.say("warning", "missing_required_metadata", SAYS["no_category"], "metadata.category", m.get("category"), dst)
     elif category not in HOST_CATEGORIES:
         dst = K.unknown("host.category", f"unregistered-{category}")
-        out.say("warning", "unregistered_category", f"unregistered shell host mutation category: {category}", "metadata.category", category, dst)
+        out.say("warning", "unregistered_category", SAYS["odd_category"].format(category), "metadata.category", category, dst)
     else:
         dst = K.key("host.category", category)
     metadata: dict = {}
@@ -429,7 +451,7 @@ def _python_definition(o: Mapping, m: Mapping, out: Meaning) -> None:
 def _python_import(o: Mapping, m: Mapping, out: Meaning) -> None:
     module = text(m, "module")
     if module is None:
-        out.say("warning", "missing_required_metadata", "python.import observation requires module metadata", "metadata.module", module)
+        out.say("warning", "missing_required_metadata", SAYS["no_module"], "metadata.module", module)
         return
     src, imported = K.key("python.module", module), text(m, "imported_module")
     resolution = m.get("resolution")
@@ -456,11 +478,11 @@ def _nix_import(o: Mapping, m: Mapping, out: Meaning) -> None:
             out.say("warning", e.category, str(e), "metadata.resolved_path", resolved, dst)
     elif reason:
         dst = K.dynamic("file", reason)
-        out.say("info", "dynamic_target", "dynamic nix import represented by placeholder", "metadata.dynamic_reason", reason, dst)
+        out.say("info", "dynamic_target", SAYS["dynamic_import"], "metadata.dynamic_reason", reason, dst)
     else:
         dst = K.unknown("file", "unresolved-nix-import")
         if not check_target(o, out, dst):
-            out.say("warning", "unknown_target", "nix import target could not be resolved", "target", o["target"], dst)
+            out.say("warning", "unknown_target", SAYS["lost_import"], "target", o["target"], dst)
     _edge(out, o, m, "sources", dst, summary(m, "nix.import"))
     out.evidence = m
 
@@ -470,7 +492,7 @@ def _nix_output(o: Mapping, m: Mapping, out: Meaning) -> None:
     flake, system = text(m, "flake_ref") or ".", text(m, "system")
     if name is None or system is None:
         dst = K.unknown(o["kind"], "missing-output-identity")
-        out.say("warning", "missing_required_metadata", f"{o['kind']} observation requires system and name", "metadata.name", name, dst)
+        out.say("warning", "missing_required_metadata", SAYS["no_output"].format(o["kind"]), "metadata.name", name, dst)
     else:
         dst = K.key(o["kind"], flake, system, name)
     metadata = summary(m, "nix.output")
@@ -682,7 +704,7 @@ def interpret(o: Mapping) -> Meaning:
     out = Meaning()
     rule = RULES.get(o["kind"])
     if rule is None:
-        out.say("warning", "unsupported_raw_observation_kind", f"raw observation kind is not supported: {o['kind']}", "kind", o["kind"])
+        out.say("warning", "unsupported_raw_observation_kind", SAYS["odd_kind"].format(o["kind"]), "kind", o["kind"])
         return out
     m = json.loads(o["metadata"] or "{}")
     try:

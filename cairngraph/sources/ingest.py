@@ -114,6 +114,7 @@ def judged(files: DataFrame, s: Source) -> DataFrame:
     suffix = F.concat(F.lit("."), F.lower(F.regexp_extract(F.element_at(parts, -1), r"\.([^.]+)$", 1)))
     wanted = F.lit(True) if not s.extensions else suffix.isin(*(e.lower() for e in s.extensions)) | F.element_at(parts, -1).isin(*s.extensions)
     r = route(path)
+    # The names of reasons.
     reason = (
         F.when(out_path, F.lit("excluded_path")).when(~F.lit(s.include_hidden) & F.exists(parts, lambda p: p.startswith(".")), F.lit("hidden_excluded")).when(F.arrays_overlap(dirs, names), F.lit("excluded_directory"))
         .when(F.size(parts) > s.max_depth, F.lit("max_depth_exceeded")).when(r.isNull() | ~wanted, F.lit("unsupported_extension")).when(r == "archive", F.lit("archive_deferred"))
