@@ -6,11 +6,11 @@ words. Each text is scanned once; matches mark the words they cover, and a word'
 original text is known from its number.
 
 The items must fit the automaton: `MAX_PATTERN_WORDS` words of patterns an automaton is the checked
-bound. Larger item sets are dealt into blocks of items: one automaton and one scan of all rows a block, with
-the marks so far written to the shared folder in between, so that no task ever holds more than one block.
+bound. Larger item sets are dealt into blocks, equal texts once and long ones in pieces: one automaton and one scan of
+all rows a block, with the marks so far written to the shared folder in between, so that no task ever holds more than one block.
 
 Defined cases: a null text has no words and is clean; a null or wordless item gives no pattern; a null item_id counts
-as an item of its own named by the empty string; equal items under several ids all count; repeated
+as an item named by the empty string; items are told apart by id, and equal ones under several ids all count; repeated
 doc_ids stay separate rows; other columns are ignored; no items: every text is clean; a kept column that is called like
 an output comes back as `<name>_kept`; an empty table gives an empty result.
 """
@@ -31,6 +31,8 @@ from cairngraph.llm.common import alnum_words, beside, kept_with_text, map_arrow
 
 WINDOW = 10
 MAX_PATTERN_WORDS = 4_000_000
+#: A long item is cut into pieces of a PIECES-th of an automaton.
+PIECES = 16
 #: The words of a text whose A-Z are not lower-cased yet.
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 
@@ -38,7 +40,8 @@ _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 class Items:
     """Patterns of a block of items and, on first use in a process, their automaton."""
 
-    def __init__(self, rows: Sequence[tuple[str, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, rows: Sequence[tuple[tuple[str, ...], bytes]], window: int = WINDOW) -> None:
+        """rows: (ids, text)"""
         self.rows, self.window = list(rows), window
         self._automaton = None
 
@@ -95,12 +98,27 @@ _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _parted(items: DataFrame, item_id: str, text: str, window: int, most: int) -> tuple[DataFrame, int]:
-    """(i, t, part) of the items, and into how many parts they are dealt so that one has `most` pattern words on average."""
-    words = F.size(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    """(ids, t, part): the distinct item texts with their ids, long ones cut into pieces that share window - 1 words, and into
+    how many parts they are dealt. A piece has about most / PIECES pattern words at most; hashed into small buckets, they
+    fill one part after the other up to `most`."""
+    piece = max(1, most // (PIECES * window) - window)
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    total = items.select((words * window).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
-    parts = -(-total // most) or 1
-    return rows.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts))), parts
+    texts_ = rows.groupBy("t").agg(F.sort_array(F.collect_set("i")).alias("ids"))
+    words = F.filter(F.split("t", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
+    windows = F.greatest(F.size("w") - window + 1, F.lit(1))
+    starts = F.sequence(F.lit(0), windows - 1, F.lit(piece))
+    cut = texts_.withColumn("w", words).where(F.size("w") > 0).select("ids", F.explode(F.transform(starts, lambda p: F.slice("w", p + 1, F.lit(piece + window - 1)))).alias("w"))
+    cut = cut.select("ids", F.array_join("w", " ").alias("t"), (F.size("w") * window).cast("long").alias("n"))
+    total = cut.agg(F.sum("n")).first()[0] or 0
+    buckets = PIECES * -(-total // most) if total > most else 1
+    bucket = F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int")
+    part, room, part_of = -1, 0, [0] * buckets
+    for r in cut.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).orderBy("b").collect():  # PIECES rows a part
+        if part < 0 or r.n > room:
+            part, room = part + 1, most
+        room -= r.n
+        part_of[r.b] = part
+    return cut.select("ids", "t", F.get(F.array(*map(F.lit, part_of)), bucket).alias("part")), max(part, 0) + 1
 
 
 def _scanned(state: DataFrame, block: Items, at: int, kept: Sequence[int], width: int, last: bool) -> DataFrame:
@@ -115,12 +133,12 @@ def _scanned(state: DataFrame, block: Items, at: int, kept: Sequence[int], width
             n_words, hits, found, spans = [], [], [], []
             for j, t in enumerate(texts(batch, at)):
                 n, runs, who = block.scan(t)
-                met = [block.rows[i][0] for i in who]
+                met = [x for i in who for x in block.rows[i][0]]
                 if old:
                     runs, met = _merged(runs + [(r["start"], r["end"]) for r in old[j][0]]), met + old[j][1]
                 n_words.append(n)
                 hits.append(sum(b - a for a, b in runs))
-                found.append(sorted(met))
+                found.append(sorted(set(met)))
                 shown = original_offsets(t.decode("utf-8", "replace"), runs) if last and runs else runs
                 spans.append([{"start": a, "end": b} for a, b in shown])
             cols = [pa.array(n_words, pa.int64()), *([pa.array(hits, pa.int64())] if last else []), *([] if last else [pa.array(spans, _RUNS)]), pa.array(found, pa.list_(pa.string())), *([pa.array(spans, _RUNS)] if last else [])]
@@ -143,7 +161,7 @@ def contamination(
     state = src.toDF(*(f"c{i}" for i in range(len(names))))
     parted, parts = _parted(items, item_id, item_text, window, max_pattern_words)
     for k in range(parts):  # one, unless the items exceed the automaton's bound
-        block = Items([(r.i, r.t.encode()) for r in parted.where(F.col("part") == k).collect()], window)
+        block = Items([(tuple(r.ids), r.t.encode()) for r in parted.where(F.col("part") == k).collect()], window)
         state = _scanned(state, block, at, kept, len(names), k == parts - 1)
         if k < parts - 1:
             state, _ = written(state, "contamination")

@@ -387,6 +387,19 @@ def test_contamination_equals_brute_force(spark):
     assert texts[7][span.start : span.end] == "Q, w! E"
 
 
+def test_long_and_repeated_items_keep_to_the_bound(spark):
+    rnd = random.Random(14)
+    long = " ".join(f"w{rnd.randrange(500)}" for _ in range(3000))
+    words = long.split()
+    items = spark.createDataFrame([(1, long), (2, long), (3, "x y"), *((10 + i, "same words in many items of one text here and more") for i in range(50))], "item_id bigint, text string")
+    parted, parts = decontaminate._parted(items, "item_id", "text", 10, 4000)
+    sizes = parted.groupBy("part").agg(F.sum(F.size(F.split("t", " ")) * 10).alias("n")).collect()
+    assert parts > 7 and all(r.n <= 4000 for r in sizes) and parted.where("size(ids) = 50").count() == 1
+    texts = [long, " ".join(words[100:110]), " ".join(words[395:409]), " ".join(words[2990:]), "a " + " ".join(words[:9]), "X, y!", None]
+    got = decontaminate.contamination(docs(spark, texts), items, max_pattern_words=4000).orderBy("doc_id").collect()
+    assert [(r.n_hit, r["items"]) for r in got] == [(3000, ["1", "2"]), (10, ["1", "2"]), (14, ["1", "2"]), (10, ["1", "2"]), (0, []), (2, ["3"]), (0, [])]
+
+
 def test_no_items_leave_all_clean(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.clean(clashing(docs(spark, HARD)), none).count() == len(HARD)
