@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph.sources import repository
-from cairngraph.store_queries import folder
+from cairngraph.shared import shared_folder
 
 #: family: (content by path, expected (path, kind, first line, name, target))
 FAMILIES: dict[str, tuple[dict[str, str], list[tuple[str, str, int | None, str | None, str | None]]]] = {
@@ -610,7 +610,7 @@ _MATCHES = [
 
 def selector_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repository.observe(repository.classify(_files(spark.read.parquet(f"{sf_dir}/supplier.parquet"), _PAGES)))
-    path = folder(spark, "observations")
+    path = shared_folder(spark, "observations")
     rows.write.parquet(path)  # matching looks at them several times
     found = repository.with_selector_matches(spark.read.schema(rows.schema).parquet(path))
     return found.where("kind = 'css.selector_match'").select("path", "name", "target")

@@ -8,7 +8,6 @@ does not know, or a link.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cairngraph import api
 from cairngraph.plans.store import Store
+from cairngraph.shared import exists, shared_folder
 from cairngraph.sources import observations as jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,15 +58,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def folder(spark: SparkSession, what: str) -> str:
-    """A new folder that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations written as JSON lines and read again, with the ordinals that reading gives them."""
-    path = folder(spark, "observations")
+    path = shared_folder(spark, "observations")
     jsonl.write_jsonl(observations(spark, sf_dir).drop("part"), path)
     return jsonl.read_jsonl(spark, path).select("ordinal", "kind", "source_id", "path", "confidence", "start_line", "name", "target")
 
@@ -74,8 +68,8 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored(spark: SparkSession, sf_dir: str) -> Store:
     """The store of these events, made once a session."""
     at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _stores:
-        store, rows = Store(spark, folder(spark, "store")), observations(spark, sf_dir)
+    if at not in _stores or not exists(spark, _stores[at].base):
+        store, rows = Store(spark, shared_folder(spark, "store")), observations(spark, sf_dir)
         for part, (name, root) in enumerate((("first", "/a"), ("first again", "/a"), ("second", "/b"))):
             store.load(rows.where(F.col("part") == part).drop("part"), name, root)
         _stores[at] = store
@@ -126,8 +120,8 @@ def _registered(name: str, frame: Callable[[Store], DataFrame], sql: str, *ctes:
     SQL[name] = "WITH " + ", ".join([_X, *(_CTES[c] for c in ctes)]) + ("" if sql.startswith(",") else " ") + sql
 
 
-def _op(operation: str, *columns: str | Column, **arguments: object) -> Callable[[Store], DataFrame]:
-    return lambda store: api.OPERATIONS[operation](store, arguments).select(*columns)
+def _op(operation: str, *columns: str, **arguments: object) -> Callable[[Store], DataFrame]:
+    return lambda store: api.OPERATIONS[operation](store, arguments).selectExpr(*columns)
 
 
 def _add() -> None:
@@ -139,7 +133,7 @@ def _add() -> None:
     add("store_nodes", _op("nodes", "root_path", "stable_key", "kind", *seen), "SELECT * FROM ln", "l", "ln")
     add("store_evidence", lambda s: s.current("evidence").select("root_path", "stable_key", "path", "start_line", "extractor", *seen),
         "SELECT root_path, 'evidence:' || path || ':3-3:events:' || source_id AS stable_key, path, 3 AS start_line, 'events' AS extractor, run_id AS first_seen_run_id, run_id AS last_seen_run_id FROM x WHERE sort = 0 OR target IS NOT NULL")
-    add("store_edges", _op("edges", "root_path", F.col("stable_key").alias("edge_key"), "kind", "src_key", "src_path", "dst_key", "dst_kind", "confidence", "evidence_key", "evidence_start_line", kind="shell.env"),
+    add("store_edges", _op("edges", "root_path", "stable_key AS edge_key", "kind", "src_key", "src_path", "dst_key", "dst_kind", "confidence", "evidence_key", "evidence_start_line", kind="shell.env"),
         "SELECT root_path, edge_key, kind, src_key, path AS src_path, dst_key, 'env' AS dst_kind, confidence, evidence_key, 3 AS evidence_start_line FROM l WHERE kind = 'shell.env'", "l")
     add("store_file_nodes", _op("file-nodes", "root_path", "path", "stable_key", "node_name", "evidence_key", path="user/8.sh"),
         "SELECT f.root_path, f.path, 'file:' || f.path AS stable_key, f.path AS node_name, 'evidence:' || x.path || ':3-3:events:' || x.source_id AS evidence_key FROM f JOIN x ON x.root_path = f.root_path AND x.path = f.path AND (x.sort = 0 OR x.target IS NOT NULL) WHERE f.path = 'user/8.sh'", "f")
