@@ -5,6 +5,7 @@ from __future__ import annotations
 from cairngraph.llm.decontaminate import WINDOW
 from cairngraph.llm.quality import COVERAGE_LIMITS, LINE_LIMIT, SYMBOLS
 from cairngraph.llm.secret_scan import RULES
+from cairngraph.llm.substring_dedup import WINDOW as LONG_WINDOW
 from cairngraph.llm.warc import LEAST_SHARED_BYTES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,4 +109,17 @@ FROM (SELECT *, payload_bytes >= {LEAST_SHARED_BYTES} AND n > 1 AND last IS NOT
 """
 
 
-SQL = {"op1_quality": quality(), "op5_decontamination": decontamination(), "op6_secrets": secrets(), "op10_warc": warc()}
+def substrings() -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS ws FROM documents),
+i AS (SELECT r, doc_id, ws, unnest(range(1, len(ws) - {LONG_WINDOW} + 2)) AS i FROM d),
+w AS (SELECT r, doc_id, i, array_to_string(ws[i:i + {LONG_WINDOW} - 1], ' ') AS gram FROM i),
+f AS (SELECT gram, min(doc_id) AS first FROM w GROUP BY gram HAVING count(*) > 1),
+g AS (SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(i, i + {LONG_WINDOW})) AS p FROM w JOIN f USING (gram) WHERE first < doc_id) GROUP BY r),
+k AS (SELECT doc_id, ws, list_filter(range(1, len(ws) + 1), lambda p: NOT list_contains(coalesce(gone, []), p)) AS stay FROM d LEFT JOIN g USING (r))
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(stay))::BIGINT AS n_removed, sha256(array_to_string(list_transform(stay, lambda p: ws[p]), ' ')) AS kept_sha256
+FROM k
+"""
+
+
+SQL = {"op1_quality": quality(), "op5_decontamination": decontamination(), "op6_secrets": secrets(), "op10_warc": warc(), "op11_substrings": substrings()}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairngraph.llm import decontaminate, language_id, license_scan, oracles, packing, pii, quality, secret_scan, simhash, url_filter, warc
+from cairngraph.llm import decontaminate, language_id, license_scan, oracles, packing, pii, quality, secret_scan, simhash, substring_dedup, url_filter, warc
 from cairngraph.llm.common import table
 
 
@@ -77,8 +77,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "intact")
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_licenses, op3_simhash, op4_pii, op5_decontamination, op6_secrets, op7_language, op8_packing, op9_urls, op10_warc)
+    for f in (op1_quality, op2_licenses, op3_simhash, op4_pii, op5_decontamination, op6_secrets, op7_language, op8_packing, op9_urls, op10_warc, op11_substrings)
 }
 SQL: dict[str, str] = dict(oracles.SQL)
