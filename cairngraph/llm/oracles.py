@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cairngraph.llm.ball_kmeans import DIMS, K, LARGEST, ROUNDS, SCALE
+from cairngraph.llm.ball_kmeans import SEED as CLUSTER_SEED
 from cairngraph.llm.decontaminate import WINDOW
 from cairngraph.llm.quality import COVERAGE_LIMITS, LINE_LIMIT, SYMBOLS
 from cairngraph.llm.secret_scan import RULES
@@ -122,4 +124,32 @@ FROM k
 """
 
 
-SQL = {"op1_quality": quality(), "op5_decontamination": decontamination(), "op6_secrets": secrets(), "op10_warc": warc(), "op11_substrings": substrings()}
+def clusters() -> str:
+    """Every round compares every vector with every centroid."""
+    steps = []
+    for n in range(ROUNDS + 1):
+        apart = f"list_sum(list_transform(range(1, {DIMS + 1}), lambda i: (q[i] - c[i]) * (q[i] - c[i])))::BIGINT"
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, vec_id, q, min(d) AS d, arg_min(k, (d, k)) AS k FROM (SELECT r, vec_id, q, k, {apart} AS d FROM v, c{n}) GROUP BY r, vec_id, q)")
+        if n < ROUNDS:
+            steps.append(
+                f"s{n} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{n}) GROUP BY k, i),"
+                f" c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.c, c.c) AS c FROM c{n} c LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{n} GROUP BY k) m ON m.k = c.k)"
+            )
+    joined = "array_to_string(list_transform(c, lambda x: x::VARCHAR), ',')"
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, embedding AS v FROM embeddings WHERE len(embedding) = {DIMS}),
+v AS MATERIALIZED (
+  SELECT r, vec_id, list_transform(v, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS q FROM e
+  WHERE len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x) AND abs({SCALE} * x::DOUBLE) < {LARGEST})) = {DIMS}
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS k, q AS c FROM (SELECT q, sha256('{CLUSTER_SEED}:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT {K})
+),
+{", ".join(steps)},
+t AS (SELECT k, sum(d)::BIGINT AS t, count(*) AS n FROM a{ROUNDS} GROUP BY k)
+SELECT vec_id, a.k::INT AS cluster, d AS distance, t AS cluster_inertia, (SELECT sum(t)::BIGINT FROM t) AS inertia, sha256({joined}) AS centroid_sha256, n AS members
+FROM a{ROUNDS} a JOIN t ON t.k = a.k JOIN c{ROUNDS} c ON c.k = a.k
+"""
+
+
+SQL = {"op1_quality": quality(), "op5_decontamination": decontamination(), "op6_secrets": secrets(), "op10_warc": warc(), "op11_substrings": substrings(), "op12_clusters": clusters()}

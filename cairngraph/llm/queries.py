@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairngraph.llm import decontaminate, language_id, license_scan, oracles, packing, pii, quality, secret_scan, simhash, substring_dedup, url_filter, warc
+from cairngraph.llm import ball_kmeans, decontaminate, language_id, license_scan, oracles, packing, pii, quality, secret_scan, simhash, substring_dedup, token_alignment, url_filter, warc
 from cairngraph.llm.common import table
 
 
@@ -82,8 +82,18 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ball_kmeans.clustered(table(spark, sf_dir, "embeddings"))
+    listed = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(listed, 256).alias("centroid_sha256"), "members")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_licenses, op3_simhash, op4_pii, op5_decontamination, op6_secrets, op7_language, op8_packing, op9_urls, op10_warc, op11_substrings)
+    for f in (op1_quality, op2_licenses, op3_simhash, op4_pii, op5_decontamination, op6_secrets, op7_language, op8_packing, op9_urls, op10_warc, op11_substrings, op12_clusters, op13_alignment)
 }
 SQL: dict[str, str] = dict(oracles.SQL)
