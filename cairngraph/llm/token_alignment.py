@@ -5,7 +5,7 @@ tokens that cover a start are the links.
 Both tokenizers cut before every blank or line feed that follows no white space (no entry of either has such a place inside
 it), so a text is a sequence of segments that are tokenised, and aligned, by themselves. The rows are dealt once into groups; a
 group's distinct segments are tokenised and aligned, and its rows look up what became of theirs. A word that stands in
-all documents is aligned once a group, and only the texts are shuffled.
+all documents is aligned once a group, and only the texts and the tokens of the distinct segments are shuffled.
 
 Where a token ends the next one starts, so cuts are found by starts as well as by ends. A link is a stretch of bytes that two
 tokens share, and each starts where one of its two tokens does: the range join of overlapping tokens is a last-value window over the
@@ -21,7 +21,7 @@ too; ids stay what they are, null included; other columns are ignored, whatever
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -29,17 +29,23 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from cairngraph.llm.common import written
+from cairngraph.llm.common import map_arrow, written
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A pair of ids as one number: a * B_IDS + b, below 2^31 for these vocabularies.
 B_IDS = 1 << 15
 #: Pairs up to which their counts are broadcast (16 bytes each).
 BROADCAST_PAIRS = 1 << 20
+#: Segments that are tokenised for one record batch.
+CODED_TOGETHER = 1 << 13
+#: A's special token: its string in a text is plain text.
+SPECIAL = b"<|endoftext|>"
+#: What stands before an id: first of a segment, first of B in a group, first of a group, any other.
+_MARKS = (b"", b"|", b";", b",")
 #: Segments whose links are gathered at once.
 BLOCK_SEGMENTS = 1 << 16
 
@@ -56,33 +62,31 @@ def segments(text: str) -> list[str]:
 
 
 class Pair:
-    """Both tokenizers and the bytes of their entries."""
+    """Both tokenizers and the bytes of their entries. A's file is a byte-level one: its ids are the ranks of its merges, so a
+    quicker reader of ranks gives the same ids."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         import sentencepiece
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        with open(a_path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
         alphabet = _byte_alphabet()
-        self.a_bytes = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in alphabet for c in t)}
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items() if all(c in alphabet for c in t)}
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for t, i in ranks.items() if t != SPECIAL}, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         piece = self.b.id_to_piece
-        self.b_bytes = {i: bytes([int(piece(i)[1:-1], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())}
-        self.blank = self.b.piece_to_id("▁")
-        if max(self.b_bytes) >= B_IDS or (max(self.a_bytes) + 1) * B_IDS > 1 << 31:
+        b_bytes = {i: bytes([int(piece(i)[1:-1], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())}
+        if max(b_bytes) >= B_IDS or (max(ranks.values()) + 1) * B_IDS > 1 << 31:
             raise ValueError("pairs of ids must fit 31 bits")
+        self.a_bytes = {i: t for t, i in ranks.items()}
+        self.b_bytes = b_bytes
+        self.blank = self.b.piece_to_id("▁")
 
-    def encoded(self, parts: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        """(segment, ids of A, ids of B). The tokenizer B adds a blank of its own: it takes the place of the segment's, or is
+    def encoded(self, part: str) -> tuple[list[int], list[int]]:
+        """The ids of A and of B. The tokenizer B adds a blank of its own: it takes the place of the segment's, or is
         dropped before a line feed, with which no entry joins it."""
-        whole = self.a.encode_batch_fast(parts, add_special_tokens=False)
-        pieces = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
-        for part, a, b in zip(parts, whole, pieces, strict=True):
-            if part[0] == " ":
-                yield part, a.ids, b or [self.blank]
-            else:
-                yield part, a.ids, b[1:]
+        a = self.a.encode_ordinary(part)
+        return (a, self.b.encode(part[1:]) or [self.blank]) if part[0] == " " else (a, self.b.encode(part)[1:])
 
 
 @cache
@@ -97,37 +101,53 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-def _tokens(a_path: str, b_path: str) -> Column:
-    """Of a segment: ids and sizes of A's tokens and then B's, and how many A's are; none if the bytes are not the segment's."""
+def coded_segments(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """grp, seg (a number of the task's), segment, ids and sizes of A's tokens and then B's, and how many A's are, of the distinct
+    segments of each group; none if the bytes are not the segment's."""
+    lists = pa.list_(pa.int32())
 
-    def encode(parts: pa.Array) -> pa.Array:
+    def coded(group: int, first: int, new: list[str]) -> pa.RecordBatch:
         both = pair(a_path, b_path)
+        a_of, b_of = both.a_bytes, both.b_bytes
         ids: list[list[int]] = []
         sizes: list[list[int]] = []
         n_a: list[int] = []
-        found = parts.to_pylist()
-        for i in range(0, len(found), 1000):
-            for part, a, b in both.encoded(found[i : i + 1000]):
-                x, y, raw = [both.a_bytes[t] for t in a], [both.b_bytes[t] for t in b], part.encode()
-                if b"".join(x) != raw or b"".join(y) != raw:
-                    a, b, x, y = [], [], [], []
-                ids.append(a + b)
-                sizes.append([len(t) for t in x + y])
-                n_a.append(len(a))
-        lists = pa.list_(pa.int32())
-        return pa.StructArray.from_arrays([pa.array(ids, lists), pa.array(sizes, lists), pa.array(n_a, pa.int32())], ["ids", "sizes", "n_a"])
-
-    encode.__annotations__ = {"parts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(encode, "ids array<int>, sizes array<int>, n_a int")
-
-
-def aligned_segments(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """A row for each place of a segment of the group where a token starts: grp, seg (its number), start, number of the
-    alignment group, a and b (tokens that start here), a_over and b_over (tokens that lie over the place), and on its first row the segment.
-    All steps group by grp, by which the rows are dealt: nothing is shuffled again."""
-    parts = rows.where(F.length("text") > 0).select("grp", F.explode(F.split(F.concat(F.lit(" "), "text"), SEGMENT_CUT)).alias("segment")).distinct()
-    coded = parts.select("grp", F.monotonically_increasing_id().alias("seg"), "segment", _tokens(a_path, b_path)("segment").alias("t"))
-    token = coded.select("grp", "seg", "segment", "t.sizes", "t.n_a", F.posexplode_outer("t.ids").alias("at", "id"))
+        for part in new:
+            a, b = both.encoded(part)
+            x, y, raw = [a_of[t] for t in a], [b_of[t] for t in b], part.encode()
+            if b"".join(x) != raw or b"".join(y) != raw:
+                a, b, x, y = [], [], [], []
+            ids.append(a + b)
+            sizes.append([len(t) for t in x + y])
+            n_a.append(len(a))
+        columns = [pa.array([group] * len(new), pa.int32()), pa.array(range(first, first + len(new)), pa.int64()), pa.array(new, pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(ids, lists), pa.array(sizes, lists), pa.array(n_a, pa.int32())], ["grp", "seg", "segment", "ids", "sizes", "n_a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}  # a task has one group, or a few
+        numbered = 0
+        for batch in batches:
+            new: dict[int, list[str]] = {}
+            for group, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if text:
+                    known = seen.setdefault(group, set())
+                    fresh = set(segments(text)) - known
+                    known |= fresh
+                    new.setdefault(group, []).extend(fresh)
+            for group, parts in new.items():
+                for i in range(0, len(parts), CODED_TOGETHER):
+                    some = parts[i : i + CODED_TOGETHER]
+                    yield coded(group, numbered, some)
+                    numbered += len(some)
+
+    return map_arrow(rows, run, "grp int, seg bigint, segment string, ids array<int>, sizes array<int>, n_a int")
+
+
+def aligned_segments(coded: DataFrame) -> DataFrame:
+    """A row for each place of a segment of the group where a token starts: grp, segment (on its first row), number of the
+    alignment group, a and b (tokens that start here), a_over and b_over (tokens that lie over the place).
+    All steps group by grp, by which coded is dealt: nothing is shuffled again."""
+    token = coded.select("grp", "seg", "segment", "sizes", "n_a", F.posexplode_outer("ids").alias("at", "id"))
     each = token.select(
         "grp", "seg", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("segment")).alias("segment"), (F.col("at") < F.col("n_a")).alias("is_a"), "at", "id", F.get("sizes", F.col("at")).alias("size")
     )
@@ -158,23 +178,23 @@ class Aligned:
         self.n_groups = group[ends - 1] if len(starts) else np.zeros(0, np.int64)
         self.pairs, self.starts = pairs, starts
         self.good = self.n_a > 0
-        self.texts = [self._text(a[i:j].tolist(), b[i:j].tolist()) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        self.texts = self._texts(a, b, group, ends)
 
     @staticmethod
-    def _text(a: list[int], b: list[int]) -> bytes:
-        out: list[str] = []
-        left: list[str] = []
-        right: list[str] = []
-        for x, y in zip(a, b, strict=True):
-            if x >= 0 and y >= 0 and left:
-                out.append(f"{','.join(left)}|{','.join(right)}")
-                left, right = [], []
-            if x >= 0:
-                left.append(str(x))
-            if y >= 0:
-                right.append(str(y))
-        out.append(f"{','.join(left)}|{','.join(right)}")
-        return ";".join(out).encode()
+    def _texts(a: np.ndarray, b: np.ndarray, group: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The groups of each segment as `a1,a2|b1;a3|b2,b3`."""
+        which = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        at = np.concatenate([np.flatnonzero(a >= 0), np.flatnonzero(b >= 0)])
+        side = np.repeat([0, 1], [(a >= 0).sum(), (b >= 0).sum()])
+        order = np.lexsort((at, side, group[at], which[at]))
+        at, side = at[order], side[order]
+        ids = np.where(side == 0, a[at], b[at])
+        new_segment, new_group, new_side = (np.diff(x, prepend=-1) != 0 for x in (which[at], group[at], side))
+        mark = np.where(new_segment, 0, np.where(new_side, np.where(side == 1, 1, 2), np.where(new_group, 2, 3)))
+        said = [_MARKS[m] + b"%d" % i for m, i in zip(mark.tolist(), ids.tolist(), strict=True)]
+        counts = np.bincount(which[at], minlength=len(ends))
+        to = np.cumsum(counts).tolist()
+        return [b"".join(said[i:j]) for i, j in zip([0, *to], to, strict=False)]
 
     def links(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in which, pair) of every link of these segments."""
@@ -246,7 +266,8 @@ def documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", a_path:
         return pa.concat_tables(list(_documents(left.drop_columns(["grp"]), right, whole)))
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return rows.groupBy("grp").cogroup(aligned_segments(rows, a_path, b_path).groupBy("grp")).applyInArrow(run, _DOCUMENT.format(id=kind))
+    coded = coded_segments(rows, a_path, b_path).repartition(parts, "grp")
+    return rows.groupBy("grp").cogroup(aligned_segments(coded).groupBy("grp")).applyInArrow(run, _DOCUMENT.format(id=kind))
 
 
 def pair_counts(docs: DataFrame) -> DataFrame:
