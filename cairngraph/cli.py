@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from cairngraph import api, rpc
 from cairngraph.functions.keys import KEY_VERSION
 from cairngraph.operators.base import VERSION
-from cairngraph.plans import legacy, ops
+from cairngraph.plans import legacy, migrations, ops
 from cairngraph.plans.canonicalize import canonicalize, severity_counts
 from cairngraph.plans.store import LoadRefused, Store
 from cairngraph.schemas import SCHEMA_VERSION
@@ -56,6 +56,8 @@ def parser() -> argparse.ArgumentParser:
     for n in ("api", "github"):
         add(f"{n}-plan", f"the requests that a {n} source would make", "config")
         add(f"{n}-acquire", f"load saved responses of a {n} source", "config", "folder", store="store", manifest="file to write the manifest to")
+    add("migrate", "bring a store up to the present schema", store="store", steps="folder of steps, if not the package's own")
+    add("compact", "merge the runs of a store into a snapshot, and keep so many of the last", store="store", keep="snapshots to keep (all unless given)")
     add("identity", "the version of keys, schemas and extractors")
     add("ops", "config-check, graphs, refresh-graph, refresh-enabled or refresh-status of a graph registry", "what", "config", store="store", graph="id of the graph to refresh")
     ask = add("ask", "ask the store", "operation", store="store")
@@ -73,7 +75,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or session()
     try:
         return _run(a, spark)
-    except (ValueError, KeyError, LoadRefused) as e:
+    except (ValueError, KeyError, LoadRefused, migrations.MigrationProblem) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 
@@ -103,6 +105,12 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
         load = {"all": store.load, "canonical": store.load_canonical, "files": store.load_files}[a.mode or "all"]
         done = load(o, a.name or "repository", a.root_path or a.root, a.commit)
         show([{"run_id": done.run_id, "status": done.status}], a.json)
+    elif a.command == "migrate":
+        show([{"step": x.name, "checksum": x.checksum} for x in migrations.apply(Store(spark, a.store), a.steps)], a.json)
+    elif a.command == "compact":
+        store = Store(spark, a.store)
+        done = store.compact()
+        show([{"snapshot": done.number, "runs": len(store.ended()), "expired": store.expire_snapshots(int(a.keep)) if a.keep else []}], a.json)
     elif a.command == "identity":
         show([{"package": "cairngraph", "graph_key_version": KEY_VERSION, "schema_version": SCHEMA_VERSION, "extractor_version": VERSION}], a.json)
     elif a.command in ("api-plan", "api-acquire", "github-plan", "github-acquire"):

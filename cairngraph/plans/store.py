@@ -6,6 +6,9 @@ half-way is never seen, and its run id is not given again; it may be resumed und
 partitions anew and refuses observations that changed. What an upsert would have kept is read back by aggregation:
 the first and the last run that saw a key, and the values of the last. A run that has ended is never rewritten.
 
+Current rows come from the last snapshot and the runs since (snapshots.py); without a snapshot from all runs. A store whose files
+are older than the schema is read as if it were migrated (migrations.py), and loads want it migrated.
+
 Observations are interpreted once a load: the interpreted rows are written to a folder of the run, which all tables of
 the graph derive from, and dropped at its end.
 """
@@ -15,13 +18,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cached_property
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairngraph.plans import legacy
+from cairngraph.plans import legacy, migrations
 from cairngraph.plans.canonicalize import Graph, canonicalize, is_loadable
 from cairngraph.plans.query import roots
+from cairngraph.plans.snapshots import Pin, Snapshot, condition, ranges, within
 from cairngraph.schemas import TABLES
 from cairngraph.sources.observations import with_payload_hash
 
@@ -47,48 +53,175 @@ class Load:
 
 
 class Store:
-    """root_path: what is read is held to this root; loads name their own."""
+    """root_path: what is read is held to this root; loads name their own. pin: what is read is held to what was there then."""
 
-    def __init__(self, spark: SparkSession, base: str, root_path: str | None = None) -> None:
-        self.spark, self.base, self.root_path = spark, base.rstrip("/"), root_path
+    def __init__(self, spark: SparkSession, base: str, root_path: str | None = None, pin: Pin | None = None) -> None:
+        self.spark, self.base, self.root_path, self.pin = spark, base.rstrip("/"), root_path, pin
 
     def at(self, root_path: str | None) -> Store:
         """The store as one root sees it; the whole of it for None."""
-        return self if root_path is None else Store(self.spark, self.base, root_path)
+        return self if root_path is None else Store(self.spark, self.base, root_path, self.pin)
 
-    # --- tables -------------------------------------------------------------------------------------
+    def pinned(self) -> Store:
+        """The store as it is now, whatever is loaded or compacted later (until its snapshot is expired)."""
+        return Store(self.spark, self.base, self.root_path, Pin(self.snapshot(), tuple(sorted(self.ended()))))
+
+    # --- files --------------------------------------------------------------------------------------
 
     def _path(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _exists(self, path: str) -> bool:
-        fs, p = self._path(path)
+    def has(self, name: str) -> bool:
+        fs, p = self._path(f"{self.base}/{name}")
         return fs.exists(p)
 
+    def names(self, folder: str, prefix: str = "") -> list[str]:
+        """Names in a folder of the store that start so."""
+        fs, p = self._path(f"{self.base}/{folder}")
+        return [n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith(prefix)] if fs.exists(p) else []
+
+    def read_text(self, name: str) -> str:
+        fs, p = self._path(f"{self.base}/{name}")
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write_text(self, name: str, text: str) -> None:
+        """A file that is there whole or not at all."""
+        fs, p = self._path(f"{self.base}/{name}")
+        part = self._path(f"{self.base}/{name}.part")[1]
+        stream = fs.create(part, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        fs.rename(part, p)
+
+    def delete(self, name: str) -> None:
+        fs, p = self._path(f"{self.base}/{name}")
+        fs.delete(p, True)
+
+    def replace(self, source: str, target: str) -> None:
+        """Puts a folder in the place of another."""
+        self.delete(target)
+        fs, p = self._path(f"{self.base}/{source}")
+        fs.rename(p, self._path(f"{self.base}/{target}")[1])
+
+    # --- tables -------------------------------------------------------------------------------------
+
     def tables_present(self) -> dict[str, bool]:
-        return {t: self._exists(f"{self.base}/{t}") for t in TABLES}
+        return {t: self.has(t) for t in TABLES}
 
-    def all_rows(self, table: str) -> DataFrame:
-        """Everything ever written, of whatever run; a root is a partition, so no other root's files are read."""
+    @cached_property
+    def _behind(self) -> tuple[migrations.Step, ...]:
+        return migrations.pending(self, migrations.discover())
+
+    def forget(self) -> None:
+        """What was read of the ledger."""
+        self.__dict__.pop("_behind", None)
+
+    def written_rows(self, table: str) -> DataFrame:
+        """Everything ever written as it is in the files, with nulls for columns that they lack."""
         schema = TABLES[table]
-        if not self._exists(f"{self.base}/{table}"):
+        if not self.has(table):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.base}/{table}").select(*schema.names)
+        return self._files(table, f"{self.base}/{table}")
+
+    def _files(self, table: str, *paths: str) -> DataFrame:
+        rows = self.spark.read.schema(TABLES[table]).option("basePath", f"{self.base}/{table}").parquet(*paths).select(*TABLES[table].names)
         return rows if self.root_path is None else rows.where(F.col("root_path") == self.root_path)
 
+    def all_rows(self, table: str) -> DataFrame:
+        """Everything ever written, of whatever run; a root is a partition, so no other root's files are read."""
+        return migrations.filled(self.written_rows(table), table, self._behind)
+
+    def ended(self) -> set[tuple[str, int]]:
+        """(root, run) of the runs that have ended: the names of their folders, nothing is read."""
+        if self.pin is not None:
+            return set(self.pin.ended)
+        return {
+            (unquote(root.removeprefix("root_path=")), int(run.removeprefix("run_id=")))
+            for root in self.names("runs", "root_path=")
+            for run in self.names(f"runs/{root}", "run_id=")
+        }
+
     def rows(self, table: str) -> DataFrame:
         """Rows of runs that have ended (complete or failed)."""
         rows = self.all_rows(table)
+        if self.pin is not None:
+            return rows.where(condition(self.pin.runs))
         return rows if table == "runs" else rows.join(self.all_rows("runs").select("run_id").distinct(), "run_id", "left_semi").select(*rows.columns)
 
+    def _seen(self, table: str) -> DataFrame:
+        """The table's rows as snapshots hold them: with first_seen_run_id and last_seen_run_id in place of the run."""
+        snapshot = self.snapshot()
+        once = lambda rows: rows.withColumns({"first_seen_run_id": F.col("run_id"), "last_seen_run_id": F.col("run_id")}).drop("run_id")
+        if snapshot is None:
+            return self._merged(table, once(self.rows(table)))
+        held = self._held(snapshot, table)
+        later = [(root, run) for root, run in sorted(self.ended()) if not within(run, snapshot.runs) and self.root_path in (None, root)]
+        folder = {unquote(n): n for n in self.names(table, "root_path=")} if later else {}
+        at = [f"{table}/{folder[f'root_path={root}']}/run_id={run}" for root, run in later if f"root_path={root}" in folder]
+        paths = [p for p in at if self.has(p)]
+        if not paths:
+            return held
+        new = migrations.filled(self._files(table, *(f"{self.base}/{p}" for p in paths)), table, self._behind)
+        return self._merged(table, held.unionByName(once(new)))
+
+    @staticmethod
+    def _merged(table: str, rows: DataFrame) -> DataFrame:
+        """One row a natural key: the values of the last run (and of the last row in it), the first and the last run."""
+        keys, seen = KEYS[table], ("first_seen_run_id", "last_seen_run_id")
+        rest = [c for c in rows.columns if c not in (*keys, *seen)]
+        order = F.struct("last_seen_run_id", "seq") if "seq" in rest else F.col("last_seen_run_id")
+        done = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"), F.min(seen[0]).alias(seen[0]), F.max(seen[1]).alias(seen[1]))
+        return done.select(*(F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in TABLES[table].names if c != "run_id"), *seen)
+
     def current(self, table: str) -> DataFrame:
         """One row a natural key: values of the last run, first_seen_run_id and last_seen_run_id."""
-        keys, rows = KEYS[table], self.rows(table)
-        order = F.struct("run_id", "seq") if "seq" in rows.columns else F.col("run_id")
-        rest = [c for c in rows.columns if c not in keys]
-        done = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"), F.min("run_id").alias("first_seen_run_id"), F.max("run_id").alias("last_seen_run_id"))
-        return done.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest if c not in ("run_id", "seq")), "first_seen_run_id", "last_seen_run_id")
+        return self._seen(table).drop("seq")
+
+    # --- snapshots ----------------------------------------------------------------------------------
+
+    def snapshot(self) -> Snapshot | None:
+        """The last snapshot whose manifest is there (of a pinned store, its own)."""
+        if self.pin is not None:
+            return self.pin.snapshot
+        numbers = [int(n.removesuffix(".json")) for n in self.names("_snapshots") if n.endswith(".json")]
+        return Snapshot.of(self.read_text(f"_snapshots/{max(numbers)}.json")) if numbers else None
+
+    def _held(self, snapshot: Snapshot, table: str) -> DataFrame:
+        schema = [f for f in TABLES[table].fields if f.name != "run_id"]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", first_seen_run_id bigint, last_seen_run_id bigint"
+        rows = self.spark.read.schema(columns).parquet(f"{self.base}/_snapshots/{snapshot.number}/{table}")
+        rows = rows.select(*(f.name for f in schema), "first_seen_run_id", "last_seen_run_id")
+        return rows if self.root_path is None else rows.where(F.col("root_path") == self.root_path)
+
+    def compact(self) -> Snapshot:
+        """Merges the last snapshot and the runs since into a new one."""
+        if self.root_path is not None or self.pin is not None:
+            raise ValueError("a whole store is compacted, as it is now")
+        now = self.pinned()
+        number = self._claimed("_snapshots/_claims")
+        for table, keys in KEYS.items():
+            rows = now._seen(table).sortWithinPartitions(*keys)  # by key, so that a filter on it passes over row groups
+            rows.write.mode("overwrite").partitionBy("root_path").parquet(f"{self.base}/_snapshots/{number}/{table}")
+        done = Snapshot(number, ranges(run for _, run in now.ended()))
+        self.write_text(f"_snapshots/{number}.json", done.text())
+        return done
+
+    def expire_snapshots(self, keep: int = 1) -> list[int]:
+        """Deletes all but the last snapshots, and what compactions that died left before them; their numbers."""
+        if keep < 1:
+            raise ValueError("the last snapshot is kept")
+        whole = sorted(int(n.removesuffix(".json")) for n in self.names("_snapshots") if n.endswith(".json"))
+        first = whole[-keep] if len(whole) >= keep else 0
+        gone = sorted(int(n) for n in self.names("_snapshots") if n.isdigit() and int(n) < first)
+        for n in gone:
+            self.delete(f"_snapshots/{n}.json")
+            self.delete(f"_snapshots/{n}")
+        return gone
 
     def repositories(self) -> DataFrame:
         """The latest name of each root."""
@@ -112,16 +245,21 @@ class Store:
 
     # --- loading ------------------------------------------------------------------------------------
 
+    def _claimed(self, folder: str) -> int:
+        """A number above all claimed in the folder so far; the file that claims it is made by one caller only."""
+        fs, at = self._path(f"{self.base}/{folder}")
+        fs.mkdirs(at)
+        n = 1 + max(map(int, self.names(folder)), default=0)
+        while not fs.createNewFile(self._path(f"{self.base}/{folder}/{n}")[1]):
+            n += 1
+        return n
+
     def claim_run_id(self) -> int:
-        """A run id above all claimed so far; the file that claims it is made by one caller only."""
-        fs, folder = self._path(f"{self.base}/_claims")
-        fs.mkdirs(folder)
-        run = 1 + max((int(s.getPath().getName()) for s in fs.listStatus(folder)), default=0)
-        while not fs.createNewFile(self._path(f"{self.base}/_claims/{run}")[1]):
-            run += 1
-        return run
+        """A run id above all claimed so far."""
+        return self._claimed("_claims")
 
     def _begin(self, name: str, root_path: str, observations: DataFrame, resumed: int | None) -> tuple[int, DataFrame]:
+        migrations.settle(self)
         run = self.claim_run_id() if resumed is None else resumed
         if resumed is not None:
             if self.all_rows("runs").where(F.col("run_id") == run).limit(1).count():

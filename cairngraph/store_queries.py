@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph import api
+from cairngraph.plans import migrations
 from cairngraph.plans.store import Store
 from cairngraph.shared import exists, shared_folder
 from cairngraph.sources import observations as jsonl
@@ -21,6 +22,7 @@ from cairngraph.sources import observations as jsonl
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _stores: dict[tuple[str, str], Store] = {}
+_pins: dict[tuple[str, str], Store] = {}
 
 ITEM = "feed.item:file%3Auser%2F8.sh:click"
 
@@ -76,6 +78,40 @@ def stored(spark: SparkSession, sf_dir: str) -> Store:
     return _stores[at]
 
 
+def compacted(spark: SparkSession, sf_dir: str) -> tuple[Store, Store]:
+    """A store of the same runs with a snapshot after the first and two runs since; and what a reader saw that was pinned after
+    the second, whatever was loaded and compacted later."""
+    at = (spark.sparkContext.applicationId, f"{sf_dir} compacted")
+    if at not in _stores or not exists(spark, _stores[at].base):
+        store, rows = Store(spark, shared_folder(spark, "compacted")), observations(spark, sf_dir)
+        part = lambda n: rows.where(F.col("part") == n).drop("part")
+        store.load(part(0), "first", "/a")
+        store.compact()
+        store.load(part(1), "first again", "/a")
+        _pins[at] = store.pinned()
+        store.compact()
+        store.load(part(2), "second", "/b")
+        _stores[at] = store
+    return _stores[at], _pins[at]
+
+
+#: What files of a store of the first schema lack.
+FIRST_SCHEMA_LACKS = {"evidence": ("stable_key", "seq"), "edges": ("stable_key", "seq"), "nodes": ("seq",), "files": ("seq",)}
+
+
+def migrated(spark: SparkSession, sf_dir: str) -> Store:
+    """A store whose files are of the first schema, migrated."""
+    at = (spark.sparkContext.applicationId, f"{sf_dir} migrated")
+    if at not in _stores or not exists(spark, _stores[at].base):
+        new, old = stored(spark, sf_dir), Store(spark, shared_folder(spark, "migrated"))
+        for table in ("runs", "repositories", "nodes", "files", "evidence", "edges"):
+            rows = new.rows(table).drop(*FIRST_SCHEMA_LACKS.get(table, ()))
+            rows.write.partitionBy("root_path", "run_id").parquet(f"{old.base}/{table}")
+        migrations.apply(old)
+        _stores[at] = old
+    return _stores[at]
+
+
 _X = (
     "x AS (SELECT event_id AS n, event_id AS ordinal, CASE event_id % 3 WHEN 2 THEN '/b' ELSE '/a' END AS root_path, (event_id % 3 + 1)::BIGINT AS run_id, event_id % 7 AS sort, user_id AS u, event_type AS what,"
     " 'user/' || user_id || '.sh' AS path, 'user/' || user_id || '.sh#' || event_id AS source_id, json_extract_string(props, '$.k')::INT AS k, ts,"
@@ -115,8 +151,8 @@ _LN = (
 _CTES = {"e": _E, "m": _M, "cn": _CN, "ce": _CE, "f": _F, "l": _L, "ln": _LN}
 
 
-def _registered(name: str, frame: Callable[[Store], DataFrame], sql: str, *ctes: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: frame(stored(spark, sf_dir))
+def _registered(name: str, frame: Callable[[Store], DataFrame], sql: str, *ctes: str, of: Callable[[SparkSession, str], Store] = stored) -> None:
+    QUERIES[name] = lambda spark, sf_dir: frame(of(spark, sf_dir))
     SQL[name] = "WITH " + ", ".join([_X, *(_CTES[c] for c in ctes)]) + ("" if sql.startswith(",") else " ") + sql
 
 
@@ -205,6 +241,24 @@ def _add() -> None:
     add("store_search_observations", _op("search-observations", "run_id", "ordinal", "kind", query="host_mut", root_path="/a", limit=20, offset=10), "SELECT run_id, ordinal, kind FROM x WHERE root_path = '/a' AND sort = 3 ORDER BY run_id DESC, ordinal OFFSET 10 LIMIT 21")
     add("store_search_files", _op("search-files", "path", "language", query="ENTRY", root_path="/b", limit=5), "SELECT path, language FROM f WHERE root_path = '/b' AND role = 'entrypoint' ORDER BY path LIMIT 6", "f")
 
+    # The same answers from a snapshot and the runs since, as the reader saw them that was pinned before run 3, and after a migration.
+    whole, pinned = (lambda spark, sf: compacted(spark, sf)[0]), (lambda spark, sf: compacted(spark, sf)[1])
+    for of, prefix, where in ((whole, "snapshot", ""), (pinned, "pinned", " WHERE run_id < 3")):
+        x = _X.replace(" FROM events)", " FROM events)" if not where else " FROM events WHERE event_id % 3 < 2)")
+
+        def told(name: str, frame: Callable[[Store], DataFrame], sql: str, *ctes: str, of=of, prefix=prefix, x=x) -> None:
+            add(f"{prefix}_{name}", frame, sql, *ctes, of=of)
+            SQL[f"{prefix}_{name}"] = SQL[f"{prefix}_{name}"].replace(_X, x)
+
+        told("canonical_nodes", _op("canonical-nodes", "root_path", "canonical_key", "kind", "confidence", *seen), "SELECT * FROM cn", "e", "m", "cn")
+        told("canonical_edges", _op("canonical-edges", "root_path", "edge_key", "source_key", "kind", "target_key", "confidence", *seen), "SELECT * FROM ce", "e", "ce")
+        told("files", _op("files", "root_path", "path", "language", "role", "content_hash", *seen), "SELECT * FROM f", "f")
+        told("runs", _op("runs", "root_path", "run_id"), "SELECT root_path, max(run_id) AS run_id FROM x GROUP BY root_path")
+    add("migrated_edges", _op("edges", "root_path", "stable_key AS edge_key", "kind", "src_key", "dst_key", "evidence_key", "evidence_start_line"),
+        "SELECT root_path, edge_key, kind, src_key, dst_key, evidence_key, 3 AS evidence_start_line FROM l", "l", of=migrated)
+    add("migrated_evidence", lambda s: s.current("evidence").select("root_path", "stable_key", "path", "extractor", *seen),
+        "SELECT root_path, 'evidence:' || path || ':3-3:events:' || source_id AS stable_key, path, 'events' AS extractor, run_id AS first_seen_run_id, run_id AS last_seen_run_id FROM x WHERE sort = 0 OR target IS NOT NULL", of=migrated)
+
 
 _add()
 QUERIES["observations_round_trip"] = round_trip
