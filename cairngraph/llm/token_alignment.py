@@ -3,9 +3,10 @@ where each starts, tokens of both kinds are brought together by equal starts, ru
 tokens that cover a start are the links.
 
 Both tokenizers cut before every blank or line feed that follows no white space (no entry of either has such a place inside
-it), so a text is a sequence of segments that are tokenised, and aligned, by themselves. The rows are dealt once into groups; a
-group's distinct segments are tokenised and aligned, and its rows look up what became of theirs. A word that stands in
-all documents is aligned once a group, and only the texts and the tokens of the distinct segments are shuffled.
+it), so a text is a sequence of segments that are tokenised, and aligned, by themselves. A task takes its texts in blocks: of each
+it hands on the tokens of the distinct segments, and every document as a list of them. One exchange deals both by
+block; the segments are aligned where they lie, and the documents look up what became of theirs. A word that stands in all documents is
+aligned once a block.
 
 Where a token ends the next one starts, so cuts are found by starts as well as by ends. A link is a stretch of bytes that two
 tokens share, and each starts where one of its two tokens does: the range join of overlapping tokens is a last-value window over the
@@ -23,25 +24,29 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairngraph.llm.common import map_arrow, written
+from cairngraph.llm.common import BATCH_ROWS, map_arrow, written
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A pair of ids as one number: a * B_IDS + b, below 2^31 for these vocabularies.
 B_IDS = 1 << 15
 #: Pairs up to which their counts are broadcast (16 bytes each).
 BROADCAST_PAIRS = 1 << 20
-#: Segments that are tokenised for one record batch.
-CODED_TOGETHER = 1 << 13
+#: Characters of text that make a block; segments that are handed on together.
+BLOCK_BYTES, CODED_TOGETHER = 10 << 20, 1 << 13
+#: Segments that a process remembers, and the longest of them.
+MEMO_SEGMENTS, MEMO_CHARACTERS = 400_000, 32
 #: A's special token: its string in a text is plain text.
 SPECIAL = b"<|endoftext|>"
 #: What stands before an id: first of a segment, first of B in a group, first of a group, any other.
@@ -76,17 +81,33 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         piece = self.b.id_to_piece
         b_bytes = {i: bytes([int(piece(i)[1:-1], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())}
-        if max(b_bytes) >= B_IDS or (max(ranks.values()) + 1) * B_IDS > 1 << 31:
-            raise ValueError("pairs of ids must fit 31 bits")
+        if max(b_bytes) >= B_IDS or (max(ranks.values()) + 1) * B_IDS > 1 << 31 or max(map(len, (*ranks, *b_bytes.values()))) > 255:
+            raise ValueError("pairs of ids must fit 31 bits, and sizes 8")
         self.a_bytes = {i: t for t, i in ranks.items()}
         self.b_bytes = b_bytes
         self.blank = self.b.piece_to_id("▁")
 
-    def encoded(self, part: str) -> tuple[list[int], list[int]]:
-        """The ids of A and of B. The tokenizer B adds a blank of its own: it takes the place of the segment's, or is
-        dropped before a line feed, with which no entry joins it."""
+    def coded(self, part: str, memo: dict[str, tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
+        """How many tokens of A a segment has, the ids of A's and then B's (16 bits each) and their sizes; no ids if the bytes
+        are not the segment's. The tokenizer B adds a blank of its own: it takes the place of the segment's, or is dropped before
+        a line feed, with which no entry joins it."""
         a = self.a.encode_ordinary(part)
-        return (a, self.b.encode(part[1:]) or [self.blank]) if part[0] == " " else (a, self.b.encode(part)[1:])
+        b = (self.b.encode(part[1:]) or [self.blank]) if part[0] == " " else self.b.encode(part)[1:]
+        x, y, raw = [self.a_bytes[t] for t in a], [self.b_bytes[t] for t in b], part.encode()
+        good = b"".join(x) == raw and b"".join(y) == raw
+        ids, sizes = (a + b, bytes(map(len, x + y))) if good else ([], b"")
+        out = len(a) if good else 0, np.array(ids, np.uint16).tobytes(), sizes
+        if len(part) <= MEMO_CHARACTERS:
+            if len(memo) >= MEMO_SEGMENTS:
+                memo.clear()
+            memo[part] = out
+        return out
+
+
+@cache
+def known_segments(a_path: str, b_path: str) -> dict[str, tuple[int, bytes, bytes]]:
+    """The segments that a process remembers."""
+    return {}
 
 
 @cache
@@ -101,84 +122,102 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-def coded_segments(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """grp, seg (a number of the task's), segment, ids and sizes of A's tokens and then B's, and how many A's are, of the distinct
-    segments of each group; none if the bytes are not the segment's."""
-    lists = pa.list_(pa.int32())
-
-    def coded(group: int, first: int, new: list[str]) -> pa.RecordBatch:
-        both = pair(a_path, b_path)
-        a_of, b_of = both.a_bytes, both.b_bytes
-        ids: list[list[int]] = []
-        sizes: list[list[int]] = []
-        n_a: list[int] = []
-        for part in new:
-            a, b = both.encoded(part)
-            x, y, raw = [a_of[t] for t in a], [b_of[t] for t in b], part.encode()
-            if b"".join(x) != raw or b"".join(y) != raw:
-                a, b, x, y = [], [], [], []
-            ids.append(a + b)
-            sizes.append([len(t) for t in x + y])
-            n_a.append(len(a))
-        columns = [pa.array([group] * len(new), pa.int32()), pa.array(range(first, first + len(new)), pa.int64()), pa.array(new, pa.string())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(ids, lists), pa.array(sizes, lists), pa.array(n_a, pa.int32())], ["grp", "seg", "segment", "ids", "sizes", "n_a"])
+class Block:
+    """The texts of a block: the tokens of its distinct segments, and its documents as lists of these."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.size = number, 0
+        self.segments: dict[str, int] = {}
+        self.ids: list[pa.Scalar] = []
+        self.refs: list[bytes] = []
+
+    def add(self, who: pa.Scalar, text: str | None, squeeze: zstandard.ZstdCompressor) -> None:
+        known = self.segments
+        refs = [known.setdefault(s, len(known)) for s in segments(text)] if text else []
+        self.ids.append(who)
+        self.refs.append(squeeze.compress(np.array(refs, np.int32).tobytes()))
+        self.size += len(text or "")
+
+    def batches(self, both: Pair, memo: dict[str, tuple[int, bytes, bytes]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """block, seg, ids and sizes (A's tokens and then B's) and n_a (how many A's are) of each segment; none if the bytes are
+        not the segment's; then block, id and refs of each document."""
+        parts = list(self.segments)
+        for i in range(0, len(parts), CODED_TOGETHER):
+            found = [memo.get(p) or both.coded(p, memo) for p in parts[i : i + CODED_TOGETHER]]
+            ids, sizes = (np.frombuffer(b"".join(f[k] for f in found), t) for k, t in ((1, np.int16), (2, np.uint8)))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f[2]) for f in found])]), pa.int32())
+            yield self._batch(
+                range(i, i + len(found)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(sizes.view(np.int8))),
+                pa.array([f[0] for f in found], pa.int32()), pa.nulls(len(found), kind), pa.nulls(len(found), pa.binary()),
+            )
+        for i in range(0, len(self.ids), BATCH_ROWS):
+            ids = pa.array([x.as_py() for x in self.ids[i : i + BATCH_ROWS]], kind)
+            nothing = (pa.nulls(len(ids), t) for t in (pa.list_(pa.int16()), pa.list_(pa.int8()), pa.int32()))
+            yield self._batch([None] * len(ids), *nothing, ids, pa.array(self.refs[i : i + BATCH_ROWS], pa.binary()))
+
+    def _batch(self, seg: Iterable[int | None], *columns: pa.Array) -> pa.RecordBatch:
+        seg = pa.array(list(seg), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([self.number] * len(seg), pa.int64()), seg, *columns], ["block", "seg", "ids", "sizes", "n_a", "id", "refs"])
+
+
+def coded(df: DataFrame, doc_id: str, text: str, a_path: str, b_path: str) -> DataFrame:
+    """block and, of its distinct segments, seg, ids, sizes and n_a; of its documents id and refs."""
+    at, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}  # a task has one group, or a few
-        numbered = 0
+        both, memo, squeeze = pair(a_path, b_path), known_segments(a_path, b_path), zstandard.ZstdCompressor(level=1)
+        number = TaskContext.get().partitionId() << 32
+        block, kind = Block(number), None
         for batch in batches:
-            new: dict[int, list[str]] = {}
-            for group, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if text:
-                    known = seen.setdefault(group, set())
-                    fresh = set(segments(text)) - known
-                    known |= fresh
-                    new.setdefault(group, []).extend(fresh)
-            for group, parts in new.items():
-                for i in range(0, len(parts), CODED_TOGETHER):
-                    some = parts[i : i + CODED_TOGETHER]
-                    yield coded(group, numbered, some)
-                    numbered += len(some)
-
-    return map_arrow(rows, run, "grp int, seg bigint, segment string, ids array<int>, sizes array<int>, n_a int")
-
-
-def aligned_segments(coded: DataFrame) -> DataFrame:
-    """A row for each place of a segment of the group where a token starts: grp, segment (on its first row), number of the
-    alignment group, a and b (tokens that start here), a_over and b_over (tokens that lie over the place).
-    All steps group by grp, by which coded is dealt: nothing is shuffled again."""
-    token = coded.select("grp", "seg", "segment", "sizes", "n_a", F.posexplode_outer("ids").alias("at", "id"))
-    each = token.select(
-        "grp", "seg", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("segment")).alias("segment"), (F.col("at") < F.col("n_a")).alias("is_a"), "at", "id", F.get("sizes", F.col("at")).alias("size")
-    )
-    start = F.sum("size").over(Window.partitionBy("grp", "seg", "is_a").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+            kind = batch.column(0).type
+            for who, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                block.add(who, t, squeeze)
+                if block.size >= BLOCK_BYTES:
+                    yield from block.batches(both, memo, kind)
+                    number += 1
+                    block = Block(number)
+        if block.ids:
+            yield from block.batches(both, memo, kind)
+
+    kind = df.schema[doc_id].dataType.simpleString()
+    return map_arrow(df.select(at.alias("id"), body.alias("text")), run, f"block bigint, seg int, ids array<smallint>, sizes array<tinyint>, n_a int, id {kind}, refs binary")
+
+
+def aligned_segments(tokens: DataFrame) -> DataFrame:
+    """A row for each place of a segment of the block where a token starts, in order: block, seg, number of the alignment group, a
+    and b (tokens that start here) and pair (of the tokens that lie over the place). All steps group by block, by
+    which tokens is dealt: nothing is shuffled again."""
+    each = tokens.select("block", "seg", "sizes", "n_a", F.posexplode_outer("ids").alias("at", "id"))
+    plain = lambda c, bits: F.col(c).cast("int").bitwiseAND(F.lit((1 << bits) - 1))
+    each = each.select("block", "seg", (F.col("at") < F.col("n_a")).alias("is_a"), "at", plain("id", 16).alias("id"), F.get("sizes", F.col("at")).cast("int").bitwiseAND(F.lit(255)).alias("size"))
+    start = F.sum("size").over(Window.partitionBy("block", "seg", "is_a").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     token_id = lambda a: F.max(F.when(F.col("is_a") if a else ~F.col("is_a"), F.col("id")))
-    met = each.withColumn("start", start).groupBy("grp", "seg", "start").agg(token_id(True).alias("a"), token_id(False).alias("b"), F.max("segment").alias("segment"))
-    so_far = Window.partitionBy("grp", "seg").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    met = each.withColumn("start", start).groupBy("block", "seg", "start").agg(token_id(True).alias("a"), token_id(False).alias("b"))
+    so_far = Window.partitionBy("block", "seg").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
-    return met.select(
-        "grp", "segment", F.count(cut).over(so_far).cast("int").alias("number"), "a", "b", F.last("a", True).over(so_far).alias("a_over"), F.last("b", True).over(so_far).alias("b_over")
-    )
+    over = F.last("a", True).over(so_far) * F.lit(B_IDS) + F.last("b", True).over(so_far)
+    return met.select("block", "seg", F.count(cut).over(so_far).cast("int").alias("number"), "a", "b", over.alias("pair"))
 
 
 class Aligned:
-    """What became of the segments of one group, from the rows of aligned_segments."""
+    """What became of the segments of one block, from the rows of aligned_segments."""
 
     def __init__(self, rows: pa.Table) -> None:
-        column = lambda n: rows.column(n).combine_chunks()
-        names = column("segment")
-        starts = np.flatnonzero(names.is_valid().to_numpy(zero_copy_only=False))
-        self.number = {s: i for i, s in enumerate(names.drop_null().to_pylist())}
-        ends = np.append(starts[1:], rows.num_rows)
-        numbers = lambda n: column(n).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        a, b, group = numbers("a"), numbers("b"), numbers("number")
-        pairs = numbers("a_over") * B_IDS + numbers("b_over")
-        count = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0, np.int64)
-        self.n_a, self.n_b, self.n_links = count((a >= 0).astype(np.int64)), count((b >= 0).astype(np.int64)), ends - starts
-        self.n_groups = group[ends - 1] if len(starts) else np.zeros(0, np.int64)
-        self.pairs, self.starts = pairs, starts
-        self.good = self.n_a > 0
-        self.texts = self._texts(a, b, group, ends)
+        numbers = lambda n: rows.column(n).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+        seg, a, b, group, pairs = (numbers(n) for n in ("seg", "a", "b", "number", "pair"))
+        if len(seg) and (np.diff(seg) < 0).any():
+            order = np.argsort(seg, kind="stable")
+            seg, a, b, group, pairs = (x[order] for x in (seg, a, b, group, pairs))
+        self.starts = np.flatnonzero(np.diff(seg, prepend=-1))
+        ends = np.append(self.starts[1:], len(seg)) if len(seg) else self.starts
+        count = lambda x: np.add.reduceat(x.astype(np.int64), self.starts) if len(seg) else np.zeros(0, np.int64)
+        self.n_a, self.n_b, self.n_links = count(a >= 0), count(b >= 0), ends - self.starts
+        self.n_groups = group[ends - 1].astype(np.int64) if len(seg) else np.zeros(0, np.int64)
+        self.pairs, self.good = pairs, self.n_a > 0
+        self.texts: list[bytes] = []
+        for i in range(0, len(ends), CODED_TOGETHER):
+            first, last = self.starts[i], ends[min(i + CODED_TOGETHER, len(ends)) - 1]
+            self.texts += self._texts(a[first:last], b[first:last], group[first:last], ends[i : i + CODED_TOGETHER] - first)
 
     @staticmethod
     def _texts(a: np.ndarray, b: np.ndarray, group: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -208,47 +247,41 @@ _DOCUMENT = "id {id}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, g
 
 
 def _documents(rows: pa.Table, found: pa.Table, whole: bool) -> Iterator[pa.Table]:
-    """The documents of one group, block by block."""
-    known = Aligned(found)
+    """The documents of one block, some at a time."""
+    known, plain = Aligned(found), zstandard.ZstdDecompressor()
     names = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "counts"]
     held: list[np.ndarray] = []
     first = size = 0
-    texts = rows.column("text").to_pylist()
 
-    def block(until: int) -> pa.Table:
-        which = np.concatenate(held) if held else np.zeros(0, np.int64)
-        lengths = np.array([len(x) for x in held])
-        n = len(held)
-        doc = np.repeat(np.arange(n), lengths)
+    def some(until: int) -> pa.Table:
+        which = np.concatenate(held)
+        n, doc = len(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
         total = lambda x: np.bincount(doc, weights=x[which], minlength=n).astype(np.int64)  # noqa: E731  below 2^53
         of, pairs = known.links(which)
         both, count = np.unique(doc[of] * (1 << 31) + pairs, return_counts=True)
-        ends = np.searchsorted(both >> 31, np.arange(n + 1))
-        offsets = pa.array(ends, pa.int32())
-        said = [b";".join(known.texts[i] for i in x.tolist()) for x in held]
+        offsets = pa.array(np.searchsorted(both >> 31, np.arange(n + 1)), pa.int32())
+        said = [b";".join([known.texts[i] for i in x.tolist()]) for x in held]
         told = [("" if not x else x.decode() if whole else hashlib.sha256(x).hexdigest()) for x in said]
         lists = (pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (both & ((1 << 31) - 1), count))
         numbers = (pa.array(total(x)) for x in (known.n_a, known.n_b, known.n_groups, known.n_links))
         return pa.Table.from_arrays([rows.column("id").slice(first, until - first).combine_chunks(), *numbers, pa.array(told, pa.string()), *lists], names)
 
-    for i, text in enumerate(texts):
-        own = np.array([known.number[s] for s in segments(text)] if text else [], np.int64)
+    refs = rows.column("refs")
+    for i, x in enumerate(refs):
+        own = np.frombuffer(plain.decompress(x.as_py()), np.int32)
         held.append(own if known.good[own].all() else own[:0])
         size += len(own)
-        if size >= BLOCK_SEGMENTS:
-            yield block(i + 1)
+        if size >= BLOCK_SEGMENTS or i + 1 == len(refs):
+            yield some(i + 1)
             held, first, size = [], i + 1, 0
-    if held:
-        yield block(len(texts))
 
 
-def _labels(spark: SparkSession, parts: int) -> Column:
-    """A number for each partition that hash partitioning sends there, as far as small numbers do: one group a partition. Only
-    how even the partitions are depends on it."""
-    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("place")
-    found = spark.range(parts * 16).select(F.col("id").cast("int").alias("label"), place).groupBy("place").agg(F.min("label").alias("label")).collect()  # a row a partition
-    at = {r.place: r.label for r in found}
-    return F.lit([at.get(p, p) for p in range(parts)])
+def _above(dealt: DataFrame, condition: Column) -> DataFrame:
+    """Rows of dealt, picked after its exchange. A plain filter, and the columns that are not asked for, would be taken out below
+    it, which makes two exchanges of one, and two runs of what feeds it; a condition that is not deterministic and names all
+    columns stays where it is."""
+    every = F.greatest(*(F.col(c).isNull() for c in dealt.columns), F.lit(False))
+    return dealt.where(F.when(F.monotonically_increasing_id() >= 0, condition).otherwise(every))
 
 
 def documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", a_path: str | None = None, b_path: str | None = None, whole: bool = False) -> DataFrame:
@@ -257,17 +290,15 @@ def documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", a_path:
     spark = df.sparkSession
     a_path, b_path = a_path or public_tokenizers.path(A_VOCABULARY), b_path or public_tokenizers.path(B_VOCABULARY)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
-    number = F.when(at.isNotNull(), F.xxhash64(at)).otherwise(F.xxhash64(body))
-    group = F.get(_labels(spark, parts), F.pmod(number, F.lit(parts)).cast("int"))
-    rows = df.select(group.alias("grp"), at.alias("id"), body.alias("text")).repartition(parts, "grp")
+    dealt = coded(df, doc_id, text, a_path, b_path).repartition(parts, "block")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.concat_tables(list(_documents(left.drop_columns(["grp"]), right, whole)))
+        return pa.concat_tables(list(_documents(left, right, whole)))
 
     kind = df.schema[doc_id].dataType.simpleString()
-    coded = coded_segments(rows, a_path, b_path).repartition(parts, "grp")
-    return rows.groupBy("grp").cogroup(aligned_segments(coded).groupBy("grp")).applyInArrow(run, _DOCUMENT.format(id=kind))
+    docs = _above(dealt, F.col("seg").isNull()).select("block", "id", "refs")
+    tokens = _above(dealt, F.col("seg").isNotNull())
+    return docs.groupBy("block").cogroup(aligned_segments(tokens).groupBy("block")).applyInArrow(run, _DOCUMENT.format(id=kind))
 
 
 def pair_counts(docs: DataFrame) -> DataFrame:
