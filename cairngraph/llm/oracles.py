@@ -6,7 +6,7 @@ from cairngraph.llm.ball_kmeans import DIMS, K, LARGEST, ROUNDS, SCALE
 from cairngraph.llm.ball_kmeans import SEED as CLUSTER_SEED
 from cairngraph.llm.decontaminate import WINDOW
 from cairngraph.llm.quality import COVERAGE_LIMITS, LINE_LIMIT, SYMBOLS
-from cairngraph.llm.secret_scan import RULES
+from cairngraph.llm.secret_scan import RULES, dashed
 from cairngraph.llm.substring_dedup import WINDOW as LONG_WINDOW
 from cairngraph.llm.warc import LEAST_SHARED_BYTES
 
@@ -56,9 +56,9 @@ def decontamination() -> str:
     words = lambda t: f"regexp_extract_all({_LOWER.format(t)}, '{_ALNUM}')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS ws FROM documents),
-b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, row_number() OVER () AS br, {words("coalesce(text, '')")} AS ws FROM benchmark),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words("coalesce(text, '')")} AS ws FROM benchmark),
 bw AS (
-  SELECT item, br, least(len(ws), {WINDOW}) AS k, unnest(list_transform(range(1, len(ws) - least(len(ws), {WINDOW}) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), {WINDOW}) - 1], ' '))) AS gram
+  SELECT item, least(len(ws), {WINDOW}) AS k, unnest(list_transform(range(1, len(ws) - least(len(ws), {WINDOW}) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), {WINDOW}) - 1], ' '))) AS gram
   FROM b WHERE len(ws) > 0
 ),
 ks AS (SELECT DISTINCT k FROM bw),
@@ -66,9 +66,9 @@ dw AS (
   SELECT r, k, unnest(range(1, len(ws) - k + 2)) AS i, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS gram
   FROM d, ks WHERE len(ws) >= k
 ),
-m AS (SELECT r, i, dw.k, item, br FROM dw JOIN bw ON dw.gram = bw.gram AND dw.k = bw.k),
+m AS (SELECT r, i, dw.k, item FROM dw JOIN bw ON dw.gram = bw.gram AND dw.k = bw.k),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
-it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE C) AS items FROM (SELECT DISTINCT r, item, br FROM m) GROUP BY r)
+it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE C) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)
@@ -76,20 +76,30 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)
 
 
 def secrets() -> str:
-    parts, names = [], []
-    for n, rule in enumerate(RULES):
+    parts = []
+    closed = [(n, rule) for n, rule in enumerate(RULES) if rule.closes]
+    for n, rule in ((n, r) for n, r in enumerate(RULES) if not r.closes):
         p = rule.pattern.replace("'", "''")
         group = f", {rule.group}" if rule.group else ""
         parts.append(
             f"SELECT r, {n} AS o, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(regexp_extract_all(t, '{p}'{group})) AS g,"
             f" unnest(string_split_regex(t, '{p}')[:-2]) AS gap, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i, {rule.least} AS least FROM d WHERE regexp_matches(t, '{p}')"
         )
-        names.append(rule.kind)
+    pairs = []
+    for n, rule in closed:
+        p = dashed(rule)
+        all_of = lambda g: f"unnest(regexp_extract_all(t, '{p}', {g}))"  # noqa: B023, E731
+        pairs.append(
+            f"SELECT r, {n} AS o, {str(rule.base).lower()} AS base, '{rule.kind}' AS kind, CASE WHEN closing THEN next_e ELSE e END AS e, e - length(m) + length(more) AS b FROM ("
+            f"SELECT *, lead(e) OVER (PARTITION BY r ORDER BY i) AS next_e, lead(length(shut) > 0) OVER (PARTITION BY r ORDER BY i) AS closing FROM ("
+            f"SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i))::BIGINT AS e FROM (SELECT r, {all_of(0)} AS m, {all_of(1)} AS opens, {all_of(2)} AS more, {all_of(3)} AS shut,"
+            f" unnest(string_split_regex(t, '{p}')[:-2]) AS gap, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d WHERE regexp_matches(t, '{p}')))) WHERE length(opens) > 0"
+        )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 a AS ({" UNION ALL ".join(parts)}),
 p AS (SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY r, o ORDER BY i))::BIGINT AS e FROM a),
-s AS (SELECT r, o, base, kind, e, e - length(m) AS b FROM p WHERE length(g) >= least),
+s AS (SELECT r, o, base, kind, e, e - length(m) AS b FROM p WHERE length(g) >= least {"".join(f" UNION ALL {x}" for x in pairs)}),
 j AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS na, count(*) FILTER (kind = 'access') AS nc, count(*) FILTER (kind = 'hex') AS nh,
     string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o) FILTER (base) AS bs, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o) AS sp

@@ -34,13 +34,15 @@ from cairngraph.llm.common import beside, written
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: its name; a match counts if `group` has at least `least` characters; base: named by the base contract."""
+    """kind: its name; a match counts if `group` has at least `least` characters; base: named by the base contract. closes: a
+    match reaches to the end of the next match of this pattern, if no other run of five dashes comes before it."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     base: bool = False
+    closes: str = ""
 
 
 def any_case(word: str) -> str:
@@ -50,15 +52,11 @@ def any_case(word: str) -> str:
 #: api_?key keeps its `?`; the class form of a letter works alike in every regex dialect.
 KEYWORDS = "|".join(map(any_case, ("password", "passwd", "secret", "token", "api_?key")))
 
-#: From a key's header to its END line: anything but another run of five dashes (headers such as DEK-Info and the lines of
-#: a diff hold shorter ones; the count of those is bounded, as Java's matcher recurses over groups).
-KEY_BODY = r"[^-]*(?:-{1,4}[^-]+){0,250}-{5,}END[ A-Z]*PRIVATE KEY-----"
-
 RULES = (
     Rule("assign", rf"({KEYWORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("private_key", rf"-----BEGIN[ A-Z]*PRIVATE KEY-----(?:{KEY_BODY})?"),
+    Rule("private_key", r"-----BEGIN[ A-Z]*PRIVATE KEY-----", closes=r"-----END[ A-Z]*PRIVATE KEY-----"),
     Rule("hosting_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("payment_key", r"[rs]k_live_[0-9A-Za-z]{16,}"),
@@ -232,8 +230,37 @@ def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
     return _bound(values, lambda v: _bound(_blocks(v), folded))
 
 
+def dashed(rule: Rule) -> str:
+    """All that matters to a rule that closes, as one pattern: dashes and (1) a match, after (2) dashes more than its own; dashes
+    and (3) what closes it; any other five dashes. A body of any length, with shorter runs of dashes, lies between two of these."""
+    return f"((-*){rule.pattern})|(-*{rule.closes})|-{{5,}}"
+
+
+def _closed_spans(text: Column, rule: Rule) -> Column:
+    """_spans of a rule that closes: each match is paired with what follows it."""
+    p, span = dashed(rule), "array<struct<start: int, end: int>>"
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(group)), F.length)
+    found = F.arrays_zip(F.transform(F.split(text, p, -1), F.length).alias("gap"), lengths(0).alias("m"), lengths(1).alias("opens"), lengths(2).alias("more"), lengths(3).alias("closes"))
+    found = F.filter(found, lambda x: x["m"].isNotNull())
+
+    def placed(all_: Column) -> Column:
+        before = running(F.transform(all_, lambda x: x["gap"] + x["m"]), lambda a, x: a + x)
+        return F.zip_with(all_, before, lambda x, at: F.struct(
+            (x["opens"] > 0).alias("opens"), (x["closes"] > 0).alias("closes"), (at + x["gap"] + x["more"]).alias("start"), (at + x["gap"] + x["m"]).alias("end")
+        ))
+
+    def paired(all_: Column) -> Column:
+        following = F.slice(all_, F.lit(2), F.greatest(F.size(all_) - 1, F.lit(0)))
+        both = F.zip_with(all_, following, lambda x, y: F.struct(x["opens"].alias("opens"), x["start"].alias("start"), F.when(y["closes"], y["end"]).otherwise(x["end"]).alias("end")))
+        return F.transform(F.filter(both, lambda x: x["opens"]), lambda x: F.struct(x["start"], x["end"]))
+
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), _bound(_bound(found, placed), paired).cast(span)).otherwise(F.array().cast(span))
+
+
 def _spans(text: Column, rule: Rule) -> Column:
     """All counted matches as array<struct<start, end>> in code points, in order."""
+    if rule.closes:
+        return _closed_spans(text, rule)
     p, span = F.lit(rule.pattern), "array<struct<start: int, end: int>>"
     matches = F.arrays_zip(
         F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
