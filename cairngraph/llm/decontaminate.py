@@ -6,7 +6,7 @@ words. Each text is scanned once; matches mark the words they cover, and a word'
 original text is known from its number.
 
 The items must fit the automaton: `MAX_PATTERN_WORDS` words of patterns an automaton is the checked
-bound. Larger item sets are dealt into blocks, equal texts once and long ones in pieces: one automaton and one scan of
+bound (about 340 bytes a word in each Python worker). Larger item sets are dealt into blocks, equal texts once and long ones in pieces: one automaton and one scan of
 all rows a block, with the marks so far written to the shared folder in between, so that no task ever holds more than one block.
 
 Defined cases: a null text has no words and is clean; a null or wordless item gives no pattern; a null item_id counts
@@ -30,37 +30,40 @@ from pyspark.sql import functions as F
 from cairngraph.llm.common import alnum_words, beside, kept_with_text, map_arrow, texts, written
 
 WINDOW = 10
-MAX_PATTERN_WORDS = 4_000_000
+MAX_PATTERN_WORDS = 1_000_000
 #: A long item is cut into pieces of a PIECES-th of an automaton.
 PIECES = 16
 #: The words of a text whose A-Z are not lower-cased yet.
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 
 
+#: The automaton of the block that this process scans for, by the block's digest: tasks come with blocks of their own.
+_ready: dict[str, ahocorasick.Automaton] = {}
+
+
 class Items:
-    """Patterns of a block of items and, on first use in a process, their automaton."""
+    """Patterns of a block of items; their automaton is made on first use in a process, and serves all tasks that follow there."""
 
     def __init__(self, rows: Sequence[tuple[tuple[str, ...], bytes]], window: int = WINDOW) -> None:
         """rows: (ids, text)"""
         self.rows, self.window = list(rows), window
-        self._automaton = None
-
-    def __getstate__(self) -> dict:
-        return {"rows": self.rows, "window": self.window, "_automaton": None}
+        self.digest = hashlib.sha256(repr((self.rows, window)).encode()).hexdigest()
 
     def ready(self) -> ahocorasick.Automaton:
-        if self._automaton is None:
+        if self.digest not in _ready:
             owners: dict[str, tuple[int, set[int]]] = {}
             for i, (_, text) in enumerate(self.rows):
                 words = alnum_words(text)
                 for k in range(max(1, len(words) - self.window + 1)) if words else ():
                     run = words[k : k + self.window]
                     owners.setdefault(_line(run), (len(run), set()))[1].add(i)
-            self._automaton = ahocorasick.Automaton()
+            automaton = ahocorasick.Automaton()
             for p, (n, who) in owners.items():
-                self._automaton.add_word(p, (n, tuple(who)))
-            self._automaton.make_automaton()
-        return self._automaton
+                automaton.add_word(p, (n, tuple(who)))
+            automaton.make_automaton()
+            _ready.clear()  # one block at a time
+            _ready[self.digest] = automaton
+        return _ready[self.digest]
 
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Number of words, merged hit runs as (first word, end word), and the items met."""
@@ -192,19 +195,3 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def items_digest(column: str = "items") -> F.Column:
     return F.sha2(F.array_join(column, ","), 256)
 
-
-def naive_hits(words: Sequence[bytes], items: Sequence[tuple[str, Sequence[bytes]]], window: int = WINDOW) -> tuple[int, list[str]]:
-    """Brute force for tests."""
-    hit, met = np.zeros(len(words), bool), []
-    for i, w in items:
-        n = min(window, len(w))
-        for k in range(len(w) - n + 1) if n else ():
-            for a in range(len(words) - n + 1):
-                if list(words[a : a + n]) == list(w[k : k + n]):
-                    hit[a : a + n] = True
-                    met.append(i)
-    return int(hit.sum()), sorted(set(met))
-
-
-def digest(ids: Sequence[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
