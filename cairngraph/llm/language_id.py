@@ -7,8 +7,8 @@ penalties, so rare buckets keep weight zero) over a bounded sample of labelled r
 temperature is fitted on a part of the sample left out of training, so that scores are calibrated.
 
 Bounds: at most MAX_TRAIN rows in expectation, shared evenly by languages, are featurised on the
-executors and sent to the driver as sparse counts: of a row the MOST_FEATURES most frequent buckets, with
-counts up to 65,535, so 8 KB at most however long its text. Prediction reads every whole text with all its features.
+executors and sent to the driver as sparse counts, with all their features: 6 bytes a bucket, so 192 KB at most however long the
+text (texts of the usual length: some 6 KB). Prediction reads every whole text with all its features.
 
 Defined cases: a letter is what Unicode calls one (categories L): digits and other numbers (`½`, `Ⅷ`) are none. A null
 text or one without letters is `und` with score 0; a null label takes no part
@@ -34,9 +34,7 @@ from cairngraph.llm.common import beside, kept_with_text, map_arrow, texts
 LENGTHS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 #: Labelled rows to train on, all languages together (the documented bound).
-MAX_TRAIN = 6000
-#: Buckets of a training row that are sent to the driver.
-MOST_FEATURES = 2048
+MAX_TRAIN = 3000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.001
 #: Every so many rows of the sample one is kept for the temperature.
@@ -175,26 +173,18 @@ def sample(df: DataFrame, label: str = "lang", text: str = "text", salt: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_most_frequent(counts(t)) for t in texts(batch, 1)]
-            raw = [None if f is None else f[0].astype("<u2").tobytes() + np.minimum(f[1], 65535).astype("<u2").tobytes() for f in found]
+            found = [counts(t) for t in texts(batch, 1)]
+            raw = [None if f is None else f[0].astype("<u2").tobytes() + f[1].astype("<u4").tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.binary())], ["y", "h", "f"])
 
     got = map_arrow(drawn, run, "y string, h bigint, f binary").where("f IS NOT NULL").toArrow().sort_by([("h", "ascending"), ("f", "ascending")])
     out = []
     for y, f in zip(got.column("y").to_pylist(), got.column("f").to_pylist(), strict=True):
-        both = np.frombuffer(f, "<u2").reshape(2, -1)
-        out.append((y, both[0], both[1]))
+        n = len(f) // 6
+        out.append((y, np.frombuffer(f, "<u2", n), np.frombuffer(f, "<u4", n, 2 * n)))
     return out
 
 
-def _most_frequent(f: tuple[np.ndarray, np.ndarray] | None, most: int = MOST_FEATURES) -> tuple[np.ndarray, np.ndarray] | None:
-    """The `most` buckets of the largest counts, the lowest first among equal ones; in order of the buckets."""
-    if f is None or len(f[0]) <= most:
-        return f
-    kept = np.sort(np.lexsort((f[0], -f[1]))[:most])
-    return f[0][kept], f[1][kept]
-
-
 def document_frequencies(df: DataFrame, label: str = "lang", text: str = "text") -> tuple[int, np.ndarray]:
     """The number of labelled rows with features, and of those with each bucket. A task hands on one row a bucket."""
     rows = df.where(F.col(label).isNotNull()).select(F.col(text).cast("string").alias("t"))
