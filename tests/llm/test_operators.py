@@ -371,6 +371,25 @@ def test_given_widths_make_runs_agree(spark):
 # --- 5 ------------------------------------------------------------------------------------------------
 
 
+def naive_hits(words, items, window=decontaminate.WINDOW):
+    hit, met = np.zeros(len(words), bool), []
+    for i, w in items:
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1) if n else ():
+            for a in range(len(words) - n + 1):
+                if list(words[a : a + n]) == list(w[k : k + n]):
+                    hit[a : a + n] = True
+                    met.append(i)
+    return int(hit.sum()), sorted(set(met))
+
+
+def test_an_automaton_serves_a_process():
+    one, same, other = (decontaminate.Items([(("1",), t)]) for t in (b"a b c", b"a b c", b"d e f"))
+    assert one.ready() is same.ready() and one.digest == same.digest != other.digest
+    first = one.ready()
+    assert other.ready() is not first and len(decontaminate._ready) == 1 and one.scan(b"x A, b c")[1] == [(1, 4)]
+
+
 def test_contamination_equals_brute_force(spark):
     rnd = random.Random(6)
     items = [(i, prose(rnd, rnd.randrange(0, 14), "ab")) for i in range(12)] + [(None, "q w e"), (3, None)]
@@ -379,7 +398,7 @@ def test_contamination_equals_brute_force(spark):
     want = []
     named = [("" if i is None else str(i), decontaminate.alnum_words((t or "").encode())) for i, t in items]
     for t in texts:
-        want.append(decontaminate.naive_hits(decontaminate.alnum_words((t or "").encode()), named))
+        want.append(naive_hits(decontaminate.alnum_words((t or "").encode()), named))
     for most in (decontaminate.MAX_PATTERN_WORDS, 200):
         got = decontaminate.contamination(clashing(docs(spark, texts)), frame, max_pattern_words=most).orderBy("doc_id").collect()
         assert [(r.n_hit, sorted(set(r["items"]))) for r in got] == want
@@ -410,8 +429,9 @@ def test_no_items_leave_all_clean(spark):
 
 def naive_spans(text):
     out = []
+    body = r"(?:[^-]*(?:-{1,4}[^-]+)*-{5,}END[ A-Z]*PRIVATE KEY-----)?"
     for n, r in enumerate(secret_scan.RULES):
-        for m in re.finditer(r.pattern, text or "", re.ASCII):
+        for m in re.finditer(r.pattern + body if r.closes else r.pattern, text or "", re.ASCII):
             if len(m[r.group]) >= r.least:
                 out.append((m.start(), n, m.end(), r.kind))
     return sorted(out)
@@ -441,8 +461,10 @@ def test_private_keys_go_whole(spark):
     mail = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n{end}"
     diff = "\n".join("-" + x for x in f"{begin}\n{body}\n{end}".split("\n"))
     inline = f"{begin}\\n{body}\\n{end}".replace("\n", "\\n")
-    texts = [f"a\n{begin}\n{body}\n{end}\nb", f"a {mail} b {mail} c", f"a\n{diff}\nb", f'{{"k": "{inline}"}}', f"a {begin} then words", f"{begin} x {begin}\n{body}\n{end} y", begin + " well-known" * 5000 + " " + begin * 50]
-    want = ["a\n[SECRET]\nb", "a [SECRET] b [SECRET] c", "a\n-[SECRET]\nb", '{"k": "[SECRET]"}', "a [SECRET] then words", "[SECRET] x [SECRET] y", "[SECRET]" + " well-known" * 5000 + " " + "[SECRET]" * 50]
+    texts = [f"a\n{begin}\n{body}\n{end}\nb", f"a {mail} b {mail} c", f"a\n{diff}\nb", f'{{"k": "{inline}"}}', f"a {begin} then words", f"{begin} x {begin}\n{body}\n{end} y", begin + " well-known" * 5000 + " " + begin * 50,
+             f"a {begin} " + "-x --y\n" * 3000 + f"{end}- b {end}", f"{begin}{end}{end} {begin}- - {'-' * 9} {end}", f"{'-' * 12}{begin} k {'-' * 7}{end}"]
+    want = ["a\n[SECRET]\nb", "a [SECRET] b [SECRET] c", "a\n-[SECRET]\nb", '{"k": "[SECRET]"}', "a [SECRET] then words", "[SECRET] x [SECRET] y", "[SECRET]" + " well-known" * 5000 + " " + "[SECRET]" * 50,
+            f"a [SECRET]- b {end}", f"[SECRET]{end} [SECRET]- - {'-' * 9} {end}", f"{'-' * 12}[SECRET]"]
     assert [r.text for r in secret_scan.without_secrets(docs(spark, texts)).orderBy("doc_id").collect()] == want
     found = secret_scan.secrets(docs(spark, texts), keep=["doc_id", "text"]).collect()
     assert all([tuple(s) for s in r.spans] == naive_spans(r.text) for r in found)
@@ -549,9 +571,10 @@ def test_one_label_and_rows_of_many_features(spark):
     df = docs(spark, ["hello", "world", None, "½"], [0, 1, 4, 5])
     got = language_id.predictions(df, language_id.trained(df)).collect()
     assert [(r.lang_pred, r.score) for r in sorted(got, key=lambda r: r.doc_id)] == [("en", 1.0)] * 2 + [("und", 0.0)] * 2
-    f = (np.arange(5000), np.arange(5000) % 7)
-    at, n = language_id._most_frequent(f, 1000)
-    assert len(at) == 1000 and n.min() == 5 and (np.diff(at) > 0).all() and language_id._most_frequent(f, 5000) is f
+    # A row of more distinct n-grams than any ordinary one, some of them very frequent, comes to training whole.
+    wide = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}q" for i in range(9000)) + " a" * 70_000
+    (y, at, n), want = language_id.sample(docs(spark, [wide]), most=1)[0], language_id.counts(wide.encode())
+    assert y == "en" and len(at) > 5000 and n.max() > 65_535 and (at == want[0]).all() and (n == want[1]).all()
 
 
 # --- 8 ------------------------------------------------------------------------------------------------
