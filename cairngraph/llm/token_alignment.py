@@ -26,6 +26,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -44,9 +45,11 @@ B_IDS = 1 << 15
 #: Pairs up to which their counts are broadcast (16 bytes each).
 BROADCAST_PAIRS = 1 << 20
 #: Characters of text that make a block; segments that are handed on together.
-BLOCK_BYTES, CODED_TOGETHER = 10 << 20, 1 << 13
+BLOCK_BYTES, CODED_TOGETHER = 6 << 20, 1 << 13
+#: Partitions of the exchange for each of the session's: a task sorts a block or two at a time.
+PARTITIONS = 4
 #: Segments that a process remembers, and the longest of them.
-MEMO_SEGMENTS, MEMO_CHARACTERS = 400_000, 32
+MEMO_SEGMENTS, MEMO_CHARACTERS = 150_000, 32
 #: A's special token: its string in a text is plain text.
 SPECIAL = b"<|endoftext|>"
 #: What stands before an id: first of a segment, first of B in a group, first of a group, any other.
@@ -77,31 +80,47 @@ class Pair:
             vocabulary = json.load(f)["model"]["vocab"]
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items() if all(c in alphabet for c in t)}
-        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for t, i in ranks.items() if t != SPECIAL}, special_tokens={})
+        reader = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for t, i in ranks.items() if t != SPECIAL}, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         piece = self.b.id_to_piece
         b_bytes = {i: bytes([int(piece(i)[1:-1], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())}
         if max(b_bytes) >= B_IDS or (max(ranks.values()) + 1) * B_IDS > 1 << 31 or max(map(len, (*ranks, *b_bytes.values()))) > 255:
             raise ValueError("pairs of ids must fit 31 bits, and sizes 8")
-        self.a_bytes = {i: t for t, i in ranks.items()}
-        self.b_bytes = b_bytes
+        self.a = reader.encode_ordinary
+        self.a_bytes, self.b_bytes = {i: t for t, i in ranks.items()}, b_bytes
+        self.a_sizes, self.b_sizes = (np.array([len(x.get(i, b"")) for i in range(max(x) + 1)], np.uint8) for x in (self.a_bytes, self.b_bytes))
         self.blank = self.b.piece_to_id("▁")
 
-    def coded(self, part: str, memo: dict[str, tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
-        """How many tokens of A a segment has, the ids of A's and then B's (16 bits each) and their sizes; no ids if the bytes
-        are not the segment's. The tokenizer B adds a blank of its own: it takes the place of the segment's, or is dropped before
-        a line feed, with which no entry joins it."""
-        a = self.a.encode_ordinary(part)
-        b = (self.b.encode(part[1:]) or [self.blank]) if part[0] == " " else self.b.encode(part)[1:]
-        x, y, raw = [self.a_bytes[t] for t in a], [self.b_bytes[t] for t in b], part.encode()
-        good = b"".join(x) == raw and b"".join(y) == raw
-        ids, sizes = (a + b, bytes(map(len, x + y))) if good else ([], b"")
-        out = len(a) if good else 0, np.array(ids, np.uint16).tobytes(), sizes
-        if len(part) <= MEMO_CHARACTERS:
-            if len(memo) >= MEMO_SEGMENTS:
-                memo.clear()
-            memo[part] = out
-        return out
+    def coded(self, parts: list[str]) -> dict[str, tuple[int, bytes, bytes]]:
+        """Of each segment: how many tokens of A it has, the ids of A's and then B's (16 bits each) and their sizes; no ids if the
+        bytes are not the segment's. The tokenizer B adds a blank of its own: it takes the place of the segment's, or is dropped
+        before a line feed, with which no entry joins it."""
+        if not parts:
+            return {}
+        a = [self.a(p) for p in parts]
+        b = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
+        b = [(x or [self.blank]) if p[0] == " " else x[1:] for p, x in zip(parts, b, strict=True)]
+        bad = self._unlike(parts, a, b)
+        for i in bad:
+            a[i], b[i] = [], []
+        n_a = np.array([len(x) for x in a])
+        n = n_a + np.array([len(x) for x in b])
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(zip(a, b, strict=True))), np.uint16, n.sum())
+        of_b = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) >= np.repeat(n_a, n)
+        ids, sizes = flat.tobytes(), np.where(of_b, self.b_sizes[flat % len(self.b_sizes)], self.a_sizes[flat % len(self.a_sizes)]).astype(np.uint8).tobytes()
+        ends = np.cumsum(n).tolist()
+        return {p: (k, ids[2 * i : 2 * j], sizes[i:j]) for p, k, i, j in zip(parts, n_a.tolist(), [0, *ends], ends, strict=False)}
+
+    def _unlike(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> list[int]:
+        """Places of the segments whose bytes one of the tokenizers does not give again: all are compared at once, and one by one
+        only if that tells a difference."""
+        raw = [p.encode() for p in parts]
+        whole, length = b"".join(raw), [len(x) for x in raw]
+        for ids, entry in ((a, self.a_bytes), (b, self.b_bytes)):
+            joined = [b"".join([entry[t] for t in x]) for x in ids]
+            if b"".join(joined) != whole or [len(x) for x in joined] != length:
+                return [i for i, (p, x, y) in enumerate(zip(raw, a, b, strict=True)) if b"".join([self.a_bytes[t] for t in x]) != p or b"".join([self.b_bytes[t] for t in y]) != p]
+        return []
 
 
 @cache
@@ -143,7 +162,12 @@ class Block:
         not the segment's; then block, id and refs of each document."""
         parts = list(self.segments)
         for i in range(0, len(parts), CODED_TOGETHER):
-            found = [memo.get(p) or both.coded(p, memo) for p in parts[i : i + CODED_TOGETHER]]
+            some = parts[i : i + CODED_TOGETHER]
+            new = both.coded([p for p in some if p not in memo])
+            found = [new.get(p) or memo[p] for p in some]
+            if len(memo) + len(new) > MEMO_SEGMENTS:
+                memo.clear()
+            memo.update((p, x) for p, x in new.items() if len(p) <= MEMO_CHARACTERS)
             ids, sizes = (np.frombuffer(b"".join(f[k] for f in found), t) for k, t in ((1, np.int16), (2, np.uint8)))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(f[2]) for f in found])]), pa.int32())
             yield self._batch(
@@ -290,7 +314,7 @@ def documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", a_path:
     spark = df.sparkSession
     a_path, b_path = a_path or public_tokenizers.path(A_VOCABULARY), b_path or public_tokenizers.path(B_VOCABULARY)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = coded(df, doc_id, text, a_path, b_path).repartition(parts, "block")
+    dealt = coded(df, doc_id, text, a_path, b_path).repartition(parts * PARTITIONS, "block")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.concat_tables(list(_documents(left, right, whole)))
