@@ -562,7 +562,7 @@ FAMILIES: dict[str, tuple[dict[str, str], list[tuple[str, str, int | None, str |
 
 def _column(template: str) -> Column:
     first, *rest = template.split("@n")
-    return F.concat(F.lit(first), *(x for r in rest for x in (F.col("n"), F.lit(r))))
+    return F.concat(F.lit(first), *(x for r in rest for x in (F.col("n").cast("string"), F.lit(r))))
 
 
 def _sql(value: str | int | None) -> str:
