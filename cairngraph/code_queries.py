@@ -115,6 +115,57 @@ CODE["javascript_routes"] = (
     ],
 )
 
+_RUBY = "lib/@n.rb"
+CODE["ruby_blocks"] = (
+    {
+        _RUBY: [
+            "module Top@n",
+            "  class Box < Base",
+            "    def ready?; @ready unless @off; end",
+            "    def size = @items.size / 2",
+            "    def total(list)",
+            "      return 0 if list.empty?",
+            "      sum = if list.one? then 1 else 2 end",
+            "      while sum > 3 do sum -= 1 end",
+            "      text = <<~TEXT + %w[class No1 end].join",
+            "        class No2; def no3",
+            "        require 'no4'",
+            "      TEXT",
+            "      list.each do |x|",
+            "        puts \"def no5 #{x.map { |y| y[\"end\"] }}\" if x.end == :end",
+            "      end # end",
+            "      text =~ /class No6 end/ ? {if: 1, end: 2} : list.class",
+            "    end",
+            (EVEN, "    private def even@n(a) = a.begin", "    def odd@n(a); begin; a; end while a; end"),
+            "    class << self",
+            "      def make; new; end",
+            "    end",
+            "    LIMIT = 3",
+            "    def after; end",
+            "  end",
+            "  def self.outer; case 1 when 1 then 2 end; end",
+            "  class Late; end",
+            "end",
+            "=begin",
+            "class No7; end",
+            "=end",
+            "require_relative 'part@n'",
+            "def free; end",
+            "__END__",
+            "class No8",
+        ],
+    },
+    [
+        (_RUBY, "ruby.file", None, None, None), (_RUBY, "ruby.module", 1, "Top@n", None), (_RUBY, "ruby.class", 2, "Top@n::Box", None),
+        (_RUBY, "ruby.method", 3, "ready?", "ruby.method:Top@n%3A%3ABox:ready%3F"), (_RUBY, "ruby.method", 4, "size", "ruby.method:Top@n%3A%3ABox:size"), (_RUBY, "ruby.method", 5, "total", "ruby.method:Top@n%3A%3ABox:total"),
+        (_RUBY, "ruby.method", 18, "even@n", "ruby.method:Top@n%3A%3ABox:even@n", EVEN), (_RUBY, "ruby.method", 18, "odd@n", "ruby.method:Top@n%3A%3ABox:odd@n", "n % 2 = 1"),
+        (_RUBY, "ruby.singleton_method", 20, "make", "ruby.singleton_method:Top@n%3A%3ABox:make"), (_RUBY, "ruby.constant", 22, "LIMIT", None),
+        (_RUBY, "ruby.method", 23, "after", "ruby.method:Top@n%3A%3ABox:after"), (_RUBY, "ruby.singleton_method", 25, "outer", "ruby.singleton_method:Top@n:outer"),
+        (_RUBY, "ruby.class", 26, "Top@n::Late", None), (_RUBY, "ruby.require", 31, "part@n", "file:lib/part@n.rb"), (_RUBY, "ruby.reference", 31, "part@n", "file:lib/part@n.rb"),
+        (_RUBY, "ruby.method", 32, "free", "ruby.method:Object:free"),
+    ],
+)
+
 
 def _content(lines: list[Line]) -> Column:
     each = [_column(x) if isinstance(x, str) else F.when(F.expr(x[0]), _column(x[1])).otherwise(_column(x[2])) for x in lines]
