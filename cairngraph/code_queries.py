@@ -166,6 +166,52 @@ CODE["ruby_blocks"] = (
     ],
 )
 
+_TF, _VARS = "infra/@n.tf", "infra/@n.tfvars"
+CODE["terraform_blocks"] = (
+    {
+        _TF: [
+            "terraform {",
+            "  required_version = \">= 1.@n\"",
+            "  required_providers {",
+            "    aws = { source = \"hashicorp/aws\", version = \"~> 5.@n\" }",
+            "    tls = \"4.@n\"",
+            "  }",
+            "  backend \"s3\" { key = \"}\" }",
+            "}",
+            "# resource \"no\" \"one\" {",
+            "resource \"aws_instance\" \"box@n\" {",
+            "  user_data = <<-EOT",
+            "    resource \"no\" \"two\" {",
+            "    EOT-not-yet }}}",
+            "    EOT",
+            "  name = \"a}${ join(\"{\", [\"}\"]) }b\"",
+            "  tags = { \"{\" = \"x\", password = \"hush@n\" }",
+            "  dynamic \"rule\" {",
+            "    for_each = [for x in var.a : { y = x } if x != \"]\"]",
+            "    content { api_token = \"t@n\" }",
+            "  }",
+            "} /* } */",
+            "module \"net@n\" {",
+            (EVEN, "  source = \"./net@n\" // local", "  source = \"registry/net/@n\""),
+            "  inner { source = \"./no\" }",
+            "}",
+            "locals { a@n = 1 }",
+            (EVEN, "output \"url@n\" { value = \"http://x/${var.y}\" }", "data \"aws_ami\" \"img@n\" {"),
+        ],
+        _VARS: ["region = \"eu-@n\"", "map = {", "  no1 = 1", "}", "text = <<EOT", "no2 = 2", "EOT", "list@n = [", "  \"no3 = 3\",", "]"],
+    },
+    [
+        (_TF, "terraform.file", None, None, None), (_TF, "terraform.block", 1, "terraform", None), (_TF, "terraform.required_version", 2, None, None),
+        (_TF, "terraform.required_provider", 4, "aws", None), (_TF, "terraform.reference", 4, "hashicorp/aws", None), (_TF, "terraform.required_provider", 5, "tls", None), (_TF, "terraform.backend", 7, "s3", None),
+        (_TF, "terraform.resource", 10, "aws_instance.box@n", None), (_TF, "terraform.redaction", 16, None, None), (_TF, "terraform.redaction", 19, None, None),
+        (_TF, "terraform.module", 22, "net@n", None), (_TF, "terraform.reference", 23, "./net@n", None, EVEN), (_TF, "terraform.reference", 23, "registry/net/@n", None, "n % 2 = 1"),
+        (_TF, "terraform.block", 26, "locals", None), (_TF, "terraform.local", 26, "a@n", None),
+        (_TF, "terraform.output", 27, "url@n", None, EVEN), (_TF, "terraform.data_source", 27, "aws_ami.img@n", None, "n % 2 = 1"), (_TF, "terraform.parse_error", None, None, None, "n % 2 = 1"),
+        (_VARS, "terraform.file", None, None, None), (_VARS, "terraform.variable", 1, "region", None), (_VARS, "terraform.redaction", 1, "region", None), (_VARS, "terraform.variable", 2, "map", None), (_VARS, "terraform.redaction", 2, "map", None),
+        (_VARS, "terraform.variable", 5, "text", None), (_VARS, "terraform.redaction", 5, "text", None), (_VARS, "terraform.variable", 8, "list@n", None), (_VARS, "terraform.redaction", 8, "list@n", None),
+    ],
+)
+
 
 def _content(lines: list[Line]) -> Column:
     each = [_column(x) if isinstance(x, str) else F.when(F.expr(x[0]), _column(x[1])).otherwise(_column(x[2])) for x in lines]

@@ -16,6 +16,8 @@ from xml.etree import ElementTree
 from cairngraph.functions import keys as K
 from cairngraph.operators import yaml_lite
 from cairngraph.operators.base import Context, observation, redact_url, reference_target, secret_name, summary
+from cairngraph.operators.hcl import Block
+from cairngraph.operators.hcl import parse as parse_hcl
 
 NAME = "cairn-config"
 SAFETY = "pre-scan-no-doctype-entity-no-external-resources"
@@ -469,59 +471,52 @@ def openapi(path: str, value: dict) -> Iterator[dict]:
             yield make("reference", f"openapi-reference:{pointer(parts_)}", name=redact_url(v), reference_scope=scope, not_fetched=scope != "internal")
 
 
-_BLOCK = re.compile(r'^\s*(\w+)((?:\s+"[^"]*")*)\s*\{', re.M)
+#: Blocks of a file that are described; a diagnostic tells of more.
+MOST_BLOCKS = 256
 _HCL_KINDS = {"provider": "provider", "resource": "resource", "data": "data_source", "module": "module", "variable": "variable", "output": "output", "moved": "moved", "import": "import", "check": "check", "removed": "removed"}
 
 
-def hcl(path: str, content: str) -> Iterator[dict]:
+def hcl(path: str, content: str, most_blocks: int = MOST_BLOCKS) -> Iterator[dict]:
     """Terraform: top-level blocks with their labels; tfvars without values."""
     make = lambda kind, source, /, **kw: observation(f"terraform.{kind}", path, source, NAME, kw.pop("confidence", "heuristic"), **kw)
-    plain = re.sub(r'("(?:[^"\\]|\\.)*")|#[^\n]*|//[^\n]*|/\*.*?\*/', lambda m: m[1] or re.sub(r"[^\n]", " ", m[0]), content, flags=re.S)
+    root, balanced = parse_hcl(content)
     line = lambda at: content.count("\n", 0, at) + 1
     if path.endswith(".tfvars"):
         yield make("file", "terraform-file", confidence="extracted", file_family="tfvars")
-        for m in re.finditer(r"(?m)^\s*([A-Za-z_][\w-]*)\s*=", plain):
-            yield make("variable", f"tfvars:{m[1]}", line=line(m.start(1)), name=m[1], profile="terraform_tfvars", redacted=True)
-            yield make("redaction", f"tfvars-redaction:{m[1]}", line=line(m.start(1)), name=m[1], redaction_reason="tfvars-sensitive-by-default")
+        for a in root.attributes:
+            yield make("variable", f"tfvars:{a.name}", line=line(a.at), name=a.name, profile="terraform_tfvars", redacted=True)
+            yield make("redaction", f"tfvars-redaction:{a.name}", line=line(a.at), name=a.name, redaction_reason="tfvars-sensitive-by-default")
         return
     yield make("file", "terraform-file", confidence="extracted", file_family="tf")
-    if plain.count("{") != plain.count("}"):
+    if not balanced:
         yield make("parse_error", "terraform-parse-error", confidence="unknown", error_kind="unbalanced-braces", recovered=True)
-    depth_at = [0]
-    for c in plain:
-        depth_at.append(depth_at[-1] + (c == "{") - (c == "}"))
-    for n, m in enumerate(x for x in _BLOCK.finditer(plain) if depth_at[x.start(1)] == 0):
-        labels = re.findall(r'"([^"]*)"', m[2])
-        if n >= 256:
+    for n, b in enumerate(root.blocks):
+        if n >= most_blocks:
             yield make("parse_error", "terraform-parse-error:block-limit", confidence="unknown", error_kind="terraform-block-limit", recovered=True)
             break
-        kind = _HCL_KINDS.get(m[1])
-        yield make(kind or "block", f"terraform-{m[1]}:{'.'.join(labels) or n}", line=line(m.start(1)), name=".".join(labels) or m[1], block_type=m[1], labels=labels)
-        end = next((i for i in range(m.end(), len(plain)) if depth_at[i] and depth_at[i + 1] == 0), len(plain))
-        if m[1] == "terraform":
-            yield from _settings(make, path, plain[m.end() : end], lambda at, start=m.end(): line(start + at))
-        if m[1] == "locals":
-            for a in re.finditer(r"(?m)^\s*([A-Za-z_][\w-]*)\s*=", plain[m.end() : end]):
-                if depth_at[m.end() + a.start(1)] == 1:
-                    yield make("local", f"terraform-local:{a[1]}", line=line(m.end() + a.start(1)), name=a[1], redacted=secret_name(a[1]) or None)
-        for a in re.finditer(r'(?m)^\s*([\w-]+)\s*=\s*"([^"\n]*)"', plain[m.end() : end]):
-            at = line(m.end() + a.start(1))
-            if secret_name(a[1]):
-                yield make("redaction", f"terraform-redaction:{at}:{a[1]}", line=at, field_name=a[1], redaction_reason="secret-prone-terraform-attribute")
-            elif m[1] == "module" and a[1] == "source":
-                yield module_source(make, path, a[2], f"terraform-reference:{at}", at)
-
-
-def _settings(make, path: str, body: str, line) -> Iterator[dict]:
+        yield make(_HCL_KINDS.get(b.type) or "block", f"terraform-{b.type}:{'.'.join(b.labels) or n}", line=line(b.at), name=".".join(b.labels) or b.type, block_type=b.type, labels=b.labels)
+        if b.type == "terraform":
+            yield from _settings(make, path, b, line)
+        for a in b.attributes if b.type == "locals" else ():
+            yield make("local", f"terraform-local:{a.name}", line=line(a.at), name=a.name, redacted=secret_name(a.name) or None)
+        for a in b.strings():
+            at = line(a.at)
+            if secret_name(a.name):
+                yield make("redaction", f"terraform-redaction:{at}:{a.name}", line=at, field_name=a.name, redaction_reason="secret-prone-terraform-attribute")
+            elif b.type == "module" and a.name == "source" and a in b.attributes:
+                yield module_source(make, path, a.text, f"terraform-reference:{at}", at)
+
+
+def _settings(make, path: str, block: Block, line) -> Iterator[dict]:
     """The inside of a `terraform` block: the version asked for, providers and the backend."""
-    for a in re.finditer(r'(?m)^\s*required_version\s*=\s*"([^"\n]*)"', body):
-        yield make("required_version", "terraform-required-version", line=line(a.start(1)), version_constraint=a[1])
-    for a in re.finditer(r'(?m)^\s*backend\s+"([^"\n]*)"\s*\{', body):
-        yield make("backend", f"terraform-backend:{a[1]}", line=line(a.start(1)), name=a[1], backend_type=a[1])
-    for a in re.finditer(r"required_providers\s*\{((?:[^{}]|\{[^{}]*\})*)\}", body):
-        for p in re.finditer(r'([\w-]+)\s*=\s*(?:\{([^{}]*)\}|"([^"\n]*)")', a[1]):
-            fields = dict(re.findall(r'(\w+)\s*=\s*"([^"\n]*)"', p[2])) if p[2] is not None else {"version": p[3]}
-            yield from provider(make, path, p[1], fields, line(a.start(1) + p.start(1)))
+    if (a := block.attribute("required_version")) and a.text is not None:
+        yield make("required_version", "terraform-required-version", line=line(a.at), version_constraint=a.text)
+    for b in block.blocks:
+        if b.type == "backend" and b.labels:
+            yield make("backend", f"terraform-backend:{b.labels[0]}", line=line(b.at), name=b.labels[0], backend_type=b.labels[0])
+        for p in b.attributes if b.type == "required_providers" else ():
+            fields = {f.name: f.text for f in p.fields.values() if f.text is not None} if p.text is None else {"version": p.text}
+            yield from provider(make, path, p.name, fields, line(p.at))
 
 
 def extract(path: str, content: str, context: Context) -> Iterator[dict]:
