@@ -4,7 +4,8 @@ Rules name a host (with its subdomains) and a path prefix; the longest that fits
 url is judged by its host: labelled outcomes of pages (bad or not) are counted by host, registered
 domain and suffix, and each level's posterior mean is the prior mean of the level below, a
 beta-binomial whose strength comes from the spread between the groups of that level (method of moments). A
-host is blocked if its posterior puts at least `certain` on a rate of bad pages above `most_bad`.
+host is blocked if its posterior puts at least `certain` on a rate of bad pages above `most_bad`, which is the rate of all
+labelled pages unless it is given: what is blocked is what the outcomes tell to be worse than the corpus.
 
 The counts are sums by key; the only things gathered on the driver are four sums a level. Host
 verdicts are written to the shared folder and joined from there: broadcast only if Spark finds the
@@ -13,7 +14,8 @@ files small, otherwise a join that splits hot hosts.
 Defined cases: a null url or one without `://` has empty host and path, fits no rule and is judged by
 the overall rate; pages without labels and hosts without labelled pages take their prior; a page id
 that is null has no outcome; several labels of an id count once, bad if any is; repeated pages are
-judged alike; without any label nothing is blocked by reputation; other columns are ignored.
+judged alike; without any label nothing is blocked by reputation; urls of any length are read whole; other columns are ignored, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -64,7 +66,8 @@ SUFFIXES = (
     "blogspot.com", "github.io", "gitlab.io", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com",
 )
 
-MOST_BAD, CERTAIN = 0.5, 0.95
+#: Posterior mass above the bound from which a host is blocked: three to two. Where wrong blocks cost more, it is set higher.
+CERTAIN = 0.6
 #: Strengths of a prior lie between these, in pages.
 STRENGTHS = (1.0, 10_000.0)
 
@@ -138,8 +141,9 @@ def beta_above(a: np.ndarray, b: np.ndarray, x: float) -> np.ndarray:
     return 1 - np.clip(below, 0, 1)
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, most_bad: float = MOST_BAD, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
-    """host, n, k, a, b (the posterior), rate (its mean) and above (its mass over most_bad) of every host.
+def reputation(pages: DataFrame, outcomes: DataFrame, most_bad: float | None = None, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """host, n, k, a, b (the posterior), rate (its mean) and above (its mass over most_bad, unless given the rate of all
+    labelled pages) of every host.
 
     pages: id, host; outcomes: id, bad (boolean)."""
     spark = pages.sparkSession
@@ -164,10 +168,12 @@ def reputation(pages: DataFrame, outcomes: DataFrame, most_bad: float = MOST_BAD
         {"a": host_strength * F.col("dr") + F.col("k"), "b": host_strength * (1 - F.col("dr")) + F.col("n") - F.col("k")}
     )
 
+    bound = overall if most_bad is None else most_bad
+
     @F.pandas_udf("double")
     def above(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            yield pd.Series(beta_above(np.maximum(a.to_numpy(float), 1e-6), np.maximum(b.to_numpy(float), 1e-6), most_bad))
+            yield pd.Series(beta_above(np.maximum(a.to_numpy(float), 1e-6), np.maximum(b.to_numpy(float), 1e-6), bound) if n else np.zeros(len(a)))
 
     out = out.select("host", "domain", "suffix", "n", "k", "a", "b", (F.col("a") / (F.col("a") + F.col("b"))).alias("rate"), above("a", "b").alias("above"))
     out, _ = written(out, "reputation")
@@ -177,12 +183,12 @@ def reputation(pages: DataFrame, outcomes: DataFrame, most_bad: float = MOST_BAD
 
 def judged(
     pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES,
-    most_bad: float = MOST_BAD, certain: float = CERTAIN,
+    most_bad: float | None = None, certain: float = CERTAIN, suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """id, host, path, rule, verdict, rate and above (null where a rule decides) of every page; outcomes: id, bad."""
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"))
     rows = rows.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).na.fill("", ["host", "path"])
-    known = reputation(rows, outcomes.select(F.col("id").cast(rows.schema["id"].dataType), "bad"), most_bad).select("host", "rate", "above")
+    known = reputation(rows, outcomes.select(F.col("id").cast(rows.schema["id"].dataType), "bad"), most_bad, suffixes).select("host", "rate", "above")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = rows.join(known, "host", "left").withColumns({"rule": rule, "v": verdict})
     by_host = F.when(F.col("above") >= certain, F.lit("block")).otherwise(F.lit("allow"))

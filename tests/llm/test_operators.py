@@ -687,6 +687,25 @@ def test_reputation_without_pages_or_with_repeated_ones(spark):
     assert sorted((str(r.page_id), r.host) for r in got) == [("1", "a.org"), ("1", "a.org"), ("None", "")]
 
 
+def test_reputation_decides_on_the_tables(spark):
+    """Of the urls without a rule some are blocked, and those are the hosts whose labelled pages are worse than the corpus."""
+    sf = "/root/testdata/sf0.01"
+    outcomes = queries.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    rows = url_filter.judged(queries.table(spark, sf, "pages"), outcomes).where("rule IS NULL").collect()
+    blocked = {r.host for r in rows if r.verdict == "block"}
+    assert 0 < len(blocked) < len({r.host for r in rows}) / 2
+    bad = {r.id: r.bad for r in outcomes.collect()}
+    every = queries.table(spark, sf, "pages").select("page_id", url_filter.host_of(F.col("url")).alias("host")).collect()
+    known = [(r.host, bad[r.page_id]) for r in every if r.page_id in bad]
+    rate = lambda xs: sum(xs) / len(xs)
+    assert all(rate([b for h, b in known if h == x]) > rate([b for _, b in known]) for x in blocked)
+    assert all(r.verdict == ("block" if r.above >= url_filter.CERTAIN else "allow") for r in rows)
+    strict = url_filter.judged(queries.table(spark, sf, "pages"), outcomes, certain=0.999).where("rule IS NULL AND verdict = 'block'")
+    assert strict.count() == 0
+    own = url_filter.judged(queries.table(spark, sf, "pages"), outcomes, suffixes=("example.com", "example.org", "example.net"))
+    assert own.where("host LIKE '%.example.com'").count() > 0
+
+
 def test_beta_tail():
     n = 400_000
     rng = np.random.default_rng(0)
