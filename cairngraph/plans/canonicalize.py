@@ -6,15 +6,16 @@ strongest confidence wins (max of a rank), file metadata and edge metadata colle
 order of first sight. Repeated equal values are counted out by a partial aggregation before anything
 is collected, so a hub that a third of all rows point at sends one row per distinct value and task.
 
-Metadata of an edge is folded in the order of first sight. Values of a field that are lists are united;
-differing scalars nest to the left. Folding distinct metadata once is the same as folding every row, but for
-scalars that alternate between three values or more.
+Metadata of an edge is folded in the order of its rows. Values of a field that are lists are united, and a scalar that differs
+from what there is nests it to the left: from the first difference on every row counts, also one that says the same again. As
+long as no field differs so, folding the distinct metadata once, in order of first sight, is the same; edges where one does
+(few: what such a fold returns grows with its rows) are folded again over all their rows in order.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -99,25 +100,75 @@ def evidence_key(ordinal: Column, path: Column, start: Column, end: Column, extr
     return F.concat(F.lit("evidence:"), ordinal.cast("string"), F.lit(":"), path, F.lit(":"), line(start), F.lit("-"), line(end), F.lit(":"), extractor, F.lit(":"), source_id)
 
 
-def fold(metadata: list[str]) -> str:
+class _Field:
+    """A field of an edge's metadata while rows are folded: a scalar, or a list whose first element may be the list before
+    it, and so on; kept flat, as each level may come from one more row."""
+
+    def __init__(self, value: object) -> None:
+        self.scalar = not isinstance(value, list)
+        self.inner: list = [value] if self.scalar else list(value)
+        self.outer: list[list] = []  # of each list around the inner one, what stands behind the list that it holds
+
+    def nested(self, levels: int) -> list:
+        out = self.inner
+        for level in self.outer[:levels]:
+            out = [out, *level]
+        return out
+
+    def add(self, name: str, value: object) -> None:
+        own = self.inner[0] if self.scalar else None
+        if self.scalar and name == "privileged_observed" and isinstance(own, bool) and isinstance(value, bool):
+            self.inner = [own or value]
+        elif self.scalar:
+            if own != value:
+                self.scalar, self.inner = False, [own, value]
+        elif isinstance(value, list):
+            top = self.outer[-1] if self.outer else self.inner
+            for x in value:
+                if x not in top and not (self.outer and isinstance(x, list) and x == self.nested(len(self.outer) - 1)):
+                    top.append(x)
+        else:
+            self.outer.append([value])
+
+    def text(self) -> str:
+        if self.scalar:
+            return canonical_json(self.inner[0])
+        return "[" * len(self.outer) + canonical_json(self.inner) + "".join("".join("," + canonical_json(x) for x in level) + "]" for level in self.outer)
+
+
+def fold(metadata: Iterable[str]) -> str:
     """Merges edge metadata (canonical JSON objects) in order."""
-    out: dict = {}
+    out: dict[str, _Field] = {}
     for m in map(json.loads, metadata):
         for k, v in m.items():
-            if k not in out:
-                out[k] = v
-            elif k == "privileged_observed" and isinstance(out[k], bool) and isinstance(v, bool):
-                out[k] = out[k] or v
-            elif isinstance(out[k], list) and isinstance(v, list):
-                out[k] = out[k] + [x for i, x in enumerate(v) if x not in out[k] and x not in v[:i]]
-            elif out[k] != v:
-                out[k] = [out[k], v]
-    return canonical_json(out)
+            if k in out:
+                out[k].add(k, v)
+            else:
+                out[k] = _Field(v)
+    return "{" + ",".join(f"{canonical_json(k)}:{out[k].text()}" for k in sorted(out)) + "}"
+
+
+def is_calm(metadata: list[str]) -> bool:
+    """Whether folding the distinct metadata once is folding all rows: no field has scalars that differ, or scalars and lists."""
+    seen: dict[str, object] = {}
+    for m in map(json.loads, metadata):
+        for k, v in m.items():
+            old = seen.setdefault(k, v)
+            flags = k == "privileged_observed" and isinstance(old, bool) and isinstance(v, bool)
+            if not flags and not (isinstance(old, list) and isinstance(v, list)) and (isinstance(old, list) or isinstance(v, list) or old != v):
+                return False
+    return True
 
 
 @F.pandas_udf(T.StringType())
 def _folded(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda x: x[0] if len(x) == 1 else fold(list(x)))
+    return lists.map(lambda x: x[0] if len(x) == 1 else fold(x))
+
+
+@F.pandas_udf(T.StringType())
+def _folded_if_calm(lists: pd.Series, rows: pd.Series) -> pd.Series:
+    """Of distinct metadata in order of first sight and the number of rows; null if the rows themselves are needed."""
+    return pd.Series([x[0] if len(x) == 1 else fold(x) if n == len(x) or is_calm(x) else None for x, n in zip(lists, rows, strict=True)], dtype=object)
 
 
 def _file_fields(written: DataFrame) -> DataFrame:
@@ -167,12 +218,16 @@ def canonicalize(observations: DataFrame, keep: Callable[[DataFrame], DataFrame]
     )
 
     drawn = ev.select("ordinal", "evidence_key", rank(F.col("confidence")).alias("rank"), F.posexplode("edges").alias("sub", "e")).select("ordinal", "sub", "evidence_key", "rank", "e.*")
-    per_value = drawn.groupBy("source", "kind", "target", "metadata").agg(F.min(order).alias("at"), F.max("rank").alias("rank"))
-    per_edge = per_value.groupBy("source", "kind", "target").agg(F.array_sort(F.collect_list(F.struct("at", "metadata"))).alias("seen"), F.max("rank").alias("rank"))
+    per_value = drawn.groupBy("source", "kind", "target", "metadata").agg(F.min(order).alias("at"), F.max("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
+    per_edge = per_value.groupBy("source", "kind", "target").agg(F.array_sort(F.collect_list(F.struct("at", "metadata"))).alias("seen"), F.max("rank").alias("rank"), F.sum("n").alias("n"))
+    ends = ["source", "kind", "target"]
+    once = per_edge.select(*ends, "rank", _folded_if_calm(F.transform("seen", lambda s: s["metadata"]), F.col("n")).alias("folded"))
+    in_full = drawn.join(once.where("folded IS NULL").select(*ends), ends, "left_semi").groupBy(*ends).agg(F.array_sort(F.collect_list(F.struct(order.alias("at"), "metadata"))).alias("all"))
+    per_edge = once.join(in_full.select(*ends, _folded(F.transform("all", lambda s: s["metadata"])).alias("in_full")), ends, "left")
     id_of = edge_key_col(F.col("source"), F.col("kind"), F.col("target")).alias("edge_key")
     edges = per_edge.select(
         F.lit(KEY_VERSION).alias("graph_key_version"), id_of, F.col("source").alias("source_key"), "kind", F.col("target").alias("target_key"),
-        F.lit(EMPTY_JSON_SHA256).alias("identity_metadata_hash"), _folded(F.transform("seen", lambda s: s["metadata"])).alias("metadata"), of_rank(F.col("rank")).alias("confidence"), F.lit(False).alias("conflict"),
+        F.lit(EMPTY_JSON_SHA256).alias("identity_metadata_hash"), F.coalesce("folded", "in_full").alias("metadata"), of_rank(F.col("rank")).alias("confidence"), F.lit(False).alias("conflict"),
     )
 
     said = rows.select("ordinal", "source_id", "path", F.explode("diagnostics").alias("d")).select(

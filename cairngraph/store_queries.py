@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cairngraph import api
 from cairngraph.plans import migrations
+from cairngraph.plans.canonicalize import canonicalize
 from cairngraph.plans.store import Store
 from cairngraph.shared import exists, shared_folder
 from cairngraph.sources import observations as jsonl
@@ -263,3 +264,31 @@ def _add() -> None:
 _add()
 QUERIES["observations_round_trip"] = round_trip
 SQL["observations_round_trip"] = f"WITH {_X} SELECT row_number() OVER (ORDER BY n) - 1 AS ordinal, kind, source_id, path, confidence, 3 AS start_line, what AS name, target FROM x"
+
+
+def folded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of feed links, an observation an event: what a link is said to be differs from event to event, and the edge's metadata is
+    the fold of all of them in order."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    user, k = F.col("user_id").cast("string"), F.get_json_object("props", "$.k").cast("int")
+    kind = lambda n: F.get(F.array(F.lit("rss"), F.lit("atom"), F.lit("json")), n)
+    metadata = _json(feed_format=kind(k % 3), field=F.lit("link"), length=F.when(F.col("user_id") % 2 == 0, F.lit(5)).otherwise(k % 2), source_key=F.concat(F.lit("feed.document:file%3A"), user))
+    rows = e.select(
+        F.lit(1).cast("long").alias("run_id"), F.col("event_id").alias("ordinal"), F.lit("feed.link").alias("kind"), F.concat(user, F.lit("#"), F.col("event_id").cast("string")).alias("source_id"), user.alias("path"),
+        F.lit("extracted").alias("confidence"), F.lit("events").alias("extractor"), F.lit("1").alias("extractor_version"), F.lit(1).alias("schema_version"), F.lit(None).cast("int").alias("start_line"),
+        F.lit(None).cast("int").alias("end_line"), F.col("event_type").alias("name"), F.concat(F.lit("external.url:"), F.col("event_type")).alias("target"), metadata.alias("metadata"),
+    )
+    return canonicalize(rows).edges.where("kind = 'references'").select("source_key", "target_key", "metadata")
+
+
+QUERIES["edge_metadata_folds"] = folded_edges
+SQL["edge_metadata_folds"] = """
+WITH x AS (
+  SELECT event_id, user_id, event_type, ['"rss"', '"atom"', '"json"'][json_extract_string(props, '$.k')::INT % 3 + 1] AS feed, CASE WHEN user_id % 2 = 0 THEN '5' ELSE (json_extract_string(props, '$.k')::INT % 2)::VARCHAR END AS size FROM events
+),
+l AS (SELECT user_id, event_type, list(feed ORDER BY event_id) AS feeds, list(size ORDER BY event_id) AS sizes FROM x GROUP BY ALL)
+SELECT 'feed.document:file%3A' || user_id AS source_key, 'external.url:' || event_type AS target_key,
+  '{"feed_format":' || list_reduce(feeds, lambda a, v: CASE WHEN a = v THEN a ELSE '[' || a || ',' || v || ']' END) || ',"field":"link","length":'
+  || list_reduce(sizes, lambda a, v: CASE WHEN a = v THEN a ELSE '[' || a || ',' || v || ']' END) || '}' AS metadata
+FROM l
+"""

@@ -1,13 +1,14 @@
 """Keys, canonicalization, store and queries on small graphs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairngraph.functions import keys as K
 from cairngraph.plans import legacy, query, summary
-from cairngraph.plans.canonicalize import canonicalize, fold, to_object
+from cairngraph.plans.canonicalize import _interpreted, canonicalize, fold, is_calm, to_object
 from cairngraph.plans.store import LoadRefused, Store
 from cairngraph.sources.observations import from_rows, problems, read_jsonl, write_jsonl
 
@@ -70,6 +71,55 @@ def test_fold_is_ordered():
     assert json.loads(fold(['{"a":[1],"p":1}', '{"a":[2,1],"p":2}', '{"a":[3],"p":3}'])) == {"a": [1, 2, 3], "p": [[1, 2], 3]}
 
 
+def plain_fold(rows):
+    """Row by row, as a dictionary."""
+    out = {}
+    for m in rows:
+        for k, v in m.items():
+            if k not in out:
+                out[k] = v
+            elif k == "privileged_observed" and isinstance(out[k], bool) and isinstance(v, bool):
+                out[k] = out[k] or v
+            elif isinstance(out[k], list) and isinstance(v, list):
+                for x in v:
+                    out[k] = out[k] if x in out[k] else [*out[k], x]
+            elif out[k] != v:
+                out[k] = [out[k], v]
+    return out
+
+
+def test_fold_equals_the_plain_one():
+    rnd = random.Random(5)
+    value = lambda: rnd.choice([1, 2, "x", True, False, None, [], [1], ["x", 1], [[1, 2]], [[1, "x"], 2], {"a": 1}])
+    for _ in range(3000):
+        rows = [{k: value() for k in rnd.sample(["a", "b", "privileged_observed"], rnd.randrange(4))} for _ in range(rnd.randrange(1, 7))]
+        assert json.loads(fold(map(json.dumps, rows))) == plain_fold(rows)
+        distinct = list({json.dumps(m, sort_keys=True): m for m in rows}.values())
+        if is_calm([json.dumps(m) for m in distinct]):
+            assert plain_fold(distinct) == plain_fold(rows)
+    deep = fold(['{"a":1}', '{"a":2}'] * 50_000)  # as deep as there are rows
+    assert deep.startswith('{"a":' + "[" * 99_999 + "1,2],1],2]") and deep.count("]") == 99_999
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edges_fold_all_rows_in_order_whatever_the_partitioning(spark, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for n in range(120):
+        hub = rnd.choice(["a.xml", "b.xml", "c.xml"])
+        facts = {"feed_format": rnd.choice(["rss", "atom", "json"] if hub != "c.xml" else ["rss"]), "not_fetched": rnd.choice([True, False] if hub == "a.xml" else [True]), "rel": rnd.choice([None, "self"])}
+        rows.append(obs("feed.link", hub, n, target="external.url:http%3A%2F%2Fx%2F" + str(rnd.randrange(3)), source_key="feed.document:file%3A" + hub, field="link", **{k: v for k, v in facts.items() if v is not None}))
+    plain = canonicalize(from_rows(spark, rows).coalesce(1))
+    want: dict = {}
+    interpreted = [(r.ordinal, e) for r in _interpreted(from_rows(spark, rows)).collect() for e in r.edges]
+    for _, e in sorted(interpreted, key=lambda x: x[0]):
+        want.setdefault((e.source, e.kind, e.target), []).append(json.loads(e.metadata))
+    assert want and any(len({json.dumps(m) for m in ms}) > 2 for ms in want.values())
+    for graph_ in (plain, canonicalize(from_rows(spark, rows).repartition(9))):
+        got = {(r.source_key, r.kind, r.target_key): json.loads(r.metadata) for r in graph_.edges.collect()}
+        assert got == {k: plain_fold(ms) for k, ms in want.items()}
+
+
 def test_partitioning_does_not_change_the_graph(spark):
     rows = [obs("shell.command", f"{i % 3}.sh", i, ["heuristic", "manual"][i % 2], command=f"t{i % 4}", argv=[str(i % 5)]) for i in range(40)]
     df = from_rows(spark, rows)
