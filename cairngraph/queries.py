@@ -484,3 +484,17 @@ def html_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     page = F.regexp_extract("path", r"(\d+)\.html$", 1).cast("long")
     o = _extracted(_pages(spark, d), html.extract).withColumns({"ordinal": page * 10_000_000 + F.col("seq"), "run_id": F.lit(1).cast("long")})
     return canonicalize.canonicalize(o).edges.select("edge_key", "source_key", "kind", "target_key", "confidence")
+
+
+@registered(
+    "WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, 'd/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS path, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents),"
+    " s AS (SELECT (sum(bytes) // 3)::BIGINT AS budget FROM o), f AS (SELECT 0::BIGINT AS i, budget AS room, NULL::VARCHAR AS path, 0::BIGINT AS bytes FROM s UNION ALL"
+    " SELECT o.i, CASE WHEN o.bytes <= f.room THEN f.room - o.bytes ELSE f.room END, CASE WHEN o.bytes <= f.room THEN o.path END, o.bytes FROM f JOIN o ON o.i = f.i + 1)"
+    " SELECT path, bytes FROM f WHERE path IS NOT NULL"
+)
+def bulk_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files, of which a third fits the budget: what the plan accepts, in order, passing over what does not fit any more."""
+    t = G._t(spark, d, "documents").select(F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    budget = t.agg(F.floor(F.sum(F.length("content")) / 3).alias("n")).first().n or 1
+    s = ingest.Source("corpus", "local.directory", "allowed", max_files=1 << 40, max_total_bytes=budget, max_file_bytes=1 << 40)
+    return ingest.plan(t, s).included.select("path", "bytes")

@@ -14,7 +14,7 @@ import tomllib
 import urllib.request
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from cairngraph.functions import keys as K
 from cairngraph.operators.base import OBSERVATIONS, observation, redact_url, secret_name
 from cairngraph.sources import numbering, repository
+from cairngraph.sources.numbering import bounds_of, range_in
 
 # Policies, corpora, folders and routes.
 ALLOWED = ("allowed", "allowed_with_limits")
@@ -123,8 +124,8 @@ def judged(files: DataFrame, s: Source) -> DataFrame:
     return files.withColumns({"route": r, "bytes": F.length("content").cast("long"), "reason": reason})
 
 
-#: Files that a plan looks at together.
-PLAN_PAGE = 10_000
+#: Files that are folded on the driver at a time, and ranges that more are parted into.
+PLAN_PAGE, PLAN_RANGES = 10_000, 64
 
 
 @dataclass(frozen=True)
@@ -138,40 +139,95 @@ class Plan:
     total_bytes: int
 
 
-def plan(files: DataFrame, s: Source) -> Plan:
-    """Accepts files in the order of their paths while the budget lasts: one that is too large for what is left is
-    passed over and a later one may fit.
+class Budget:
+    """Acceptance of files in the order of their paths while bytes and number last: one that is too large for what is left is passed
+    over, and a later one may fit.
+
+    Files are parted into ranges of paths, of which number, bytes and least size are told by size class (powers of two) in one
+    aggregation. A range all of whose files fit is accepted as a whole, one without a file that could is passed over as a whole, and
+    only a range in which the budget breaks is looked at: parted again, or folded if it has at most PLAN_PAGE files that may
+    fit. So the driver holds the sums of PLAN_RANGES ranges a level and one page; what it accepts is intervals of paths and
+    the files of the pages."""
+
+    def __init__(self, max_bytes: int, max_files: int) -> None:
+        self.bytes, self.files = max_bytes, max_files
+        self.whole: list[tuple[str, str | None, int]] = []  # from, to (exclusive), files up to this size
+        self.single: list[str] = []
+
+    def fold(self, rows: Iterable[Row]) -> None:
+        for r in rows:
+            if self.files and r.bytes <= self.bytes:
+                self.single.append(r.path)
+                self.bytes -= r.bytes
+                self.files -= 1
+
+    def walk(self, rows: DataFrame, begin: str = "", end: str | None = None) -> None:
+        """rows: path and bytes of the files from begin to end (exclusive)."""
+        if not self.files:
+            return
+        may = rows.where(F.col("bytes") <= self.bytes)
+        page = may.orderBy("path").limit(PLAN_PAGE + 1).collect()
+        if len(page) <= PLAN_PAGE:
+            return self.fold(page)
+        bounds = bounds_of(may, "path", PLAN_RANGES)
+        if not bounds:  # many files of one path: no range parts them
+            return self.fold(may.toLocalIterator())
+        # The class of a size: the number of its bits, so that class c has sizes below 2^c.
+        bits = F.when(F.col("bytes") > 0, F.length(F.conv(F.col("bytes").cast("string"), 10, 2))).otherwise(0)
+        sums = may.groupBy(range_in(bounds, "path").alias("range"), bits.alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("bytes").alias("least"), F.max("bytes").alias("most"))
+        of: dict[int, list[Row]] = {}
+        for r in sums.collect():  # a row a range and size class
+            of.setdefault(r.range, []).append(r)
+        edges = [begin, *bounds]
+        for k in sorted(of):
+            first, last = edges[k], bounds[k] if k < len(bounds) else end
+            fits = [r for r in of[k] if r.most <= self.bytes]
+            unsure = [r for r in of[k] if r.least <= self.bytes < r.most]
+            number, size = sum(r.n for r in fits), sum(r.bytes for r in fits)
+            if not self.files or not (fits or unsure):
+                continue
+            if not unsure and number <= self.files and size <= self.bytes:
+                self._accept(first, last, self.bytes)
+                self.bytes -= size
+                self.files -= number
+            else:
+                inside = (F.col("path") >= first) & (F.lit(True) if last is None else F.col("path") < last)
+                self.walk(may.where(inside), first, last)
+
+    def _accept(self, first: str, last: str | None, most: int) -> None:
+        self.whole.append((first, last, most))
+
+    def accepts(self) -> Column:
+        """Whether a file lies in an interval that was accepted as a whole."""
+        if not self.whole:
+            return F.lit(False)
+        known = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).cast("string").alias("b"), F.lit(m).cast("long").alias("m")) for a, b, m in self.whole))
+        return F.exists(known, lambda x: (F.col("path") >= x["a"]) & (x["b"].isNull() | (F.col("path") < x["b"])) & (F.col("bytes") <= x["m"]))
+
 
-    This fold is sequential by nature. It runs on the driver over pages of PLAN_PAGE paths and sizes, of such files only as
-    may still fit what is left, and ends with the budget: the driver holds a page and at most max_files rows. Why files
-    are left out is told by their size and place, as a set."""
+def plan(files: DataFrame, s: Source) -> Plan:
+    """Accepts files in the order of their paths while the budget lasts (see Budget). The run's id is a digest of all that was
+    accepted, taken row by row in order. Why files are left out is told by their size and place."""
     seen = judged(files, s).withColumn("sha256", F.sha2("content", 256))
-    fitting = seen.where("reason IS NULL").select("path", "bytes", "route")
-    taken: list[Row] = []
-    total, after = 0, ""
-    while len(taken) < s.max_files:
-        left = s.max_total_bytes - total
-        # The next files that may fit: a page of rows, so that what is folded is bounded, whatever follows.
-        page = fitting.where((F.col("path") > after) & (F.col("bytes") <= left)).orderBy("path").limit(PLAN_PAGE).collect()
-        for r in page:
-            if total + r.bytes <= s.max_total_bytes and len(taken) < s.max_files:
-                taken.append(r)
-                total += r.bytes
-        if len(page) < PLAN_PAGE:
-            break
-        after = page[-1].path
-    chosen = files.sparkSession.createDataFrame([(r.path,) for r in taken], "path string")
-    included = seen.where("reason IS NULL").join(chosen, "path", "left_semi")
-    hashes = {r.path: r.sha256 for r in included.select("path", "sha256").collect()}  # max_files rows at most
-    body = {"source": {k: v for k, v in s.__dict__.items() if k != "extra"}, "inventory": [[r.path, r.route, r.bytes, hashes[r.path]] for r in taken]}
-    run = "bulk-" + hashlib.sha256(K.canonical_json(body).encode()).hexdigest()[:24]
+    budget = Budget(s.max_total_bytes, s.max_files)
+    budget.walk(seen.where("reason IS NULL").select("path", "bytes"))
+    single = files.sparkSession.createDataFrame([(p, True) for p in budget.single], "path string, single boolean")
+    told = seen.join(single, "path", "left").withColumn("accepted", F.col("reason").isNull() & (budget.accepts() | F.coalesce("single", F.lit(False)))).drop("single")
+    included = told.where("accepted").drop("accepted", "reason")
+    digest = hashlib.sha256(b'{"inventory":[')
+    last, total, routes = "", 0, Counter()
+    for n, r in enumerate(included.select("path", "route", "bytes", "sha256").orderBy("path").toLocalIterator()):
+        digest.update((("," if n else "") + K.canonical_json([r.path, r.route, r.bytes, r.sha256])).encode())
+        last, total = r.path, total + r.bytes
+        routes[r.route] += 1
+    digest.update(f'],"source":{K.canonical_json({k: v for k, v in s.__dict__.items() if k != "extra"})}}}'.encode())
+    run = "bulk-" + digest.hexdigest()[:24]
     # A file is passed over for the number of files if it came after the last one that was taken and would have fitted.
-    last = taken[-1].path if taken else ""
-    full = (F.lit(len(taken) >= s.max_files) & (F.col("path") > last) & (F.col("bytes") <= s.max_total_bytes - total))
+    full = F.lit(routes.total() >= s.max_files) & (F.col("path") > last) & (F.col("bytes") <= s.max_total_bytes - total)
     late = F.when(full, F.lit("max_files_exceeded")).otherwise(F.lit("max_total_bytes_exceeded"))
-    left_out = seen.join(chosen, "path", "left_anti").withColumn("reason", F.coalesce("reason", late)).select("path", "route", "bytes", "reason")
+    left_out = told.where(~F.col("accepted")).withColumn("reason", F.coalesce("reason", late)).select("path", "route", "bytes", "reason")
     reasons = {r.reason: r.n for r in left_out.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Plan(run, hashlib.sha256(f"{s.source_id}:{run}".encode()).hexdigest()[:24], included, left_out, dict(Counter(r.route for r in taken)), reasons, total)
+    return Plan(run, hashlib.sha256(f"{s.source_id}:{run}".encode()).hexdigest()[:24], included, left_out, dict(routes), reasons, total)
 
 
 def annotated(observations: DataFrame, **fields: Column) -> DataFrame:

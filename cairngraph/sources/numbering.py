@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 RANGES, DRAWN = 256, 4096
 
 
-def _range_of(groups: DataFrame, group: str) -> Column:
-    """The range of a group's name. Its bounds come from the DRAWN groups of the least hash, so they are the same whenever
-    they are asked for, lost tasks included."""
+def bounds_of(groups: DataFrame, group: str, ranges: int) -> list[str]:
+    """Names that part the groups into ranges of about one size. They come from the DRAWN groups of the least hash, so they are the
+    same whenever they are asked for, lost tasks included."""
     few = groups.select(group, F.xxhash64(group).alias("h")).distinct().orderBy("h", group).limit(DRAWN).collect()
-    names = sorted(r[group] for r in few)
-    bounds = F.array(*(F.lit(x) for x in names[DRAWN // RANGES :: DRAWN // RANGES])).cast("array<string>")
-    return F.size(F.filter(bounds, lambda x: x <= F.col(group)))
+    each = max(1, min(DRAWN, len(few)) // ranges)
+    return sorted(r[group] for r in few)[each::each]
+
+
+def range_in(bounds: list[str], name: str) -> Column:
+    """The number of the range that a name lies in."""
+    known = F.array(*(F.lit(x) for x in bounds)).cast("array<string>")
+    return F.size(F.filter(known, lambda x: x <= F.col(name)))
+
+
+def _range_of(groups: DataFrame, group: str) -> Column:
+    return range_in(bounds_of(groups, group, RANGES), group)
 
 
 def numbered_by(rows: DataFrame, group: str, *order: str, groups: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +227,8 @@ def test_feeds_are_kept_and_plans_come_in_pages(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "PLAN_PAGE", 3)
     paged = ingest.plan(files, source)
     assert paged.run_id == whole.run_id and paged.reasons == whole.reasons
+    monkeypatch.setattr(ingest, "PLAN_RANGES", 4)
+    assert ingest.plan(files, source).run_id == whole.run_id
     few = ingest.plan(files, ingest.Source("c", "local.directory", "allowed", max_total_bytes=1000, max_files=7))
     assert len(few.included.collect()) == 7 and few.reasons == {"max_files_exceeded": 33}
 
@@ -263,3 +266,27 @@ def test_new_commands(spark, tmp_path, capsys):
         assert len(json.loads(call(name, **arguments)["result"]["content"][0]["text"])["rows"]) >= 1, name
     assert call("graph_status")["error"]["code"] == -32602 and call("files", odd=1)["error"]["code"] == -32602
     assert all(t["inputSchema"]["properties"] is not None for t in rpc.tools(registry))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_budget_accepts_what_the_plain_fold_does(spark, monkeypatch, seed):
+    rnd = random.Random(seed)
+    monkeypatch.setattr(ingest, "PLAN_PAGE", 5)
+    monkeypatch.setattr(ingest, "PLAN_RANGES", 6)
+    sizes = {f"{rnd.randrange(10**6):06d}": rnd.choice([0, 1, 3, 40, 500, rnd.randrange(100)]) for _ in range(260)}
+    rows = spark.createDataFrame(list(sizes.items()), "path string, bytes bigint")
+    for most, files in ((sum(sizes.values()) // 3, 10**6), (10**6, 70), (300, 40), (0, 10**6), (sum(sizes.values()), 10**6)):
+        left, number, want = most, files, []
+        for path in sorted(sizes):
+            if number and sizes[path] <= left:
+                want.append(path)
+                left -= sizes[path]
+                number -= 1
+        folded = []
+        b = ingest.Budget(most, files)
+        plain = b.fold
+        monkeypatch.setattr(b, "fold", lambda page, plain=plain, folded=folded: plain(folded.append(len(page)) or page))
+        b.walk(rows)
+        got = sorted([r.path for r in rows.where(b.accepts()).collect()] + b.single)
+        assert got == want and (b.bytes, b.files) == (left, number)
+        assert max(folded, default=0) <= 5 and (most < sum(sizes.values()) or files < 260 or not folded)  # a page at most; none if all fit
