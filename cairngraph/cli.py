@@ -22,7 +22,7 @@ from cairngraph.plans import legacy, migrations, ops
 from cairngraph.plans.canonicalize import canonicalize, severity_counts
 from cairngraph.plans.store import LoadRefused, Store
 from cairngraph.schemas import SCHEMA_VERSION
-from cairngraph.sources import ingest, remote, repository
+from cairngraph.sources import ingest, mailbox, remote, repository
 from cairngraph.sources.observations import read_jsonl, write_jsonl
 
 
@@ -52,6 +52,7 @@ def parser() -> argparse.ArgumentParser:
     add("bulk-import", "import a local corpus", "config", "root", store="store")
     add("import-warc", "import WARC archives", "config", "root", store="store")
     add("import-archive", "import a saved page or report", "config", "root", store="store", kind="saved-page, report or export")
+    add("import-mail", "load mailboxes of any size", "root", store="store", name="repository name")
     add("ingest-feed", "fetch a feed, keep it and load it", "config", "folder", store="store", acquired_at="time of acquisition (ISO; now unless given)")
     for n in ("api", "github"):
         add(f"{n}-plan", f"the requests that a {n} source would make", "config")
@@ -133,6 +134,9 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
         at = a.acquired_at or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         done = Store(spark, a.store).load_canonical(ingest.ingest_feed(spark, s, a.folder, at), s.source_id, a.folder)
         show([{"run_id": done.run_id, "status": done.status}], a.json)
+    elif a.command == "import-mail":
+        done = Store(spark, a.store).load_canonical(mailbox.loadable(spark, a.root), a.name or "mail", a.root)
+        show([{"run_id": done.run_id, "status": done.status}], a.json)
     elif a.command in ("bulk-plan", "bulk-import", "import-warc", "import-archive"):
         with open(a.config, encoding="utf-8") as f:
             s = ingest.read_source(f.read())

@@ -86,6 +86,11 @@ def message(path: str, raw: bytes, fmt: str, ordinal: int | None = None) -> Iter
         yield make("parse_error", f"email-parse-error{tag}:defect:{i}", confidence="unknown", error_kind=f"malformed-{type(d).__name__}", recovered=True)
 
 
+def unescaped(body: bytes) -> bytes:
+    """A message of a mailbox without the mark before its lines that look like separators."""
+    return re.sub(rb"(?m)^>(>*From )", rb"\1", body)
+
+
 def mbox(path: str, content: bytes) -> Iterator[dict]:
     make = lambda kind, source, /, **kw: observation(f"email.{kind}", path, source, NAME, kw.pop("confidence", "extracted"), format="mbox", parser=PARSER, **kw)
     starts = [m.end() for m in re.finditer(rb"(?m)^From [^\n]*\n", content)]
@@ -101,7 +106,7 @@ def mbox(path: str, content: bytes) -> Iterator[dict]:
     yield make("mailbox", "email-mailbox", name="email mailbox", target=K.within("email.mailbox", path), mailbox_message_count=n, mailbox_message_count_limited=len(starts) > MOST_MESSAGES, mailbox_byte_count=len(content),
                mailbox_parse_status=status, mailbox_limit_reason=reason, mailbox_digest=hashlib.sha256(content).hexdigest(), identity_strength="file_key")
     for i in range(n):
-        yield from message(path, re.sub(rb"(?m)^>(>*From )", rb"\1", content[starts[i] : heads[i + 1] if i + 1 < len(heads) else len(content)]), "mbox", i + 1)
+        yield from message(path, unescaped(content[starts[i] : heads[i + 1] if i + 1 < len(heads) else len(content)]), "mbox", i + 1)
 
 
 def extract(path: str, content: bytes, context: Context) -> Iterator[dict]:

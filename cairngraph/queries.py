@@ -12,7 +12,8 @@ from cairngraph.functions import columns as C
 from cairngraph.functions import keys as K
 from cairngraph.operators import base, documents, html
 from cairngraph.plans import canonicalize, legacy, provenance, query, store, summary
-from cairngraph.sources import ingest, observations, repository
+from cairngraph.shared import shared_folder
+from cairngraph.sources import ingest, mailbox, observations, repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -498,3 +499,21 @@ def bulk_budget(spark: SparkSession, d: str) -> DataFrame:
     budget = t.agg(F.floor(F.sum(F.length("content")) / 3).alias("n")).first().n or 1
     s = ingest.Source("corpus", "local.directory", "allowed", max_files=1 << 40, max_total_bytes=budget, max_file_bytes=1 << 40)
     return ingest.plan(t, s).included.select("path", "bytes")
+
+
+@registered(
+    "SELECT doc_id, sha256('<' || doc_id || '@x>') AS message_id_hash, sha256('s' || doc_id) AS subject_hash, sha256('a' || doc_id % 7 || '@x.org') AS address_hash,"
+    " (strlen(text) + 1)::BIGINT AS part_byte_count FROM documents WHERE strlen(coalesce(text, '')) > 0"
+)
+def mailbox_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as messages of mailboxes, written as text and read by ranges: a row a message with what is told of it."""
+    t = G._t(spark, d, "documents").where("length(text) > 0")
+    who, at = F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("string")
+    head = F.concat(F.lit("From a@b\nMessage-ID: <"), who, F.lit("@x>\nFrom: A"), at, F.lit("@X.org\nSubject: s"), who, F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"))
+    path = shared_folder(spark, "mail")
+    t.select(F.concat(head, F.regexp_replace("text", r"(?m)^(>*From )", ">$1"))).write.text(path)
+    o = mailbox.observations(spark, path)
+    said = lambda kind, *names: o.where(F.col("kind") == kind).select("path", "message", *(F.get_json_object("metadata", f"$.{n}").alias(n) for n in names))
+    whole = said("email.message", "message_id_hash", "subject_hash").join(said("email.address", "address_hash"), ["path", "message"]).join(said("email.part", "part_byte_count"), ["path", "message"])
+    ids = t.select("doc_id", F.sha2(F.concat(F.lit("<"), who, F.lit("@x>")), 256).alias("message_id_hash"))
+    return whole.join(ids, "message_id_hash").select("doc_id", "message_id_hash", "subject_hash", "address_hash", F.col("part_byte_count").cast("long").alias("part_byte_count"))

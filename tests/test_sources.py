@@ -4,6 +4,7 @@ import gzip
 import io
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from cairngraph import api, cli, rpc
 from cairngraph.plans import ops, provenance
 from cairngraph.plans.canonicalize import canonicalize
 from cairngraph.plans.store import Store
-from cairngraph.sources import ingest, numbering, remote, repository
+from cairngraph.functions import keys as K
+from cairngraph.operators import mail
+from cairngraph.sources import ingest, mailbox, numbering, remote, repository
 from cairngraph.streaming.ingest import load_stream, observation_stream
 
 TOML = '[source]\nsource_id = "s"\nsource_type = "local.directory"\npolicy_status = "allowed_with_limits"\ncorpus_kind = "mixed_corpus"\n[limits]\nmax_files = 3\nmax_total_bytes = 60\nmax_file_bytes = 40\nmax_depth = 3\n[exclude]\npaths = ["no"]\n'
@@ -290,3 +293,44 @@ def test_a_budget_accepts_what_the_plain_fold_does(spark, monkeypatch, seed):
         got = sorted([r.path for r in rows.where(b.accepts()).collect()] + b.single)
         assert got == want and (b.bytes, b.files) == (left, number)
         assert max(folded, default=0) <= 5 and (most < sum(sizes.values()) or files < 260 or not folded)  # a page at most; none if all fit
+
+
+@pytest.mark.parametrize("size", [17, 64, 1000, 1 << 27])
+def test_a_mailbox_is_read_alike_at_any_size_of_its_ranges(spark, tmp_path, size):
+    rnd = random.Random(3)
+    texts = []
+    for i in range(40):
+        body = "\n".join(rnd.choice(["", "text é", ">From quoted", "x" * 90, "From: a", "\r"]) for _ in range(rnd.randrange(8)))
+        texts.append(f"From a@b {i}\nMessage-ID: <{i}@x>\nFrom: A <a{i}@x.org>\nSubject: s{i}\n\n{body}\n".encode() + (b"\xff\xfe\n" if i % 7 == 0 else b""))
+    (tmp_path / "boxes").mkdir()
+    boxes = {"a.mbox": b"".join(texts), "b.mbox": b"no separator\n" + texts[3] + b"From last", "c.mbox": b"".join(texts[:1500])}
+    for name, content in boxes.items():
+        (tmp_path / "boxes" / name).write_bytes(content)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = sorted((r.path, r.message, r.seq, r.kind, r.source_id, r.target, r.metadata) for r in mailbox.observations(spark, str(tmp_path / "boxes")).collect())
+        big = mailbox.observations(spark, str(tmp_path / "boxes"), most_bytes=150)
+        assert {r.kind for r in big.where("message = 40").collect()} <= {"email.parse_error", "email.message", "email.address", "email.part"} and big.where("kind = 'email.parse_error' AND source_id LIKE '%size'").count() > 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = []
+    for name, content in boxes.items():
+        content = content if content.endswith(b"\n") else content + b"\n"
+        heads = [m.start() for m in re.finditer(rb"(?m)^From ", content)]
+        for n, (a, b) in enumerate(zip(heads, [*heads[1:], len(content)], strict=True), 1):
+            raw = mail.unescaped(content[content.index(b"\n", a) + 1 : b])
+            want += [(name, n, k, o["kind"], o["source_id"], o["target"], K.canonical_json(o["metadata"])) for k, o in enumerate(mail.message(name, raw, "mbox", n))]
+    assert got == sorted(want) and len(want) > 200
+
+
+def test_mailboxes_are_loaded(spark, tmp_path, capsys):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.mbox").write_bytes(b"From x\nMessage-ID: <1@x>\nFrom: a@x.org\n\nhi\nFrom y\nMessage-ID: <2@x>\n\nyo\n")
+    assert cli.main(["import-mail", str(tmp_path / "m"), "--store", str(tmp_path / "s"), "--name", "mail", "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out)[0]["status"] == "complete"
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.current("canonical_nodes").where("kind = 'email.message'").count() == 2
+    assert [r.ordinal for r in store.rows("raw_observations").orderBy("ordinal").collect()][0] == 0
