@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cairngraph.functions import keys as K
 from cairngraph.operators import config, css, documents, feed, html, javascript, mail, markdown, nix, python_code, ruby, shell
 from cairngraph.operators.base import OBSERVATIONS, VERSION, Context, extracted
+from cairngraph.shared import shared_folder
 from cairngraph.sources import numbering
 
 # Folders, extensions and names that decide how a file is classified.
@@ -208,12 +209,18 @@ def discover(spark: SparkSession, root: str, profile: Profile | None = None, run
 
 
 def observe(classified: DataFrame, run_id: int = 1, context: Context | None = None) -> DataFrame:
-    """Observations of classified files, with ordinals by path and place in the file."""
+    """Observations of classified files, with ordinals by path and place in the file.
+
+    What the extractors tell is written to the shared folder once: numbering looks at it twice, and would run them again each time.
+    Without a context they run twice, as what exists of the names that a file asks for is known only when all have asked."""
+    spark = classified.sparkSession
     if context is None:
         facts = extracted(_with_known(classified), lambda path, content, known: _choose(path, content, _context(known)), "known")
     else:
         facts = extracted(classified, lambda path, content: _choose(path, content, context))
-    rows = file_observations(classified).unionByName(facts)
+    at = shared_folder(spark, "facts")
+    facts.write.parquet(at)
+    rows = file_observations(classified).unionByName(spark.read.schema(facts.schema).parquet(at))
     names = [f.split()[0] for f in OBSERVATIONS.split(",")]
     return numbering.numbered_by(rows, "path", "seq", groups=classified).select(F.lit(run_id).cast("long").alias("run_id"), "ordinal", *names)
 

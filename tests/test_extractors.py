@@ -217,3 +217,20 @@ def test_targets_resolve_alike_at_every_size(spark, monkeypatch):
     targets = {(r.path, r.kind, r.target) for r in got.collect()}
     assert any("b.ts" in t[2] for t in targets if t[:2] == ("src/a.ts", "js.import"))
     assert want != sorted(map(str, repository.observe(classified, context=Context()).collect()))
+
+
+def test_a_file_is_read_by_its_extractor_once_a_pass(spark, monkeypatch):
+    """However often the result is looked at. (What files ask for one another is found in a pass of its own, which is not counted here.)"""
+    files = {f"d/{i}.md": f"# T{i}\n[x]({(i + 1) % 9}.md)\n" for i in range(9)}
+    rows = spark.createDataFrame([(p, c.encode(), False) for p, c in files.items()], "path string, content binary, executable boolean")
+    read, real = spark.sparkContext.accumulator(0), repository._choose
+
+    def counted(path, content, context):
+        read.add(1)
+        return real(path, content, context)
+
+    monkeypatch.setattr(repository, "_choose", counted)
+    found = repository.observe(repository.classify(rows), context=Context(frozenset(files)))
+    assert found.count() == found.select("ordinal").distinct().count() > 9 and read.value == 9
+    found = repository.observe(repository.classify(rows))
+    assert found.where("kind = 'markdown.link'").count() == 9 and found.count() and read.value == 9 + 9
