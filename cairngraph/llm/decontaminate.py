@@ -9,7 +9,7 @@ The items must fit the automaton: `MAX_PATTERN_WORDS` words of patterns an autom
 bound (about 340 bytes a word in each Python worker). Larger item sets are dealt into blocks, equal texts once and long ones in pieces: one automaton and one scan of
 all rows a block, with the marks so far written to the shared folder in between, so that no task ever holds more than one block.
 
-Defined cases: a null text has no words and is clean; a null or wordless item gives no pattern; a null item_id counts
+Defined cases: a null text has no words and is clean; texts of any length are read whole; a null or wordless item gives no pattern; a null item_id counts
 as an item named by the empty string; items are told apart by id, and equal ones under several ids all count; repeated
 doc_ids stay separate rows; other columns are ignored; no items: every text is clean; a kept column that is called like
 an output comes back as `<name>_kept`; an empty table gives an empty result.

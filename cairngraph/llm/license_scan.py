@@ -6,7 +6,7 @@ holds the license where the automaton reaches its end, which needs every mandato
 The words that every match begins with are its anchor: only places where they stand are tried.
 
 Defined cases: a null text is an empty one; a text without a match has no labels and score 0; rows
-are judged alone, so null or repeated ids and equal texts need no care; other columns are ignored; a kept column that is called like an
+are judged alone, so null or repeated ids and equal texts need no care; texts of any length are read whole; other columns are ignored; a kept column that is called like an
 output comes back as `<name>_kept`; an empty table gives an empty result.
 """
 
@@ -54,33 +54,87 @@ _BSD = (
     " in the disclaimer below)<<end>> provided that the following conditions are met: <<var;max=1>> Redistributions of source code must retain the"
     " above copyright notice, this list of conditions and the following disclaimer. <<var;max=1>> Redistributions in binary form must reproduce"
     " the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with"
-    " the distribution. <<optional>><<var;max=1>> All advertising materials mentioning features or use of this software must display the following"
-    " acknowledgement: This product includes software developed by <<var;max=20>><<end>> <<optional>><<var;max=1>> Neither the name of"
-    " <<var;max=20>> nor the names of <<var;max=4>> contributors may be used to endorse or promote products derived from this software without specific"
-    " prior written permission.<<end>> <<optional>>NO EXPRESS OR IMPLIED LICENSES TO ANY PARTY'S PATENT RIGHTS ARE GRANTED BY THIS LICENSE.<<end>>"
+    " the distribution."
+)
+_BSD_ADVERTISING = (
+    " <<var;max=1>> All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by <<var;max=20>>"
+)
+_BSD_NAMES = (
+    " <<var;max=1>> Neither the name of <<var;max=20>> nor the names of <<var;max=4>> contributors may be used to endorse or promote products derived from this software without specific"
+    " prior written permission."
+)
+_BSD_DISCLAIMER = (
+    " <<optional>>NO EXPRESS OR IMPLIED LICENSES TO ANY PARTY'S PATENT RIGHTS ARE GRANTED BY THIS LICENSE.<<end>>"
     " THIS SOFTWARE IS PROVIDED BY <<var;max=20>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED"
     " WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;max=20>> BE LIABLE FOR ANY DIRECT,"
     " INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;"
     " LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,"
     " OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
 )
+_ZLIB = (
+    "This software is provided <<optional>>'as-is'<<end>>, without any express or implied warranty. In no event will the authors be held liable for any damages arising from"
+    " the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely,"
+    " subject to the following restrictions: <<var;max=1>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use"
+    " this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<var;max=1>> Altered source versions must be plainly marked as"
+    " such, and must not be misrepresented as being the original software. <<var;max=1>> This notice may not be removed or altered from any source distribution"
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the"
+    " \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the"
+    " Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction"
+    " and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works"
+    " are solely in the form of machine-executable object code generated by a source language processor"
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source"
+    " code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"
+)
+_MPL = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<var;max=6>>"
+)
+_EPL = (
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License <<optional>>v<<end>> <<optional>>v.<<end>> 2.0 which <<optional>>accompanies this"
+    " distribution, and<<end>> is available at"
+)
 _GPL = (
-    "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free"
+    "redistribute it and/or modify it under the terms of the GNU FAMILY General Public License as published by the Free"
     " Software Foundation<<optional>>; either<<end>> version VERSION <<optional>>of the License<<end>><<optional>>, or (at your option) any later version<<end>>."
     " <<var;max=8>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY"
-    " or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General"
+    " or FITNESS FOR A PARTICULAR PURPOSE. See the GNU FAMILY General Public License for more details. You should have received a copy of the GNU FAMILY General"
     " Public License along with <<var;max=8>> <<optional>>if not, see <<var;max=8>><<end>> <<optional>>if not, write to the Free Software"
     " Foundation, Inc., <<var;max=16>><<end>>"
 )
 
-#: Markup of well-known licenses and notices: mit-text, isc-text and bsd-text are whole licenses with all their conditions and
-#: disclaimers, gpl the notice that the FSF asks for; `licensed under` lines are short notices, complete as they stand.
+
+
+def _gpl(family: str, version: str) -> str:
+    return _GPL.replace("FAMILY", family).replace("VERSION", version)
+
+
+#: Terms of the Creative Commons licenses, and their names.
+_CREATIVE_COMMONS = {
+    "cc-by-4.0": "Attribution", "cc-by-sa-4.0": "Attribution-ShareAlike", "cc-by-nd-4.0": "Attribution-NoDerivatives", "cc-by-nc-4.0": "Attribution-NonCommercial",
+    "cc-by-nc-sa-4.0": "Attribution-NonCommercial-ShareAlike", "cc-by-nc-nd-4.0": "Attribution-NonCommercial-NoDerivatives",
+}
+
+#: Markup of well-known licenses and notices: mit-text, isc-text, bsd-N-clause and zlib are whole licenses with all their conditions and
+#: disclaimers (boost and unlicense their grants), gpl, lgpl, agpl, mpl and epl the notices that their stewards ask for; `licensed under`
+#: lines are short notices, complete as they stand.
 TEMPLATES = (
     ("mit-text", _MIT.replace("NONINFRINGEMENT", "NON-INFRINGEMENT")),
     ("mit-text", _MIT),
     ("isc-text", _ISC.replace("DISCLAIMS", "DISCLAIM")),
     ("isc-text", _ISC),
-    ("bsd-text", _BSD),
+    ("bsd-2-clause", _BSD + _BSD_DISCLAIMER),
+    ("bsd-3-clause", _BSD + _BSD_NAMES + _BSD_DISCLAIMER),
+    ("bsd-4-clause", _BSD + _BSD_ADVERTISING + _BSD_NAMES + _BSD_DISCLAIMER),
+    ("zlib", _ZLIB),
+    ("boost-1.0", _BOOST),
+    ("boost-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("unlicense", _UNLICENSE),
+    ("mpl-2.0", _MPL),
+    ("epl-2.0", _EPL),
+    ("cc0-1.0", "<<optional>>licensed<<end>> <<optional>>released<<end>> <<optional>>dedicated<<end>> under <<optional>>the<<end>> CC0 1.0 Universal"),
     (
         "apache-2.0",
         "Licensed under the Apache License, Version 2.0 <<optional>>(the \"License\"); you may not use <<var;max=4>> except in compliance with"
@@ -88,12 +142,16 @@ TEMPLATES = (
         " software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or"
         " implied. See the License for the specific language governing permissions and limitations under the License<<end>><<end>>",
     ),
-    ("gpl-3.0", _GPL.replace("VERSION", "3")),
-    ("gpl-2.0", _GPL.replace("VERSION", "2")),
+    ("gpl-3.0", _gpl("", "3")),
+    ("gpl-2.0", _gpl("", "2")),
+    ("lgpl-3.0", _gpl("Lesser", "3")),
+    ("lgpl-2.1", _gpl("Lesser", "2.1")),
+    ("agpl-3.0", _gpl("Affero", "3")),
     ("gpl-3.0", "licensed under the <<optional>>terms of the<<end>> GNU General Public License, <<optional>>as published by the Free Software Foundation,<<end>> <<optional>>either<<end>> version 3"),
     ("gpl-2.0", "licensed under the <<optional>>terms of the<<end>> GNU General Public License, <<optional>>as published by the Free Software Foundation,<<end>> <<optional>>either<<end>> version 2"),
     ("cc-by-nc-4.0", "licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY-NC 4.0"),
     ("cc-by-4.0", "licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY 4.0"),
+    *((label, f"licensed under <<optional>>a<<end>> <<optional>>the<<end>> Creative Commons {name} 4.0 International <<optional>>Public<<end>> License") for label, name in _CREATIVE_COMMONS.items()),
     ("mit-notice", "<<optional>>licensed<<end>> <<optional>>released<<end>> under the MIT license"),
 )
 

@@ -126,12 +126,26 @@ def test_licenses_are_matched_to_their_last_word():
     for label, changes in {
         "mit-text": [("shall be included", "may be included"), ("IN NO EVENT", "IN ANY EVENT"), ("OTHER DEALINGS IN", "")],
         "isc-text": [("DISCLAIMS ALL", "GIVES ALL"), ("TORTIOUS", ""), ("OR PERFORMANCE", "")],
-        "bsd-text": [("must retain", "need not retain"), ("ARE DISCLAIMED", "ARE GIVEN"), ("POSSIBILITY OF", ""), ("binary form must", "binary form may")],
+        "bsd-2-clause": [("must retain", "need not retain"), ("ARE DISCLAIMED", "ARE GIVEN"), ("POSSIBILITY OF", ""), ("binary form must", "binary form may")],
+        "bsd-3-clause": [("may be used to endorse", "are to be used to endorse"), ("Neither the", "The"), ("SHALL", "MAY")],
+        "bsd-4-clause": [("must display", "may display"), ("All advertising", "Some advertising"), ("prior written", "")],
+        "zlib": [("must not be misrepresented as", "may be misrepresented as"), ("not required", "required"), ("may not be removed", "may be removed")],
+        "boost-1.0": [("Version 1.0", "Version 0.9")], "unlicense": [("public domain", "market"), ("and by any means", "by some means")],
+        "mpl-2.0": [("v. 2.0", "v. 1.1"), ("was not distributed", "was distributed")], "epl-2.0": [("2.0 which", "1.0 which")],
+        "lgpl-3.0": [("WITHOUT ANY", "WITH A")], "lgpl-2.1": [("version 2.1", "version 2.2")], "agpl-3.0": [("Affero", "Other")],
+        "cc-by-nc-sa-4.0": [("ShareAlike", "KeepAlike"), ("4.0", "5.0")], "cc-by-4.0": [("Attribution", "Contribution")],
     }.items():
         assert labels("x " + plain[label] + " y") == {label}
         assert all(old in plain[label] and labels(plain[label].replace(old, new)) == set() for old, new in changes)
-    two = re.sub(r"<i>.*?</i>", "", plain["bsd-text"].replace("the All advertising", "<i>").replace("NO EXPRESS", "</i>NO EXPRESS"))
-    assert labels(two) == {"bsd-text"}
+    # Each of the clauses tells the license; without the grant's end there is none.
+    whole = plain["bsd-4-clause"]
+    no_advertising = re.sub(r"the All advertising.*?developed by the", "", whole)
+    assert labels(no_advertising) == {"bsd-3-clause"} and labels(re.sub(r"the Neither.*?written permission.", "", no_advertising)) == {"bsd-2-clause"}
+    assert labels(re.sub(r"the Neither.*?written permission.", "", whole)) == set()  # an advertising clause alone is none of the three
+    assert labels("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.") == {"cc-by-sa-4.0"}
+    long = "word " * 200_000 + plain["bsd-3-clause"] + " word" * 50_000
+    (m,) = license_scan.scan(long.encode())["matches"]
+    assert m[:2] == ("bsd-3-clause", 200_000)
     assert labels(GPL_NOTICE) == {"gpl-3.0"} and labels(GPL_NOTICE.replace(", either", "; either").replace("version 3", "version 2")) == {"gpl-2.0"}
     assert labels(GPL_NOTICE.replace("WITHOUT ANY", "WITH A")) == set() and labels(GPL_NOTICE.replace("received a copy", "bought a copy")) == set()
     assert labels("licensed under the GNU General Public License, version 3.") == {"gpl-3.0"}
