@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.functions.keys import canonical_json
 from cairngraph.operators.base import redact_url, secret_name
-from cairngraph.plans import legacy, ops, provenance, query, summary
+from cairngraph.plans import legacy, manifests, ops, provenance, query, summary
 from cairngraph.plans.store import Store
 
 Operation = Callable[[Store, Mapping], DataFrame]
@@ -96,6 +96,8 @@ _OPERATIONS: dict[str, Operation] = {
     "status": lambda s, a: summary.by_root(s).orderBy("root_path"),
     "project-summary": lambda s, a: summary.by_root(s).orderBy("root_path"),
     "runs": lambda s, a: s.latest_runs(),
+    "manifest-ledger": lambda s, a: query.equal(manifests.ledger(s), kind=a.get("kind"), state=a.get("state")).orderBy("kind", "root_path", "source_run_id"),
+    "manifest-summary": lambda s, a: manifests.summary(s),
     "diagnostics": lambda s, a: query.equal(s.rows("diagnostics"), severity=a.get("severity")).orderBy("run_id", "ordinal"),
 }
 OPERATIONS: dict[str, Operation] = {n: _scoped(f) for n, f in _OPERATIONS.items()}
@@ -119,7 +121,7 @@ ARGUMENTS: dict[str, dict[str, dict]] = {
     "canonical-neighborhood": {"node": _TEXT} | _NEAR, "explain-canonical-edge": _EDGE, "host-mutators": {"category": _TEXT, "tool": _TEXT}, "host-mutators-summary": {"category": _TEXT, "tool": _TEXT},
     "canonical-host-mutators": {"category": _TEXT, "tool": _TEXT}, "ingested-sources": {"source_type": _TEXT, "policy_status": _TEXT, "limit": _NUMBER}, "source-summary": {"source_id": _TEXT},
     "source-runs": _SOURCE, "source-feed-items": _SOURCE | {"source_run_id": _TEXT}, "explain-source-feed-item": {"item": _TEXT}, "source-references": _SOURCE | {"target_kind": _TEXT},
-    "search-nodes": _PAGE, "search-observations": _PAGE, "search-files": _PAGE, "diagnostics": {"severity": _TEXT}, "graph-status": {"graph_id": _TEXT}, "refresh-status": {"graph_id": _TEXT},
+    "search-nodes": _PAGE, "search-observations": _PAGE, "search-files": _PAGE, "diagnostics": {"severity": _TEXT}, "manifest-ledger": {"kind": _TEXT, "state": _TEXT}, "graph-status": {"graph_id": _TEXT}, "refresh-status": {"graph_id": _TEXT},
 }
 REQUIRED: dict[str, tuple[str, ...]] = {
     "neighborhood": ("node",), "file-neighborhood": ("path",), "canonical-neighborhood": ("node",), "explain-canonical-edge": ("source", "kind", "target"), "source-summary": ("source_id",),

@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from cairngraph import api, rpc
 from cairngraph.functions.keys import KEY_VERSION
 from cairngraph.operators.base import VERSION
-from cairngraph.plans import legacy, migrations, ops
+from cairngraph.plans import legacy, manifests, migrations, ops
 from cairngraph.plans.canonicalize import canonicalize, severity_counts
 from cairngraph.plans.store import LoadRefused, Store
 from cairngraph.schemas import SCHEMA_VERSION
@@ -126,6 +126,7 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
             if a.manifest:
                 with open(a.manifest, "w", encoding="utf-8") as f:
                     json.dump(made, f, sort_keys=True)
+            manifests.publish(Store(spark, a.store), "api", a.folder, made)
             done = Store(spark, a.store).load_canonical(o, r.source_id, a.folder)
             show([{"run_id": done.run_id, "status": done.status, "api_run_id": made["api_run_id"], "responses": len(made["responses"])}], a.json)
     elif a.command == "ingest-feed":
@@ -148,7 +149,8 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
             elif a.command == "import-archive":
                 o = ingest.archive_observations(spark, a.root, s, a.kind or "saved-page")[1]
             else:
-                o = ingest.bulk_observations(spark, a.root, s)[1]
+                planned, o = ingest.bulk_observations(spark, a.root, s)
+                manifests.publish(Store(spark, a.store), "bulk", a.root, ingest.manifest(s, planned))
             done = Store(spark, a.store).load_canonical(o, s.source_id, a.root)
             show([{"run_id": done.run_id, "status": done.status}], a.json)
     elif a.command == "ops":

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph import api
-from cairngraph.plans import migrations
+from cairngraph.plans import manifests, migrations
 from cairngraph.plans.canonicalize import canonicalize
 from cairngraph.plans.store import Store
 from cairngraph.shared import exists, shared_folder
@@ -113,6 +113,30 @@ def migrated(spark: SparkSession, sf_dir: str) -> Store:
     return _stores[at]
 
 
+def with_manifests(spark: SparkSession, sf_dir: str) -> Store:
+    """A store of suppliers as files, a source run a nation. Nations that 5 divides have no manifest, nation 1 has two, and one
+    manifest is of a run that was never loaded."""
+    at = (spark.sparkContext.applicationId, f"{sf_dir} manifests")
+    if at not in _stores or not exists(spark, _stores[at].base):
+        store, t = Store(spark, shared_folder(spark, "manifests")), spark.read.parquet(f"{sf_dir}/supplier.parquet")
+        path, run = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".md")), F.concat(F.lit("bulk-"), F.col("s_nationkey").cast("string"))
+        rows = t.select(
+            F.lit(1).cast("long").alias("run_id"), F.col("s_suppkey").cast("long").alias("ordinal"), F.lit("file").alias("kind"), path.alias("source_id"), path.alias("path"), F.lit("extracted").alias("confidence"), F.lit("t").alias("extractor"),
+            F.lit("1").alias("extractor_version"), F.lit(1).alias("schema_version"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), path.alias("name"), F.lit(None).cast("string").alias("target"), _json(bulk_run_id=run).alias("metadata"),
+        )
+        store.load_canonical(rows, "suppliers", "/s")
+        for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").collect():
+            n = r.n_nationkey
+            said = {"source_id": f"source-{n % 3}", "bulk_run_id": f"bulk-{n}", "extractor_counts": {"markdown": n, "html": 1}, "diagnostic_counts": {"unsupported_extension": 2}, "total_bytes_included": 10 * n, "limit_hit": n % 2 == 0}
+            for _ in range(n == 1):
+                manifests.publish(store, "bulk", "/s", said)
+            if n % 5:
+                manifests.publish(store, "bulk", "/s", said)
+        manifests.publish(store, "bulk", "/s", {"source_id": "source-x", "bulk_run_id": "bulk-never", "extractor_counts": {"css": 7}, "total_bytes_included": 5, "limit_hit": True})
+        _stores[at] = store
+    return _stores[at]
+
+
 _X = (
     "x AS (SELECT event_id AS n, event_id AS ordinal, CASE event_id % 3 WHEN 2 THEN '/b' ELSE '/a' END AS root_path, (event_id % 3 + 1)::BIGINT AS run_id, event_id % 7 AS sort, user_id AS u, event_type AS what,"
     " 'user/' || user_id || '.sh' AS path, 'user/' || user_id || '.sh#' || event_id AS source_id, json_extract_string(props, '$.k')::INT AS k, ts,"
@@ -266,6 +290,23 @@ QUERIES["observations_round_trip"] = round_trip
 SQL["observations_round_trip"] = f"WITH {_X} SELECT row_number() OVER (ORDER BY n) - 1 AS ordinal, kind, source_id, path, confidence, 3 AS start_line, what AS name, target FROM x"
 
 
+_LEDGER = (
+    "WITH n AS (SELECT n_nationkey AS k, n_nationkey % 5 > 0 AS planned, count(s_suppkey) AS c FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL),"
+    " l AS (SELECT 'bulk-' || k AS source_run_id, CASE WHEN NOT planned THEN 'run_only' WHEN c = 0 THEN 'manifest_only' ELSE 'complete' END AS state, CASE WHEN c > 0 THEN c END AS observations, CASE WHEN planned THEN 'source-' || k % 3 END AS source_id,"
+    " CASE WHEN planned THEN k + 1 END AS included_files, CASE WHEN planned THEN 2 END AS skipped_files, CASE WHEN planned THEN 10 * k END AS total_bytes, CASE WHEN planned THEN k % 2 = 0 END AS limit_hit FROM n WHERE planned OR c > 0"
+    " UNION ALL SELECT 'bulk-never', 'manifest_only', NULL, 'source-x', 7, 0, 5, true)"
+)
+QUERIES["manifest_ledger"] = lambda spark, sf_dir: api.OPERATIONS["manifest-ledger"](with_manifests(spark, sf_dir), {"kind": "bulk"}).select(
+    "source_run_id", "state", "observations", "source_id", "included_files", "skipped_files", "total_bytes", "limit_hit"
+)
+SQL["manifest_ledger"] = f"{_LEDGER} SELECT source_run_id, state, observations::BIGINT AS observations, source_id, included_files::BIGINT AS included_files, skipped_files::BIGINT AS skipped_files, total_bytes::BIGINT AS total_bytes, limit_hit FROM l"
+QUERIES["manifest_summary"] = lambda spark, sf_dir: api.OPERATIONS["manifest-summary"](with_manifests(spark, sf_dir), {})
+SQL["manifest_summary"] = (
+    f"{_LEDGER} SELECT count(*) AS source_runs, count(DISTINCT source_id) AS sources, count(*) FILTER (state = 'complete') AS complete, count(*) FILTER (state = 'manifest_only') AS manifest_only, count(*) FILTER (state = 'run_only') AS run_only,"
+    " coalesce(sum(observations), 0)::BIGINT AS observations, sum(included_files)::BIGINT AS included_files, sum(skipped_files)::BIGINT AS skipped_files, sum(total_bytes)::BIGINT AS total_bytes, count(*) FILTER (limit_hit) AS limit_hits FROM l"
+)
+
+
 def folded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of feed links, an observation an event: what a link is said to be differs from event to event, and the edge's metadata is
     the fold of all of them in order."""

@@ -7,7 +7,7 @@ import shutil
 import pytest
 
 from cairngraph import cli
-from cairngraph.plans import migrations
+from cairngraph.plans import manifests, migrations
 from cairngraph.plans.snapshots import ranges, within
 from cairngraph.plans.store import KEYS, Store
 from cairngraph.sources.observations import from_rows
@@ -177,3 +177,24 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)[0]["expired"] == [1]
     assert cli.main(["migrate", "--store", store.base, "--json"], spark) == 0 and json.loads(capsys.readouterr().out) == []
     assert cli.main(["migrate", "--store", store.base, "--steps", str(tmp_path)], spark) == 2
+
+
+def test_manifests_and_runs_in_one_answer(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert manifests.ledger(store).count() == 0 and manifests.summary(store).first().source_runs == 0
+    one = {"source_id": "s", "bulk_run_id": "bulk-1", "extractor_counts": {"css": 2, "html": 1}, "diagnostic_counts": {}, "total_bytes_included": 9, "limit_hit": False}
+    assert manifests.publish(store, "bulk", "/r", one) == manifests.publish(store, "bulk", "/r", dict(reversed(one.items())))  # the same, told again
+    manifests.publish(store, "bulk", "/other", one)
+    manifests.publish(store, "api", "/r", {"source_id": "a", "api_run_id": "api-1", "total_bytes": 4})
+    (tmp_path / "_manifests" / "half.json.part").write_text("{")  # a publisher that died
+    store.load(from_rows(spark, [obs("file", "x.md", bulk_run_id="bulk-1"), obs("file", "y.md", bulk_run_id="bulk-2"), obs("file", "z.md")]), "r", "/r")
+    got = {(r.kind, r.root_path, r.source_run_id): (r.state, r.observations, r.included_files) for r in manifests.ledger(store).collect()}
+    assert got == {
+        ("bulk", "/r", "bulk-1"): ("complete", 1, 3), ("bulk", "/other", "bulk-1"): ("manifest_only", None, 3), ("bulk", "/r", "bulk-2"): ("run_only", 1, None), ("api", "/r", "api-1"): ("manifest_only", None, 0),
+    }
+    manifests.publish(store, "bulk", "/r", one | {"total_bytes_included": 12})  # a later plan of the same run counts once
+    r = manifests.summary(store.at("/r")).first()
+    assert (r.source_runs, r.complete, r.manifest_only, r.run_only, r.total_bytes) == (3, 1, 1, 1, 16)
+    for bad in (("feed", one), ("bulk", {"source_id": "s"})):
+        with pytest.raises(ValueError):
+            manifests.publish(store, bad[0], "/r", bad[1])
