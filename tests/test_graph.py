@@ -10,6 +10,7 @@ from cairngraph.functions import keys as K
 from cairngraph.plans import legacy, query, summary
 from cairngraph.plans.canonicalize import _interpreted, canonicalize, fold, is_calm, to_object
 from cairngraph.plans.store import LoadRefused, Store
+from cairngraph.sources import observations
 from cairngraph.sources.observations import from_rows, problems, read_jsonl, write_jsonl
 
 
@@ -187,6 +188,28 @@ def test_json_lines_round_trip_and_report_bad_lines(spark, tmp_path):
         read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
+def test_json_lines_of_one_file_are_read_by_ranges(spark, tmp_path):
+    many = [json.dumps(obs("file", f"p{i}")) + "\n" * (1 + i % 3) for i in range(50)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_bytes("".join(many).replace("\n", "\r\n").encode())
+    (tmp_path / "in" / "b.jsonl").write_text("\n" + "".join(many)[:-2])
+    (tmp_path / "in" / "c.jsonl").write_text("\n \n")
+    old = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for n in old:
+            spark.conf.set(n, "500")
+        assert observations.lines(spark, str(tmp_path / "in" / "a.jsonl")).rdd.getNumPartitions() > 5
+        back = sorted((r.ordinal, r.path) for r in read_jsonl(spark, str(tmp_path / "in")).collect())
+        assert back == [(i, f"p{i % 50}") for i in range(100)]
+        text = "".join(many) + "bad\n" + "".join(many) + "[]"
+        (tmp_path / "bad.jsonl").write_text(text)
+        bad = [(i, line) for i, line in enumerate(text.split("\n"), 1) if line in ("bad", "[]")]
+        assert sorted(r.line for r in problems(spark, str(tmp_path / "bad.jsonl")).collect()) == [i for i, _ in bad]
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
 @pytest.mark.parametrize("name", sorted(summary.SUMMARIES))
 def test_summaries_are_one_row(spark, name):
     g = from_rows(spark, [obs("python.flask_route", "a.py"), obs("ruby.file", "a.rb", target="ruby.file:file%3Aa.rb", profile="rake"), obs("js.test_expectation", "a.js", expectation_count=3), obs("openapi.operation", "o.json", method="get"), obs("terraform.file", "x.auto.tfvars", file_family="tfvars")])
