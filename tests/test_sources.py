@@ -334,3 +334,13 @@ def test_mailboxes_are_loaded(spark, tmp_path, capsys):
     store = Store(spark, str(tmp_path / "s"))
     assert store.current("canonical_nodes").where("kind = 'email.message'").count() == 2
     assert [r.ordinal for r in store.rows("raw_observations").orderBy("ordinal").collect()][0] == 0
+
+
+def test_all_feed_items_are_told_of(spark):
+    n = 60  # more than the 50 that are shown unless more are asked for
+    rows = spark.range(n).withColumns({"canonical_key": F.concat(F.lit("feed.item:f:"), F.col("id").cast("string")), "ordinal": F.col("id")})
+    nodes = rows.select("canonical_key", F.lit("feed.item").alias("kind"), F.lit("t").alias("display_name"), F.lit("{}").alias("metadata"))
+    edges = rows.where("false").select(F.lit("references").alias("kind"), F.col("canonical_key").alias("source_key"), F.col("canonical_key").alias("target_key"))
+    observed = rows.select("ordinal", F.lit("s").alias("source_id_configured"), F.lit("r").alias("source_run_id"), F.lit("x").alias("source_acquired_at"))
+    tell = lambda **a: provenance.feed_items(nodes, edges, observed, rows.select("ordinal", "canonical_key"), **a).count()
+    assert tell() == 50 and tell(limit=None) == n
