@@ -4,7 +4,9 @@ import io
 import json
 import zipfile
 
-from cairngraph.operators import config, css, documents, feed, html, javascript, mail, markdown, nix, python_code, ruby, shell
+import pyarrow as pa
+
+from cairngraph.operators import base, config, css, documents, feed, html, javascript, mail, markdown, nix, python_code, ruby, shell
 from cairngraph.operators.base import Context
 from cairngraph.plans.canonicalize import canonicalize
 from cairngraph.plans.rules import interpret
@@ -234,3 +236,22 @@ def test_a_file_is_read_by_its_extractor_once_a_pass(spark, monkeypatch):
     assert found.count() == found.select("ordinal").distinct().count() > 9 and read.value == 9
     found = repository.observe(repository.classify(rows))
     assert found.where("kind = 'markdown.link'").count() == 9 and found.count() and read.value == 9 + 9
+
+
+def test_observations_are_handed_on_in_bounded_batches():
+    class Files:  # what a task is given, without a session
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    blank = dict.fromkeys((f.split()[0] for f in base.OBSERVATIONS.split(",")), None)
+    many = lambda path, content: (blank | {"path": path, "metadata": {}} for _ in range(int(content)))
+    run = base.extracted(Files(), many)
+    files = [("a", b"5000"), ("b", b"0"), ("c", b"3"), *((f"d{i}", b"50") for i in range(100))]
+    batch = pa.RecordBatch.from_arrays([pa.array([p for p, _ in files]), pa.array([c for _, c in files])], ["path", "content"])
+    out = list(run(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= base.AT_ONCE
+    got = [(p, s) for b in out for p, s in zip(b.column(b.schema.get_field_index("path")).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+    assert got == [(p, s) for p, c in files for s in range(int(c))]
