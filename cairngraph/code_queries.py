@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairngraph.extractor_queries import _column, _sql
+from cairngraph.extractor_queries import _column, _sql, suppliers
 from cairngraph.sources import repository
 
 Line = str | tuple[str, str, str]
@@ -241,7 +241,7 @@ def _told(facts: list[tuple]) -> set[str]:
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     files, facts = CODE[name]
-    return lambda spark, sf_dir: observed(spark.read.parquet(f"{sf_dir}/supplier.parquet"), files, _told(facts))
+    return lambda spark, sf_dir: observed(suppliers(spark, sf_dir), files, _told(facts))
 
 
 def _expected(name: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph.sources import repository
-from cairngraph.shared import shared_folder
+from cairngraph.shared import shared_folder, spread
 
 #: family: (content by path, expected (path, kind, first line, name, target))
 FAMILIES: dict[str, tuple[dict[str, str], list[tuple[str, str, int | None, str | None, str | None]]]] = {
@@ -571,6 +571,11 @@ def _sql(value: str | int | None) -> str:
     return " || n || ".join("'" + part.replace("'", "''") + "'" for part in value.split("@n"))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers over all tasks: they come from one small file, and extractors work in Python on all that is made of them."""
+    return spread(spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+
+
 def _files(suppliers: DataFrame, files: dict[str, str]) -> DataFrame:
     each = F.array(*(F.struct(_column(p).alias("path"), _column(c).alias("content")) for p, c in files.items()))
     return suppliers.select(F.col("s_suppkey").cast("string").alias("n")).select(F.explode(each).alias("f")).select("f.path", F.encode("f.content", "UTF-8").alias("content"), F.lit(False).alias("executable"))
@@ -583,7 +588,7 @@ def observed(suppliers: DataFrame, files: dict[str, str]) -> DataFrame:
 
 
 def _query(files: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: observed(spark.read.parquet(f"{sf_dir}/supplier.parquet"), files)
+    return lambda spark, sf_dir: observed(suppliers(spark, sf_dir), files)
 
 
 def _expected(rows: list[tuple]) -> str:
@@ -609,7 +614,7 @@ _MATCHES = [
 
 
 def selector_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = repository.observe(repository.classify(_files(spark.read.parquet(f"{sf_dir}/supplier.parquet"), _PAGES)))
+    rows = repository.observe(repository.classify(_files(suppliers(spark, sf_dir), _PAGES)))
     path = shared_folder(spark, "observations")
     rows.write.parquet(path)  # matching looks at them several times
     found = repository.with_selector_matches(spark.read.schema(rows.schema).parquet(path))

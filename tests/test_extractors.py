@@ -255,3 +255,20 @@ def test_observations_are_handed_on_in_bounded_batches():
     assert max(b.num_rows for b in out) <= base.AT_ONCE
     got = [(p, s) for b in out for p, s in zip(b.column(b.schema.get_field_index("path")).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
     assert got == [(p, s) for p, c in files for s in range(int(c))]
+
+
+def test_extractors_of_one_small_file_work_with_all_tasks(spark, tiny):
+    from cairngraph import code_queries, extractor_queries
+
+    rows = extractor_queries.suppliers(spark, tiny)
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    used = []
+    for module in (extractor_queries, code_queries):
+        plain = module.suppliers
+        module.suppliers = lambda *a, plain=plain: used.append(1) or plain(*a)
+        try:
+            name = next(n for n in module.QUERIES if n in ("extract_shell", "code_ruby_blocks"))
+            assert module.QUERIES[name](spark, tiny).count() > 0
+        finally:
+            module.suppliers = plain
+    assert len(used) == 2
