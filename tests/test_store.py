@@ -203,3 +203,21 @@ def test_manifests_and_runs_in_one_answer(spark, tmp_path):
 def test_a_load_works_in_all_tasks(spark, tiny):
     rows = observations(spark, tiny)  # one file
     assert rows.where("part = 1").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_rows_of_a_run_are_never_brought_to_one_task(spark, tiny):
+    from cairngraph import store_queries
+    from cairngraph.plans import migrations
+
+    new, old = store_queries.stored(spark, tiny), Store(spark, store_queries.shared_folder(spark, "old"))
+    new.rows("evidence").drop("stable_key", "seq").write.partitionBy("root_path", "run_id").parquet(f"{old.base}/evidence")
+    step = next(s for s in migrations.discover() if "evidence" in s.adds)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (migrations._to_fill(old, "evidence", step), new.rows("evidence")):
+            plan = rows._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert migrations._to_fill(old, "evidence", step).count() == new.rows("evidence").count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
