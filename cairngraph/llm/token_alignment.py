@@ -45,11 +45,11 @@ B_IDS = 1 << 15
 #: Pairs up to which their counts are broadcast (16 bytes each).
 BROADCAST_PAIRS = 1 << 20
 #: Characters of text that make a block; segments that are handed on together.
-BLOCK_BYTES, CODED_TOGETHER = 6 << 20, 1 << 13
+BLOCK_BYTES, CODED_TOGETHER = 12 << 20, 1 << 13
 #: Partitions of the exchange for each of the session's: a task sorts a block or two at a time.
 PARTITIONS = 4
-#: Segments that a process remembers, and the longest of them.
-MEMO_SEGMENTS, MEMO_CHARACTERS = 150_000, 32
+#: Stands for an id where no token of a kind starts.
+NO_ID = (1 << 16) - 1
 #: A's special token: its string in a text is plain text.
 SPECIAL = b"<|endoftext|>"
 #: What stands before an id: first of a segment, first of B in a group, first of a group, any other.
@@ -69,6 +69,25 @@ def segments(text: str) -> list[str]:
     return _CUT.split(text) if _RARE.search(text) else _PLAIN.findall(text)
 
 
+def keys(text: str) -> list[str]:
+    """The segments of a blank and the text, the blank before a word left out: what segment_of makes of each is the segment."""
+    if not _RARE.search(" " + text):
+        return text.replace("\n", " \n").split(" ")
+    return [s if s[0] == "\n" or " " in s[1:] or "\n" in s[1:] else s[1:] for s in segments(text)]
+
+
+def segment_of(key: str) -> str:
+    return key if key.startswith((" ", "\n")) else " " + key
+
+
+class Numbered(dict[str, int]):
+    """Numbers keys as they are asked for first."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Pair:
     """Both tokenizers and the bytes of their entries. A's file is a byte-level one: its ids are the ranks of its merges, so a
     quicker reader of ranks gives the same ids."""
@@ -84,49 +103,68 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         piece = self.b.id_to_piece
         b_bytes = {i: bytes([int(piece(i)[1:-1], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())}
-        if max(b_bytes) >= B_IDS or (max(ranks.values()) + 1) * B_IDS > 1 << 31 or max(map(len, (*ranks, *b_bytes.values()))) > 255:
+        if max(b_bytes) >= B_IDS or max(ranks.values()) >= NO_ID or (max(ranks.values()) + 1) * B_IDS > 1 << 31 or max(map(len, (*ranks, *b_bytes.values()))) > 255:
             raise ValueError("pairs of ids must fit 31 bits, and sizes 8")
         self.a = reader.encode_ordinary
         self.a_bytes, self.b_bytes = {i: t for t, i in ranks.items()}, b_bytes
         self.a_sizes, self.b_sizes = (np.array([len(x.get(i, b"")) for i in range(max(x) + 1)], np.uint8) for x in (self.a_bytes, self.b_bytes))
         self.blank = self.b.piece_to_id("▁")
 
-    def coded(self, parts: list[str]) -> dict[str, tuple[int, bytes, bytes]]:
-        """Of each segment: how many tokens of A it has, the ids of A's and then B's (16 bits each) and their sizes; no ids if the
-        bytes are not the segment's. The tokenizer B adds a blank of its own: it takes the place of the segment's, or is dropped
-        before a line feed, with which no entry joins it."""
-        if not parts:
-            return {}
-        a = [self.a(p) for p in parts]
+    def coded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many places each segment has, their tokens): at place k the k-th tokens of A and B as one number, from its lowest
+        bit A's id, B's id (16 bits each), A's size and B's (8 bits each), sizes of 0 where one has no such token. A segment has no
+        places if the bytes of its tokens are not the segment's. The tokenizer B adds a blank of its own: it takes the place of
+        the segment's, or is dropped before a line feed, with which no entry joins it."""
+        raw = [p.encode() for p in parts]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
         b = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
         b = [(x or [self.blank]) if p[0] == " " else x[1:] for p, x in zip(parts, b, strict=True)]
-        bad = self._unlike(parts, a, b)
-        for i in bad:
-            a[i], b[i] = [], []
-        n_a = np.array([len(x) for x in a])
-        n = n_a + np.array([len(x) for x in b])
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(zip(a, b, strict=True))), np.uint16, n.sum())
-        of_b = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) >= np.repeat(n_a, n)
-        ids, sizes = flat.tobytes(), np.where(of_b, self.b_sizes[flat % len(self.b_sizes)], self.a_sizes[flat % len(self.a_sizes)]).astype(np.uint8).tobytes()
-        ends = np.cumsum(n).tolist()
-        return {p: (k, ids[2 * i : 2 * j], sizes[i:j]) for p, k, i, j in zip(parts, n_a.tolist(), [0, *ends], ends, strict=False)}
-
-    def _unlike(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> list[int]:
-        """Places of the segments whose bytes one of the tokenizers does not give again: all are compared at once, and one by one
-        only if that tells a difference."""
-        raw = [p.encode() for p in parts]
-        whole, length = b"".join(raw), [len(x) for x in raw]
-        for ids, entry in ((a, self.a_bytes), (b, self.b_bytes)):
-            joined = [b"".join([entry[t] for t in x]) for x in ids]
-            if b"".join(joined) != whole or [len(x) for x in joined] != length:
-                return [i for i, (p, x, y) in enumerate(zip(raw, a, b, strict=True)) if b"".join([self.a_bytes[t] for t in x]) != p or b"".join([self.b_bytes[t] for t in y]) != p]
-        return []
-
-
-@cache
-def known_segments(a_path: str, b_path: str) -> dict[str, tuple[int, bytes, bytes]]:
-    """The segments that a process remembers."""
-    return {}
+        sides = [(*self._together(parts, raw, length), self.a_bytes, self.a_sizes), (*_flat(b), self.b_bytes, self.b_sizes)]
+        good = np.logical_and(*(_same(raw, length, *side) for side in sides))
+        n = np.where(good, np.maximum(sides[0][1], sides[1][1]), 0)
+        first = np.cumsum(n) - n
+        tokens = np.zeros(n.sum(), np.int64)
+        for (ids, held, _, sizes), low, high in zip(sides, (0, 16), (32, 40), strict=True):
+            own = np.repeat(good, held)
+            at = (np.arange(len(ids)) + np.repeat(first - (np.cumsum(held) - held), held))[own]
+            tokens[at] |= (ids[own] << low) | (sizes[ids[own]].astype(np.int64) << high)
+        return n, tokens
+
+    def _together(self, parts: list[str], raw: list[bytes], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all segments, and how many each has. As A cuts before the blank or line feed of a segment unless white space
+        stands before it, all segments that do not end with white space are read as one text."""
+        apart = [p[-1].isspace() for p in parts]
+        if not any(apart):
+            ids = np.array(self.a("".join(parts)), np.int64)
+            ends, of_parts = np.cumsum(self.a_sizes[ids], dtype=np.int64), np.cumsum(length)
+            last = np.searchsorted(ends, of_parts)
+            if len(ends) and ends[-1] == of_parts[-1] and (ends[last] == of_parts).all():
+                return ids, np.diff(last, prepend=-1)
+        elif not all(apart):
+            which = np.array(apart)
+            found: list[list[int]] = [[]] * len(parts)
+            for some in (np.flatnonzero(~which), np.flatnonzero(which)):
+                ids, n = self._together([parts[i] for i in some], [raw[i] for i in some], length[some])
+                for i, x in zip(some.tolist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                    found[i] = x.tolist()
+            return _flat(found)
+        return _flat([self.a(p) for p in parts])
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, n.sum()), n
+
+
+def _same(raw: list[bytes], length: np.ndarray, ids: np.ndarray, n: np.ndarray, entries: dict[int, bytes], sizes: np.ndarray) -> np.ndarray:
+    """Which segments the bytes of their tokens give again: all are compared at once, and one by one only if that tells a
+    difference."""
+    said = [entries[t] for t in ids.tolist()]
+    to = np.cumsum(n)
+    told = np.append(0, np.cumsum(sizes[ids], dtype=np.int64))
+    if (told[to] - told[to - n] == length).all() and b"".join(said) == b"".join(raw):
+        return np.ones(len(raw), bool)
+    return np.array([b"".join(said[j - k : j]) == p for p, j, k in zip(raw, to.tolist(), n.tolist(), strict=True)])
 
 
 @cache
@@ -146,50 +184,38 @@ class Block:
 
     def __init__(self, number: int) -> None:
         self.number, self.size = number, 0
-        self.segments: dict[str, int] = {}
+        self.segments = Numbered()
         self.ids: list[pa.Scalar] = []
         self.refs: list[bytes] = []
 
     def add(self, who: pa.Scalar, text: str | None, squeeze: zstandard.ZstdCompressor) -> None:
-        known = self.segments
-        refs = [known.setdefault(s, len(known)) for s in segments(text)] if text else []
+        found = keys(text) if text else []
         self.ids.append(who)
-        self.refs.append(squeeze.compress(np.array(refs, np.int32).tobytes()))
+        self.refs.append(squeeze.compress(np.fromiter(map(self.segments.__getitem__, found), np.int32, len(found)).tobytes()))
         self.size += len(text or "")
 
-    def batches(self, both: Pair, memo: dict[str, tuple[int, bytes, bytes]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        """block, seg, ids and sizes (A's tokens and then B's) and n_a (how many A's are) of each segment; none if the bytes are
-        not the segment's; then block, id and refs of each document."""
-        parts = list(self.segments)
+    def batches(self, both: Pair, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """block, seg and tokens of each segment, as Pair.coded has them; then block, id and refs of each document."""
+        parts = list(map(segment_of, self.segments))
         for i in range(0, len(parts), CODED_TOGETHER):
-            some = parts[i : i + CODED_TOGETHER]
-            new = both.coded([p for p in some if p not in memo])
-            found = [new.get(p) or memo[p] for p in some]
-            if len(memo) + len(new) > MEMO_SEGMENTS:
-                memo.clear()
-            memo.update((p, x) for p, x in new.items() if len(p) <= MEMO_CHARACTERS)
-            ids, sizes = (np.frombuffer(b"".join(f[k] for f in found), t) for k, t in ((1, np.int16), (2, np.uint8)))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f[2]) for f in found])]), pa.int32())
-            yield self._batch(
-                range(i, i + len(found)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(sizes.view(np.int8))),
-                pa.array([f[0] for f in found], pa.int32()), pa.nulls(len(found), kind), pa.nulls(len(found), pa.binary()),
-            )
+            n, tokens = both.coded(parts[i : i + CODED_TOGETHER])
+            offsets = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+            yield self._batch(range(i, i + len(n)), pa.ListArray.from_arrays(offsets, pa.array(tokens)), pa.nulls(len(n), kind), pa.nulls(len(n), pa.binary()))
         for i in range(0, len(self.ids), BATCH_ROWS):
             ids = pa.array([x.as_py() for x in self.ids[i : i + BATCH_ROWS]], kind)
-            nothing = (pa.nulls(len(ids), t) for t in (pa.list_(pa.int16()), pa.list_(pa.int8()), pa.int32()))
-            yield self._batch([None] * len(ids), *nothing, ids, pa.array(self.refs[i : i + BATCH_ROWS], pa.binary()))
+            yield self._batch([None] * len(ids), pa.nulls(len(ids), pa.list_(pa.int64())), ids, pa.array(self.refs[i : i + BATCH_ROWS], pa.binary()))
 
     def _batch(self, seg: Iterable[int | None], *columns: pa.Array) -> pa.RecordBatch:
         seg = pa.array(list(seg), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([self.number] * len(seg), pa.int64()), seg, *columns], ["block", "seg", "ids", "sizes", "n_a", "id", "refs"])
+        return pa.RecordBatch.from_arrays([pa.array([self.number] * len(seg), pa.int64()), seg, *columns], ["block", "seg", "tokens", "id", "refs"])
 
 
 def coded(df: DataFrame, doc_id: str, text: str, a_path: str, b_path: str) -> DataFrame:
-    """block and, of its distinct segments, seg, ids, sizes and n_a; of its documents id and refs."""
+    """block and, of its distinct segments, seg and tokens; of its documents id and refs."""
     at, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, memo, squeeze = pair(a_path, b_path), known_segments(a_path, b_path), zstandard.ZstdCompressor(level=1)
+        both, squeeze = pair(a_path, b_path), zstandard.ZstdCompressor(level=1)
         number = TaskContext.get().partitionId() << 32
         block, kind = Block(number), None
         for batch in batches:
@@ -197,66 +223,89 @@ def coded(df: DataFrame, doc_id: str, text: str, a_path: str, b_path: str) -> Da
             for who, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 block.add(who, t, squeeze)
                 if block.size >= BLOCK_BYTES:
-                    yield from block.batches(both, memo, kind)
+                    yield from block.batches(both, kind)
                     number += 1
                     block = Block(number)
         if block.ids:
-            yield from block.batches(both, memo, kind)
+            yield from block.batches(both, kind)
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return map_arrow(df.select(at.alias("id"), body.alias("text")), run, f"block bigint, seg int, ids array<smallint>, sizes array<tinyint>, n_a int, id {kind}, refs binary")
+    return map_arrow(df.select(at.alias("id"), body.alias("text")), run, f"block bigint, seg int, tokens array<bigint>, id {kind}, refs binary")
 
 
 def aligned_segments(tokens: DataFrame) -> DataFrame:
-    """A row for each place of a segment of the block where a token starts, in order: block, seg, number of the alignment group, a
-    and b (tokens that start here) and pair (of the tokens that lie over the place). All steps group by block, by
-    which tokens is dealt: nothing is shuffled again."""
-    each = tokens.select("block", "seg", "sizes", "n_a", F.posexplode_outer("ids").alias("at", "id"))
-    plain = lambda c, bits: F.col(c).cast("int").bitwiseAND(F.lit((1 << bits) - 1))
-    each = each.select("block", "seg", (F.col("at") < F.col("n_a")).alias("is_a"), "at", plain("id", 16).alias("id"), F.get("sizes", F.col("at")).cast("int").bitwiseAND(F.lit(255)).alias("size"))
-    start = F.sum("size").over(Window.partitionBy("block", "seg", "is_a").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    token_id = lambda a: F.max(F.when(F.col("is_a") if a else ~F.col("is_a"), F.col("id")))
-    met = each.withColumn("start", start).groupBy("block", "seg", "start").agg(token_id(True).alias("a"), token_id(False).alias("b"))
-    so_far = Window.partitionBy("block", "seg").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
-    over = F.last("a", True).over(so_far) * F.lit(B_IDS) + F.last("b", True).over(so_far)
-    return met.select("block", "seg", F.count(cut).over(so_far).cast("int").alias("number"), "a", "b", over.alias("pair"))
+    """A row for each place of a segment of the block where a token starts, in order: block, seg, number of the alignment group, pair
+    (of the tokens that lie over the place) and here (1 if A's starts here, 2 if B's does, 3 if both do; 0, and no pair, for a segment
+    without tokens). All steps group by block, by which tokens is dealt, and sort what they bring together: nothing is shuffled again."""
+    each = tokens.select("block", "seg", F.posexplode_outer("tokens").alias("at", "token"))
+    bits = lambda c, low, n: F.shiftright(c, low).bitwiseAND(F.lit((1 << n) - 1))
+    sums = Window.partitionBy("block", "seg").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+
+    size = [bits(F.col("token"), low, 8) for low in (32, 40)]
+    starts = [(F.sum(n).over(sums) - n).alias(f"start_{side}") for side, n in enumerate(size)]
+    both = each.select("block", "seg", "token", *starts)
+    # A start and the ids of A and B that start there as one number. Where both do at the same place of their lists, that is one row.
+    known = [F.when(n > 0, bits(F.col("token"), 16 * side, 16)).otherwise(NO_ID) for side, n in enumerate(size)]
+    row = lambda start, a, b: F.shiftleft(F.col(start), 32) + F.shiftleft(a, 16) + b
+    none, met = F.lit(NO_ID).cast("long"), (size[0] > 0) & (size[1] > 0) & (F.col("start_0") == F.col("start_1"))
+    first = F.when(F.col("token").isNull(), F.lit(-1).cast("long")).when(met, row("start_0", *known)).when(size[0] > 0, row("start_0", known[0], none))
+    second = F.when((size[1] > 0) & ~met, row("start_1", none, known[1]))
+    one = both.select("block", "seg", F.explode(F.array(first, second)).alias("x")).where(F.col("x").isNotNull())
+    order = Window.partitionBy("block", "seg").orderBy("x")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    start = lambda c: F.shiftright(c, 32)
+    last = lambda low: F.last(F.when(bits(F.col("x"), low, 16) != NO_ID, F.col("x")), True).over(so_far)
+    # The last row of a start knows the tokens of both kinds that lie over it.
+    over = one.select("block", "seg", "x", F.lead("x").over(order).alias("next"), last(16).alias("a"), last(0).alias("b"))
+    over = over.where(F.col("next").isNull() | (start("next") != start("x")))
+    here = sum(F.when(start(c) == start("x"), k).otherwise(0) for c, k in (("a", 1), ("b", 2)))
+    over = over.select("block", "seg", "x", here.alias("here"), (bits(F.col("a"), 16, 16) * F.lit(B_IDS) + bits(F.col("b"), 0, 16)).cast("int").alias("pair"))
+    number = F.count(F.when(F.col("here") == 3, 1)).over(so_far)
+    return over.select("block", "seg", number.cast("int").alias("number"), F.col("here").cast("int").alias("here"), F.coalesce("pair", F.lit(0)).alias("pair"))
+
+
+@cache
+def _said() -> list[bytes]:
+    """What is written for an id behind each mark."""
+    return [m + b"%d" % i for m in _MARKS for i in range(1 << 16)]
 
 
 class Aligned:
     """What became of the segments of one block, from the rows of aligned_segments."""
 
     def __init__(self, rows: pa.Table) -> None:
-        numbers = lambda n: rows.column(n).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
-        seg, a, b, group, pairs = (numbers(n) for n in ("seg", "a", "b", "number", "pair"))
+        numbers = lambda n: rows.column(n).combine_chunks().to_numpy()
+        seg, group, here, pairs = (numbers(n) for n in ("seg", "number", "here", "pair"))
         if len(seg) and (np.diff(seg) < 0).any():
             order = np.argsort(seg, kind="stable")
-            seg, a, b, group, pairs = (x[order] for x in (seg, a, b, group, pairs))
+            seg, group, here, pairs = (x[order] for x in (seg, group, here, pairs))
         self.starts = np.flatnonzero(np.diff(seg, prepend=-1))
         ends = np.append(self.starts[1:], len(seg)) if len(seg) else self.starts
         count = lambda x: np.add.reduceat(x.astype(np.int64), self.starts) if len(seg) else np.zeros(0, np.int64)
-        self.n_a, self.n_b, self.n_links = count(a >= 0), count(b >= 0), ends - self.starts
+        self.n_a, self.n_b, self.n_links = count(here & 1), count(here >> 1), ends - self.starts
         self.n_groups = group[ends - 1].astype(np.int64) if len(seg) else np.zeros(0, np.int64)
         self.pairs, self.good = pairs, self.n_a > 0
         self.texts: list[bytes] = []
         for i in range(0, len(ends), CODED_TOGETHER):
-            first, last = self.starts[i], ends[min(i + CODED_TOGETHER, len(ends)) - 1]
-            self.texts += self._texts(a[first:last], b[first:last], group[first:last], ends[i : i + CODED_TOGETHER] - first)
+            own = slice(self.starts[i], ends[min(i + CODED_TOGETHER, len(ends)) - 1])
+            self.texts += self._texts(pairs[own], here[own], group[own], ends[i : i + CODED_TOGETHER] - own.start)
 
     @staticmethod
-    def _texts(a: np.ndarray, b: np.ndarray, group: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """The groups of each segment as `a1,a2|b1;a3|b2,b3`."""
+    def _texts(pairs: np.ndarray, here: np.ndarray, group: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The groups of each segment as `a1,a2|b1;a3|b2,b3`. A token's place is told by how many are in groups before its own, and
+        for B's how many of A are in its own."""
         which = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        at = np.concatenate([np.flatnonzero(a >= 0), np.flatnonzero(b >= 0)])
-        side = np.repeat([0, 1], [(a >= 0).sum(), (b >= 0).sum()])
-        order = np.lexsort((at, side, group[at], which[at]))
-        at, side = at[order], side[order]
-        ids = np.where(side == 0, a[at], b[at])
-        new_segment, new_group, new_side = (np.diff(x, prepend=-1) != 0 for x in (which[at], group[at], side))
+        nth = np.cumsum((np.diff(which, prepend=0) != 0) | (np.diff(group, prepend=group[:1]) != 0))
+        a, b = np.flatnonzero(here & 1), np.flatnonzero(here & 2)
+        of_a, of_b = (np.bincount(nth[x], minlength=nth[-1] + 1) for x in (a, b))
+        to_a, to_b = np.arange(len(a)) + (np.cumsum(of_b) - of_b)[nth[a]], np.arange(len(b)) + np.cumsum(of_a)[nth[b]]
+        at, ids, side = (np.empty(len(a) + len(b), np.int64) for _ in range(3))
+        for to, x, k, own in ((to_a, a, 0, pairs[a] // B_IDS), (to_b, b, 1, pairs[b] & (B_IDS - 1))):
+            at[to], ids[to], side[to] = x, own, k
+        new_segment, new_group, new_side = (np.diff(x, prepend=-1) != 0 for x in (which[at], nth[at], side))
         mark = np.where(new_segment, 0, np.where(new_side, np.where(side == 1, 1, 2), np.where(new_group, 2, 3)))
-        said = [_MARKS[m] + b"%d" % i for m, i in zip(mark.tolist(), ids.tolist(), strict=True)]
-        counts = np.bincount(which[at], minlength=len(ends))
-        to = np.cumsum(counts).tolist()
+        said = list(map(_said().__getitem__, (mark << 16 | ids).tolist()))
+        to = np.cumsum(np.bincount(which[at], minlength=len(ends))).tolist()
         return [b"".join(said[i:j]) for i, j in zip([0, *to], to, strict=False)]
 
     def links(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

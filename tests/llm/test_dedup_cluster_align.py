@@ -216,3 +216,27 @@ def test_segments_make_up_the_text():
         found = token_alignment.segments(t)
         assert "".join(found) == " " + t and all(s[0] in " \n" for s in found)
     assert token_alignment.segments("a b\nc  d \n e") == [" a", " b", "\nc", "  d", " \n e"]
+
+
+def test_keys_stand_for_segments():
+    seen = {}
+    for t in [*filter(None, HARD), *ODD]:
+        found = token_alignment.keys(t)
+        assert [token_alignment.segment_of(k) for k in found] == token_alignment.segments(t)
+        assert all(seen.setdefault(token_alignment.segment_of(k), k) == k for k in found)
+
+
+def test_segments_are_read_together(monkeypatch):
+    """op13's budget: one call of A for a batch of segments, not one each; the same tokens as one by one."""
+    both = token_alignment.Pair(*(public_tokenizers.path(v) for v in (token_alignment.A_VOCABULARY, token_alignment.B_VOCABULARY)))
+    plain = list(dict.fromkeys(s for i in range(500) for s in token_alignment.segments(f"w{i}é, don't\n{i}日本")))
+    odd = list(dict.fromkeys(s for t in [*filter(None, HARD), *ODD] for s in token_alignment.segments(t)))
+    calls, one = [], both.a
+    monkeypatch.setattr(both, "a", lambda t: calls.append(t) or one(t))
+    both.coded(plain)
+    assert len(calls) == 1 < len(plain)
+    for parts in (plain, odd, [*plain, *odd], [" ▁"]):
+        n, tokens = both.coded(parts)
+        alone = [both.coded([p]) for p in parts]
+        assert n.tolist() == [int(x[0]) for x, _ in alone] and tokens.tolist() == [t for _, x in alone for t in x.tolist()]
+    assert both.coded([" ▁"])[0].tolist() == [0]  # not the segment's bytes
