@@ -45,7 +45,7 @@ B_IDS = 1 << 15
 #: Pairs up to which their counts are broadcast (16 bytes each).
 BROADCAST_PAIRS = 1 << 20
 #: Characters of text that make a block; segments that are handed on together.
-BLOCK_BYTES, CODED_TOGETHER = 12 << 20, 1 << 13
+BLOCK_BYTES, CODED_TOGETHER = 10 << 20, 1 << 13
 #: Partitions of the exchange for each of the session's: a task sorts a block or two at a time.
 PARTITIONS = 4
 #: Stands for an id where no token of a kind starts.
@@ -196,9 +196,10 @@ class Block:
 
     def batches(self, both: Pair, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         """block, seg and tokens of each segment, as Pair.coded has them; then block, id and refs of each document."""
-        parts = list(map(segment_of, self.segments))
-        for i in range(0, len(parts), CODED_TOGETHER):
-            n, tokens = both.coded(parts[i : i + CODED_TOGETHER])
+        known = list(self.segments)
+        self.segments.clear()  # the documents are numbered
+        for i in range(0, len(known), CODED_TOGETHER):
+            n, tokens = both.coded([segment_of(k) for k in known[i : i + CODED_TOGETHER]])
             offsets = pa.array(np.append(0, np.cumsum(n)), pa.int32())
             yield self._batch(range(i, i + len(n)), pa.ListArray.from_arrays(offsets, pa.array(tokens)), pa.nulls(len(n), kind), pa.nulls(len(n), pa.binary()))
         for i in range(0, len(self.ids), BATCH_ROWS):
